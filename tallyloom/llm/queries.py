@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import chat, mixing, sharding
+from tallyloom.llm import chat, mixing, quality, sharding, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,11 +13,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op3_quality_rules": lambda spark, d: quality.op3_quality_rules(_table(spark, d, "documents")),
         "op6_sharding": lambda spark, d: sharding.op6_sharding(_table(spark, d, "documents")),
+        "op7_warc": lambda spark, d: warc.op7_warc(_table(spark, d, "pages")),
         "op8_chat_format": lambda spark, d: chat.op8_chat_format(_table(spark, d, "conversations")),
         "op9_mixing": lambda spark, d: mixing.op9_mixing(_table(spark, d, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat_format": chat.OP8_SQL}
+    return {"op3_quality_rules": quality.OP3_SQL, "op7_warc": warc.OP7_SQL, "op8_chat_format": chat.OP8_SQL}
