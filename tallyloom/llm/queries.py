@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import chat, mixing, quality, sharding, warc
+from tallyloom.llm import chat, hmm, mixing, quality, sharding, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op7_warc": lambda spark, d: warc.op7_warc(_table(spark, d, "pages")),
         "op8_chat_format": lambda spark, d: chat.op8_chat_format(_table(spark, d, "conversations")),
         "op9_mixing": lambda spark, d: mixing.op9_mixing(_table(spark, d, "documents")),
+        "op10_lm_score": lambda spark, d: hmm.op10_lm_score(_table(spark, d, "documents")),
     }
 
 
