@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import chat, hmm, langid, mixing, quality, sharding, warc
+from tallyloom.llm import chat, decontam, hmm, langid, mixing, quality, sharding, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,7 @@ def queries() -> dict:
     return {
         "op3_quality_rules": lambda spark, d: quality.op3_quality_rules(_table(spark, d, "documents")),
         "op4_language_id": lambda spark, d: langid.op4_language_id(_table(spark, d, "documents")),
+        "op5_decontaminate": lambda spark, d: decontam.op5_decontaminate(_table(spark, d, "documents"), _table(spark, d, "benchmark")),
         "op6_sharding": lambda spark, d: sharding.op6_sharding(_table(spark, d, "documents")),
         "op7_warc": lambda spark, d: warc.op7_warc(_table(spark, d, "pages")),
         "op8_chat_format": lambda spark, d: chat.op8_chat_format(_table(spark, d, "conversations")),
