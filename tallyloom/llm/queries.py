@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import chat, decontam, hmm, langid, mixing, quality, sharding, warc
+from tallyloom.llm import chat, decontam, hmm, langid, mixing, ngram_join, quality, sharding, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,6 +13,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op2_ngram_join": lambda spark, d: ngram_join.op2_ngram_join(_table(spark, d, "documents")),
         "op3_quality_rules": lambda spark, d: quality.op3_quality_rules(_table(spark, d, "documents")),
         "op4_language_id": lambda spark, d: langid.op4_language_id(_table(spark, d, "documents")),
         "op5_decontaminate": lambda spark, d: decontam.op5_decontaminate(_table(spark, d, "documents"), _table(spark, d, "benchmark")),
@@ -25,4 +26,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality.OP3_SQL, "op7_warc": warc.OP7_SQL, "op8_chat_format": chat.OP8_SQL}
+    return {"op2_ngram_join": ngram_join.OP2_SQL, "op3_quality_rules": quality.OP3_SQL, "op7_warc": warc.OP7_SQL, "op8_chat_format": chat.OP8_SQL}
