@@ -124,9 +124,11 @@ def mix(df: DataFrame, source: str = "source", words: str = "words", seed: int =
     return unpacked(both, df, F.col("size"), F.col("source_size"), F.col("target"), (F.col("epochs") + F.col("more")).alias("copies"), names=("size", "source_size", "target", "copies"))
 
 
-def repeated(mixed: DataFrame) -> DataFrame:
-    """The documents themselves, each as often as the mix takes it, with the input's columns."""
-    return mixed.filter("copies > 0").withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("size", "source_size", "target", "copies")
+def repeated(df: DataFrame, source: str = "source", text: str = "text", seed: int = 1) -> DataFrame:
+    """The rows themselves, each as often as the mix of the sources takes it, with exactly their own columns."""
+    rows = packed(df, "own").select("own", F.col("own").getField(source).alias("source"), word_count(F.col("own").getField(text)).alias("words"))
+    mixed = mix(rows, seed=seed).filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return mixed.select(*[F.col("own").getField(c).alias(c) for c in df.columns])
 
 
 def op9_mixing(documents: DataFrame) -> DataFrame:

@@ -194,3 +194,9 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND id NOT IN (SELECT id FROM bad) AS kept
 FROM c
 """
+
+
+def good(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+    """The rows that `judged` keeps, with exactly their own columns."""
+    rows = packed(df, "own").select("own", *[F.col("own").getField(c).alias(n) for c, n in ((text, "text"), (lang, "lang"), (source, "source"))])
+    return judged(rows).filter("kept").select(*[F.col("own").getField(c).alias(c) for c in df.columns])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import chat, decontam, hmm, langid, mixing, ngram_join, quality, sharding, warc
+from tallyloom.llm import chat, decontam, hmm, langid, mixing, ngram_join, pii, quality, sharding, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,6 +13,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_pii": lambda spark, d: pii.op1_pii(_table(spark, d, "documents")),
         "op2_ngram_join": lambda spark, d: ngram_join.op2_ngram_join(_table(spark, d, "documents")),
         "op3_quality_rules": lambda spark, d: quality.op3_quality_rules(_table(spark, d, "documents")),
         "op4_language_id": lambda spark, d: langid.op4_language_id(_table(spark, d, "documents")),
