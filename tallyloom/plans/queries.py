@@ -1,0 +1,683 @@
+"""The library's queries over the fixture tables, each with its SQL: name -> (spark, sf_dir) -> DataFrame."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tallyloom.functions import scores as S
+from tallyloom.functions import text as X
+from tallyloom.functions.hashing import hash_bucket, hash_mod, order_key, split_of, stable_id
+from tallyloom.operators import augment, distractors, history, intervals, metrics, mixture, prompts, records, sampling
+from tallyloom.streaming.slices import tumbling
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+# SQL of what many queries share.
+_NORM = "trim(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'))"
+_PRINT = f"sha1({_NORM})"
+_HEX8 = "('0x' || substr({0}, 1, 8))::BIGINT"
+
+
+def _order(seed, *parts: str) -> str:
+    return f"sha1(concat_ws('|', '{seed}', {', '.join(f'CAST({p} AS VARCHAR)' for p in parts)}))"
+
+
+def _mod(key: str, m: int) -> str:
+    out = "0"
+    for i in range(5):
+        out = f"(({out}) * {2**32 % m} + ('0x' || substr(sha1({key}), {1 + 8 * i}, 8))::BIGINT % {m}) % {m}"
+    return out
+
+
+def query(sql: str | None = None):
+    """Register a function of a table reader `t`, and its SQL."""
+
+    def put(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+# ---- leakage and mixtures ---------------------------------------------------------------------
+
+
+def _fields(text):
+    """A document or item as fields: its whole text and its lines."""
+    return mixture.content_keys(text, F.split(text, "\n"))
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, source, text FROM documents), f AS (
+  SELECT doc_id, source, {_PRINT.format("text")} AS k FROM d
+  UNION SELECT doc_id, source, {_PRINT.format("l")} FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS l FROM d) WHERE length(l) >= 40),
+b AS (SELECT {_PRINT.format("text")} AS k FROM benchmark UNION SELECT {_PRINT.format("l")} FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM benchmark) WHERE length(l) >= 40),
+bad AS (SELECT DISTINCT doc_id FROM f SEMI JOIN b USING (k))
+SELECT source, count(*) AS loaded, count(*) FILTER (doc_id IN (SELECT doc_id FROM bad)) AS overlap_removed, count(*) FILTER (doc_id NOT IN (SELECT doc_id FROM bad)) AS used
+FROM d GROUP BY source""")
+def leak_report(t):
+    """Documents that share a fingerprint of their text or of a long line with the benchmark, by source."""
+    docs = t("documents").select(F.col("doc_id").alias("id"), "source", _fields(F.col("text")).alias("keys"))
+    banned = t("benchmark").select(F.explode(_fields(F.col("text"))).alias("key"))
+    bad = mixture.overlapping(docs.select("id", F.explode("keys").alias("key")), banned).withColumn("bad", F.lit(1))
+    joined = t("documents").select(F.col("doc_id").alias("id"), "source").join(bad, "id", "left")
+    return joined.groupBy("source").agg(F.count(F.lit(1)).alias("loaded"), F.count("bad").alias("overlap_removed"), (F.count(F.lit(1)) - F.count("bad")).alias("used"))
+
+
+@query(f"""
+SELECT doc_id, item_id FROM (SELECT doc_id, {_NORM.format("text")} AS t FROM documents) d
+JOIN (SELECT item_id, {_NORM.format("text")} AS i FROM benchmark) b ON contains(t, i)""")
+def leak_contains(t):
+    """Documents whose normalised text contains a whole benchmark item: pairs meet by the item's first words, then the containment is checked."""
+    n = 6
+    words = lambda df, key: df.select(key, F.split(X.normalised(F.col("text")), " ").alias("w"))
+    grams = F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.xxhash64(F.array_join(F.slice(F.col("w"), i + 1, n), " ")))
+    docs = words(t("documents"), "doc_id").filter(F.size("w") >= n).select("doc_id", F.explode(F.array_distinct(grams)).alias("g"))
+    items = words(t("benchmark"), "item_id").filter(F.size("w") >= n).select("item_id", F.xxhash64(F.array_join(F.slice("w", 1, n), " ")).alias("g"), F.array_join("w", " ").alias("item"))
+    pairs = docs.join(items, "g").select("doc_id", "item_id", "item")
+    texts = t("documents").select("doc_id", X.normalised(F.col("text")).alias("t"))
+    return texts.join(pairs, "doc_id").filter(F.contains("t", "item")).select("doc_id", "item_id").distinct()
+
+
+@query("""
+SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY left(text, 2000) ORDER BY source, doc_id) AS r FROM documents) WHERE r = 1""")
+def exact_dedupe_state(t):
+    """The first row, by source and id, of each text prefix."""
+    docs = t("documents").select("doc_id", "source", F.sha2(F.substring("text", 1, 2000), 256).alias("k"))
+    return docs.groupBy("k").agg(F.min(F.struct("source", "doc_id")).alias("f")).select("f.doc_id", "f.source")
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY {_order(0, "doc_id")}, doc_id) AS r, count(*) OVER (PARTITION BY source) AS c FROM documents),
+g AS (SELECT * FROM d WHERE r <= 40), n AS (SELECT source, count(*) AS c FROM g GROUP BY source)
+SELECT g.source, g.doc_id, j AS copy FROM g JOIN n USING (source), range(0, 3) x(j) WHERE g.r + j * n.c <= least(60, 3 * n.c)""")
+def per_group_cap_repeat(t):
+    """At most 40 documents of each source, smaller samples repeated cyclically up to 60, three times at most."""
+    docs = t("documents").select("doc_id", "source")
+    capped = sampling.capped(docs, ["source"], 40, 0, F.col("doc_id")).drop("rank")
+    return mixture.repeated_to(capped, ["source"], 60, F.col("doc_id")).select("source", "doc_id", "copy")
+
+
+@query(f"""
+WITH n AS (SELECT count(*) AS n FROM documents), d AS (SELECT doc_id, row_number() OVER (ORDER BY {_order(0, "doc_id")}, doc_id) AS r FROM documents)
+SELECT doc_id, count(*) AS copies FROM d, n, range(0, 3) x(j) WHERE r + j * n <= round_even(n * 1.25, 0) GROUP BY doc_id""")
+def weighted_source(t):
+    """A source with weight 1.25: every document once, and a quarter twice."""
+    return mixture.weighted(t("documents").select("doc_id"), 1.25, F.col("doc_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("copies"))
+
+
+_LANGS = [("de", "German"), ("en", "English"), ("es", "Spanish"), ("fr", "French")]
+
+
+def _doc_records(t) -> DataFrame:
+    """Documents as records: which language is it?"""
+    return records.choice_records(t("documents"), source="documents", state=F.col("text"), instructions="Which language is the text in?", choices=_LANGS, label=F.col("lang"), id_=stable_id(F.lit("documents"), F.col("doc_id")), meta={"task": F.col("source")})
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, {_PRINT.format("text")} AS k FROM documents), b AS (SELECT {_PRINT.format("text")} AS k FROM benchmark),
+l AS (SELECT substr(sha1('labels|' || doc_id), 1, 16) AS id, {_PRINT.format("text")} AS k FROM labels JOIN documents USING (doc_id)),
+c AS (SELECT count(*) AS n FROM d), cc AS (SELECT count(*) AS n FROM d ANTI JOIN b USING (k)), lc AS (SELECT count(*) AS n FROM l), lk AS (SELECT count(*) AS n FROM l ANTI JOIN b USING (k))
+SELECT 'documents' AS source, c.n AS loaded, c.n - cc.n AS overlap_removed, least(cc.n, 300)::BIGINT AS used FROM c, cc
+UNION ALL SELECT 'labels', lc.n, lc.n - lk.n, round_even(lk.n * 0.5, 0)::BIGINT FROM lc, lk""")
+def mixture_report(t):
+    """A mixture of two sources: 300 documents, and half of the labelled ones."""
+    labelled = t("labels").join(t("documents"), "doc_id")
+    toxic = records.noul_records(labelled, source="labels", state=F.col("text"), instructions="Is the text toxic?", label=F.col("toxic"), id_=stable_id(F.lit("labels"), F.col("doc_id")))
+    items = records.noul_records(t("benchmark"), source="benchmark", state=F.col("text"), instructions="-", label=F.lit("yes"), id_=stable_id(F.lit("benchmark"), F.col("item_id")))
+    sources = [(mixture.Source("documents", max_samples=300), _doc_records(t)), (mixture.Source("labels", weight=0.5), toxic)]
+    return mixture.build_mixture(sources, items)[1]
+
+
+# ---- splits and samples -----------------------------------------------------------------------
+
+
+@query(f"""SELECT doc_id, {_mod("doc_id::VARCHAR", 100)} AS percent, CASE {_mod("doc_id::VARCHAR", 10)} WHEN 0 THEN 'test' WHEN 1 THEN 'validation' ELSE 'train' END AS split FROM documents""")
+def split_80_10_10(t):
+    """Splits by the whole SHA-1 of the id."""
+    key = F.col("doc_id").cast("string")
+    return t("documents").select("doc_id", hash_mod(key, 100).alias("percent"), split_of(key).alias("split"))
+
+
+@query(f"""SELECT c_custkey, {_HEX8.format("sha1('customer|' || c_custkey)")} % 100 AS bucket, {_HEX8.format("sha1('customer|' || c_custkey)")} % 100 < 12 AS held FROM customer""")
+def bucket_split(t):
+    """Buckets by the first digits of the SHA-1, 12 % held out."""
+    b = hash_bucket(F.lit("customer"), F.col("c_custkey"))
+    return t("customer").select("c_custkey", b.alias("bucket"), (b < 12).alias("held"))
+
+
+@query(f"SELECT doc_id, lang FROM documents ORDER BY {_order(7, 'doc_id')}, doc_id LIMIT 100")
+def take_cap(t):
+    """Exactly 100 documents in hash order."""
+    return sampling.take(t("documents").select("doc_id", "lang"), 100, 7, F.col("doc_id"))
+
+
+@query(f"""
+SELECT doc_id, lang, r AS rank FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {_order(3, "doc_id")}, doc_id) AS r FROM documents) ORDER BY r, lang LIMIT 90""")
+def balanced_round_robin(t):
+    """90 documents dealt from the languages in turn."""
+    return sampling.round_robin(t("documents").select("doc_id", "lang"), "lang", 90, 3, F.col("doc_id"))
+
+
+@query(f"""
+WITH m AS (SELECT min(c) AS m FROM (SELECT count(*) AS c FROM labels GROUP BY quality))
+SELECT doc_id, quality FROM (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY {_order(5, "doc_id")}, doc_id) AS r FROM labels), m WHERE r <= m""")
+def balanced_downsample(t):
+    """As many labels of each quality as the rarer has."""
+    return sampling.downsampled(t("labels").select("doc_id", "quality"), "quality", 5, F.col("doc_id")).select("doc_id", "quality")
+
+
+@query(f"""
+WITH n AS (SELECT count(*) AS n FROM orders)
+SELECT o_orderkey, r <= greatest(1, floor(n * 0.02)) AS held FROM (SELECT o_orderkey, row_number() OVER (ORDER BY {_order(1, "o_orderkey")}, o_orderkey) AS r FROM orders), n""")
+def holdout(t):
+    """2 % of the orders held out, exactly."""
+    return sampling.holdout(t("orders").select("o_orderkey"), 0.02, 0, F.col("o_orderkey"))
+
+
+@query(f"""
+WITH s AS (SELECT source, count(*) AS n, {_order(2, "source")} AS h FROM documents GROUP BY source),
+c AS (SELECT source, coalesce(sum(n) OVER (ORDER BY h, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s)
+SELECT doc_id, source FROM documents WHERE source IN (SELECT source FROM c WHERE before < 300)""")
+def cluster_sample(t):
+    """Whole sources until 300 documents are reached."""
+    return sampling.cluster_sample(t("documents").select("doc_id", "source"), "source", 300, 2)
+
+
+@query("""
+WITH e AS (SELECT DISTINCT c_nationkey, c_mktsegment FROM customer), l AS (SELECT DISTINCT c_mktsegment FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment DESC) AS r FROM e) WHERE r = 1)
+SELECT c_custkey, c_mktsegment IN (SELECT c_mktsegment FROM l) AS held FROM customer""")
+def entity_disjoint_split(t):
+    """Customers of the last segment of each nation are held out, wherever they occur."""
+    return sampling.entity_holdout(t("customer").select("c_custkey", "c_nationkey", "c_mktsegment"), "c_nationkey", "c_mktsegment").select("c_custkey", "held")
+
+
+@query(f"""SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY {_order(4, "o_orderkey")}, o_orderkey) AS r FROM orders) WHERE r = 1""")
+def first_per_key(t):
+    """One order of each customer."""
+    return sampling.first_of(t("orders").select("o_custkey", "o_orderkey"), "o_custkey", 4, F.col("o_orderkey"))
+
+
+@query(f"""SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {_order(6, "doc_id")}, doc_id) AS r FROM documents) WHERE r <= 25""")
+def equal_share(t):
+    """A hundred documents, a quarter for each of four languages."""
+    return sampling.equal_share(t("documents").select("doc_id", "lang"), "lang", 100, 4, 6, F.col("doc_id")).select("doc_id", "lang")
+
+
+# ---- records ----------------------------------------------------------------------------------
+
+
+@query("""SELECT substr(sha1('documents|' || doc_id), 1, 16) AS id, 'answer' AS name, 'choice' AS type, 4 AS k, lang AS label, list_position(['de', 'en', 'es', 'fr'], lang) - 1 AS index FROM documents""")
+def choice_records(t):
+    """Documents as choices among languages, flattened."""
+    return records.decisions(_doc_records(t)).select("id", "name", "type", "k", "label", "index")
+
+
+@query("""SELECT substr(sha1('labels|' || doc_id), 1, 16) AS id, CASE toxic WHEN 1 THEN 'yes' ELSE 'no' END AS label, toxic AS index FROM labels JOIN documents USING (doc_id)""")
+def noul_records(t):
+    """Toxicity labels as yes/no questions on their documents."""
+    rows = t("labels").join(t("documents").select("doc_id", "text"), "doc_id")
+    made = records.noul_records(rows, source="labels", state=F.col("text"), instructions="Is the text toxic?", label=F.col("toxic"), id_=stable_id(F.lit("labels"), F.col("doc_id")))
+    return records.decisions(made).select("id", "label", "index")
+
+
+@query("""SELECT substr(sha1('orders|' || o_orderkey), 1, 16) AS id, 5 AS k, (left(o_orderpriority, 1)::INT - 1)::VARCHAR AS label, left(o_orderpriority, 1)::INT - 1 AS index FROM orders""")
+def score_records(t):
+    """Order priorities as a scale of five levels."""
+    level = F.substring("o_orderpriority", 1, 1).cast("int") - 1
+    state = F.to_json(F.struct("o_orderkey", "o_totalprice", "o_orderstatus"))
+    made = records.score_records(t("orders"), source="orders", state=state, instructions="How urgent is the order?", levels=["urgent", "high", "medium", "not specified", "low"], level=level, id_=stable_id(F.lit("orders"), F.col("o_orderkey")))
+    return records.decisions(made).select("id", "k", "label", "index")
+
+
+@query("""
+SELECT doc_id, name, CASE v WHEN 1 THEN 'yes' ELSE 'no' END AS label FROM (
+  SELECT doc_id, unnest(['quality', 'toxic']) AS name, unnest([quality, toxic]) AS v FROM labels JOIN documents USING (doc_id))""")
+def multi_question_records(t):
+    """Two questions on one state."""
+    rows = t("labels").join(t("documents").select("doc_id", "text"), "doc_id")
+    ask = [records.question(n, "noul", i, records.options(records.YES_NO)) for n, i in (("quality", "Is the text good?"), ("toxic", "Is the text toxic?"))]
+    said = [records.target(n, records.canonical_label(F.lit("noul"), F.col(n).cast("string"))) for n in ("quality", "toxic")]
+    made = records.record(rows, source="labels", state=F.col("text"), questions=ask, targets=said, id_=F.col("doc_id").cast("string"))
+    return records.decisions(made).select(F.col("id").cast("long").alias("doc_id"), "name", "label")
+
+
+@query("""
+WITH l AS (SELECT list_sort(list(DISTINCT p_brand)) AS l FROM part)
+SELECT p_partkey, p_brand AS label, list_position(l, p_brand) - 1 AS index, len(l) AS k FROM part, l""")
+def open_label_set(t):
+    """A choice among the labels that the column holds."""
+    made = records.classification(t("part"), source="part", state=F.col("p_name"), label="p_brand", instructions="Which brand?", id_=F.col("p_partkey").cast("string"))
+    return records.decisions(made).select(F.col("id").cast("long").alias("p_partkey"), "label", "index", "k")
+
+
+@query("""
+SELECT row_number() OVER () AS case_id, problem FROM (VALUES (NULL), ('number of options'), ('label not among options'), ('repeated label'), ('target without question'), ('no state'), ('unknown type'), ('number of levels')) v(problem)""")
+def validation_report(t):
+    """A record for each rule that it breaks, and a good one."""
+    two, one = records.options([("a", "A"), ("b", "B")]), records.options([("a", "A")])
+    ask = lambda kind="choice", opts=two, name="q": records.question(name, kind, "Which?", opts)
+    cases = [("s", ask(), "q", "a"), ("s", ask(opts=one), "q", "a"), ("s", ask(), "q", "z"), ("s", ask(opts=records.options([("a", "A"), ("a", "B")])), "q", "a"), ("s", ask(), "other", "a"), (None, ask(), "q", "a"), ("s", ask("text"), "q", "a"), ("s", ask("score", one), "q", "0")]
+    out = None
+    for i, (state, q, name, label) in enumerate(cases, 1):
+        row = records.record(t("region").limit(1), source="case", state=F.lit(state).cast("string"), questions=[q], targets=[records.target(name, F.lit(label))], id_=F.lit(str(i)))
+        out = row if out is None else out.unionByName(row)
+    return records.problems(out).select(F.col("id").cast("long").alias("case_id"), "problem")
+
+
+@query("""SELECT doc_id, length(text) + length('Which language is the text in?') + length('GermanEnglishSpanishFrench') AS proxy,
+  '## State' || chr(10) || text || chr(10) || chr(10) || '## Decision schema' || chr(10) || '### answer (choice)' || chr(10) || 'Which language is the text in?' || chr(10) || 'A = de: German' || chr(10) || 'B = en: English' || chr(10) || 'C = es: Spanish' || chr(10) || 'D = fr: French' || chr(10) AS prompt FROM documents""")
+def prompt_rendering(t):
+    """Documents as prompts, and the length proxy."""
+    made = prompts.rendered(_doc_records(t).withColumn("doc_id", F.lit(0)).drop("doc_id"))
+    ids = t("documents").select("doc_id", stable_id(F.lit("documents"), F.col("doc_id")).alias("id"))
+    return made.join(ids, "id").select("doc_id", prompts.length_proxy(F.col("state"), F.col("questions"), F.col("images")).alias("proxy"), "prompt")
+
+
+# ---- options ----------------------------------------------------------------------------------
+
+
+@query(f"""
+WITH p AS (SELECT DISTINCT p_brand AS x FROM part),
+o AS (SELECT p_partkey, p_brand, x, row_number() OVER (PARTITION BY p_partkey ORDER BY {_order(9, "p_partkey", "x")}) AS r FROM part, p WHERE x <> p_brand),
+c AS (SELECT p_partkey, p_brand, x FROM o WHERE r <= 3 UNION ALL SELECT p_partkey, p_brand, p_brand FROM part)
+SELECT p_partkey, string_agg(x, ';' ORDER BY {_order(9, "p_partkey", "x")}) AS options, list_position(list(x ORDER BY {_order(9, "p_partkey", "x")}), first(p_brand)) - 1 AS gold FROM c GROUP BY p_partkey""")
+def mcq_options(t):
+    """The brand and three others, in hash order, with the index of gold."""
+    pool = records.open_labels(t("part"), "p_brand")
+    rows = t("part").withColumn("o", distractors.from_pool(F.array(*map(F.lit, pool)), F.col("p_brand"), 4, 9, F.col("p_partkey")))
+    return rows.select("p_partkey", F.array_join("o", ";").alias("options"), (F.array_position("o", F.col("p_brand")).cast("int") - 1).alias("gold"))
+
+
+@query("""
+WITH k AS (SELECT p_partkey, p_name, array_to_string(string_split(p_name, ' ')[1:2], ' ') AS k0, string_split(p_name, ' ')[1] AS k1, p_type AS k2 FROM part),
+d AS (SELECT DISTINCT k0 AS key, 0 AS tier, p_name AS v FROM k UNION SELECT DISTINCT k1, 1, p_name FROM k UNION SELECT DISTINCT k2, 2, p_name FROM k),
+c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tier, key ORDER BY v) AS r FROM d) WHERE r <= 64),
+s AS (SELECT p_partkey, tier, count(*) AS n FROM k JOIN c ON (tier = 0 AND key = k0 OR tier = 1 AND key = k1 OR tier = 2 AND key = k2) AND v <> p_name GROUP BY ALL),
+z AS (SELECT p_partkey, coalesce(min(tier) FILTER (n >= 3), min(tier)) AS tier FROM s GROUP BY p_partkey)
+SELECT k.p_partkey, z.tier, coalesce(s.n, 0) AS n FROM k LEFT JOIN z USING (p_partkey) LEFT JOIN s ON s.p_partkey = k.p_partkey AND s.tier = z.tier""")
+def tiered_distractors(t):
+    """Other names from the first tier with three: equal first two words, first word, type."""
+    words = F.split("p_name", " ")
+    tiers = [F.array_join(F.slice(words, 1, 2), " "), F.element_at(words, 1), F.col("p_type")]
+    rows = distractors.tiered_pool(t("part").select("p_partkey", "p_name", "p_type"), "p_name", tiers, 4)
+    return rows.select("p_partkey", "tier", F.when(F.col("tier").isNull(), 0).otherwise(F.size("pool")).cast("long").alias("n"))
+
+
+@query("""
+WITH l AS (SELECT DISTINCT p_type AS label, list_distinct(list_filter(regexp_split_to_array(lower(p_type), '[^a-z0-9]+'), lambda w: w <> '')) AS w FROM part),
+j AS (SELECT a.label, b.label AS other, len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) AS similarity FROM l a JOIN l b ON a.label <> b.label AND len(list_intersect(a.w, b.w)) > 0)
+SELECT label, other, round(similarity, 6) AS similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY similarity DESC, other) AS rank FROM j) WHERE rank <= 6""")
+def jaccard_hard_negatives(t):
+    """The six most similar types by shared words."""
+    return distractors.lookalikes(t("part"), "p_type").withColumn("similarity", F.round("similarity", 6))
+
+
+@query(f"""
+WITH f AS (SELECT o_orderkey, o_totalprice AS g, unnest([0.9, 1.1, 0.95, 1.05, 0.8, 1.2, 0.5, 2.0]) AS f, unnest(['0.9', '1.1', '0.95', '1.05', '0.8', '1.2', '0.5', '2.0']) AS s FROM orders)
+SELECT o_orderkey, 4 AS n, format('{{:,.2f}}', first(g)) AS gold FROM (SELECT *, {_order(8, "o_orderkey", "s")} AS h FROM f) GROUP BY o_orderkey""")
+def numeric_distractors(t):
+    """A price and three near ones, as texts with thousands separators."""
+    rows = t("orders").select("o_orderkey", distractors.numeric_options(F.col("o_totalprice"), 2, 4, 8, F.col("o_orderkey")).alias("o"))
+    return rows.select("o_orderkey", F.size("o").alias("n"), F.element_at("o", 1).alias("gold"))
+
+
+@query("""SELECT p_partkey, array_to_string(list_sort(list_distinct([p_size, p_size + 1, p_size - 1, p_size + 2])), ';') AS options FROM part""")
+def integer_perturbation(t):
+    """A size and three near ones, sorted."""
+    return t("part").select("p_partkey", F.array_join(F.transform(distractors.integer_options(F.col("p_size")), lambda x: x.cast("string")), ";").alias("options"))
+
+
+@query(f"""
+WITH o AS (SELECT p_partkey, unnest(['size', 'brand', 'type', 'name']) AS key FROM part)
+SELECT p_partkey, string_agg(key, ';' ORDER BY {_order(1, "p_partkey", "key")}) AS shuffled,
+  (SELECT string_agg(k, ';' ORDER BY i) FROM (SELECT unnest(['size', 'brand', 'type', 'name']) AS k, unnest([0, 1, 2, 3]) AS i) x
+    WHERE k = 'type' OR k IN (SELECT key FROM (SELECT key, {_order(2, "o.p_partkey", "key")} AS h FROM (SELECT unnest(['size', 'brand', 'name']) AS key)) ORDER BY h LIMIT 2)) AS fitted
+FROM o GROUP BY p_partkey""")
+def shuffle_and_fit_options(t):
+    """Four options in hash order, and three of them that keep the gold one."""
+    opts = records.options([(k, "") for k in ("size", "brand", "type", "name")])
+    keys = lambda c: F.array_join(F.transform(c, lambda o: o["key"]), ";")
+    return t("part").select("p_partkey", keys(augment.shuffled(opts, 1, F.col("p_partkey"))).alias("shuffled"), keys(augment.fitted(opts, F.lit("type"), 3, 2, F.col("p_partkey"))).alias("fitted"))
+
+
+@query(f"""
+WITH u AS (SELECT doc_id, lang, {_HEX8.format(_order(4, "doc_id"))} / 4294967296.0 AS u FROM documents)
+SELECT doc_id, CASE WHEN u < 0.05 THEN 'none_of_the_above' ELSE lang END AS label, CASE WHEN u < 0.05 THEN 4 WHEN u < 0.15 THEN 5 ELSE 4 END AS k FROM u""")
+def none_option(t):
+    """None of the above in place of gold for 5 %, beside it for 10 %."""
+    rows = t("documents").select("doc_id", F.col("lang").alias("label"), records.options(_LANGS).alias("options"))
+    return augment.with_none(rows, 0.05, 0.1, 4, F.col("doc_id")).select("doc_id", "label", F.size("options").alias("k"))
+
+
+@query(f"""
+WITH h AS (SELECT doc_id, {_order(3, "doc_id")} AS h FROM documents), r AS (SELECT doc_id, substr(h, 1, 2) AS p, row_number() OVER (PARTITION BY substr(h, 1, 2) ORDER BY h, doc_id::VARCHAR) - 1 AS r FROM h)
+SELECT string_agg(doc_id, '+' ORDER BY r) AS id, count(*)::INT AS questions, count(*)::VARCHAR AS packed FROM r GROUP BY p, r // 3""")
+def pack_records(t):
+    """Three records in one."""
+    made = records.choice_records(t("documents"), source="documents", state=F.col("text"), instructions="Which language?", choices=_LANGS, label=F.col("lang"), id_=F.col("doc_id").cast("string"))
+    return augment.packed(made, 3, 3).select("id", F.size("questions").alias("questions"), F.col("meta")["packed"].alias("packed"))
+
+
+@query(f"""
+WITH r AS (SELECT doc_id, n_chars, {_order(1, "doc_id")} AS h, row_number() OVER (ORDER BY {_order(1, "doc_id")}, doc_id) AS r FROM documents),
+c AS (SELECT *, (r - 1) // 64 AS chunk FROM r), b AS (SELECT *, (row_number() OVER (PARTITION BY chunk ORDER BY n_chars, h, doc_id) - 1) // 8 AS batch FROM c)
+SELECT doc_id, chunk, batch FROM (SELECT *, count(*) OVER (PARTITION BY chunk, batch) AS n FROM b) WHERE n = 8""")
+def length_batches(t):
+    """Batches of eight documents of like length, inside chunks of 64."""
+    return augment.length_batches(t("documents").select("doc_id", "n_chars"), F.col("n_chars"), 8, 1, F.col("doc_id"), chunk=8).select("doc_id", "chunk", "batch")
+
+
+@query(f"""
+WITH r AS (SELECT doc_id, source, row_number() OVER (ORDER BY {_order(6, "doc_id")}, doc_id) AS r, count(*) OVER () AS n FROM documents),
+p AS (SELECT a.doc_id, a.source, min_by(b.source, (b.r - a.r + a.n) % a.n) AS other FROM r a JOIN r b ON a.source <> b.source GROUP BY ALL)
+SELECT doc_id, source, other FROM p""")
+def shuffle_audio_ablation(t):
+    """Every document gets the next different source in hash order, around the end."""
+    return augment.next_different(t("documents").select("doc_id", "source"), "source", 6, F.col("doc_id"), part=256).select("doc_id", "source", "other")
+
+
+# ---- context ----------------------------------------------------------------------------------
+
+
+@query("""
+SELECT conv_id, turn, coalesce(array_to_string(list(role) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), ','), '') AS history,
+  right(coalesce(string_agg(role || ': ' || text, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), ''), 200) AS transcript FROM conversations""")
+def dialogue_prefix(t):
+    """The four roles before each turn, and the last 200 characters of what was said."""
+    rows = history.last_items(t("conversations"), "conv_id", ["turn"], F.col("role"), 4)
+    rows = history.running_transcript(rows, "conv_id", ["turn"], F.concat("role", F.lit(": "), "text"), most=200)
+    return rows.select("conv_id", "turn", F.array_join("history", ",").alias("history"), "transcript")
+
+
+@query("""SELECT conv_id, turn, coalesce(array_to_string(list(role) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING), ','), '') AS later FROM conversations""")
+def later_steps(t):
+    """The three roles after each turn."""
+    return history.later_steps(t("conversations"), "conv_id", "turn", "role", 3).select("conv_id", "turn", F.array_join("later", ",").alias("later"))
+
+
+@query(f"""
+WITH p AS (SELECT conv_id, max(text) FILTER (turn = 0) AS a, max(text) FILTER (turn = 1) AS b FROM conversations GROUP BY conv_id)
+SELECT conv_id, {_HEX8.format(_order(2, "conv_id"))} % 2 = 1 AS swapped, sha1(CASE WHEN {_HEX8.format(_order(2, "conv_id"))} % 2 = 1 THEN b ELSE a END) AS first_sha1 FROM p WHERE a <> b""")
+def preference_swap(t):
+    """Two answers in the order of a coin by hash; equal ones go."""
+    first = lambda n: F.max(F.when(F.col("turn") == n, F.col("text")))
+    pairs = t("conversations").groupBy("conv_id").agg(first(0).alias("a"), first(1).alias("b")).filter("a <> b")
+    coin = F.conv(F.substring(order_key(2, F.col("conv_id")), 1, 8), 16, 10).cast("long") % 2 == 1
+    return pairs.select("conv_id", coin.alias("swapped"), F.sha1(F.when(coin, F.col("b")).otherwise(F.col("a"))).alias("first_sha1"))
+
+
+@query("""
+WITH c AS (SELECT user_id, count(*) FILTER (event_type = 'click') AS a, count(*) FILTER (event_type = 'view') AS b, count(*) AS n FROM events GROUP BY user_id)
+SELECT user_id, a / n AS p_click, b / n AS p_view, (n - a - b) / n AS p_other, CASE WHEN a >= b AND a >= n - a - b THEN 'click' WHEN b >= n - a - b THEN 'view' ELSE 'other' END AS winner FROM c""")
+def vote_soft_targets(t):
+    """Votes as soft targets; of equal counts the first option wins."""
+    n, a, b = F.count(F.lit(1)), F.count_if(F.col("event_type") == "click"), F.count_if(F.col("event_type") == "view")
+    rows = t("events").groupBy("user_id").agg(n.alias("n"), a.alias("a"), b.alias("b")).withColumn("c", F.col("n") - F.col("a") - F.col("b"))
+    winner = F.when((F.col("a") >= F.col("b")) & (F.col("a") >= F.col("c")), "click").when(F.col("b") >= F.col("c"), "view").otherwise("other")
+    return rows.select("user_id", *[(F.col(x) / F.col("n")).alias(f"p_{k}") for x, k in (("a", "click"), ("b", "view"), ("c", "other"))], winner.alias("winner"))
+
+
+@query("""
+WITH s AS (SELECT l_partkey, s_nationkey % 3 AS tier, l_quantity / 50 AS score FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)
+SELECT l_partkey, coalesce(['fast', 'mid', 'strong'][1 + min(tier) FILTER (score >= 0.8)], 'strong') AS tier FROM s GROUP BY l_partkey""")
+def cheapest_success(t):
+    """The cheapest tier that reaches 0.8 for each part, strong if none does."""
+    rows = t("lineitem").select("l_partkey", "l_suppkey", "l_quantity").join(t("supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+    best = rows.groupBy("l_partkey").agg(F.min(F.when(F.col("l_quantity") / 50 >= 0.8, F.col("s_nationkey") % 3)).alias("b"))
+    return best.select("l_partkey", F.coalesce(F.element_at(F.array(*map(F.lit, ("fast", "mid", "strong"))), F.col("b") + 1), F.lit("strong")).alias("tier"))
+
+
+@query("""
+WITH f AS (SELECT event_type, count(*) AS n FROM events GROUP BY event_type)
+SELECT user_id, min_by(event_type, (n, event_type)) AS rarest FROM (SELECT DISTINCT user_id, event_type FROM events) JOIN f USING (event_type) GROUP BY user_id""")
+def rarest_label(t):
+    """Each user's type that is rarest of all, ties by name."""
+    freq = t("events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    return t("events").select("user_id", "event_type").distinct().join(freq, "event_type").groupBy("user_id").agg(F.min(F.struct("n", "event_type")).alias("m")).select("user_id", F.col("m.event_type").alias("rarest"))
+
+
+@query("""
+WITH c AS (SELECT user_id, event_type, count(*) AS n, min(event_id) AS f FROM events GROUP BY ALL)
+SELECT user_id, event_type AS mode FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, f) AS r FROM c) WHERE r = 1""")
+def mode_first_wins(t):
+    """Each user's most frequent type, of equals the one that came first."""
+    c = t("events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("f"))
+    return c.groupBy("user_id").agg(F.max_by("event_type", F.struct("n", -F.col("f"))).alias("mode"))
+
+
+@query("""SELECT event_type, count(*) AS n FROM events GROUP BY event_type HAVING count(*) >= 20""")
+def vocabulary(t):
+    """Types with a least count."""
+    return t("events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).filter("n >= 20")
+
+
+# ---- intervals --------------------------------------------------------------------------------
+
+_SPANS = "SELECT user_id, event_id, epoch_us(ts) / 1e6 AS s, epoch_us(ts) / 1e6 + 60 * (1 + event_id % 5) AS e FROM events"
+
+
+def _spans(t) -> DataFrame:
+    start = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    return t("events").select("user_id", "event_id", start.alias("start"), (start + 60 * (1 + F.col("event_id") % 5)).alias("end"))
+
+
+@query(f"""
+WITH s AS ({_SPANS}), m AS (SELECT *, max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM s),
+i AS (SELECT *, sum(CASE WHEN r IS NULL OR s > r + 3600 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY s, e) AS island FROM m)
+SELECT user_id, island::BIGINT AS island, round(min(s), 3) AS "start", round(max(e), 3) AS "end", count(*) AS n FROM i GROUP BY user_id, island""")
+def merge_windows(t):
+    """Intervals of a user merged over gaps up to an hour."""
+    out = intervals.islands(_spans(t), ["user_id"], "start", "end", 3600)
+    return out.withColumn("start", F.round("start", 3)).withColumn("end", F.round("end", 3))
+
+
+@query(f"""
+WITH s AS ({_SPANS})
+SELECT a.event_id AS a, b.event_id AS b, round(least(a.e, b.e) - greatest(a.s, b.s), 3) AS overlap FROM s a JOIN s b ON a.user_id = b.user_id AND a.event_id < b.event_id AND a.s < b.e AND b.s < a.e""")
+def interval_overlap(t):
+    """Pairs of overlapping intervals of a user."""
+    s = _spans(t)
+    met = intervals.overlapping(s, s.withColumnRenamed("event_id", "other"), ["user_id"], 300.0).filter("event_id < other")
+    return met.select(F.col("event_id").alias("a"), F.col("other").alias("b"), F.round(F.least("end", "end_b") - F.greatest("start", "start_b"), 3).alias("overlap"))
+
+
+@query("""
+WITH s AS (SELECT event_type, user_id % 5 AS member, unnest(range((epoch_us(ts) / 1e6 / 600)::BIGINT, (epoch_us(ts) / 1e6 / 600)::BIGINT + 3)) AS tick FROM events),
+c AS (SELECT event_type, tick, count(DISTINCT member) AS a FROM s GROUP BY ALL)
+SELECT c.event_type, first(m) AS members, (count(*) FILTER (a >= 2) * 600)::DOUBLE AS busy FROM c JOIN (SELECT event_type, count(DISTINCT user_id % 5) AS m FROM events GROUP BY 1) USING (event_type) GROUP BY c.event_type""")
+def busy_seconds(t):
+    """Time in which two members at least are active, in bins of ten minutes."""
+    tick = F.round(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 / 600) * 600
+    s = t("events").select("event_type", (F.col("user_id") % 5).alias("member"), tick.alias("start"), (tick + 1200).alias("end"))
+    return intervals.busy_seconds(s, "event_type", "member", 600.0)
+
+
+@query("""
+WITH p AS (SELECT p_partkey, (p_partkey * 37) % 100 AS x, (p_partkey * 53) % 100 AS y FROM part),
+b AS (SELECT i, (i * 10) % 70 AS bx, (i * 7) % 60 AS by_, 20 + i AS w, 15 + (i * 3) % 20 AS h FROM range(0, 12) r(i))
+SELECT p_partkey, min_by(i, (w * h, bx)) AS box FROM p LEFT JOIN b ON bx <= x AND x <= bx + w AND by_ <= y AND y <= by_ + h GROUP BY p_partkey""")
+def smallest_box(t):
+    """The smallest box that holds each point."""
+    box = lambda i: F.struct(*[F.lit(v).cast("long").alias(n) for n, v in (("x", i * 10 % 70), ("y", i * 7 % 60), ("w", 20 + i), ("h", 15 + i * 3 % 20), ("i", i))])
+    rows = t("part").select("p_partkey", (F.col("p_partkey") * 37 % 100).alias("px"), (F.col("p_partkey") * 53 % 100).alias("py"), F.array(*[box(i) for i in range(12)]).alias("boxes"))
+    return rows.select("p_partkey", intervals.containing_box(rows, "boxes", F.col("px"), F.col("py"))["i"].alias("box"))
+
+
+# ---- scores -----------------------------------------------------------------------------------
+
+
+def _scored(t) -> DataFrame:
+    """Vectors as logits of eight options, with labels as targets."""
+    kind = F.when(F.col("vec_id") % 3 == 0, "score").otherwise("choice")
+    meta = F.create_map(F.lit("parity"), (F.col("label") % 2).cast("string"), F.lit("third"), (F.col("vec_id") % 3).cast("string"), F.lit("one"), F.lit("x"), F.lit("again"), F.concat((F.col("label") % 2).cast("string")))
+    logits = F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double") * 4)
+    return t("embeddings").select("vec_id", (F.floor(F.col("vec_id") / 4)).cast("string").alias("id"), (F.col("vec_id") % 4).cast("string").alias("name"), kind.alias("type"), logits.alias("logits"), (F.col("label") % 8).alias("target"), F.lit(None).cast("array<double>").alias("soft"), meta.alias("meta"))
+
+
+_Z = "list_transform(embedding[1:8], lambda x: x::DOUBLE * 4)"
+_SCORED = f"""z AS (SELECT vec_id, label % 8 AS label, {_Z} AS z FROM embeddings),
+e AS (SELECT *, list_transform(z, lambda x: exp(x - list_max(z))) AS e FROM z),
+p AS (SELECT vec_id, label, z, list_transform(e, lambda x: x / list_sum(e)) AS p, list_position(z, list_max(z)) - 1 AS pred FROM e)"""
+_BIN = "CASE " + " ".join(f"WHEN conf > {b / 10} THEN {b}" for b in range(9, 0, -1)) + " ELSE 0 END"
+
+
+@query(f"""
+WITH {_SCORED}
+SELECT vec_id, pred::VARCHAR AS answer, round(list_max(p), 6) AS top, round((list_max(p) - 1.0 / 8) / (1 - 1.0 / 8), 6) AS confidence,
+  CASE WHEN vec_id % 3 = 0 THEN round(list_sum(list_transform(range(8), lambda i: p[i + 1] * i)), 6) END AS value FROM p""")
+def probs_answers(t):
+    """Probabilities and typed answers."""
+    rows = _scored(t).withColumn("probs", S.softmax(F.col("logits"))).withColumn("labels", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: i.cast("string")))
+    out = metrics.answers(rows)
+    return out.select("vec_id", "answer", F.round(F.array_max("probs"), 6).alias("top"), F.round("confidence", 6).alias("confidence"), F.round("value", 6).alias("value"))
+
+
+@query(f"""
+WITH {_SCORED}, m AS (SELECT (pred = label)::INT AS hit, list_max(p) AS conf,
+    list_sum(list_transform(range(8), lambda i: (p[i + 1] - (i = label)::INT) * (p[i + 1] - (i = label)::INT))) AS brier, -ln(greatest(p[label + 1], 1e-12)) AS nll FROM p),
+b AS (SELECT {_BIN} AS bin, count(*) AS c, avg(hit) AS acc, avg(conf) AS cf FROM m GROUP BY 1), c AS (SELECT sum(c * abs(acc - cf)) / sum(c) AS ece FROM b)
+SELECT count(*) AS n, round(avg(hit), 6) AS accuracy, 0.125::DOUBLE AS chance, round(avg(brier), 6) AS brier, round(avg(nll), 6) AS nll, round(first(ece), 6) AS ece, round(greatest(0, (avg(hit) - 0.125) / 0.875), 6) AS skill FROM m, c""")
+def summary_metrics(t):
+    """The headline metrics."""
+    out = metrics.summary(_scored(t))
+    return out.select("n", *[F.round(c, 6).alias(c) for c in ("accuracy", "chance", "brier", "nll", "ece", "skill")])
+
+
+@query(f"""
+WITH {_SCORED}, r AS (SELECT vec_id % 4 AS name, label AS c, 1 AS g, 0 AS q, (label = pred)::INT AS tp FROM p UNION ALL SELECT vec_id % 4, pred, 0, 1, 0 FROM p),
+f AS (SELECT name, c, 2 * sum(tp) / (sum(g) + sum(q)) AS f1 FROM r GROUP BY ALL)
+SELECT round(avg(f1), 6) AS macro_f1 FROM (SELECT name, avg(f1) AS f1 FROM f GROUP BY name)""")
+def macro_f1(t):
+    """Macro F1 over question names."""
+    return metrics.macro_f1(_scored(t)).select(F.round("macro_f1", 6).alias("macro_f1"))
+
+
+@query(f"""WITH {_SCORED} SELECT round(avg(a::INT), 6) AS case_exact FROM (SELECT vec_id // 4 AS id, bool_and(pred = label) AS a FROM p GROUP BY 1)""")
+def case_exact(t):
+    """The share of records without a wrong decision."""
+    return metrics.case_exact(_scored(t)).select(F.round("case_exact", 6).alias("case_exact"))
+
+
+@query(f"""
+WITH {_SCORED} SELECT 'parity' AS key, (label % 2)::VARCHAR AS value, count(*) AS n, round(avg((pred = label)::INT), 6) AS accuracy FROM p GROUP BY 1, 2
+UNION ALL SELECT 'third', (vec_id % 3)::VARCHAR, count(*), round(avg((pred = label)::INT), 6) FROM p GROUP BY 1, 2""")
+def breakdown(t):
+    """Accuracy by meta key; a key with one value and one that repeats another go."""
+    return metrics.breakdown(_scored(t), ["parity", "third", "one", "again"]).withColumn("accuracy", F.round("accuracy", 6))
+
+
+@query(f"""
+WITH z AS (SELECT label % 8 AS label, {_Z} AS z FROM embeddings), g AS (SELECT i, 10 ** (log10(0.25) + i * (log10(8) - log10(0.25)) / 160) AS t FROM range(161) r(i)),
+n AS (SELECT i, t, avg(ln(list_sum(list_transform(z, lambda x: exp((x - list_max(z)) / t)))) - (z[label + 1] - list_max(z)) / t) AS nll FROM z, g GROUP BY i, t)
+SELECT min_by(i, (nll, i))::INT AS step, round(min_by(t, (nll, i)), 6) AS temperature, round(min(nll), 6) AS nll FROM n""")
+def temperature_fit(t):
+    """The temperature of the least NLL on the grid."""
+    out = metrics.fitted_temperature(_scored(t))
+    return out.select("step", F.round("temperature", 6).alias("temperature"), F.round("nll", 6).alias("nll"))
+
+
+@query(f"""
+WITH {_SCORED}, q AS (SELECT vec_id, label, p, list_transform(range(8), lambda i: (i = label)::INT::DOUBLE) AS q FROM p),
+c AS (SELECT vec_id, p, q, list_transform(range(1, 8), lambda j: list_sum(p[1:j]) - list_sum(q[1:j])) AS d FROM q)
+SELECT vec_id, round(-ln(greatest(list_sum(list_transform(range(1, 9), lambda i: p[i] * q[i])), 1e-12)), 6) AS ce,
+  round(list_sum(list_transform(range(1, 9), lambda i: (p[i] - q[i]) * (p[i] - q[i]))), 6) AS brier,
+  round(list_sum(list_transform(range(1, 9), lambda i: -(q[i] * 0.9 + 0.1 / 8) * ln(greatest(p[i], 1e-12)))), 6) AS ce_smooth,
+  round(list_sum(list_transform(d, lambda x: x * x)) / 7, 6) AS rps FROM c""")
+def losses_rps(t):
+    """Losses of each decision by name."""
+    rows = _scored(t).withColumn("p", S.softmax(F.col("logits"))).withColumn("q", S.one_hot(F.col("target"), F.size("logits")))
+    return rows.select("vec_id", *[F.round(S.LOSSES[k](F.col("p"), F.col("q")), 6).alias(k) for k in ("ce", "brier", "ce_smooth", "rps")])
+
+
+@query(f"""
+WITH {_SCORED}, s AS (SELECT p, list_transform(range(8), lambda i: CASE WHEN i = label THEN 0.65 ELSE 0.05 END) AS q FROM p),
+m AS (SELECT list_sum(list_transform(range(1, 9), lambda i: abs(p[i] - q[i]))) / 2 AS tvd, list_sum(list_transform(range(1, 9), lambda i: p[i] * p[i] - 2 * p[i] * q[i] + q[i])) AS b, list_max(p) AS conf, q[list_position(p, list_max(p))] AS acc FROM s),
+x AS (SELECT {_BIN} AS bin, count(*) AS c, avg(acc) AS a, avg(conf) AS f FROM m GROUP BY 1), y AS (SELECT sum(c * abs(a - f)) / sum(c) AS ece FROM x)
+SELECT count(*) AS n, round(avg(tvd), 6) AS tvd, round(avg(b), 6) AS expected_brier, round(first(ece), 6) AS expected_ece, round(1 - avg(tvd), 6) AS score FROM m, y""")
+def soft_metrics(t):
+    """Metrics against soft targets."""
+    soft = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.when(i == F.col("target"), 0.65).otherwise(0.05))
+    out = metrics.soft_summary(_scored(t).withColumn("soft", soft))
+    return out.select("n", *[F.round(c, 6).alias(c) for c in ("tvd", "expected_brier", "expected_ece", "score")])
+
+
+@query(f"""
+WITH {_SCORED}, b AS (SELECT 'b' || (vec_id % 3) AS benchmark, count(*) AS n, avg((pred = label)::INT) AS value FROM p GROUP BY 1),
+w AS (SELECT unnest(['b0', 'b1', 'b2', 'b3']) AS benchmark, unnest(['accuracy', 'accuracy', 'macro_f1', 'accuracy']) AS metric, 1000 AS expected)
+SELECT benchmark, metric, coalesce(n, 0) AS n, round(coalesce(n, 0) / expected, 6) AS coverage, round(CASE metric WHEN 'accuracy' THEN value * n / expected ELSE value END, 6) AS score, round(coalesce(value * n / expected, 0), 6) AS score_strict FROM w LEFT JOIN b USING (benchmark)""")
+def coverage_scores(t):
+    """Scores times coverage by benchmark."""
+    by = metrics.scored(_scored(t)).groupBy(F.concat(F.lit("b"), (F.col("vec_id") % 3).cast("string")).alias("benchmark")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("hit").cast("double")).alias("value"))
+    bench = t("region").filter("r_regionkey < 4").select(F.concat(F.lit("b"), F.col("r_regionkey").cast("string")).alias("benchmark"), F.when(F.col("r_regionkey") == 2, "macro_f1").otherwise("accuracy").alias("metric"), F.lit(1000).alias("expected"))
+    out = metrics.coverage(bench, by)
+    return out.select("benchmark", "metric", "n", *[F.round(c, 6).alias(c) for c in ("coverage", "score", "score_strict")])
+
+
+@query(f"""
+WITH {_SCORED}, s AS (SELECT 'm' || (vec_id % 2) AS model, vec_id % 3 AS b, avg((pred = label)::INT) AS a FROM p GROUP BY ALL)
+SELECT model, round(max(a) FILTER (b = 0), 6) AS b0, round(max(a) FILTER (b = 1), 6) AS b1, round(max(a) FILTER (b = 2), 6) AS b2, round(avg(a), 6) AS average FROM s GROUP BY model""")
+def pivot_leaderboard(t):
+    """A row for each model, a column for each benchmark, and the mean."""
+    s = metrics.scored(_scored(t)).groupBy(F.concat(F.lit("m"), (F.col("vec_id") % 2).cast("string")).alias("model"), F.concat(F.lit("b"), (F.col("vec_id") % 3).cast("string")).alias("b")).agg(F.avg(F.col("hit").cast("double")).alias("a"))
+    out = metrics.leaderboard(s, "model", "b", "a", ["b0", "b1", "b2"])
+    return out.select("model", *[F.round(c, 6).alias(c) for c in ("b0", "b1", "b2", "average")])
+
+
+# ---- text, JSON, streams ----------------------------------------------------------------------
+
+
+@query("""
+SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(
+  regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)\\b.*?</(script|style)\\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'),
+  '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\\s+', ' ', 'g')) AS text FROM pages""")
+def html_text(t):
+    """Pages as plain text."""
+    return t("pages").select("page_id", X.html_text(F.col("html")).alias("text"))
+
+
+@query("""SELECT event_id, (props::JSON ->> 'k')::BIGINT AS k, (props::JSON ->> 'k')::BIGINT // 10 AS band FROM events""")
+def json_props(t):
+    """A number in JSON, and its band."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    return t("events").select("event_id", k.alias("k"), F.floor(k / 10).alias("band"))
+
+
+@query("""SELECT time_bucket(INTERVAL '1 hour', ts) AS "start", event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
+def stream_tumbling(t):
+    """Counts by hour and type; the same function runs on a stream with a watermark."""
+    return tumbling(t("events")).withColumn("total", F.round("total", 4))
+
+
+@query("""
+SELECT p_partkey, lower(trim(regexp_replace(p_name, '[_-]+', ' ', 'g'))) AS human, array_to_string(regexp_split_to_array(trim(p_name), '\\s+')[1:2], ' ') AS two,
+  CASE WHEN length(p_name) > 8 THEN '…' || right(p_name, 8) ELSE p_name END AS tail, CASE WHEN p_size >= 10 THEN 1 ELSE 0 END + CASE WHEN p_size >= 30 THEN 1 ELSE 0 END AS band,
+  round_even(p_retailprice / 7, 0)::BIGINT AS half_even, array_to_string(list_transform(range(4), lambda i: floor((i + 0.5) * p_size / 4)::INT), ',') AS picks FROM part""")
+def scalar_functions(t):
+    """Text and number functions side by side."""
+    name = F.col("p_name")
+    picks = F.array_join(F.transform(X.even_picks(F.col("p_size"), 4), lambda x: x.cast("string")), ",")
+    return t("part").select("p_partkey", X.humanised(name).alias("human"), X.head_words(name, 2).alias("two"), X.tail(name, 8).alias("tail"), X.bucketised(F.col("p_size"), [10, 30]).alias("band"), F.bround(F.col("p_retailprice") / 7).cast("long").alias("half_even"), picks.alias("picks"))
+
+
+@query("""
+WITH m AS (SELECT unnest(['gpt-4o-mini', 'gpt-4o', 'claude_3_opus', 'mixtral-8x7b', 'mixtral-8x22b', 'llama-3-8b', 'qwen-7b', 'yi-34b', 'llama-70b', 'unknown']) AS name, unnest(['fast', 'strong', 'strong', 'mid', 'strong', 'mid', 'fast', 'mid', 'strong', NULL]) AS tier)
+SELECT * FROM m""")
+def model_tiers(t):
+    """Tiers of model names."""
+    names = ["gpt-4o-mini", "gpt-4o", "claude_3_opus", "mixtral-8x7b", "mixtral-8x22b", "llama-3-8b", "qwen-7b", "yi-34b", "llama-70b", "unknown"]
+    return t("region").limit(1).select(F.explode(F.array(*map(F.lit, names))).alias("name")).select("name", X.model_tier(F.col("name")).alias("tier"))
+
+
+@query(f"""
+SELECT lang, source, count(*) AS n FROM (SELECT lang, source, {_PRINT.format("text")} AS k FROM documents) GROUP BY lang, source HAVING count(*) > count(DISTINCT k)
+UNION ALL SELECT lang, NULL, count(*) FROM documents GROUP BY lang""")
+def repeated_texts(t):
+    """Languages and sources with texts that repeat, and all languages."""
+    rows = t("documents").select("lang", "source", X.fingerprint(F.col("text")).alias("k"))
+    dup = rows.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("k").alias("d")).filter("n > d").select("lang", "source", "n")
+    return dup.unionByName(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).select("lang", F.lit(None).cast("string").alias("source"), "n"))
