@@ -1,0 +1,66 @@
+import hashlib
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from tallyloom.functions import hashing as H
+from tallyloom.functions import scores as S
+from tallyloom.functions import text as X
+
+
+def one(spark, *columns):
+    row = spark.range(1).select(*[c.alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    return row[0] if len(columns) == 1 else tuple(row)
+
+
+def test_hash_mod_is_that_of_the_whole_digest(spark):
+    keys = [f"k{random.Random(i).random()}" for i in range(50)] + ["", "é"]
+    df = spark.createDataFrame([(k,) for k in keys], "k string").select("k", H.hash_mod(F.col("k"), 10).alias("a"), H.hash_mod(F.col("k"), 100).alias("b"), H.stable_id(F.col("k"), F.lit(None).cast("string")).alias("i"))
+    for r in df.collect():
+        whole = int(hashlib.sha1(r.k.encode()).hexdigest(), 16)
+        assert (r.a, r.b) == (whole % 10, whole % 100)
+        assert r.i == hashlib.sha1(f"{r.k}|None".encode()).hexdigest()[:16]
+
+
+@pytest.mark.parametrize(("value", "number"), [("1,234.5", 1234.5), ("(7)", -7.0), ("$3", 3.0), ("-$12", -12.0), ("12%", 12.0), ("x", None), ("", None)])
+def test_parsed_number(spark, value, number):
+    assert one(spark, X.parsed_number(F.lit(value))) == number
+
+
+def test_options(spark):
+    opts = F.array(F.lit("Red"), F.lit("Blue"), F.lit("red ish"))
+    assert one(spark, X.unique_index(F.lit("A. red "), opts)) == 0
+    assert one(spark, X.unique_index(F.lit("green"), opts)) is None
+    assert one(spark, X.letter_index(F.lit("(B) x"), 3)) == 1
+    assert one(spark, X.letter_index(F.lit("E"), 3)) is None
+    assert one(spark, X.listed_options(F.lit("Q?\nA. one\nB. two"))) == ["one", "two"]
+    assert one(spark, X.listed_options(F.lit("A. one\nC. two"))) is None
+
+
+def test_text(spark):
+    assert one(spark, X.camel_split(F.lit("fooBarBaz"))) == "foo Bar Baz"
+    assert one(spark, X.seconds(F.lit("01:02:03.5"))) == 3723.5
+    assert one(spark, X.neutralised(F.lit("a <decide> b"))) == "a ‹decide> b"
+    assert one(spark, X.filled(F.lit("the [x] of [y]"), F.array(F.lit("$1"), F.lit("b")))) == "the $1 of b"
+    assert one(spark, X.media_tags(F.lit("<image:2> and <image:1>"), "image")) == [2, 1]
+    assert one(spark, X.frame_count(F.lit(2.5), 1.0, 8)) == 2
+    assert one(spark, X.even_picks(F.lit(10), 4)) == [1, 3, 6, 8]
+    assert one(spark, X.kept_share(F.lit(9), F.lit(10)), X.kept_share(F.lit(0), F.lit(9)), X.kept_share(F.lit(1), F.lit(2)), X.kept_share(F.lit(0), F.lit(0))) == ("keep", "drop", "truncate", None)
+    blob = '{"judge_response": {"correctness_score": 0.7}, "score": 1}'
+    assert one(spark, X.json_score(F.lit(blob)), X.json_score(F.lit('{"score": "0.5"}')), X.json_score(F.lit("no"))) == (0.7, 0.5, None)
+
+
+def test_scores(spark):
+    p = one(spark, S.softmax(F.array(F.lit(2.0), F.lit(0.0), F.lit(-1.0))))
+    assert abs(sum(p) - 1) < 1e-12 and p[0] > p[1] > p[2]
+    assert one(spark, S.expected_level(F.array(F.lit(0.0), F.lit(0.5), F.lit(0.5)))) == 1.5
+    assert one(spark, S.argmax(F.array(F.lit(1.0), F.lit(3.0), F.lit(3.0)))) == 1
+    assert one(spark, S.confidence(F.array(F.lit(0.5), F.lit(0.5)))) == 0
+    labels, probs = F.array(F.lit("a"), F.lit("b")), F.create_map(F.lit("b"), F.lit(2.0))
+    assert one(spark, S.soft_target(labels, probs)) == [0.0, 1.0]
+    assert one(spark, S.soft_target(labels, F.create_map(F.lit("c"), F.lit(2.0)))) is None
+    q = F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0))
+    assert one(spark, S.ranked_probability(q, q)) == 0
+    assert one(spark, S.ranked_probability(F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0)), q)) == 1
+    assert [one(spark, S.confidence_bin(F.lit(c))) for c in (0.0, 0.1, 0.1001, 1.0)] == [0, 0, 1, 9]
