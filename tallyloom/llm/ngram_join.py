@@ -4,9 +4,9 @@ Documents with equal sets are one class. The global order of n-grams is by how c
 then by hash; by it, two linked sets share one of their first n-grams (the part that a partner may
 lack, and one more). Classes that share one meet first as a star around the most central of them;
 only classes that these stars leave in different components meet pairwise. A candidate pair's
-overlap is counted in fragments of the order of hashes, each by itself, and summed by pair. So a
-group of thousands of copies takes links in proportion to its size, and no link between
-components is missed.
+overlap is counted in fragments of the order of hashes, each by itself, and summed by pair: first
+from 16-bit codes, which never count too little, then from whole hashes. So a group of thousands
+of copies takes links in proportion to its size, and no link between components is missed.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ COUNTERS = 1 << 18
 #: Bits of the filter of classes whose sets are needed. It has no false negatives; when full, it only saves nothing.
 FILTER_BITS = 1 << 23
 #: N-grams of a set in one fragment; larger sets are cut in 2, 4, ... fragments by hash.
-FRAGMENT = 8192
+FRAGMENT = 4096
 
 
 def sets_of(texts: Texts, size: int) -> Iterator[np.ndarray]:
@@ -130,32 +130,33 @@ def _need(percent: int, a: str, b: str) -> str:
     return f"cast(ceil({percent}L * ({a} + {b}) / {100 + percent}.0D - 1e-9D) as long)"
 
 
-def fragments(df: DataFrame, text: str, size: int, wanted: np.ndarray) -> DataFrame:
-    """(class, part, parts, grams) of the classes that the filter lets through. A class may repeat."""
+def fragments(df: DataFrame, text: str, size: int, wanted: np.ndarray, whole: bool) -> DataFrame:
+    """(class, part, grams, lost) of the classes that the filter lets through: the n-grams, or 16-bit codes of them and how many n-grams share a code with another. A class may repeat."""
     shared = df.sparkSession.sparkContext.broadcast(wanted)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, seen = shared.value, set()
         for batch in batches:
             for _, _, part in slices(texts_of(batch.column(0))):
-                classes, parts, counts, sets, lengths = [], [], [], [], []
+                classes, parts, grams, lost = [], [], [], []
                 for s in sets_of(part, size):
                     c = class_of(s) if len(s) else None
                     if c is None or c in seen or not wanted[(c & (FILTER_BITS - 1)) >> 6] >> np.uint64(c & 63) & np.uint64(1):
                         continue
                     seen.add(c)
                     cuts = _parts(len(s))
-                    bounds = np.searchsorted(s, np.array([((k + 1) << 64) // cuts - 1 for k in range(cuts)], np.uint64), "right") if cuts > 1 else np.array([len(s)])
-                    sets.append(s)
-                    lengths.extend(np.diff(bounds, prepend=0))
-                    classes.extend([c] * cuts)
-                    parts.extend(range(cuts))
-                    counts.extend([cuts] * cuts)
-                if sets:
-                    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-                    yield record(**{"class": np.array(classes, np.int64)}, part=np.array(parts), parts=np.array(counts), grams=pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(np.concatenate(sets)))))
+                    bounds = np.searchsorted(s, np.array([((k + 1) << 64) // cuts - 1 for k in range(cuts)], np.uint64), "right") if cuts > 1 else [len(s)]
+                    for k, (a, b) in enumerate(zip([0, *bounds[:-1]], bounds, strict=True)):
+                        some = signed(s[a:b]) if whole else np.unique((s[a:b] & np.uint64(0xFFFF)).astype(np.uint16)).view(np.int16)
+                        classes.append(c)
+                        parts.append(k)
+                        grams.append(some)
+                        lost.append(b - a - len(some))
+                if grams:
+                    offsets = np.concatenate([[0], np.cumsum([len(g) for g in grams])]).astype(np.int32)
+                    yield record(**{"class": np.array(classes, np.int64)}, part=np.array(parts, np.int64), grams=pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(grams))), lost=np.array(lost, np.int64))
 
-    return df.select(text).mapInArrow(emit, "class long, part long, parts long, grams array<long>")
+    return df.select(text).mapInArrow(emit, f"class long, part long, grams array<{'long' if whole else 'short'}>, lost long")
 
 
 def _parts(n: int) -> int:
@@ -169,18 +170,30 @@ def _filter_of(classes: DataFrame) -> np.ndarray:
     return words.view(np.uint64)
 
 
-def verified(df: DataFrame, text: str, size: int, percent: int, pairs: DataFrame) -> DataFrame:
-    """Of candidate pairs (a, b, na, nb), the links: overlaps are counted fragment by fragment and summed."""
+def overlaps(df: DataFrame, text: str, size: int, pairs: DataFrame, whole: bool) -> DataFrame:
+    """The pairs (a, b, na, nb) with `o`: their overlap, counted fragment by fragment and summed; by codes, at least their overlap."""
     both = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class")))
-    cut = fragments(df, text, size, _filter_of(both)).dropDuplicates(["class", "part"])
+    cut = fragments(df, text, size, _filter_of(both), whole).dropDuplicates(["class", "part"])
     parts = lambda n: f"cast(pow(2, greatest(0, ceil(log2(ceil({n} / {FRAGMENT}.0D))))) as long)"
-    split = pairs.selectExpr("*", f"{parts('na')} AS pa", f"{parts('nb')} AS pb").selectExpr("*", "greatest(pa, pb) AS p")
+    split = pairs.select("a", "b", "na", "nb").selectExpr("*", f"{parts('na')} AS pa", f"{parts('nb')} AS pb").selectExpr("*", "greatest(pa, pb) AS p")
     # The finer side's fragments cut both: a coarser fragment meets each finer one inside it.
     split = split.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("p") - 1)).alias("k")).selectExpr("a", "b", "na", "nb", "k", "k div (p div pa) AS ka", "k div (p div pb) AS kb")
-    left = split.join(cut.select(F.col("class").alias("a"), F.col("part").alias("ka"), F.col("grams").alias("ga")), ["a", "ka"])
-    met = left.join(cut.select(F.col("class").alias("b"), F.col("part").alias("kb"), F.col("grams").alias("gb")), ["b", "kb"])
-    sums = met.select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("o")).groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
-    return sums.filter(f"100 * o >= {percent} * (na + nb - o)").select("a", "b")
+    side = lambda x: cut.select(F.col("class").alias(x), F.col("part").alias(f"k{x}"), F.col("grams").alias(f"g{x}"), F.col("lost").alias(f"l{x}"))
+    met = split.join(side("a"), ["a", "ka"]).join(side("b"), ["b", "kb"])
+    # N-grams of the overlap have codes in common; those that share a code with another may hide behind it.
+    one = F.size(F.array_intersect("ga", "gb")) + F.least("la", "lb")
+    return met.select("a", "b", "na", "nb", one.alias("o")).groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
+
+
+def _reaches(percent: int) -> str:
+    return f"100 * o >= {percent} * (na + nb - o)"
+
+
+def verified(df: DataFrame, text: str, size: int, percent: int, pairs: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Of candidate pairs, (a, b, na, nb, o) with o at least the overlap, and the links (a, b), which are exact: codes refuse most pairs, whole n-grams decide on the rest. Also the tables to drop later."""
+    rough, one = written(overlaps(df, text, size, pairs, False))
+    links, two = written(overlaps(df, text, size, rough.filter(_reaches(percent)), True).filter(_reaches(percent)).select("a", "b"))
+    return rough, links, [one, two]
 
 
 def classes_linked(df: DataFrame, text: str, size: int, percent: int, levels: np.ndarray) -> DataFrame:
@@ -189,24 +202,30 @@ def classes_linked(df: DataFrame, text: str, size: int, percent: int, levels: np
     gram = Window.partitionBy("gram")
     met = postings(df, text, size, percent, levels).withColumn("hub", F.max(F.struct("central", "class", "n")).over(gram)).withColumn("least", F.min("class").over(gram)).withColumn("most", F.max("class").over(gram))
     met, kept = written(met.filter("least <> most").select("gram", "class", "n", "at", F.col("hub.class").alias("hub"), F.col("hub.n").alias("hub_n")))
-    near = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
-    stars, first = written(met.filter("class <> hub").select(F.col("class").alias("a"), F.col("hub").alias("b"), F.col("n").alias("na"), F.col("hub_n").alias("nb")).filter(near).distinct())
-    links, one = written(verified(df, text, size, percent, stars))
+    stars = met.filter("class <> hub").select(F.col("class").alias("a"), F.col("hub").alias("b"), F.col("n").alias("na"), F.col("hub_n").alias("nb"))
+    stars, first = written(stars.filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").distinct())
+    rough, links, tables = verified(df, text, size, percent, stars)
     roots, _ = written(components(links))
-    # What the stars leave apart: n-grams whose classes lie in several components.
-    placed = met.select("gram", "class", "n", "at").distinct().join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    apart = placed.withColumn("low", F.min("root").over(gram)).withColumn("high", F.max("root").over(gram)).filter("low <> high").drop("low", "high")
+    # Jaccard distances keep the triangle inequality: a class that lies more than twice the allowed
+    # distance from the hub (kind 0) is linked with none that the hub is linked with (kind 2).
+    far = 2 * percent - 100
+    told = rough.select(F.col("a").alias("class"), F.col("b").alias("hub"), F.expr(f"CASE WHEN 100 * o < {far} * (na + nb - o) THEN 0 ELSE 1 END").alias("told"))
+    sure = links.select(F.col("a").alias("class"), F.col("b").alias("hub"), F.lit(2).alias("sure"))
+    kind = F.coalesce("sure", "told", F.expr(f"CASE WHEN class = hub THEN 3 WHEN 100 * least(n, hub_n) < {far} * greatest(n, hub_n) THEN 0 ELSE 1 END"))
+    placed = met.distinct().join(told, ["class", "hub"], "left").join(sure, ["class", "hub"], "left").withColumn("kind", kind)
+    # What the stars leave apart: n-grams whose classes lie in several components. Hubs have met all of theirs.
+    placed = placed.join(roots.withColumnRenamed("node", "class"), "class", "left").select("gram", "class", "n", "at", "kind", F.coalesce("root", "class").alias("root"))
+    apart = placed.withColumn("low", F.min("root").over(gram)).withColumn("high", F.max("root").over(gram)).filter("low <> high AND kind <> 3").drop("low", "high")
     apart, left = written(apart)
-    x, y = (apart.select("gram", *[F.col(c).alias(f"{c}{k}") for c in ("class", "n", "at", "root")]) for k in "xy")
+    x, y = (apart.select("gram", *[F.col(c).alias(f"{c}{k}") for c in ("class", "n", "at", "kind", "root")]) for k in "xy")
     # By the first n-gram that they share, both must have enough left to overlap.
-    pairs = x.join(y, "gram").filter("classx < classy AND rootx <> rooty").filter(f"100 * least(nx, ny) >= {percent} * greatest(nx, ny) AND least(nx - atx, ny - aty) >= {_need(percent, 'nx', 'ny')}")
+    pairs = x.join(y, "gram").filter("classx < classy AND rootx <> rooty AND abs(kindx - kindy) < 2").filter(f"100 * least(nx, ny) >= {percent} * greatest(nx, ny) AND least(nx - atx, ny - aty) >= {_need(percent, 'nx', 'ny')}")
     pairs = pairs.selectExpr("classx AS a", "classy AS b", "nx AS na", "ny AS nb").distinct().join(stars.selectExpr("greatest(a, b) AS a_", "least(a, b) AS b_"), F.expr("greatest(a, b) = a_ AND least(a, b) = b_"), "left_anti")
     pairs, second = written(pairs)
     drop(spark, kept, first, left)
-    more, two = written(verified(df, text, size, percent, pairs))
-    drop(spark, second)
+    _, more, others = verified(df, text, size, percent, pairs)
     out, _ = written(components(links.union(more)))
-    drop(spark, one, two)
+    drop(spark, second, *tables, *others)
     return out
 
 
