@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tallyloom.llm.kit import Texts, lookup, mix, packed, shingle_hashes, slices, texts_of, unpacked, word_bounds, word_hashes
+from tallyloom.llm.kit import Texts, lookup, mix, packed, shingle_hashes, slices, texts_of, unpacked, word_bounds, word_hashes, written
 
 #: Buckets of a sketch for each e-fold.
 RESOLUTION = 50
@@ -130,7 +130,8 @@ def judged(df: DataFrame, text: str = "text", lang: str = "lang", source: str =
     """
     counted = packed(df).select("row", F.col("row").getField(lang).cast("string").alias("lang"), F.col("row").getField(source).cast("string").alias("source"), quality_counts(F.col("row").getField(text)).alias("counts"))
     few = df.select(F.col(lang).cast("string").alias("lang"), F.col(source).cast("string").alias("source"), quality_counts(F.col(text)).alias("counts"))
-    limits = thresholds(sketches(few)).withColumn("limits", F.struct(*[f"high_{k}" for k in FEATURES], *[f"low_{k}" for k, (_, both) in FEATURES.items() if both]))
+    limits, _ = written(thresholds(sketches(few)))
+    limits = limits.withColumn("limits", F.struct(*[f"high_{k}" for k in FEATURES], *[f"low_{k}" for k, (_, both) in FEATURES.items() if both]))
     # Of (lang, source): its own limits if it holds enough documents, else its language's, else everyone's.
     enough = F.col("held") >= LEAST_DOCS
     own = limits.filter("level = 2").select("lang", "source", "held", "limits")
