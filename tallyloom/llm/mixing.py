@@ -65,6 +65,12 @@ def fit(lengths: np.ndarray, counts: np.ndarray, target: float) -> tuple[int, np
         more = subset([int(lengths[i]) for i in picked], [int(counts[i] - extra[i]) for i in picked], rest)
         for i in picked:
             extra[i] += more.get(int(lengths[i]), 0)
+    gap = budget - int((lengths * extra).sum())
+    if gap > 0 and budget <= 2 * KNAPSACK_WORDS:  # a small source: the knapsack may do better alone
+        kinds = np.flatnonzero(some)
+        best = subset(lengths[kinds].tolist(), counts[kinds].tolist(), budget)
+        if budget - sum(n * k for n, k in best.items()) < gap:
+            extra = np.array([best.get(int(n), 0) for n in lengths], np.int64)
     return epochs, extra
 
 

@@ -129,7 +129,7 @@ def frames(content: bytes) -> Iterator[bytes]:
         dictionary = zstandard.ZstdDecompressor().decompress(dictionary)
     unpacker = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
     while at < len(view):
-        if struct.unpack_from("<I", view.tobytes()[at : at + 4] if len(view) - at < 4 else view, at)[0] != FRAME:
+        if len(view) - at < 4 or struct.unpack_from("<I", view, at)[0] != FRAME:
             raise ValueError(f"no frame at byte {at}")
         one, parts = unpacker.decompressobj(), []
         while not one.eof:
