@@ -174,3 +174,29 @@ def media_tags(x: Column, kind: str) -> Column:
 
 def without_tags(x: Column, kind: str) -> Column:
     return F.regexp_replace(x, f"\\s*<{kind}:\\d+>", "")
+
+
+def banded(x: Column, edges: list[float], names: list[str]) -> Column:
+    """The name of the band between ascending edges that a value is in; there is one more name than edges."""
+    out = F.lit(names[0])
+    for edge, name in zip(edges, names[1:], strict=True):
+        out = F.when(x >= edge, name).otherwise(out)
+    return F.when(x.isNotNull(), out)
+
+
+def element_text(attributes: Column, keys: tuple[str, ...] = ("aria-label", "title", "alt", "placeholder", "name", "value", "type", "id")) -> Column:
+    """A page element in words: the values of some attributes of a JSON object, in order, each once."""
+    values = F.array(*[F.get_json_object(attributes, f"$['{k}']") for k in keys])
+    return F.array_join(F.array_distinct(F.filter(values, lambda v: F.trim(v) != "")), " | ")
+
+
+def json_type(x: Column) -> Column:
+    """object, array, text, number, boolean or null of a JSON text; null if it is none."""
+    kind = F.schema_of_variant(F.try_parse_json(x))
+    return F.when(kind.startswith("OBJECT"), "object").when(kind.startswith("ARRAY"), "array").when(kind == "STRING", "text").when(kind == "BOOLEAN", "boolean").when(kind == "VOID", "null").when(kind.isNotNull(), "number")
+
+
+def clipped(start: Column, end: Column, low: Column, high: Column) -> Column:
+    """The part of an interval inside a window, as (start, end), or null."""
+    a, b = F.greatest(start, low), F.least(end, high)
+    return F.when(a < b, F.struct(a.alias("start"), b.alias("end")))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions import scores as S
 from tallyloom.functions import text as X
 from tallyloom.functions.hashing import hash_bucket, hash_mod, order_key, split_of, stable_id
-from tallyloom.operators import augment, distractors, history, intervals, metrics, mixture, prompts, records, sampling
+from tallyloom.operators import augment, distractors, filters, history, intervals, metrics, mixture, prompts, records, sampling, scorer
 from tallyloom.streaming.slices import tumbling
 
 QUERIES: dict = {}
@@ -681,3 +681,111 @@ def repeated_texts(t):
     rows = t("documents").select("lang", "source", X.fingerprint(F.col("text")).alias("k"))
     dup = rows.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("k").alias("d")).filter("n > d").select("lang", "source", "n")
     return dup.unionByName(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).select("lang", F.lit(None).cast("string").alias("source"), "n"))
+
+
+# ---- filters, lookups, the batch scorer -------------------------------------------------------
+
+
+@query("""SELECT doc_id, n_chars FROM documents WHERE length(text) <= 5000""")
+def length_budget(t):
+    """Documents within a budget of characters."""
+    return filters.within_budget(t("documents"), F.col("text"), 5000).select("doc_id", "n_chars")
+
+
+@query("""SELECT event_id, value >= 50 AS positive FROM events WHERE value >= 50 OR value < 10""")
+def confidence_band(t):
+    """Events of clear value; those between are no example."""
+    return t("events").select("event_id", filters.confident(F.col("value"), 10, 50).alias("positive")).filter("positive is not null")
+
+
+@query("""SELECT l_orderkey, l_linenumber FROM lineitem WHERE greatest(l_quantity, l_tax * 100) >= 2 * least(l_quantity, l_tax * 100) AND abs(l_discount - l_tax) >= 0.02""")
+def clear_differences(t):
+    """Lines whose two numbers differ by a factor, and two others by a gap."""
+    far = filters.apart(F.col("l_quantity"), F.col("l_tax") * 100, 2.0, ratio=True) & filters.apart(F.col("l_discount"), F.col("l_tax"), 0.02)
+    return t("lineitem").filter(far).select("l_orderkey", "l_linenumber")
+
+
+@query("""
+WITH p AS (SELECT a.p_partkey AS a, b.p_partkey AS b, string_split(a.p_name, ' ') AS x, string_split(b.p_name, ' ') AS y FROM part a JOIN part b ON a.p_partkey + 1 = b.p_partkey),
+w AS (SELECT a, b, list_distinct(list_filter(regexp_split_to_array(lower(array_to_string(x, ' ')), '[^a-z0-9]+'), lambda v: v <> '')) AS x, list_distinct(list_filter(regexp_split_to_array(lower(array_to_string(y, ' ')), '[^a-z0-9]+'), lambda v: v <> '')) AS y FROM p)
+SELECT a, b FROM w WHERE len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) <= 0.5""")
+def paraphrase_rejection(t):
+    """Neighbouring names that are no paraphrase of one another."""
+    p = t("part").select(F.col("p_partkey").alias("a"), F.col("p_name").alias("x"))
+    q = t("part").select(F.col("p_partkey").alias("b"), (F.col("p_partkey") - 1).alias("a"), F.col("p_name").alias("y"))
+    return p.join(q, "a").filter(filters.not_paraphrase(F.col("x"), F.col("y"))).select("a", "b")
+
+
+@query("""
+SELECT x.n_nationkey AS a, y.n_nationkey AS b FROM nation x JOIN nation y ON x.n_nationkey % 3 = y.n_nationkey % 3 AND x.n_nationkey <> y.n_nationkey WHERE x.n_regionkey <> y.n_regionkey""")
+def confusable_exclusion(t):
+    """Pairs of nations, but for those of one region."""
+    n = t("nation").select("n_nationkey", (F.col("n_nationkey") % 3).alias("k"))
+    pairs = n.withColumnRenamed("n_nationkey", "a").join(n.withColumnRenamed("n_nationkey", "b"), "k").select("a", "b")
+    groups = t("nation").select(F.col("n_regionkey").alias("group"), F.col("n_nationkey").alias("class"))
+    return filters.allowed_pairs(pairs, "a", "b", groups)
+
+
+@query("""SELECT o_orderkey, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey""")
+def strict_lookup(t):
+    """Orders with their customer's segment; a missing customer would be an error."""
+    customers = t("customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
+    return filters.looked_up(t("orders").select("o_orderkey", "o_custkey"), customers, "o_custkey").select("o_orderkey", "c_mktsegment")
+
+
+@query("""SELECT 'source' AS key, count(DISTINCT source) AS values, count(*) AS rows FROM documents""")
+def group_key_choice(t):
+    """The first key that all rows have and that has neither too few nor too many values."""
+    rows = t("documents").select(F.create_map(F.lit("one"), F.lit("x"), F.lit("id"), F.col("doc_id").cast("string"), F.lit("some"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")), F.lit("source"), F.col("source"), F.lit("lang"), F.col("lang")).alias("meta"))
+    return filters.best_group_key(rows, ["one", "id", "some", "source", "lang"])
+
+
+@query("""SELECT event_id // 100 AS "window", round(avg(value), 6) AS mean, count(*) AS n FROM events GROUP BY 1""")
+def window_means(t):
+    """Means over windows of a hundred steps."""
+    return filters.window_means(t("events"), "event_id", "value", 100).withColumn("mean", F.round("mean", 6))
+
+
+@query("""
+WITH d AS (SELECT doc_id, CASE WHEN text IS NULL THEN 422 WHEN length(text) > 2000 THEN 413 ELSE 200 END AS s FROM documents)
+SELECT s AS status, CASE s WHEN 413 THEN 'too large' WHEN 422 THEN 'no state' END AS error, count(*) AS n FROM d GROUP BY s""")
+def request_checks(t):
+    """Requests by status: good, invalid, too large."""
+    return scorer.checked(_doc_records(t), most_chars=2000).groupBy("status", "error").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""
+WITH {_SCORED}, q AS (SELECT list_transform(z[1:4], lambda x: exp(x - list_max(z[1:4]))) AS e, z[1:4] AS z, substr(sha1('documents|' || doc_id), 1, 16) AS id FROM p JOIN documents ON vec_id = doc_id)
+SELECT id, ['de', 'en', 'es', 'fr'][list_position(z, list_max(z))] AS answer, round((list_max(e) / list_sum(e) - 0.25) / 0.75, 6) AS confidence FROM q""")
+def batch_scores(t):
+    """Answers to the questions of good requests."""
+    logits = _scored(t).join(t("documents").select("doc_id"), F.col("vec_id") == F.col("doc_id")).select(stable_id(F.lit("documents"), F.col("doc_id")).alias("id"), F.lit("answer").alias("name"), "logits")
+    out = scorer.scored(_doc_records(t), logits)
+    return out.select("id", "answer", F.round("confidence", 6).alias("confidence"))
+
+
+@query("""SELECT event_id, CASE WHEN value < 10 THEN 'low' WHEN value < 50 THEN 'mid' ELSE 'high' END AS band, 'object' AS kind FROM events""")
+def bands_and_types(t):
+    """Bands of a value, and the type of a JSON text."""
+    return t("events").select("event_id", X.banded(F.col("value"), [10, 50], ["low", "mid", "high"]).alias("band"), X.json_type(F.col("props")).alias("kind"))
+
+
+@query("""
+WITH a AS (SELECT DISTINCT o_orderpriority AS p FROM orders WHERE o_orderkey % 3 = 0), b AS (SELECT DISTINCT o_orderpriority AS p FROM orders WHERE o_totalprice > 100000)
+SELECT 'union' AS op, p FROM (SELECT p FROM a UNION SELECT p FROM b) UNION ALL SELECT 'intersect', p FROM (SELECT p FROM a INTERSECT SELECT p FROM b) UNION ALL SELECT 'except', p FROM (SELECT p FROM a EXCEPT SELECT p FROM b)""")
+def set_operations(t):
+    """Union, intersection and difference of two key sets."""
+    o = t("orders")
+    a, b = o.filter("o_orderkey % 3 = 0").select(F.col("o_orderpriority").alias("p")), o.filter("o_totalprice > 100000").select(F.col("o_orderpriority").alias("p"))
+    named = lambda df, op: df.select(F.lit(op).alias("op"), "p")
+    return named(a.union(b).distinct(), "union").union(named(a.intersect(b), "intersect")).union(named(a.subtract(b), "except"))
+
+
+@query(f"""
+WITH h AS (SELECT user_id, event_id, event_type, {_order(3, "event_id")} AS h FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY h) AS r FROM h),
+p AS (SELECT a.event_id, a.event_type, min_by(b.event_type, b.r) AS other FROM r a JOIN r b ON a.user_id = b.user_id AND b.r > a.r AND b.r <= a.r + 16 AND a.event_type <> b.event_type GROUP BY ALL)
+SELECT event_id, other FROM p""")
+def same_group_pairs(t):
+    """For each event, the next event of the user by another type in hash order."""
+    rows = history.same_group_pairs(t("events"), "user_id", "event_type", order_key(3, F.col("event_id")))
+    return rows.filter("size(others) > 0").select("event_id", F.element_at("others", 1).alias("other"))
