@@ -248,7 +248,7 @@ def multi_question_records(t):
 
 @query("""
 WITH l AS (SELECT list_sort(list(DISTINCT p_brand)) AS l FROM part)
-SELECT p_partkey, p_brand AS label, list_position(l, p_brand) - 1 AS index, len(l) AS k FROM part, l""")
+SELECT p_partkey, p_brand AS label, list_position(l, p_brand) - 1 AS index, len(l)::INT AS k FROM part, l""")
 def open_label_set(t):
     """A choice among the labels that the column holds."""
     made = records.classification(t("part"), source="part", state=F.col("p_name"), label="p_brand", instructions="Which brand?", id_=F.col("p_partkey").cast("string"))
@@ -269,7 +269,7 @@ def validation_report(t):
     return records.problems(out).select(F.col("id").cast("long").alias("case_id"), "problem")
 
 
-@query("""SELECT doc_id, length(text) + length('Which language is the text in?') + length('GermanEnglishSpanishFrench') AS proxy,
+@query("""SELECT doc_id, (length(text) + length('Which language is the text in?') + length('GermanEnglishSpanishFrench'))::INT AS proxy,
   '## State' || chr(10) || text || chr(10) || chr(10) || '## Decision schema' || chr(10) || '### answer (choice)' || chr(10) || 'Which language is the text in?' || chr(10) || 'A = de: German' || chr(10) || 'B = en: English' || chr(10) || 'C = es: Spanish' || chr(10) || 'D = fr: French' || chr(10) AS prompt FROM documents""")
 def prompt_rendering(t):
     """Documents as prompts, and the length proxy."""
@@ -311,7 +311,7 @@ def tiered_distractors(t):
 @query("""
 WITH l AS (SELECT DISTINCT p_type AS label, list_distinct(list_filter(regexp_split_to_array(lower(p_type), '[^a-z0-9]+'), lambda w: w <> '')) AS w FROM part),
 j AS (SELECT a.label, b.label AS other, len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) AS similarity FROM l a JOIN l b ON a.label <> b.label AND len(list_intersect(a.w, b.w)) > 0)
-SELECT label, other, round(similarity, 6) AS similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY similarity DESC, other) AS rank FROM j) WHERE rank <= 6""")
+SELECT label, other, round(similarity, 6) AS similarity, rank FROM (SELECT *, (row_number() OVER (PARTITION BY label ORDER BY similarity DESC, other))::INT AS rank FROM j) WHERE rank <= 6""")
 def jaccard_hard_negatives(t):
     """The six most similar types by shared words."""
     return distractors.lookalikes(t("part"), "p_type").withColumn("similarity", F.round("similarity", 6))
