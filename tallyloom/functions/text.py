@@ -173,7 +173,7 @@ def media_tags(x: Column, kind: str) -> Column:
 
 
 def without_tags(x: Column, kind: str) -> Column:
-    return F.regexp_replace(x, f"\\s*<{kind}:\\d+>", "")
+    return F.regexp_replace(x, f"<{kind}:\\d+>", "")
 
 
 def banded(x: Column, edges: list[float], names: list[str]) -> Column:

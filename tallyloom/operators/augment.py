@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.hashing import order_key, uniform
+from tallyloom.functions.text import without_tags
 from tallyloom.operators.records import OPTION
 from tallyloom.operators.sampling import hash_rank
 
@@ -115,3 +116,35 @@ def next_different(df: DataFrame, value: str, seed: int, key: Column, name: str
     following = heads.select(F.col("p__").alias("q__"), (F.col("u__") - 1).alias("w__"), F.col("v__").alias("next__"))
     out = rows.join(following, (F.col("part__") == F.col("q__")) & (F.col("run__") == F.col("w__")), "left").join(told, F.col("part__") == F.col("p__"))
     return out.withColumn(name, F.coalesce("next__", "after__")).drop("r__", "part__", "head__", "run__", "q__", "w__", "next__", "p__", "after__")
+
+
+#: Ablations of records with media; others stay as they are.
+ABLATIONS = ("none", "mute", "black", "shuffle_audio")
+
+
+def ablated(records: DataFrame, kind: str, seed: int = 0) -> DataFrame:
+    """Records without sound, with black pictures, or with each sound swapped for another record's; `meta.ablate` tells which."""
+    if kind not in ABLATIONS:
+        raise ValueError(f"unknown ablation {kind!r}; there are {', '.join(ABLATIONS)}")
+    if kind == "none":
+        return records
+    records = records.withColumn("had__", F.size("media") > 0)
+    marked = F.map_concat(F.map_filter("meta", lambda k, v: k != "ablate"), F.create_map(F.lit("ablate"), F.lit(kind)))
+    if kind == "shuffle_audio":
+        records = swapped_sounds(records, seed)
+    else:
+        records = records.withColumn("media", F.when(F.col("had__"), muted(F.col("media")) if kind == "mute" else blacked(F.col("media"))).otherwise(F.col("media")))
+    if kind == "mute":
+        records = records.withColumn("state", F.when(F.col("had__"), without_tags(F.col("state"), "audio")).otherwise(F.col("state")))
+    return records.withColumn("meta", F.when(F.col("had__"), marked).otherwise(F.col("meta"))).drop("had__")
+
+
+def swapped_sounds(records: DataFrame, seed: int) -> DataFrame:
+    """Each sound (a video's track, or an audio item) becomes the next different one in hash order; with one sound alone nothing changes."""
+    sound = lambda m: F.when(m["type"] == "audio", m["path"]).otherwise(m["audio"])
+    slots = records.select("id", F.posexplode("media").alias("at", "m")).select("id", "at", sound(F.col("m")).alias("ref")).filter("ref is not null")
+    other = next_different(slots, "ref", seed, F.concat_ws("|", "id", F.col("at").cast("string")))
+    new = other.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("at", F.coalesce("other", "ref").alias("new")))).alias("new__"))
+    joined = records.join(new, "id", "left")
+    put = lambda m, i: F.when(F.try_element_at("new__", i).isNull(), m).when(m["type"] == "audio", m.withField("path", F.try_element_at("new__", i))).otherwise(m.withField("audio", F.try_element_at("new__", i)))
+    return joined.withColumn("media", F.when(F.col("new__").isNotNull(), F.transform("media", put)).otherwise(F.col("media"))).drop("new__")

@@ -98,3 +98,14 @@ def results_text(rows: list[dict]) -> tuple[str, str]:
     cell = lambda v: f"{v:.4f}" if isinstance(v, float) else "" if v is None else str(v)
     lines = ["| " + " | ".join(names) + " |", "|" + " --- |" * len(names)] + ["| " + " | ".join(cell(r[n]) for n in names) + " |" for r in rows]
     return json.dumps(rows, indent=2, ensure_ascii=False), "\n".join(lines)
+
+
+def mixture_config(sizes: dict[str, int], keys: dict[str, dict | None], per_group: int = 1000) -> str:
+    """A mixture as YAML: each dataset with its size, and, where a meta key balances it, that key and its groups' cap."""
+    lines = ["sources:"]
+    for name in sorted(sizes):
+        lines.append(f"  - name: {name}")
+        if keys.get(name):
+            lines += [f"    group_by: {keys[name]['key']}", f"    per_group: {per_group}", f"    repeat_to: {min(per_group, max(1, sizes[name] // keys[name]['values']))}"]
+        lines.append(f"    # {sizes[name]} records")
+    return "\n".join(lines) + "\n"

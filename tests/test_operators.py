@@ -190,3 +190,23 @@ def test_catalog(spark):
     catalog.DATASETS.register("e", catalog.Dataset("e", build=None, eval_only=True))
     with pytest.raises(ValueError, match="evaluation only"):
         catalog.check_trainable(["e"])
+
+
+def test_ablated_records(spark):
+    none = "cast(null as array<string>)"
+    item = lambda kind, path, audio: f"named_struct('type', '{kind}', 'path', {path}, 'frames', {none}, 'fps', 1.0D, 'duration', 4.0D, 'audio', {audio}, 'start', 0.0D, 'mute', false, 'black', false)"
+    base = made(spark, [(str(i), f"clip <audio:1> {i}", "a") for i in range(6)])
+    kinds = F.when(F.col("id") == "0", F.col("media")).when(F.col("id") < "4", F.array(F.expr(item("video", "concat('v', id)", "concat('s', id)")))).otherwise(F.array(F.expr(item("audio", "concat('s', id)", "cast(null as string)"))))
+    rows = base.withColumn("media", kinds)
+    before = {r.id: r for r in rows.collect()}
+    mute = {r.id: r for r in augment.ablated(rows, "mute").collect()}
+    assert mute["0"].state == "clip <audio:1> 0" and "ablate" not in mute["0"].meta
+    assert mute["5"].media == [] and mute["5"].state == "clip  5" and mute["5"].meta["ablate"] == "mute"
+    assert mute["1"].media[0].audio is None and mute["1"].media[0].mute
+    sounds = lambda r: [m.path if m.type == "audio" else m.audio for m in r.media]
+    for seed in range(3):
+        swapped = {r.id: r for r in augment.ablated(rows, "shuffle_audio", seed).collect()}
+        assert all(sounds(swapped[i]) != sounds(before[i]) for i in "12345")
+        assert {s for i in "12345" for s in sounds(swapped[i])} <= {f"s{i}" for i in range(1, 6)}
+    with pytest.raises(ValueError, match="unknown ablation"):
+        augment.ablated(rows, "loud")

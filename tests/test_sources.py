@@ -98,3 +98,8 @@ def test_streams(spark, data, tmp_path):
     query = quota.writeStream.format("memory").queryName("few").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.table("few").groupBy("event_type").count().agg(F.max("count"), F.min("count")).first()[:] == (5, 5)
+
+
+def test_mixture_config():
+    text = readers.mixture_config({"b": 100, "a": 5}, {"b": {"key": "task", "values": 4}, "a": None}, per_group=50)
+    assert text.splitlines()[:2] == ["sources:", "  - name: a"] and "    group_by: task" in text and "    repeat_to: 25" in text
