@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.hashing import order_key
 
-#: Hex digits of the hash that tell the part: 256 parts.
-PART_DIGITS = 2
+#: Hex digits of the hash that tell the part: 4,096 parts.
+PART_DIGITS = 3
 
 
 def hash_rank(df: DataFrame, groups: list[str], key: Column, tie: Column, name: str = "rank") -> DataFrame:
