@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.kit import LOWER, Texts, mix, named, record, signed, slices, texts_of, word_bounds, word_hashes, written
+from tallyloom.llm.kit import LONG_BYTES, LOWER, Texts, mix, named, record, signed, slices, texts_of, word_bounds, word_hashes, written
 
 STATES = 8
 #: Words with symbols of their own, words whose exact counts go to every task, classes of the others.
@@ -30,6 +30,8 @@ PARTS, LAST_STEPS = 4, 1
 SEQUENCE = 512
 #: Tokens that are worked on together.
 BLOCK = 150_000
+#: Words that a task counts before it passes them on.
+COUNTED = 1 << 20
 #: Expected counts are summed in steps of 1 / UNIT.
 UNIT = 1 << 16
 END = np.uint64(0x5E1F_DA7A_0000_0E0D)
@@ -79,11 +81,25 @@ def count_words(df: DataFrame, text: str = "text") -> DataFrame:
     """(hash, class, count) of every token of all texts; a null text is empty and still ends."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[tuple] = []
+
+        def merged() -> tuple:
+            words, index, inverse = np.unique(np.concatenate([k[0] for k in kept]), return_index=True, return_inverse=True)
+            return words, np.concatenate([k[1] for k in kept])[index], np.bincount(inverse, np.concatenate([k[2] for k in kept]), len(words)).astype(np.int64)
+
         for batch in batches:
-            parts = [tokens_of(part)[:2] for _, _, part in slices(texts_of(batch.column(0)))]
-            if parts:
-                words, index, n = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_counts=True)
-                yield record(hash=signed(words), cls=np.concatenate([p[1] for p in parts])[index], n=n)
+            for _, _, part in slices(texts_of(batch.column(0))):
+                hashes, classes, _ = tokens_of(part)
+                words, index, n = np.unique(hashes, return_index=True, return_counts=True)
+                kept.append((words, classes[index], n))
+            if sum(len(k[0]) for k in kept) > COUNTED:
+                kept = [merged()]
+                if len(kept[0][0]) > COUNTED // 2:
+                    yield record(hash=signed(kept[0][0]), cls=kept[0][1], n=kept[0][2])
+                    kept = []
+        if kept:
+            words, classes, n = merged()
+            yield record(hash=signed(words), cls=classes, n=n)
 
     return df.select(text).mapInArrow(count, "hash long, cls int, n long").groupBy("hash").agg(F.first("cls").alias("cls"), F.sum("n").alias("n"))
 
@@ -228,7 +244,7 @@ def step(df: DataFrame, v: Vocabulary, model: Model, text: str = "text") -> Mode
         v, model = shared.value
         sums = [np.zeros((1, STATES)), np.zeros((STATES, STATES)), np.zeros_like(model.emit)]
         for batch in batches:
-            for _, _, part in slices(texts_of(batch.column(0))):
+            for _, _, part in slices(texts_of(batch.column(0)), LONG_BYTES):
                 hashes, classes, first = tokens_of(part)
                 for total, more in zip(sums, expected_counts(model, v.find(hashes, classes)[0], first), strict=True):
                     total += more
@@ -275,7 +291,7 @@ def score(df: DataFrame, counted: DataFrame, v: Vocabulary, model: Model, text:
         v, model = shared.value
         for batch in batches:
             found = []
-            for _, _, part in slices(texts_of(batch.column(0))):
+            for _, _, part in slices(texts_of(batch.column(0)), LONG_BYTES):
                 hashes, classes, first = tokens_of(part)
                 symbols, counts, known = v.find(hashes, classes)
                 texts = len(first) - 1

@@ -7,6 +7,8 @@ document or pair collide with a chance below 1e-11.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,8 +19,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-#: Bytes of text that are worked on at once within a task.
-SLICE_BYTES = 1 << 21
+#: Bytes of text that are worked on at once within a task; of long chains of steps, LONG_BYTES.
+SLICE_BYTES, LONG_BYTES = 1 << 19, 1 << 21
+#: Bytes of an Arrow batch between Spark and Python, unless the session has less.
+BATCH_BYTES = 4 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -35,7 +39,7 @@ _POWERS: list[np.ndarray] = []
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash base and of its inverse, modulo 2**64."""
     if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, SLICE_BYTES + (1 << 18))
+        size = max(n, SLICE_BYTES + (1 << 17))
         both = []
         for base in (_BASE, _INVERSE):
             p = np.full(size, base, np.uint64)
@@ -178,22 +182,41 @@ def unpacked(df: DataFrame, like: DataFrame, *others: Column, names: tuple[str,
     return df.select(*[F.col("row").getField(c).alias(c) for c in like.columns if c not in names], *others)
 
 
+def bounded(spark: SparkSession) -> None:
+    """Keep Arrow batches small, whatever the number of rows in them."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, which all executors share; a temporary one where it is unset (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tallyloom-")
+        folder = tempfile.mkdtemp(prefix="tallyloom-")
+        atexit.register(shutil.rmtree, folder, True)
+        base = "file://" + folder
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tallyloom-{uuid.uuid4().hex}"
 
 
+_WRITTEN: list[str] = []
+
+
 def written(df: DataFrame) -> tuple[DataFrame, str]:
     """The rows written as Parquet in the shared folder and read again: cuts lineage, survives lost executors."""
     path = shared_dir(df.sparkSession)
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def sweep(spark: SparkSession) -> None:
+    """Delete all shared tables of this process, once no result that reads them is needed."""
+    drop(spark, *_WRITTEN)
+    _WRITTEN.clear()
+
+
 def drop(spark: SparkSession, *paths: str) -> None:
     """Delete shared tables that are no longer read."""
     for path in paths:
