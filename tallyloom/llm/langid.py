@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.hmm import Steps, blocks
-from tallyloom.llm.kit import LOWER, Texts, code_points, named, record, slices, texts_of, word_bounds
+from tallyloom.llm.kit import LONG_BYTES, LOWER, Texts, code_points, named, record, slices, texts_of, word_bounds
 
 # Ranges of code points by script.
 SCRIPTS = {
@@ -63,7 +63,7 @@ def _script_table() -> np.ndarray:
             else:
                 low = (lead & 0x07) << 18 | two << 12
                 high = low + 4095
-            found = of(low, high)
+            found = of(low, high) if lead >= 0xE0 or unicodedata.category(chr(low))[0] == "L" else 0
             if not found and any(unicodedata.category(chr(c))[0] == "L" for c in range(low, min(high, low + 63, 0x10FFFF) + 1)):
                 found = len(NAMES) - 1
             table[lead << 8 | second] = found
@@ -79,7 +79,7 @@ _GAP[0x80:] = np.arange(0x80, 0x100)
 
 @dataclass
 class Words:
-    """Words of texts: bounds, first word of each text, script (0: no letter), letter bytes, trigram buckets of all bytes."""
+    """Words of texts: bounds, first word of each text, script (0: no letter), letter bytes, trigram buckets of all bytes, and how many characters before each byte are surely letters."""
 
     starts: np.ndarray
     ends: np.ndarray
@@ -87,6 +87,7 @@ class Words:
     script: np.ndarray
     letters: np.ndarray
     buckets: np.ndarray
+    sure: np.ndarray
 
 
 def words_of(texts: Texts) -> Words:
@@ -104,10 +105,12 @@ def words_of(texts: Texts) -> Words:
     np.cumsum(letter | (data >= 0x80) & (data < 0xC0), out=sums[1:])
     some = np.zeros(len(data) + 1, np.int64)
     np.cumsum(letter, out=some[1:])
+    sure = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(letter & (data < 0xE0), out=sure[1:])
     at = np.flatnonzero(letter)
     first_letter = at[np.minimum(np.searchsorted(at, starts), max(len(at) - 1, 0))] if len(at) else starts
     has = some[ends] > some[starts]
-    return Words(starts, ends, first, np.where(has, script[first_letter], 0) if len(at) else np.zeros(len(starts), np.int8), np.where(has, sums[ends] - sums[starts], 0), (three >> np.uint32(17)).astype(np.int32))
+    return Words(starts, ends, first, np.where(has, script[first_letter], 0) if len(at) else np.zeros(len(starts), np.int8), np.where(has, sums[ends] - sums[starts], 0), (three >> np.uint32(17)).astype(np.int32), sure)
 
 
 @dataclass
@@ -129,7 +132,7 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang") -> Model:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             names, codes = np.unique(np.array(batch.column(1).to_pylist(), dtype=object).astype(str), return_inverse=True)
-            for i, j, part in slices(texts_of(batch.column(0))):
+            for i, j, part in slices(texts_of(batch.column(0)), LONG_BYTES):
                 w = words_of(part)
                 owner = np.repeat(np.arange(j - i), part.ends - part.starts)
                 inside = _GAP[part.data] != 0x20
@@ -225,17 +228,16 @@ def label(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...]
         model = shared.value
         for batch in batches:
             langs, shares, runs = [], [], []
-            for _, _, part in slices(texts_of(batch.column(0))):
+            for _, _, part in slices(texts_of(batch.column(0)), LONG_BYTES):
                 n, k = len(part), len(model.langs)
                 w = words_of(part)
                 labels = viterbi(word_scores(model, part, w), w.first) if k else np.zeros(len(w.starts), np.int16)
                 owner = np.repeat(np.arange(n), np.diff(w.first))
                 weight = np.bincount(owner * max(k, 1) + labels, w.letters, n * max(k, 1)).reshape(n, max(k, 1))
                 total, best = weight.sum(1), weight.argmax(1)
-                for i in np.flatnonzero(total > 0):
-                    # Blocks of other scripts hold signs as well: look closely where all letters are such.
-                    own = slice(w.first[i], w.first[i + 1])
-                    if (w.script[own] % (len(NAMES) - 1) == 0).all() and _no_letter(part, i):
+                # Blocks of characters of three and more bytes hold signs as well: look closely where there are no others.
+                for i in np.flatnonzero((total > 0) & (w.sure[part.ends] == w.sure[part.starts])):
+                    if _no_letter(part, i):
                         total[i] = 0
                 good = (total > 0) & (k > 0)
                 langs += [model.langs[b] if g else "und" for b, g in zip(best, good, strict=True)]

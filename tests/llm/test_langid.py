@@ -40,12 +40,12 @@ def test_mixed_text_is_labelled_by_span(spark):
     train = spark.createDataFrame([(en * 3, "en"), (ru * 3, "ru"), (de * 3, "de")] * 5, "text string, lang string")
     model = langid.fit(train)
     text = en + ru + de + "123 456"
-    df = spark.createDataFrame([(1, text), (2, None), (3, "12 + 3 …"), (4, "été 中文 кошка"), (5, "привет")], "i int, text string")
+    df = spark.createDataFrame([(1, text), (2, None), (3, "12 + 3 …"), (4, "été 中文 кошка"), (5, "привет"), (6, "… — ₂"), (7, "× ÷ ٣ ₂"), (8, "語")], "i int, text string")
     out = {r.i: r for r in langid.label(df, model, keep=("i",), spans=True).collect()}
     assert [s.lang for s in out[1].spans] == ["en", "ru", "de"]
     assert text[out[1].spans[1].start : out[1].spans[1].end].strip() == ru.strip()
-    assert [(out[i].lang_pred, out[i].score, out[i].spans) for i in (2, 3)] == [("und", 0.0, [])] * 2
-    assert out[5].lang_pred == "ru"
+    assert [(out[i].lang_pred, out[i].score, out[i].spans) for i in (2, 3, 6, 7)] == [("und", 0.0, [])] * 4
+    assert out[5].lang_pred == "ru" and out[8].lang_pred != "und"
 
 
 def test_odd_rows(odd_documents, no_documents, spark):
