@@ -28,6 +28,8 @@ COUNTERS = 1 << 18
 FILTER_BITS = 1 << 23
 #: N-grams of a set in one fragment; larger sets are cut in 2, 4, ... fragments by hash.
 FRAGMENT = 4096
+#: Partners of a class that meet its set in one part.
+PARTNERS = 256
 
 
 def sets_of(texts: Texts, size: int) -> Iterator[np.ndarray]:
@@ -179,7 +181,12 @@ def overlaps(df: DataFrame, text: str, size: int, pairs: DataFrame, whole: bool)
     # The finer side's fragments cut both: a coarser fragment meets each finer one inside it.
     split = split.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("p") - 1)).alias("k")).selectExpr("a", "b", "na", "nb", "k", "k div (p div pa) AS ka", "k div (p div pb) AS kb")
     side = lambda x: cut.select(F.col("class").alias(x), F.col("part").alias(f"k{x}"), F.col("grams").alias(f"g{x}"), F.col("lost").alias(f"l{x}"))
-    met = split.join(side("a"), ["a", "ka"]).join(side("b"), ["b", "kb"])
+    left = split.join(side("a"), ["a", "ka"])
+    # A hub with many partners meets them in parts.
+    hot, _ = written(pairs.groupBy("b").agg(F.floor(F.count(F.lit(1)) / PARTNERS).alias("salts")).filter("salts > 0"))
+    salted = lookup(left, hot, ["b"]).withColumn("salt", F.pmod(F.xxhash64("a"), F.coalesce("salts", F.lit(0)) + 1)).drop("salts")
+    right = lookup(side("b"), hot, ["b"]).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(0).cast("long"))))).drop("salts")
+    met = salted.join(right, ["b", "kb", "salt"])
     # N-grams of the overlap have codes in common; those that share a code with another may hide behind it.
     one = F.size(F.array_intersect("ga", "gb")) + F.least("la", "lb")
     return met.select("a", "b", "na", "nb", one.alias("o")).groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))

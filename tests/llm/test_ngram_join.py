@@ -63,6 +63,7 @@ def test_against_brute_force(spark, seed, n_words, size, percent):
 
 def test_fragments_of_large_sets(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "FRAGMENT", 16)
+    monkeypatch.setattr(ngram_join, "PARTNERS", 3)
     rows = corpus(4, 150)
     got = ngram_join.linked(spark.createDataFrame(rows, "doc_id long, text string"), size=4, percent=85).collect()
     assert sorted([(r.doc_id, r.n_shingles, r.component) for r in got], key=repr) == brute(rows, 4, 85)
