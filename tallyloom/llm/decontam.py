@@ -1,8 +1,8 @@
 """Benchmark decontamination by template windows.
 
 Numbers, names and units become typed placeholders, so that a question with other values has the
-same windows. Windows of documents and items meet by hash; a pair counts only if the slots agree:
-along an alignment, equal values of the item must stand for equal values in the document.
+same windows. Windows of documents and items meet by hash; a pair with slots counts only if they
+agree: along an alignment, equal values of the item must stand for equal values in the document.
 """
 
 from __future__ import annotations
@@ -168,11 +168,13 @@ def matches(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     rows = df.select(F.col(text), F.xxhash64(text).alias("key")).mapInArrow(hits, "key long, hash long, at long, found array<long>").distinct()
     met = lookup(rows, items, ["hash"], "inner").filter(F.size("slots") == F.size("found"))
     met = met.withColumn("line", F.col("at") - F.col("pos"))
-    # The slots of an alignment agree if each of the item's values stands for one value of the text.
+    # The slots of an alignment agree if each of the item's values stands for one value of the text. Windows without slots, taken word for word, count whether they agree or not.
     pairs = F.transform(F.arrays_zip("slots", "found"), lambda z: F.struct(z["slots"].alias("s"), z["found"].alias("f")))
-    lines = met.groupBy("key", "item_id", "line").agg(F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"), F.collect_set("pos").alias("at"), F.max("windows").alias("windows"))
-    values = F.size(F.array_distinct(F.transform("pairs", lambda p: p["s"])))
-    good = lines.filter(values == F.size("pairs")).withColumn("other", F.exists("pairs", lambda p: p["s"] != p["f"]))
+    at = lambda some: F.collect_set(F.when(some, F.col("pos")))
+    lines = met.groupBy("key", "item_id", "line").agg(F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"), at(F.size("slots") == 0).alias("plain"), at(F.size("slots") > 0).alias("holed"), F.max("windows").alias("windows"))
+    agree = F.size(F.array_distinct(F.transform("pairs", lambda p: p["s"]))) == F.size("pairs")
+    lines = lines.withColumn("at", F.when(agree, F.array_union("plain", "holed")).otherwise(F.col("plain"))).withColumn("other", agree & F.exists("pairs", lambda p: p["s"] != p["f"]))
+    good = lines.filter(F.size("at") > 0)
     found = good.groupBy("key", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("matched"), F.max("windows").alias("windows"), F.min("other").alias("reparameterised"))
     return found.withColumn("coverage", F.col("matched") / F.col("windows")).filter(F.col("coverage") >= COVERAGE).select("key", "item_id", "matched", "coverage", "reparameterised")
 
