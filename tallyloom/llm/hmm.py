@@ -24,8 +24,8 @@ from tallyloom.llm.kit import LONG_BYTES, LOWER, Texts, mix, named, record, sign
 STATES = 8
 #: Words with symbols of their own, words whose exact counts go to every task, classes of the others.
 SYMBOLS, HEAD, CLASSES = 8192, 1 << 16, 256
-#: Baum-Welch: first so many parts of the documents, one for each step, then all documents in each of the last steps.
-PARTS, LAST_STEPS = 4, 1
+#: Baum-Welch steps, each over all training texts.
+BAUM_WELCH_STEPS = 5
 #: Longest sequence in training: a longer text is several sequences. Scores are of whole texts.
 SEQUENCE = 512
 #: Tokens that are worked on together.
@@ -265,12 +265,10 @@ def step(df: DataFrame, v: Vocabulary, model: Model, text: str = "text") -> Mode
     return Model(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0), share / share.sum())
 
 
-def fit(df: DataFrame, v: Vocabulary, text: str = "text", parts: int = PARTS, last: int = LAST_STEPS) -> Model:
-    """The model after steps on each of `parts` disjoint parts of the texts, which together are all of them, and `last` steps on all."""
+def fit(df: DataFrame, v: Vocabulary, text: str = "text", steps: int = BAUM_WELCH_STEPS) -> Model:
+    """The model after `steps` steps, each over all texts."""
     model = first_model(v)
-    for k in range(parts):
-        model = step(df.filter(F.pmod(F.xxhash64(F.lit(11), text), F.lit(parts)) == k), v, model, text)
-    for _ in range(last):
+    for _ in range(steps):
         model = step(df, v, model, text)
     return model
 

@@ -93,3 +93,18 @@ def test_reruns_agree(spark, data):
     v = hmm.vocabulary_of(counted)
     one, two = hmm.step(docs, v, hmm.first_model(v)), hmm.step(docs.repartition(3), v, hmm.first_model(v))
     assert np.abs(one.emit - two.emit).max() < 1e-6
+
+
+def test_every_step_reads_all_texts(spark, monkeypatch):
+    """A text that is a third of all rows is in every step, as often as it occurs."""
+    texts = [f"w{i % 7} x{i % 5} y{i} z" for i in range(40)] + ["the same text again"] * 20
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    v = hmm.vocabulary_of(hmm.count_words(docs))
+    seen, step = [], hmm.step
+    monkeypatch.setattr(hmm, "step", lambda df, *a: (seen.append(sorted(r.text for r in df.collect())), step(df, *a))[1])
+    model = hmm.fit(docs, v)
+    assert len(seen) == 5 and all(s == sorted(texts) for s in seen)
+    want = hmm.first_model(v)
+    for _ in range(5):
+        want = step(docs, v, want)
+    assert np.abs(model.emit - want.emit).max() < 1e-6
