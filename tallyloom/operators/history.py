@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.operators.sampling import hash_rank
+
 
 def last_items(df: DataFrame, group: str, order: list[str], item: Column, n: int, name: str = "history") -> DataFrame:
     """The rows with an array of the n items before them, oldest first."""
@@ -24,9 +26,30 @@ def later_steps(df: DataFrame, episode: str, step: str, item: str, n: int) -> Da
     return df.withColumn("later", F.collect_list(item).over(w))
 
 
-def same_group_pairs(df: DataFrame, group: str, entity: str, seed_key: Column, n: int = 1) -> DataFrame:
-    """For each row, up to n rows of the same group by another entity: its followers in hash order around the group."""
-    order = Window.partitionBy(group).orderBy(seed_key)
-    reach = F.collect_list(F.struct(F.col(entity).alias("entity"))).over(order.rowsBetween(1, 16))
-    others = F.filter(F.transform(reach, lambda s: s["entity"]), lambda e: e != F.col(entity))
-    return df.withColumn("others", F.slice(F.array_distinct(others), 1, n))
+def same_group_pairs(df: DataFrame, group: str, entity: str, seed_key: Column, n: int = 1, part: int = 128) -> DataFrame:
+    """The rows with `others`: up to n other entities of the same group, as they follow in the order of a hexadecimal hash key, from the last row on to the first.
+
+    Rows are ranked in parts of `part`, which a row looks through; a table of each part's first
+    n + 1 entities tells what comes after the part. A null entity is no other's and has none.
+    """
+    ranked = hash_rank(df, [group], seed_key, F.col(entity), "r__").withColumn("part__", F.floor((F.col("r__") - 1) / part))
+    heads = ranked.filter(F.col(entity).isNotNull()).groupBy(F.col(group).alias("g__"), F.col("part__").alias("p__"), F.col(entity).alias("e__")).agg(F.min("r__").alias("at__"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("at__", "e__"))), lambda s: s["e__"])
+    heads = heads.groupBy("g__", "p__").agg(F.slice(ordered, 1, n + 1).alias("after__"))
+    heads = heads.withColumn("parts__", F.count(F.lit(1)).over(Window.partitionBy("g__")))
+
+    def around(table):
+        table = table.sort_values("p__", ignore_index=True)
+        state, after = [], [None] * len(table)
+        for i in [*range(len(table))[::-1]] * 2:
+            after[i] = state
+            state = list(dict.fromkeys([*table["after__"][i], *state]))[: n + 1]
+        return table.assign(after__=after)[["g__", "p__", "after__"]]
+
+    alone, several = (heads.filter(c).select("g__", "p__", "after__") for c in ("parts__ = 1", "parts__ > 1"))
+    after = alone.unionByName(several.groupBy("g__").applyInPandas(around, several.schema))
+    rows = ranked.join(after, F.col(group).eqNullSafe(F.col("g__")) & (F.col("part__") == F.col("p__")), "left")
+    inside = F.collect_list(entity).over(Window.partitionBy(group, "part__").orderBy("r__").rowsBetween(1, Window.unboundedFollowing))
+    reach = F.concat(inside, F.coalesce("after__", F.array().cast(heads.schema["after__"].dataType)))
+    others = F.array_distinct(F.filter(reach, lambda e: e != F.col(entity)))
+    return rows.withColumn("others", F.slice(others, 1, n)).drop("r__", "part__", "g__", "p__", "after__")

@@ -1,3 +1,4 @@
+import hashlib
 import math
 from collections import Counter
 
@@ -5,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom import catalog
+from tallyloom.functions.hashing import order_key
 from tallyloom.operators import augment, distractors, history, intervals, metrics, mixture, records, sampling
 
 
@@ -210,3 +212,19 @@ def test_ablated_records(spark):
         assert {s for i in "12345" for s in sounds(swapped[i])} <= {f"s{i}" for i in range(1, 6)}
     with pytest.raises(ValueError, match="unknown ablation"):
         augment.ablated(rows, "loud")
+
+
+def test_same_group_pairs_look_at_the_whole_group(spark):
+    """One entity holds most of a group, and its last rows go on at the start."""
+    rows = [(i, "g", "b" if i in (90, 150) else "c" if i == 40 else "a") for i in range(200)] + [(300, "h", "a"), (301, "h", "a"), (302, None, "a"), (303, None, "b"), (304, "g", None)]
+    df = spark.createDataFrame(rows, "i int, g string, e string")
+    key = {i: hashlib.sha1(f"1|{i}".encode()).hexdigest() for i, _, _ in rows}
+    for n, part in ((1, 128), (2, 7), (2, 1000)):
+        want = {}
+        for i, g, e in rows:
+            order = sorted((key[j], x) for j, h, x in rows if h == g)
+            at = order.index((key[i], e))
+            want[i] = list(dict.fromkeys(x for _, x in order[at + 1 :] + order[:at] if x != e and x and e))[:n]
+        out = history.same_group_pairs(df, "g", "e", order_key(1, F.col("i")), n, part)
+        assert out.columns == ["i", "g", "e", "others"]
+        assert {r.i: r.others for r in out.collect()} == want
