@@ -72,14 +72,31 @@ def leak_report(t):
 SELECT doc_id, item_id FROM (SELECT doc_id, {_NORM.format("text")} AS t FROM documents) d
 JOIN (SELECT item_id, {_NORM.format("text")} AS i FROM benchmark) b ON contains(t, i)""")
 def leak_contains(t):
-    """Documents whose normalised text contains a whole benchmark item: pairs meet by the item's first words, then the containment is checked."""
+    """Documents whose normalised text contains a whole benchmark item, by characters: pairs meet by words inside the item, then the containment is checked.
+
+    An item may begin and end inside words of the document, so it is met by up to six words after
+    its first and before its last; an item of fewer than three words by the begin of its first.
+    """
     n = 6
-    words = lambda df, key: df.select(key, F.split(X.normalised(F.col("text")), " ").alias("w"))
-    grams = F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.xxhash64(F.array_join(F.slice(F.col("w"), i + 1, n), " ")))
-    docs = words(t("documents"), "doc_id").filter(F.size("w") >= n).select("doc_id", F.explode(F.array_distinct(grams)).alias("g"))
-    items = words(t("benchmark"), "item_id").filter(F.size("w") >= n).select("item_id", F.xxhash64(F.array_join(F.slice("w", 1, n), " ")).alias("g"), F.array_join("w", " ").alias("item"))
-    pairs = docs.join(items, "g").select("doc_id", "item_id", "item")
+    items = t("benchmark").select("item_id", X.normalised(F.col("text")).alias("item")).filter("item is not null").withColumn("w", F.split("item", " "))
+    items = items.withColumn("words", F.greatest(F.least(F.size("w") - 2, F.lit(n)), F.lit(0)))
+    items = items.withColumn("chars", F.when(F.col("words") > 0, 0).otherwise(F.least(F.length(F.element_at("w", 1)), F.lit(n))))
+    gram = F.when(F.col("words") > 0, F.array_join(F.slice("w", 2, F.col("words")), " ")).otherwise(F.substring(F.element_at("w", 1), 1, F.col("chars")))
+    items = items.select("item_id", "item", "words", "chars", F.xxhash64("words", "chars", gram).alias("g"))
+
+    def grams(words: int, chars: int):
+        key = lambda x: F.xxhash64(F.lit(words), F.lit(chars), x)
+        if words:
+            return F.when(F.size("w") >= words, F.transform(F.sequence(F.lit(0), F.size("w") - words), lambda i: key(F.array_join(F.slice("w", i + 1, words), " "))))
+        some = F.filter(F.array_distinct("w"), lambda x: F.length(x) >= chars)
+        return F.flatten(F.transform(some, lambda x: F.transform(F.sequence(F.lit(0), F.length(x) - chars), lambda i: key(F.substring(x, i + 1, F.lit(chars))))))
+
+    none = F.array().cast("array<bigint>")
+    sizes = items.select("words", "chars").distinct().collect()  # 2 n + 1 rows at most
     texts = t("documents").select("doc_id", X.normalised(F.col("text")).alias("t"))
+    docs = texts.select("doc_id", F.split("t", " ").alias("w"))
+    docs = docs.select("doc_id", F.explode(F.array_distinct(F.concat(none, *[F.coalesce(grams(r.words, r.chars), none) for r in sizes]))).alias("g"))
+    pairs = docs.join(items, "g").select("doc_id", "item_id", "item")
     return texts.join(pairs, "doc_id").filter(F.contains("t", "item")).select("doc_id", "item_id").distinct()
 
 

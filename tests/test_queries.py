@@ -20,3 +20,24 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def held_against_sql(spark, name, tables, folder):
+    """The query over tables of its own, against its SQL."""
+    import duckdb
+
+    con = duckdb.connect()
+    for table, df in tables.items():
+        df.coalesce(1).write.parquet(f"{folder}/{table}.parquet")
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{folder}/{table}.parquet/*.parquet')")
+    out = QUERIES[name](spark, str(folder))
+    same(out, con.sql(SQL[name]))
+    return out
+
+
+def test_leak_contains_finds_short_items_and_inside_words(spark, tmp_path):
+    texts = ["The quick brown fox jumps over a lazy dog", "unquick brownish", "quick", "", None, "a b", "one two three four five six seven eight", "xone two three four five six seven eightx"]
+    items = ["quick", "quick brown", "k b", "fox jumps over", "x jumps ov", "lazy dog!", "one two three four", "one two three four five six seven eight", "one two three four five", "nothing", "a", "the quick brown fox jumps", "", None]
+    tables = {"documents": spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "benchmark": spark.createDataFrame(list(enumerate(items)), "item_id long, text string")}
+    got = {(r.doc_id, r.item_id) for r in held_against_sql(spark, "leak_contains", tables, tmp_path).collect()}
+    assert {(0, 0), (1, 0), (2, 0), (1, 1), (0, 2), (0, 4), (6, 7), (7, 7), (7, 8)} <= got
