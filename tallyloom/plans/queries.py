@@ -103,8 +103,8 @@ def leak_contains(t):
 @query("""
 SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY left(text, 2000) ORDER BY source, doc_id) AS r FROM documents) WHERE r = 1""")
 def exact_dedupe_state(t):
-    """The first row, by source and id, of each text prefix."""
-    docs = t("documents").select("doc_id", "source", F.sha2(F.substring("text", 1, 2000), 256).alias("k"))
+    """The first row, by source and id, of each whole text."""
+    docs = t("documents").select("doc_id", "source", F.sha2("text", 256).alias("k"))
     return docs.groupBy("k").agg(F.min(F.struct("source", "doc_id")).alias("f")).select("f.doc_id", "f.source")
 
 

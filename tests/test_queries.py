@@ -41,3 +41,10 @@ def test_leak_contains_finds_short_items_and_inside_words(spark, tmp_path):
     tables = {"documents": spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "benchmark": spark.createDataFrame(list(enumerate(items)), "item_id long, text string")}
     got = {(r.doc_id, r.item_id) for r in held_against_sql(spark, "leak_contains", tables, tmp_path).collect()}
     assert {(0, 0), (1, 0), (2, 0), (1, 1), (0, 2), (0, 4), (6, 7), (7, 7), (7, 8)} <= got
+
+
+def test_exact_dedupe_looks_at_whole_texts(spark, tmp_path):
+    head = "licence " * 300
+    rows = [(1, "b", head + "one"), (2, "a", head + "two"), (3, "a", head + "one"), (4, "a", "x"), (5, "a", "x"), (6, "a", None)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(r.doc_id for r in QUERIES["exact_dedupe_state"](spark, str(tmp_path)).collect()) == [2, 3, 4, 6]
