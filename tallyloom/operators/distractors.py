@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.hashing import order_key
 from tallyloom.functions.text import jaccard, word_set
+from tallyloom.operators import sampling
 
 
 def from_pool(pool: Column, gold: Column, n: int, seed: int, *key: Column) -> Column:
@@ -16,25 +17,36 @@ def from_pool(pool: Column, gold: Column, n: int, seed: int, *key: Column) -> Co
     return F.when(F.size(others) >= n - 1, F.transform(F.array_sort(few), lambda s: s["x"]))
 
 
-def tiered_pool(df: DataFrame, value: str, tiers: list[Column], n: int, most: int = 64) -> DataFrame:
-    """The rows with `tier` and `pool`: the distinct values of the first tier with n - 1 others, or else of the first with any.
+def tiered_pool(df: DataFrame, value: str, tiers: list[Column], n: int, seed: int = 0, *key: Column) -> DataFrame:
+    """The rows with `tier`, `others` and `pool`: the first tier with n - 1 other distinct values, or else the first with any; how many others it has; n - 1 of them, or all.
 
-    A pool is its `most` smallest values; a tier key that is null has none.
+    A row draws from the whole tier: the others that follow a start of its own, by seed and key, in
+    the hash order of the tier key's values, around the end. A tier key that is null has none.
     """
-    rows = df
+    rows, all_keyed = df, None
     for i, t in enumerate(tiers):
-        keyed = df.select(t.alias(f"t{i}"), F.col(value).alias("v")).filter(F.col(f"t{i}").isNotNull()).distinct()
-        rank = F.row_number().over(Window.partitionBy(f"t{i}").orderBy("v"))
-        pools = keyed.withColumn("r", rank).filter(F.col("r") <= most).groupBy(f"t{i}").agg(F.array_sort(F.collect_list("v")).alias(f"pool{i}"))
-        rows = rows.withColumn(f"k{i}", t).join(pools, F.col(f"k{i}") == F.col(f"t{i}"), "left").drop(f"t{i}", f"k{i}")
-        rows = rows.withColumn(f"pool{i}", F.coalesce(F.filter(f"pool{i}", lambda v: v != F.col(value)), F.array().cast("array<string>")))
+        keyed = df.select(F.lit(i).alias("t__"), t.cast("string").alias("k__"), F.col(value).alias("v__")).dropna().distinct()
+        sizes = keyed.groupBy(F.col("k__").alias(f"s{i}__")).agg(F.count(F.lit(1)).alias(f"c{i}__"))
+        rows = rows.withColumn(f"k{i}__", t.cast("string")).join(sizes, F.col(f"k{i}__") == F.col(f"s{i}__"), "left").drop(f"s{i}__")
+        rows = rows.withColumn(f"c{i}__", F.when(F.col(value).isNull(), 0).otherwise(F.coalesce(F.col(f"c{i}__") - 1, F.lit(0))))
+        all_keyed = keyed if all_keyed is None else all_keyed.unionByName(keyed)
     enough, some = F.lit(None).cast("int"), F.lit(None).cast("int")
     for i in reversed(range(len(tiers))):
-        enough = F.when(F.size(f"pool{i}") >= n - 1, i).otherwise(enough)
-        some = F.when(F.size(f"pool{i}") > 0, i).otherwise(some)
+        enough = F.when(F.col(f"c{i}__") >= n - 1, i).otherwise(enough)
+        some = F.when(F.col(f"c{i}__") > 0, i).otherwise(some)
     rows = rows.withColumn("tier", F.coalesce(enough, some))
-    pool = F.coalesce(*[F.when(F.col("tier") == i, F.col(f"pool{i}")) for i in range(len(tiers))])
-    return rows.withColumn("pool", pool).drop(*[f"pool{i}" for i in range(len(tiers))])
+    of_tier = lambda c: F.coalesce(*[F.when(F.col("tier") == i, F.col(f"{c}{i}__")) for i in range(len(tiers))])
+    rows = rows.withColumn("others", F.coalesce(of_tier("c"), F.lit(0)).cast("long")).withColumn("k__", of_tier("k"))
+    start = F.pmod(F.xxhash64(F.lit(seed), F.col(value), *key), F.col("others") + 1) + 1
+    rows = rows.withColumn("start__", F.when(F.col("tier").isNotNull(), start)).drop(*[f"{c}{i}__" for i in range(len(tiers)) for c in "ck"])
+    # Each value stands in the draws of the n starts up to it; a draw has n values, of which a row's own may be one.
+    totals = all_keyed.groupBy(F.col("t__").alias("u__"), F.col("k__").alias("l__")).agg(F.count(F.lit(1)).alias("all__"))
+    ranked = sampling.hash_rank(all_keyed, ["t__", "k__"], order_key(seed, F.col("v__")), F.col("v__"), "r__")
+    ranked = ranked.join(totals, (F.col("t__") == F.col("u__")) & (F.col("k__") == F.col("l__"))).withColumn("j__", F.explode(F.sequence(F.lit(0), (F.least(F.lit(n), F.col("all__")) - 1).cast("int"))))
+    ranked = ranked.select("t__", F.col("k__").alias("key__"), (F.pmod(F.col("r__") - 1 - F.col("j__"), F.col("all__")) + 1).alias("at__"), "j__", "v__")
+    draws = ranked.groupBy("t__", "key__", "at__").agg(F.transform(F.array_sort(F.collect_list(F.struct("j__", "v__"))), lambda s: s["v__"]).alias("draw__"))
+    out = rows.join(draws, (F.col("tier") == F.col("t__")) & (F.col("k__") == F.col("key__")) & (F.col("start__") == F.col("at__")), "left")
+    return out.withColumn("pool", F.slice(F.filter("draw__", lambda v: v != F.col(value)), 1, n - 1)).drop("k__", "start__", "t__", "key__", "at__", "draw__")
 
 
 def lookalikes(labels: DataFrame, label: str, k: int = 6) -> DataFrame:

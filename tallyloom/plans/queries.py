@@ -321,8 +321,8 @@ def tiered_distractors(t):
     """Other names from the first tier with three: equal first two words, first word, type."""
     words = F.split("p_name", " ")
     tiers = [F.array_join(F.slice(words, 1, 2), " "), F.element_at(words, 1), F.col("p_type")]
-    rows = distractors.tiered_pool(t("part").select("p_partkey", "p_name", "p_type"), "p_name", tiers, 4)
-    return rows.select("p_partkey", "tier", F.when(F.col("tier").isNull(), 0).otherwise(F.size("pool")).cast("long").alias("n"))
+    rows = distractors.tiered_pool(t("part").select("p_partkey", "p_name", "p_type"), "p_name", tiers, 4, 0, F.col("p_partkey"))
+    return rows.select("p_partkey", "tier", F.col("others").alias("n"))
 
 
 @query("""

@@ -228,3 +228,16 @@ def test_same_group_pairs_look_at_the_whole_group(spark):
         out = history.same_group_pairs(df, "g", "e", order_key(1, F.col("i")), n, part)
         assert out.columns == ["i", "g", "e", "others"]
         assert {r.i: r.others for r in out.collect()} == want
+
+
+def test_tiered_pool_draws_from_the_whole_tier(spark):
+    rows = [(i, f"v{i:03d}", "big", "x") for i in range(150)] + [(200, "p", "small", "x"), (201, "q", "small", "y"), (202, "alone", None, "z"), (203, None, "big", "x")]
+    df = spark.createDataFrame(rows, "i int, v string, a string, b string")
+    out = {r.i: r for r in distractors.tiered_pool(df, "v", [F.col("a"), F.col("b")], 4, 0, F.col("i")).collect()}
+    assert len(out) == len(rows)
+    assert all((out[i].tier, out[i].others) == (0, 149) for i in range(150))
+    assert all(len(set(out[i].pool)) == 3 and out[i].v not in out[i].pool for i in range(150))
+    assert len({v for i in range(150) for v in out[i].pool}) > 100
+    assert (out[200].tier, out[200].others, len(out[200].pool)) == (1, 150, 3)
+    assert (out[201].tier, out[201].others, out[201].pool) == (0, 1, ["p"])
+    assert [(out[i].tier, out[i].others) for i in (202, 203)] == [(None, 0)] * 2
