@@ -64,7 +64,7 @@ def _script_table() -> np.ndarray:
                 low = (lead & 0x07) << 18 | two << 12
                 high = low + 4095
             found = of(low, high) if lead >= 0xE0 or unicodedata.category(chr(low))[0] == "L" else 0
-            if not found and any(unicodedata.category(chr(c))[0] == "L" for c in range(low, min(high, low + 63, 0x10FFFF) + 1)):
+            if not found and any(unicodedata.category(chr(c))[0] == "L" for c in range(low, min(high, 0x10FFFF) + 1)):
                 found = len(NAMES) - 1
             table[lead << 8 | second] = found
     return table

@@ -53,3 +53,12 @@ def test_odd_rows(odd_documents, no_documents, spark):
     assert langid.op4_language_id(no_documents).count() == 0
     untaught = odd_documents.drop("lang").selectExpr("*", "cast(null as string) AS lang")
     assert {r.lang_pred for r in langid.op4_language_id(untaught).collect()} == {"und"}
+
+
+def test_letters_late_in_a_block_of_four_byte_characters_count(spark):
+    train = spark.createDataFrame([("the cat and the dog went over to the house", "en")] * 5, "text string, lang string")
+    model = langid.fit(train)
+    df = spark.createDataFrame([(1, "\U0001D400\U0001D401\U0001D402 \U0001D403"), (2, "\U00016F00\U00016F01"), (3, "\U0001D11E \U0001D122"), (4, "😀")], "i int, text string")
+    out = {r.i: (r.lang_pred, r.score) for r in langid.label(df, model, keep=("i",)).collect()}
+    assert out[1][0] != "und" and out[1][1] > 0 and out[2][0] != "und"
+    assert out[3] == out[4] == ("und", 0.0)
