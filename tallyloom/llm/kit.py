@@ -190,9 +190,11 @@ def bounded(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors share; a temporary one where it is unset (tests)."""
+    """A new folder under spark.checkpoint.dir, which all executors share. Where it is unset, a temporary one if everything runs on this machine (tests); else an error, as executors would write to disks of their own."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="tallyloom-")
         atexit.register(shutil.rmtree, folder, True)
         base = "file://" + folder
@@ -211,10 +213,21 @@ def written(df: DataFrame) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def marked() -> int:
+    """How many shared tables there are by now; see `settled`."""
+    return len(_WRITTEN)
+
+
+def settled(df: DataFrame, mark: int) -> DataFrame:
+    """A result, written; the shared tables since the mark, which it was made from, are dropped."""
+    out, path = written(df)
+    drop(df.sparkSession, *[p for p in _WRITTEN[mark:] if p != path])
+    return out
+
+
 def sweep(spark: SparkSession) -> None:
     """Delete all shared tables of this process, once no result that reads them is needed."""
-    drop(spark, *_WRITTEN)
-    _WRITTEN.clear()
+    drop(spark, *list(_WRITTEN))
 
 
 def drop(spark: SparkSession, *paths: str) -> None:
@@ -222,6 +235,8 @@ def drop(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        if path in _WRITTEN:
+            _WRITTEN.remove(path)
 
 
 #: Rows up to which a lookup table is broadcast.

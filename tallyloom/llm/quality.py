@@ -1,8 +1,10 @@
 """Quality rules with thresholds from mergeable quantile sketches per language and source.
 
 A sketch counts documents by logarithmic bucket of a feature, which merges by addition and gives
-every quantile within about 1 %. A document is rejected when a feature lies further from its
-group's median than REACH times the group's own spread.
+every quantile within about 1 %. A limit lies REACH spreads from the group's median, where the
+spread is that of the other side of the median: what a limit is to reject can't move it far, so
+that a source full of junk does not lift its own limits. Medians and spreads of a group are drawn
+to those of its language, and these to everyone's, as if the parent gave PRIOR documents more.
 """
 
 from __future__ import annotations
@@ -13,16 +15,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tallyloom.llm.kit import Texts, lookup, mix, packed, shingle_hashes, slices, texts_of, unpacked, word_bounds, word_hashes, written
+from tallyloom.llm.kit import Texts, lookup, marked, mix, named, packed, settled, shingle_hashes, slices, texts_of, unpacked, word_bounds, word_hashes, written
 
 #: Buckets of a sketch for each e-fold.
 RESOLUTION = 50
-#: Spreads (third quartile less median, median less first quartile) from the median to a threshold.
-REACH = 8.0
-#: Documents that a group needs for thresholds of its own; smaller ones use their language's, then everyone's.
-LEAST_DOCS = 200
-#: Features, with the least spread that counts and whether low values are rejected too.
-FEATURES = {"chars_per_word": (0.2, True), "symbols_per_word": (0.05, False), "dup_line_share": (0.05, False), "repeat_word_share": (0.04, False)}
+#: Spreads (from the median to the tenth or ninetieth percentile) between the median and a limit.
+REACH = 3.5
+#: Documents that a group's parent counts for.
+PRIOR = 50
+#: Features: what is counted, out of what, and how. A ratio has a low and a high limit; a rate is events for each unit; a share is part of the whole and compared by its odds.
+FEATURES = {"chars_per_word": ("word_chars", "n_words", "ratio"), "symbols_per_word": ("n_symbols", "n_words", "rate"), "dup_line_share": ("n_dup_lines", "n_lines", "share"), "repeat_word_share": ("n_repeat_words", "n_words", "share")}
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
 
 _AS_IS = np.arange(256, dtype=np.uint8)
@@ -83,82 +85,104 @@ def quality_counts(texts: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(table[:, i], pa.int64()) for i in range(len(COUNTS))], COUNTS)
 
 
-def _features(counts: Column) -> dict[str, Column]:
-    over = lambda a, b: F.when(counts[b] > 0, counts[a] / counts[b])
-    return {"chars_per_word": over("word_chars", "n_words"), "symbols_per_word": over("n_symbols", "n_words"), "dup_line_share": over("n_dup_lines", "n_lines"), "repeat_word_share": over("n_repeat_words", "n_words")}
+def _value(counts: Column, name: str) -> Column:
+    """The logarithm that sketches hold. Half an event more keeps documents without any apart by their length."""
+    part, whole, kind = FEATURES[name]
+    a, b = counts[part].cast("double"), counts[whole].cast("double")
+    if kind == "ratio":
+        return F.log(a / b)
+    return F.log((a + 0.5) / (b + 1.0)) if kind == "rate" else F.log((a + 0.5) / (b - a + 0.5))
 
 
-def _bucket(x: Column) -> Column:
-    return F.when(x > 0, F.floor(F.log(x) * RESOLUTION).cast("int")).otherwise(F.lit(-100_000))
-
-
-def _value(bucket: Column) -> Column:
-    return F.when(bucket == -100_000, F.lit(0.0)).otherwise(F.exp((bucket + 0.5) / RESOLUTION))
+def _base_failed(counts: Column) -> Column:
+    return (counts["n_words"] < 50) | (100 * counts["n_repeat_words"] > 50 * counts["n_words"])
 
 
 def sketches(counted: DataFrame) -> DataFrame:
-    """Documents by (level, lang, source, feature, bucket): level 2 is a language and source, 1 a language, 0 everything."""
-    values = F.array(*[F.struct(F.lit(k).alias("feature"), v.alias("x")) for k, v in _features(F.col("counts")).items()])
-    each = counted.select("lang", "source", F.explode(values).alias("v")).filter("v.x is not null")
-    fine = each.groupBy("lang", "source", F.col("v.feature").alias("feature"), _bucket(F.col("v.x")).alias("bucket")).agg(F.count(F.lit(1)).alias("docs"))
+    """Documents by (level, lang, source, feature, bucket) of those that pass the base rules: level 2 is a language and source, 1 a language, 0 everything."""
+    c = F.col("counts")
+    values = F.array(*[F.struct(F.lit(k).alias("feature"), _value(c, k).alias("x")) for k in FEATURES])
+    each = counted.filter(~_base_failed(c)).select("lang", "source", F.explode(values).alias("v"))
+    fine = each.groupBy("lang", "source", F.col("v.feature").alias("feature"), F.floor(F.col("v.x") * RESOLUTION).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("docs"))
     levels = F.array(F.struct(F.lit(2).alias("level"), F.col("lang"), F.col("source")), F.struct(F.lit(1).alias("level"), F.col("lang"), F.lit(None).cast("string").alias("source")), F.struct(F.lit(0).alias("level"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source")))
     wide = fine.select(F.explode(levels).alias("g"), "feature", "bucket", "docs")
     return wide.groupBy("g.level", "g.lang", "g.source", "feature", "bucket").agg(F.sum("docs").alias("docs"))
 
 
-def thresholds(sketch: DataFrame) -> DataFrame:
-    """For each (level, lang, source): the documents it holds and the lowest and highest value of each feature that passes."""
+def quartiles(sketch: DataFrame) -> DataFrame:
+    """For each (level, lang, source, feature): documents held, median, and how far the tenth percentile lies below and the ninetieth above it, a bucket at least."""
     group = Window.partitionBy("level", "lang", "source", "feature")
     rows = sketch.withColumn("upto", F.sum("docs").over(group.orderBy("bucket"))).withColumn("all", F.sum("docs").over(group))
-    quantile = lambda q: _value(F.min(F.when(F.col("upto") >= F.col("all") * q, F.col("bucket"))))
-    rows = rows.groupBy("level", "lang", "source", "feature").agg(F.max("all").alias("held"), quantile(0.25).alias("q1"), quantile(0.5).alias("q2"), quantile(0.75).alias("q3"))
-    out = []
-    for name, (least, both) in FEATURES.items():
-        mine = lambda c, name=name: F.max(F.when(F.col("feature") == name, c))
-        out.append(mine(F.col("q2") + REACH * F.greatest(F.col("q3") - F.col("q2"), F.lit(least))).alias(f"high_{name}"))
-        if both:
-            out.append(mine(F.col("q2") - REACH * F.greatest(F.col("q2") - F.col("q1"), F.lit(least))).alias(f"low_{name}"))
-    return rows.groupBy("level", "lang", "source").agg(F.max("held").alias("held"), *out)
+    quantile = lambda q: F.min(F.when(F.col("upto") >= F.col("all") * q, F.col("bucket")))
+    rows = rows.groupBy("level", "lang", "source", "feature").agg(F.max("all").alias("held"), quantile(0.1).alias("b1"), quantile(0.5).alias("b5"), quantile(0.9).alias("b9"))
+    step = lambda a, b: F.greatest(F.col(a) - F.col(b), F.lit(1)) / F.lit(float(RESOLUTION))
+    return rows.select("level", "lang", "source", "feature", F.col("held").cast("double").alias("held"), ((F.col("b5") + 0.5) / F.lit(float(RESOLUTION))).alias("mid"), step("b5", "b1").alias("below"), step("b9", "b5").alias("above"))
+
+
+def thresholds(sketch: DataFrame) -> DataFrame:
+    """For each (lang, source) and feature: the documents it holds, and the lowest and highest logarithm that passes."""
+    rows = quartiles(sketch)
+    measures = ["mid", "below", "above"]
+    level = lambda k, mark: rows.filter(F.col("level") == k).select(F.col("lang").alias(f"lang{mark}"), F.col("source").alias(f"source{mark}"), F.col("feature").alias(f"feature{mark}"), F.col("held").alias(f"held{mark}"), *[F.col(m).alias(f"{m}{mark}") for m in measures])
+    drawn = lambda m, own, parent: (F.col(f"held{own}") * F.col(f"{m}{own}") + PRIOR * F.col(parent)) / (F.col(f"held{own}") + PRIOR)
+    langs = level(1, "1").join(F.broadcast(level(0, "0")), F.col("feature1") == F.col("feature0"))  # four rows
+    langs = langs.select("lang1", "feature1", *[drawn(m, "1", f"{m}0").alias(f"{m}1") for m in measures])
+    own = level(2, "").join(langs, F.col("lang").eqNullSafe(F.col("lang1")) & (F.col("feature") == F.col("feature1")))
+    own = own.select("lang", "source", "feature", "held", *[drawn(m, "", f"{m}1").alias(m) for m in measures])
+    return own.select("lang", "source", "feature", "held", (F.col("mid") - REACH * F.col("above")).alias("low"), (F.col("mid") + REACH * F.col("below")).alias("high"))
+
+
+def limits_of(counted: DataFrame) -> DataFrame:
+    """Of each (lang, source), a struct `limits` with (low, high) by feature."""
+    table, at = written(thresholds(sketches(counted)))
+    each = [F.max(F.when(F.col("feature") == k, F.struct("low", "high"))).alias(k) for k in FEATURES]
+    return table.groupBy("lang", "source").agg(*each).select("lang", "source", F.struct(*FEATURES).alias("limits"))
+
+
+def _passes(counts: Column, limits: Column) -> Column:
+    """Whether all features lie within their limits. Of n events, n less its root count, so that a short text is not rejected for one."""
+    out = F.lit(True)
+    for name, (part, whole, kind) in FEATURES.items():
+        a, b = counts[part].cast("double"), counts[whole].cast("double")
+        low, high = F.exp(limits[name]["low"]), F.exp(limits[name]["high"])
+        if kind == "ratio":
+            good = (a <= high * b) & (a >= low * b)
+        else:
+            sure = a - F.sqrt(a)
+            good = sure <= high * (b if kind == "rate" else b - sure)
+        out = out & F.coalesce(good, F.lit(True))
+    return out
+
+
+def _judged(counted: DataFrame, limits: DataFrame) -> DataFrame:
+    c = F.col("counts")
+    rows = lookup(counted, limits, ["lang", "source"])
+    return rows.withColumn("failed", _base_failed(c)).withColumn("passes", _passes(c, F.col("limits")))
 
 
 def judged(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The rows with `counts` (struct of COUNTS), `base_failed` and `kept`.
 
     A null text counts as empty; without words a text fails the base rules. Null languages and
-    sources are groups like others. Repeated rows count each. An empty table gives an empty table.
-    Input columns of the new names are replaced.
+    sources are groups like others, and groups of few documents lie close to their language.
+    Repeated rows count each, ties at a limit pass, very long texts are read whole. An empty table
+    gives an empty table. Input columns of the new names are replaced.
     """
-    counted = packed(df).select("row", F.col("row").getField(lang).cast("string").alias("lang"), F.col("row").getField(source).cast("string").alias("source"), quality_counts(F.col("row").getField(text)).alias("counts"))
-    few = df.select(F.col(lang).cast("string").alias("lang"), F.col(source).cast("string").alias("source"), quality_counts(F.col(text)).alias("counts"))
-    limits, _ = written(thresholds(sketches(few)))
-    limits = limits.withColumn("limits", F.struct(*[f"high_{k}" for k in FEATURES], *[f"low_{k}" for k, (_, both) in FEATURES.items() if both]))
-    # Of (lang, source): its own limits if it holds enough documents, else its language's, else everyone's.
-    enough = F.col("held") >= LEAST_DOCS
-    own = limits.filter("level = 2").select("lang", "source", "held", "limits")
-    of_lang = limits.filter((F.col("level") == 1) & enough).select(F.col("lang").alias("lang_"), F.col("limits").alias("of_lang"))
-    of_all = limits.filter("level = 0").select(F.col("limits").alias("of_all"))
-    table = own.join(of_lang, F.col("lang").eqNullSafe(F.col("lang_")), "left").crossJoin(F.broadcast(of_all))  # of_all has one row
-    table = table.select("lang", "source", F.coalesce(F.when(enough, F.col("limits")), F.col("of_lang"), F.col("of_all")).alias("limits"))
-    rows = lookup(counted, table, ["lang", "source"])
-    c = F.col("counts")
-    passes = F.lit(True)
-    for name, x in _features(c).items():
-        passes = passes & F.coalesce(x <= F.col("limits")[f"high_{name}"], F.lit(True))
-        if FEATURES[name][1]:
-            passes = passes & F.coalesce(x >= F.col("limits")[f"low_{name}"], F.lit(True))
-    failed = (c["n_words"] < 50) | (100 * c["n_repeat_words"] > 50 * c["n_words"])
-    return unpacked(rows.withColumn("passes", passes).withColumn("failed", failed), df, c, F.col("failed").alias("base_failed"), (~F.col("failed") & F.col("passes")).alias("kept"), names=("counts", "base_failed", "kept"))
+    rows = packed(df).select("row", F.col("row").getField(lang).cast("string").alias("lang"), F.col("row").getField(source).cast("string").alias("source"), quality_counts(F.col("row").getField(text)).alias("counts"))
+    few = df.select(named(lang).cast("string").alias("lang"), named(source).cast("string").alias("source"), quality_counts(named(text)).alias("counts"))
+    out = _judged(rows, limits_of(few))
+    return unpacked(out, df, F.col("counts"), F.col("failed").alias("base_failed"), (~F.col("failed") & F.col("passes")).alias("kept"), names=("counts", "base_failed", "kept"))
 
 
 def op3_quality_rules(documents: DataFrame) -> DataFrame:
-    """Counts and verdict of every document."""
-    # The row that is judged carries no text: it is read once for the counts and once for the sketches.
-    out = judged(documents.select("doc_id", "text", "lang", "source"))
-    return out.select("doc_id", *[F.col("counts")[c].alias(c) for c in COUNTS[:5]], "base_failed", "kept")
+    """Counts and verdict of every document: texts are read once, counts are written and judged. See `judged`."""
+    mark = marked()
+    counted, _ = written(documents.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), quality_counts("text").alias("counts")))
+    out = _judged(counted, limits_of(counted))
+    return settled(out.select("doc_id", *[F.col("counts")[c].alias(c) for c in COUNTS[:5]], F.col("failed").alias("base_failed"), (~F.col("failed") & F.col("passes")).alias("kept")), mark)
 
 
 _WORD = "[^\\x20\\x09-\\x0D]+"
-_ALL = ", ".join(FEATURES)
 OP3_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS id, doc_id, lang, source, coalesce(text, '') AS text,
     regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
@@ -171,33 +195,33 @@ dup AS (SELECT id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n FRO
 c AS (SELECT d.id, doc_id, lang, source, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
     len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines
   FROM d LEFT JOIN cov USING (id) LEFT JOIN dup USING (id)),
-f AS (SELECT id, lang, source, unnest(['chars_per_word', 'symbols_per_word', 'dup_line_share', 'repeat_word_share']) AS feature,
-    unnest([word_chars / n_words, n_symbols / n_words, n_dup_lines / n_lines, n_repeat_words / n_words]) AS x FROM c WHERE n_words > 0),
-b AS (SELECT *, CASE WHEN x > 0 THEN floor(ln(x) * {RESOLUTION})::INT ELSE -100000 END AS bucket FROM f),
+k AS (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS failed FROM c),
+f AS (SELECT lang, source, unnest(['chars_per_word', 'symbols_per_word', 'dup_line_share', 'repeat_word_share']) AS feature,
+    unnest([ln(word_chars::DOUBLE / n_words), ln((n_symbols + 0.5::DOUBLE) / (n_words + 1)), ln((n_dup_lines + 0.5::DOUBLE) / (n_lines - n_dup_lines + 0.5::DOUBLE)),
+      ln((n_repeat_words + 0.5::DOUBLE) / (n_words - n_repeat_words + 0.5::DOUBLE))]) AS x FROM k WHERE NOT failed),
+b AS (SELECT *, floor(x * {RESOLUTION})::INT AS bucket FROM f),
 g AS (SELECT 2 AS level, lang, source, feature, bucket, count(*) AS docs FROM b GROUP BY ALL
   UNION ALL SELECT 1, lang, NULL, feature, bucket, count(*) FROM b GROUP BY ALL
   UNION ALL SELECT 0, NULL, NULL, feature, bucket, count(*) FROM b GROUP BY ALL),
 u AS (SELECT *, sum(docs) OVER (PARTITION BY level, lang, source, feature ORDER BY bucket) AS upto, sum(docs) OVER (PARTITION BY level, lang, source, feature) AS held FROM g),
-q AS (SELECT level, lang, source, feature, max(held) AS held, min(bucket) FILTER (upto >= held * 0.25) AS b1, min(bucket) FILTER (upto >= held * 0.5) AS b2, min(bucket) FILTER (upto >= held * 0.75) AS b3 FROM u GROUP BY ALL),
-v AS (SELECT *, CASE WHEN b1 = -100000 THEN 0 ELSE exp((b1 + 0.5) / {RESOLUTION}) END AS q1, CASE WHEN b2 = -100000 THEN 0 ELSE exp((b2 + 0.5) / {RESOLUTION}) END AS q2,
-    CASE WHEN b3 = -100000 THEN 0 ELSE exp((b3 + 0.5) / {RESOLUTION}) END AS q3 FROM q),
-lim AS (SELECT level, lang, source, feature, held,
-    q2 + {REACH} * greatest(q3 - q2, {" ".join(f"CASE feature WHEN '{k}' THEN {x[0]}" if i == 0 else f"WHEN '{k}' THEN {x[0]}" for i, (k, x) in enumerate(FEATURES.items()))} END) AS high,
-    CASE WHEN feature = 'chars_per_word' THEN q2 - {REACH} * greatest(q2 - q1, {FEATURES["chars_per_word"][0]}) END AS low FROM v),
-bad AS (SELECT DISTINCT f.id FROM f
-  JOIN lim o ON o.level = 2 AND o.feature = f.feature AND o.lang IS NOT DISTINCT FROM f.lang AND o.source IS NOT DISTINCT FROM f.source
-  LEFT JOIN lim l ON l.level = 1 AND l.feature = f.feature AND l.lang IS NOT DISTINCT FROM f.lang AND l.held >= {LEAST_DOCS}
-  JOIN lim a ON a.level = 0 AND a.feature = f.feature
-  WHERE x > CASE WHEN o.held >= {LEAST_DOCS} THEN o.high WHEN l.level IS NOT NULL THEN l.high ELSE a.high END
-    OR x < CASE WHEN o.held >= {LEAST_DOCS} THEN o.low WHEN l.level IS NOT NULL THEN l.low ELSE a.low END)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-  (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND id NOT IN (SELECT id FROM bad) AS kept
-FROM c
+q AS (SELECT level, lang, source, feature, max(held)::DOUBLE AS held, min(bucket) FILTER (upto >= held * 0.1::DOUBLE) AS b1, min(bucket) FILTER (upto >= held * 0.5::DOUBLE) AS b5, min(bucket) FILTER (upto >= held * 0.9::DOUBLE) AS b9 FROM u GROUP BY ALL),
+v AS (SELECT level, lang, source, feature, held, (b5 + 0.5::DOUBLE) / {RESOLUTION} AS mid, greatest(b5 - b1, 1)::DOUBLE / {RESOLUTION} AS below, greatest(b9 - b5, 1)::DOUBLE / {RESOLUTION} AS above FROM q),
+l AS (SELECT o.lang, o.feature, (o.held * o.mid + {PRIOR} * p.mid) / (o.held + {PRIOR}) AS mid, (o.held * o.below + {PRIOR} * p.below) / (o.held + {PRIOR}) AS below,
+    (o.held * o.above + {PRIOR} * p.above) / (o.held + {PRIOR}) AS above FROM v o JOIN v p ON o.level = 1 AND p.level = 0 AND o.feature = p.feature),
+m AS (SELECT o.lang, o.source, o.feature, (o.held * o.mid + {PRIOR} * p.mid) / (o.held + {PRIOR}) AS mid, (o.held * o.below + {PRIOR} * p.below) / (o.held + {PRIOR}) AS below,
+    (o.held * o.above + {PRIOR} * p.above) / (o.held + {PRIOR}) AS above FROM v o JOIN l p ON o.level = 2 AND o.feature = p.feature AND o.lang IS NOT DISTINCT FROM p.lang),
+t AS (SELECT lang, source, max(exp(mid + {REACH}::DOUBLE * below)) FILTER (feature = 'chars_per_word') AS chars_high, max(exp(mid - {REACH}::DOUBLE * above)) FILTER (feature = 'chars_per_word') AS chars_low,
+    max(exp(mid + {REACH}::DOUBLE * below)) FILTER (feature = 'symbols_per_word') AS symbols, max(exp(mid + {REACH}::DOUBLE * below)) FILTER (feature = 'dup_line_share') AS lines,
+    max(exp(mid + {REACH}::DOUBLE * below)) FILTER (feature = 'repeat_word_share') AS words FROM m GROUP BY ALL)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed AS base_failed,
+  NOT failed AND word_chars <= chars_high * n_words AND word_chars >= chars_low * n_words AND n_symbols - sqrt(n_symbols) <= symbols * n_words
+  AND n_dup_lines - sqrt(n_dup_lines) <= lines * (n_lines - (n_dup_lines - sqrt(n_dup_lines)))
+  AND n_repeat_words - sqrt(n_repeat_words) <= words * (n_words - (n_repeat_words - sqrt(n_repeat_words))) AS kept
+FROM k LEFT JOIN t ON k.lang IS NOT DISTINCT FROM t.lang AND k.source IS NOT DISTINCT FROM t.source
 """
 
 
 def good(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """The rows that `judged` keeps, with exactly their own columns."""
+    """The rows that `judged` keeps, with exactly their own columns, whatever their names."""
     rows = packed(df, "own").select("own", *[F.col("own").getField(c).alias(n) for c, n in ((text, "text"), (lang, "lang"), (source, "source"))])
     return judged(rows).filter("kept").select(*[F.col("own").getField(c).alias(c) for c in df.columns])

@@ -1,3 +1,6 @@
+import math
+import random
+
 from tallyloom.llm import quality
 
 
@@ -39,3 +42,29 @@ def test_odd_rows(odd_documents, no_documents):
     assert quality.op3_quality_rules(odd_documents).count() == odd_documents.count()
     assert quality.op3_quality_rules(no_documents).count() == 0
     assert quality.good(odd_documents).columns == odd_documents.columns
+
+
+def test_limits_differ_where_medians_are_zero_and_junk_lifts_none(spark):
+    """No clean text has a symbol, yet sources of short and of long texts get limits of their own; a third of junk in a source changes them little."""
+    rng = random.Random(3)
+    words = lambda n, junk=0: " ".join(f"w{rng.randrange(900)}" + ("#" if k < junk else "") for k in range(n))
+    size = {"short": (60, 120), "long": (600, 2400), "dirty": (600, 2400)}
+    rows = [(i, words(rng.randrange(*size[s])), "en", s) for i, s in enumerate([*["short"] * 200, *["long"] * 200, *["dirty"] * 200])]
+    rows += [(1000 + i, words(800, 300), "en", "dirty") for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    counted = df.select("lang", "source", quality.quality_counts("text").alias("counts"))
+    high = {r.source: math.exp(r.limits.symbols_per_word.high) for r in quality.limits_of(counted).collect()}
+    assert high["short"] > 2 * high["long"] and high["dirty"] < 3 * high["long"]
+    kept = {r.doc_id: r.kept for r in quality.op3_quality_rules(df).collect()}
+    assert not any(kept[i] for i in kept if i >= 1000)
+    assert sum(kept[i] for i in range(600)) > 570
+
+
+def test_a_small_group_lies_close_to_its_language(spark):
+    text = lambda i, sign: " ".join(f"w{i}x{j}{sign if j % 10 == 0 else ''}" for j in range(80))
+    rows = [(i, text(i, ""), "en", "a") for i in range(400)] + [(1000 + i, text(i, "#"), "en", "few") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    counted = df.select("lang", "source", quality.quality_counts("text").alias("counts"))
+    high = {r.source: r.limits.symbols_per_word.high for r in quality.limits_of(counted).collect()}
+    own = math.log(8.5 / 81)
+    assert high["a"] < high["few"] < high["a"] + 0.2 * (own - high["a"])
