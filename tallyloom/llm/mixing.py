@@ -1,9 +1,10 @@
 """Mixing sources to target weights by exact subset sums over document lengths.
 
-Documents are counted by (source, length). Each source's target is met by whole epochs, then an
-even part of every length, then the longest lengths, and last a bounded knapsack over lengths that
-closes the rest of the budget to the word where lengths allow. The counts by length then select
-documents by a seeded order.
+Documents are counted by (source, length). Each source's target is met by whole epochs, then by an
+even part of all lengths: along the order of lengths every n-th document is taken once more, so
+that each range of lengths has its share to within one document. What the budget lacks or has too
+much of then, a bounded knapsack over all counts that are left closes to the word where lengths
+allow. The counts by length then select documents by a seeded order.
 """
 
 from __future__ import annotations
@@ -13,12 +14,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.kit import lookup, packed, unpacked, word_count, written
+from tallyloom.llm.kit import lookup, marked, packed, settled, unpacked, word_count, written
 
-#: Words that are left to the knapsack; more is filled by the longest documents first.
-KNAPSACK_WORDS = 1 << 15
-#: Distinct lengths in the knapsack: evenly spaced over those left, from the shortest. More only add other ways to the same sums.
-KNAPSACK_LENGTHS = 512
+#: Bits that the knapsack keeps at once (64 MB); it stops at the best sum by then, which lies within one document of the target.
+KNAPSACK_BITS = 1 << 29
 #: Documents of one source and length that are ranked together.
 RANKED = 256
 
@@ -28,10 +27,12 @@ def subset(lengths: list[int], counts: list[int], budget: int) -> dict[int, int]
     parts, reach, limit = [], [1], (1 << (budget + 1)) - 1
     for n, c in zip(lengths, counts, strict=True):
         c, k = min(c, budget // n), 1
-        while c > 0 and not reach[-1] >> budget & 1:
+        while c > 0 and not reach[-1] >> budget & 1 and len(reach) * budget < KNAPSACK_BITS:
             k = min(k, c)
-            parts.append((n, k))
-            reach.append((reach[-1] | reach[-1] << n * k) & limit)
+            more = (reach[-1] | reach[-1] << n * k) & limit
+            if more != reach[-1]:
+                parts.append((n, k))
+                reach.append(more)
             c, k = c - k, 2 * k
     left, taken = reach[-1].bit_length() - 1, {}
     for i in range(len(parts) - 1, -1, -1):
@@ -42,35 +43,49 @@ def subset(lengths: list[int], counts: list[int], budget: int) -> dict[int, int]
     return taken
 
 
-def fit(lengths: np.ndarray, counts: np.ndarray, target: float) -> tuple[int, np.ndarray]:
-    """Whole epochs of a source, and how many documents of each length are taken once more."""
+def even_part(counts: np.ndarray, share: float, offset: float) -> np.ndarray:
+    """Of each length, how many documents a walk over all of them takes at a rate of `share`; any run of lengths has its share to within one document."""
+    upto = np.concatenate([[0], np.cumsum(counts)]) * share + offset
+    return np.minimum(np.diff(np.floor(upto + 1e-9).astype(np.int64)), counts)
+
+
+def fit(lengths: np.ndarray, counts: np.ndarray, target: float, seed: int = 1) -> tuple[int, np.ndarray]:
+    """Whole epochs of a source, and how many documents of each length are taken once more. Lengths are distinct, in any order."""
     extra = np.zeros(len(lengths), np.int64)
     total = int((lengths * counts).sum())
     if total == 0:
         return 0, extra
     epochs = min(int(target // total), 2)
     budget = int(round(target - epochs * total)) if epochs < 2 else 0
-    some = lengths > 0
-    extra[some] = np.minimum(counts[some], (counts[some] * (budget / total)).astype(np.int64))
-    rest = budget - int((lengths * extra).sum())
-    for i in np.argsort(-lengths, kind="stable"):
-        if rest > KNAPSACK_WORDS and lengths[i] > 0:
-            k = max(0, min(int(counts[i] - extra[i]), int((rest - KNAPSACK_WORDS) // lengths[i])))
-            extra[i] += k
-            rest -= k * int(lengths[i])
-    open_ = [int(i) for i in np.argsort(lengths, kind="stable") if 0 < lengths[i] <= rest and counts[i] > extra[i]]
-    if rest > 0 and open_:
-        picked = sorted({open_[round(k)] for k in np.linspace(0, len(open_) - 1, min(len(open_), KNAPSACK_LENGTHS))})
-        picked.sort(key=lambda i: int(lengths[i]))
-        more = subset([int(lengths[i]) for i in picked], [int(counts[i] - extra[i]) for i in picked], rest)
-        for i in picked:
-            extra[i] += more.get(int(lengths[i]), 0)
-    gap = budget - int((lengths * extra).sum())
-    if gap > 0 and budget <= 2 * KNAPSACK_WORDS:  # a small source: the knapsack may do better alone
-        kinds = np.flatnonzero(some)
-        best = subset(lengths[kinds].tolist(), counts[kinds].tolist(), budget)
-        if budget - sum(n * k for n, k in best.items()) < gap:
-            extra = np.array([best.get(int(n), 0) for n in lengths], np.int64)
+    kinds = np.flatnonzero(lengths > 0)
+    kinds = kinds[np.argsort(lengths[kinds], kind="stable")]
+    size, held = lengths[kinds], counts[kinds]
+    rng = np.random.default_rng([seed, len(kinds), total % (1 << 32)])
+    some = even_part(held, budget / total, float(rng.random()))
+    # Too much by a few documents at most: the smallest that is enough goes, or else the largest there is.
+    while (over := int((size * some).sum()) - budget) > 0:
+        there = np.flatnonzero(some > 0)
+        enough = there[size[there] >= over]
+        some[enough[0] if len(enough) else there[-1]] -= 1
+    # The rest goes to the knapsack. Where it can't be met, documents that were taken are released, twice as many each time, up to all.
+    step, best, order = int(np.gcd.reduce(size)), some, rng.permutation(len(kinds))
+    released = 0
+    while budget - int((size * best).sum()) >= step:
+        freed = even_part(some, min(1.0, released / max(1, int(some.sum()))), 0.5) if released else np.zeros_like(some)
+        open_, rest = some - freed, budget - int((size * (some - freed)).sum())
+        fits = [int(i) for i in order if held[i] > open_[i] and size[i] <= rest]
+        if rest // step > KNAPSACK_BITS // 64:
+            break
+        more = subset([int(size[i]) // step for i in fits], [int(held[i] - open_[i]) for i in fits], rest // step)
+        found = open_.copy()
+        for i in fits:
+            found[i] += more.get(int(size[i]) // step, 0)
+        if int((size * found).sum()) > int((size * best).sum()):
+            best = found
+        if released >= int(some.sum()):
+            break
+        released = max(16, 2 * released)
+    extra[kinds] = best
     return epochs, extra
 
 
@@ -104,7 +119,9 @@ def mix(df: DataFrame, source: str = "source", words: str = "words", seed: int =
     """The rows with `size` (words), `source_size`, `target` (both of the source) and `copies` (0, 1 or 2) that the mix takes.
 
     Column `words` holds the length; null counts as 0, and rows of size 0 are never taken. A null
-    source is a source. Repeated rows are separate documents. An empty table gives an empty table.
+    source is a source. Repeated rows are separate documents; among equal rows, and rows whose
+    hashes tie, it shows nowhere which is taken. A very long document is a length like others; no
+    task sees more of a source than its distinct lengths. An empty table gives an empty table.
     Input columns with the new names are replaced. The order among documents of one length is a hash of seed and row, so that
     reruns agree.
     """
@@ -139,5 +156,6 @@ def repeated(df: DataFrame, source: str = "source", text: str = "text", seed: in
 
 def op9_mixing(documents: DataFrame) -> DataFrame:
     """The mix of all documents; sizes only move, not texts."""
+    mark = marked()
     out = mix(documents.select("doc_id", "source", word_count("text").alias("words")))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    return settled(out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken")), mark)

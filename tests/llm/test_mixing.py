@@ -5,6 +5,7 @@ import re
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tallyloom.llm import mixing
 
@@ -79,6 +80,47 @@ def test_large_budgets():
         assert (extra <= counts).all() and abs(epochs * total + int((lengths * extra).sum()) - part * total) <= 1
 
 
+def test_lengths_are_repeated_alike():
+    """The rate at which documents are taken again is flat over length, whatever the distribution."""
+    rng = np.random.default_rng(4)
+    for lengths in (np.arange(1000, 20_000), np.unique(np.exp(rng.normal(6, 1.2, 30_000)).astype(np.int64) + 1)):
+        counts = rng.integers(1, 4, len(lengths))
+        total = int((lengths * counts).sum())
+        for part in (1.4, 1.5, 0.7):
+            epochs, extra = mixing.fit(lengths, counts, part * total)
+            assert abs(epochs * total + int((lengths * extra).sum()) - part * total) <= 1
+            cuts = np.searchsorted(np.cumsum(counts), np.arange(1, 10) * counts.sum() // 10)
+            rates = [e.sum() / c.sum() for e, c in zip(np.split(extra, cuts), np.split(counts, cuts), strict=True)]
+            assert max(abs(r - part % 1) for r in rates) < 0.02, rates
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 30), st.integers(1, 4)), min_size=1, max_size=5, unique_by=lambda x: x[0]), st.floats(0, 2))
+def test_small_sources_come_as_close_as_they_can(kinds, part):
+    lengths, counts = (np.array(x) for x in zip(*kinds, strict=True))
+    total = int((lengths * counts).sum())
+    epochs, extra = mixing.fit(lengths, counts, part * total)
+    budget = int(round(part * total - epochs * total)) if epochs < 2 else 0
+    best = max(s for p in itertools.product(*[range(c + 1) for c in counts]) if (s := int(np.dot(lengths, p))) <= budget)
+    assert (extra <= counts).all() and int((lengths * extra).sum()) == best
+
+
+def test_selection_against_plain_python(spark, data):
+    """Which documents are taken: of each source and length, those whose hashes come first."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "source", mixing.word_count("text").alias("words"))
+    rows = mixing.mix(docs).select("*", F.xxhash64(F.lit(1), F.struct("doc_id", "source", "words")).alias("at")).collect()
+    groups = {}
+    for r in rows:
+        groups.setdefault(r.source, {}).setdefault(r.size, []).append(r)
+    for kinds in groups.values():
+        sizes = sorted(kinds)
+        epochs, extra = mixing.fit(np.array(sizes), np.array([len(kinds[n]) for n in sizes]), kinds[sizes[0]][0].target)
+        for n, k in zip(sizes, extra, strict=True):
+            few = len(kinds[n]) <= mixing.RANKED
+            want = [epochs + (i < k) for i in range(len(kinds[n]))]
+            assert not few or [r.copies for r in sorted(kinds[n], key=lambda r: r["at"])] == want
+
+
 def test_repeated_keeps_columns(spark, odd_documents, no_documents):
     out = mixing.repeated(odd_documents)
     assert out.columns == odd_documents.columns and out.filter("text is null or trim(text) = ''").count() == 0
