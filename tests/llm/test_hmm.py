@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tallyloom.llm import hmm
 
@@ -53,9 +54,8 @@ def test_forward_is_the_sum_over_paths():
     model = random_model(rng, 5)
     texts = [rng.integers(0, 5, n) for n in (3, 1, 4)]
     lengths = np.array([len(t) for t in texts])
-    steps = hmm.Steps(lengths)
-    scale, _, _ = hmm.forward(model, steps, steps.laid(np.concatenate(texts)), np.broadcast_to(model.start, (3, hmm.STATES)), False)
-    got = np.bincount(steps.owner, np.log(scale)[steps.place])
+    first = np.concatenate([[0], np.cumsum(lengths)])
+    got = hmm.likelihoods(model, np.concatenate(texts), first)
     for x, g in zip(texts, got, strict=True):
         p = model.start * model.emit[x[0]]
         for s in x[1:]:
@@ -68,8 +68,8 @@ def test_expected_counts_against_plain_forward_backward():
     model = random_model(rng, 6)
     texts = [rng.integers(0, 6, n) for n in (7, 2, 1, 5)]
     first = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    start, move, emit = hmm.expected_counts(model, np.concatenate(texts), first)
-    s, m, e = np.zeros_like(start), np.zeros_like(move), np.zeros_like(emit)
+    got = hmm.expected_counts(model, np.concatenate(texts), first)
+    s, m, e, log = np.zeros_like(got.start), np.zeros_like(got.move), np.zeros_like(got.emit), 0.0
     for x in texts:
         n = len(x)
         a, b = np.zeros((n, hmm.STATES)), np.ones((n, hmm.STATES))
@@ -79,32 +79,83 @@ def test_expected_counts_against_plain_forward_backward():
         for t in range(n - 2, -1, -1):
             b[t] = model.move @ (model.emit[x[t + 1]] * b[t + 1])
         z = a[-1].sum()
+        log += np.log(z)
         s += a[0] * b[0] / z
         for t in range(n):
             e[x[t]] += a[t] * b[t] / z
             if t:
                 m += model.move * np.outer(a[t - 1], model.emit[x[t]] * b[t]) / z
-    assert np.allclose(start, s) and np.allclose(move, m) and np.allclose(emit, e)
+    assert np.allclose(got.start, s) and np.allclose(got.move, m) and np.allclose(got.emit, e) and np.allclose(got.log, log)
+
+
+def test_texts_longer_than_a_block_are_one_sequence(monkeypatch):
+    rng = np.random.default_rng(2)
+    model = random_model(rng, 6)
+    x = rng.integers(0, 6, 700)
+    first = np.array([0, 400, 403, 700])
+    whole, alike = hmm.expected_counts(model, x, first), hmm.likelihoods(model, x, first)
+    monkeypatch.setattr(hmm, "BLOCK", 37)
+    got = hmm.expected_counts(model, x, first)
+    for name in ("start", "move", "emit", "log"):
+        assert np.allclose(getattr(got, name), getattr(whole, name))
+    assert np.allclose(hmm.likelihoods(model, x, first), alike) and np.allclose(alike.sum(), whole.log)
+
+
+def test_score_against_plain_python(spark, odd_documents, monkeypatch):
+    """The score of every text from words and counts alone: the chain over symbols, and words within classes."""
+    monkeypatch.setattr(hmm, "HEAD", 12)
+    monkeypatch.setattr(hmm, "SYMBOLS", 6)
+    out, v = hmm.scored(odd_documents, F.col("doc_id") % 2 == 1, keep=("doc_id",))
+    rows = [(r.doc_id, tokens(r.text)) for r in odd_documents.collect()]
+    c = Counter(w for i, t in rows if i is not None and i % 2 for w in t)
+    assert (v.tokens, v.words) == (sum(c.values()), len(c))
+    codes = hmm.encoded(odd_documents.filter("doc_id % 2 = 1"), v)
+    model = hmm.fit(codes, v)
+    own = {int(h): int(s) for h, s in zip(v.hashes, v.symbols, strict=True) if s >= 0}
+
+    def token(w):
+        if w == "\n":
+            return hmm.END, 0
+        data = np.frombuffer(w.encode(), np.uint8)
+        h, k, _ = hmm.tokens_of(hmm.Texts(data, np.array([0]), np.array([len(data)])))
+        return h[0], int(k[0])
+
+    want = []
+    for i, t in rows:
+        p, total = model.start, 0.0
+        for w in t:
+            h, k = token(w)
+            symbol = own[int(h)] + hmm.CLASSES if int(h) in own else k
+            p = p * model.emit[symbol]
+            total += math.log10(p.sum())
+            if symbol < hmm.CLASSES:
+                total += math.log10((c[w] + 1) / (v.class_tokens[k] + v.class_words[k] + 1))
+            p = (p / p.sum()) @ model.move
+        want.append((repr(i), len(t), round(total, 4)))
+    assert sorted((repr(r.doc_id), r.n_tokens, round(r.score, 4)) for r in out.collect()) == sorted(want)
+
+
+def test_head_by_count(spark):
+    """As many of the most frequent words as fit, but all or none of those that tie."""
+    counts = [9, 9, 7, 5, 5, 5, 2, 1, 1, 1, 1]
+    df = spark.createDataFrame([(i, 0, n) for i, n in enumerate(counts)], "hash long, cls int, n long")
+    assert [sum(n >= hmm.frequent(df, most) for n in counts) for most in (1, 2, 3, 5, 6, 7, 9, 11)] == [0, 2, 3, 3, 6, 7, 7, 11]
 
 
 def test_reruns_agree(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
-    counted = hmm.count_words(docs).cache()
-    v = hmm.vocabulary_of(counted)
-    one, two = hmm.step(docs, v, hmm.first_model(v)), hmm.step(docs.repartition(3), v, hmm.first_model(v))
-    assert np.abs(one.emit - two.emit).max() < 1e-6
+    v = hmm.vocabulary_of(hmm.count_words(docs).cache())
+    one, two = (hmm.step(hmm.encoded(d, v), hmm.first_model(v)) for d in (docs, docs.repartition(3)))
+    assert np.abs(one[0].emit - two[0].emit).max() < 1e-6 and one[2] == two[2] == v.tokens
 
 
-def test_every_step_reads_all_texts(spark, monkeypatch):
+def test_every_step_reads_all_texts_and_gains(spark, monkeypatch):
     """A text that is a third of all rows is in every step, as often as it occurs."""
     texts = [f"w{i % 7} x{i % 5} y{i} z" for i in range(40)] + ["the same text again"] * 20
     docs = spark.createDataFrame([(t,) for t in texts], "text string")
     v = hmm.vocabulary_of(hmm.count_words(docs))
     seen, step = [], hmm.step
-    monkeypatch.setattr(hmm, "step", lambda df, *a: (seen.append(sorted(r.text for r in df.collect())), step(df, *a))[1])
-    model = hmm.fit(docs, v)
-    assert len(seen) == 5 and all(s == sorted(texts) for s in seen)
-    want = hmm.first_model(v)
-    for _ in range(5):
-        want = step(docs, v, want)
-    assert np.abs(model.emit - want.emit).max() < 1e-6
+    monkeypatch.setattr(hmm, "step", lambda codes, m: (out := step(codes, m), seen.append(out[1:]))[0])
+    hmm.fit(hmm.encoded(docs, v), v)
+    assert 2 <= len(seen) <= 5 and all(n == v.tokens for _, n in seen)
+    assert all(b[0] > a[0] for a, b in zip(seen, seen[1:], strict=False))
