@@ -1,15 +1,18 @@
 """Personal data: fixed patterns, and a character BiLSTM with CRF transitions trained in numpy.
 
 The model is trained from labelled spans that a seeded generator writes, among them forms that the
-patterns miss (telephone numbers without a plus, cards with dots, guarded addresses). Texts are
-read in overlapping windows; the spans that windows propose are reconciled by the heaviest set of
-spans that don't overlap. All kinds hold a digit or an @, so that windows without one hold no span.
+patterns miss (telephone numbers without a plus, cards with dots, guarded addresses, and secrets
+such as passwords and keys). Texts are read in overlapping windows; a span that goes on at a
+window's edge is read again in a wider one. The spans that windows propose are reconciled by the
+heaviest set of spans that don't overlap. All kinds hold a digit or an @, so that windows without
+one hold no span.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -22,18 +25,21 @@ from pyspark.sql import functions as F
 from tallyloom.llm.kit import Texts, code_points, named, slices, texts_of
 
 KINDS = ["email", "ip", "card", "phone"]
+SECRET = len(KINDS)
 # The base patterns.
 PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
-_COMPILED = [re.compile(p) for p in PATTERNS]
+# The same matches in one pass: a run of digits is entered at its start only, and nothing is given back. An address is found from its @.
+_HOST = re.compile(rb"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+_ONE_PASS = [None, re.compile(rb"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"), re.compile(rb"[0-9]++(?:[\x20-][0-9]++)*+"), re.compile(PATTERNS[3].encode())]
 #: Characters that a match of each kind consists of, and one that it must hold: a maximal run of them holds whole matches.
 _ALPHABETS = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-@", b"0123456789.", b"0123456789 -", b"0123456789+ ().-"]
 _MUST = [b"@", b".", b"0123456789", b"+"]
 
-#: Window and step in characters; a span is at most a window less a step long.
-WINDOW, STEP = 96, 48
+#: Window and step in bytes, what a wider window has before its span, and the widest window: no kind has longer spans.
+WINDOW, STEP, BEFORE, WIDEST = 96, 48, 16, 4096
 HIDDEN = 16
-TAGS = 1 + 2 * len(KINDS)
-SEED, BATCH, LENGTH, UPDATES, RATE = 5, 96, 72, 320, 0.02
+TAGS = 1 + 2 * (len(KINDS) + 1)
+SEED, BATCH, LENGTH, UPDATES, RATE = 5, 96, 80, 480, 0.02
 
 
 def luhn(digits: str) -> bool:
@@ -48,7 +54,7 @@ def passes(kind: int, text: str) -> bool:
     """The check of a base match."""
     digits = re.sub("[^0-9]", "", text)
     if kind == 1:
-        return all(int(x) <= 255 for x in text.split("."))
+        return all(len(x.lstrip("0")) <= 3 and int(x[-3:]) <= 255 for x in text.split("."))
     if kind == 2:
         return 16 <= len(digits) <= 19 and luhn(digits)
     return 8 <= len(digits) <= 15 if kind == 3 else True
@@ -65,10 +71,23 @@ _HAS = [_table(m) for m in _MUST]
 _EVIDENCE = _table(b"0123456789@")
 
 
+def _addresses(run: bytes) -> Iterator[tuple[int, int]]:
+    """Matches of the first pattern in a run of its alphabet: before an @ stands all since the last one, or since the last match."""
+    free, at = 0, run.find(b"@")
+    while at >= 0:
+        host = _HOST.match(run, at + 1)
+        if free < at and host:
+            yield free, host.end()
+            free = host.end()
+            at = run.find(b"@", free)
+            continue
+        free, at = at + 1, run.find(b"@", at + 1)
+
+
 def base_spans(data: np.ndarray) -> list[tuple[int, int, int]]:
-    """(kind, start, end) of one text's bytes, in bytes: leftmost matches that don't overlap, of each kind, less those that fail its check."""
+    """(kind, start, end) of one text's bytes, in bytes: leftmost matches that don't overlap, of each kind, less those that fail its check. Time grows with the text's length alone."""
     found = []
-    for kind, pattern in enumerate(_COMPILED):
+    for kind, pattern in enumerate(_ONE_PASS):
         inside = np.zeros(len(data) + 2, np.int8)
         inside[1:-1] = _IN[kind][data]
         edges = np.flatnonzero(np.diff(inside))
@@ -76,9 +95,10 @@ def base_spans(data: np.ndarray) -> list[tuple[int, int, int]]:
         sums = np.zeros(len(data) + 1, np.int64)
         np.cumsum(_HAS[kind][data], out=sums[1:])
         for a, b in zip(starts[keep := sums[ends] > sums[starts]], ends[keep], strict=True):
-            for m in pattern.finditer(data[a:b].tobytes().decode("ascii")):
-                if passes(kind, m[0]):
-                    found.append((kind, int(a) + m.start(), int(a) + m.end()))
+            run = data[a:b].tobytes()
+            for start, end in _addresses(run) if pattern is None else (m.span() for m in pattern.finditer(run)):
+                if passes(kind, run[start:end].decode("ascii")):
+                    found.append((kind, int(a) + start, int(a) + end))
     return found
 
 
@@ -117,8 +137,20 @@ def labelled(rng: np.random.Generator, n: int, length: int) -> tuple[np.ndarray,
     def ip() -> str:
         return pick([".", ".", ".", "[.]"]).join(str(x) for x in rng.integers(0, 256, 4))
 
+    def drawn(alphabet: str, low: int, high: int) -> str:
+        return "".join(alphabet[c] for c in rng.integers(0, len(alphabet), rng.integers(low, high)))
+
+    def secret() -> tuple[str, str, str]:
+        """What stands before a secret, the secret, and what stands after it."""
+        upper, small, hexes = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789", "0123456789abcdef"
+        if rng.random() < 0.35:
+            return "", pick(["AK" + drawn(upper, 16, 20), "AKIA" + drawn(upper, 16, 17), "sk-" + drawn(small + upper, 20, 33), "ghp_" + drawn(small + upper, 24, 37)]), ""
+        name = pick(["token", "password", "passwd", "secret", "api_key", "key", "pwd", "auth", word() + "_token"])
+        quote = pick(["", "", '"', "'"])
+        return name + pick(["=", " = ", ": ", ":", "="]) + quote, pick([drawn(hexes, 16, 41), drawn(hexes, 16, 24), drawn(small + upper, 12, 33)]), quote
+
     def other() -> str:
-        return pick([f'token = "{bytes(rng.integers(0, 256, 20, dtype=np.uint8)).hex()}"', f"CC BY-NC {rng.integers(1, 5)}.0", f"{digits(4)}-{digits(2)}-{digits(2)}", f"v{digits(1)}.{digits(1)}.{digits(2)}", digits(rng.integers(1, 8)), f"{digits(1)},{digits(3)}.{digits(2)}", f"{digits(2)}:{digits(2)}", f"page {digits(2)}", word() + digits(2), f"{digits(2)} {word()}", f"@{word()}", f"{digits(3)}-{digits(4)}"])
+        return pick([f"commit {drawn('0123456789abcdef', 7, 10)}", f"ISBN 978-{digits(1)}-{digits(3)}-{digits(5)}-{digits(1)}", f"1Z {digits(3)} {digits(4)} {digits(4)}", f"no. {digits(3)} {digits(4)} {digits(4)}", f"order {digits(10)}", f"{word()}={digits(3)}", f"{word()} = {word()}", f"{digits(8)}", word().upper() + digits(3), f"CC BY-NC {rng.integers(1, 5)}.0", f"{digits(4)}-{digits(2)}-{digits(2)}", f"v{digits(1)}.{digits(1)}.{digits(2)}", digits(rng.integers(1, 8)), f"{digits(1)},{digits(3)}.{digits(2)}", f"{digits(2)}:{digits(2)}", f"page {digits(2)}", word() + digits(2), f"{digits(2)} {word()}", f"@{word()}", f"{digits(3)}-{digits(4)}"])
 
     makers = [email, ip, card, phone]
     xs, ys = np.empty((n, length), np.int64), np.zeros((n, length), np.int64)
@@ -126,12 +158,16 @@ def labelled(rng: np.random.Generator, n: int, length: int) -> tuple[np.ndarray,
         text, tags = "", []
         while len(text) < length + 24:
             u = rng.random()
-            if u < 0.24:
+            if u < 0.07:
+                head, s, end = secret()
+                tags += [0] * len(head) + [1 + 2 * SECRET] + [2 + 2 * SECRET] * (len(s) - 1) + [0] * len(end)
+                s = head + s + end
+            elif u < 0.28:
                 k = int(rng.integers(len(makers)))
                 s = makers[k]()
                 tags += [1 + 2 * k] + [2 + 2 * k] * (len(s) - 1)
             else:
-                s = other() if u < 0.36 else word().upper() if u < 0.42 else word()
+                s = other() if u < 0.42 else word().upper() if u < 0.47 else word()
                 tags += [0] * len(s)
             gap = pick([" ", " ", " ", " ", " ", ", ", ". ", "\n", "*** ", "!! ", " | "])
             text, tags = text + s + gap, tags + [0] * len(gap)
@@ -282,6 +318,8 @@ def trained() -> Model:
 def plausible(kind: int, text: str) -> bool:
     """What a span of the model must be besides: the check of its kind on its digits, or an address with a host."""
     digits = re.sub("[^0-9]", "", text)
+    if kind == SECRET:
+        return bool(re.fullmatch(r"[A-Za-z0-9_+/=-]{12,}", text)) and len(set(text)) >= 7 and bool(digits) and bool(re.search("[A-Za-z]", text))
     if kind == 0:
         return bool(re.fullmatch(r"[A-Za-z0-9._%+-]+ ?@ ?[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text))
     if kind == 1:
@@ -299,8 +337,7 @@ def reconciled(spans: list[tuple[int, int, int, float]]) -> list[tuple[int, int,
     best: list[float] = [0.0]
     take = []
     for kind, start, _, weight in spans:
-        before = int(np.searchsorted(ends, start, "right"))
-        before = min(before, len(best) - 1)
+        before = min(bisect_right(ends, start), len(best) - 1)
         with_it = best[before] + weight
         take.append((with_it > best[-1], before))
         best.append(max(best[-1], with_it))
@@ -323,32 +360,43 @@ def windows_of(data: np.ndarray, evidence: np.ndarray) -> np.ndarray:
 
 def model_spans(model: Model, datas: list[np.ndarray]) -> list[list[tuple[int, int, int]]]:
     """Reconciled spans (kind, start, end in bytes) of each text."""
-    texts, starts, rows = [], [], []
-    for i, data in enumerate(datas):
-        for at in windows_of(data, np.flatnonzero(_EVIDENCE[data])):
-            row = np.full(WINDOW, _CLASS[0x20], np.int64)
-            part = data[at : at + WINDOW]
-            row[: len(part)] = _CLASS[part]
-            texts.append(i)
-            starts.append(int(at))
-            rows.append(row)
     proposed: list[list] = [[] for _ in datas]
-    for a in range(0, len(rows), 2048):
-        tags, gain = model.decode(np.array(rows[a : a + 2048]).T)
-        for j, t in zip(*np.nonzero((tags % 2 == 1).T), strict=True):
-            kind, e = (tags[t, j] - 1) // 2, t + 1
-            while e < WINDOW and tags[e, j] == tags[t, j] + 1:
-                e += 1
-            i, at = texts[a + j], starts[a + j]
-            # At an inner edge of a window a span may go on: the next window sees it whole.
-            if e - t > 1 and (t > 0 or at == 0) and (e < WINDOW or at + e >= len(datas[i])):
-                proposed[i].append((int(kind), at + int(t), min(at + int(e), len(datas[i])), round(float(gain[t:e, j].sum()), 3)))
+    wanted = [(i, int(at)) for i, data in enumerate(datas) for at in windows_of(data, np.flatnonzero(_EVIDENCE[data]))]
+    width, reached = WINDOW, [0] * len(datas)
+    while wanted:
+        cut = []
+        many = max(1, 2048 * WINDOW // width)
+        for a in range(0, len(wanted), many):
+            some = wanted[a : a + many]
+            rows = np.full((len(some), width), _CLASS[0x20], np.int64)
+            for row, (i, at) in zip(rows, some, strict=True):
+                part = datas[i][at : at + width]
+                row[: len(part)] = _CLASS[part]
+            tags, gain = model.decode(rows.T)
+            for j, t in zip(*np.nonzero((tags % 2 == 1).T), strict=True):
+                kind, e = (tags[t, j] - 1) // 2, t + 1
+                while e < width and tags[e, j] == tags[t, j] + 1:
+                    e += 1
+                i, at = some[j]
+                if e - t < 2 or (t == 0 and at > 0):
+                    continue
+                if e < width or at + e >= len(datas[i]):
+                    proposed[i].append((int(kind), at + int(t), min(at + int(e), len(datas[i])), round(float(gain[t:e, j].sum()), 3)))
+                elif width > WINDOW or t <= STEP:  # the span goes on, and the next window does not see its begin
+                    cut.append((i, at + int(t)))
+        width, wanted = 2 * width, []
+        for i, start in sorted(set(cut)) if width <= WIDEST else []:
+            at = max(0, start - BEFORE)
+            if not wanted or wanted[-1][0] != i or start >= reached[i]:
+                wanted.append((i, at))
+                reached[i] = at + width - BEFORE
+        reached = [0] * len(datas)
     return [reconciled(s) for s in proposed]
 
 
-def spans_of(model: Model, texts: Texts) -> list[tuple[list, list]]:
-    """Of each text: base spans, and all spans, (kind, start, end) in code points, by kind and start."""
-    out: list[tuple[list, list]] = [([], [])] * len(texts)
+def spans_of(model: Model, texts: Texts) -> list[tuple[list, list, list]]:
+    """Of each text: base spans, all spans of KINDS, and secrets, (kind, start, end) in code points, by kind and start."""
+    out: list[tuple[list, list, list]] = [([], [], [])] * len(texts)
     sums = np.zeros(len(texts.data) + 1, np.int64)
     np.cumsum(_EVIDENCE[texts.data], out=sums[1:])
     some = np.flatnonzero(sums[texts.ends] > sums[texts.starts])
@@ -356,26 +404,27 @@ def spans_of(model: Model, texts: Texts) -> list[tuple[list, list]]:
     for i, data, more in zip(some, datas, model_spans(model, datas), strict=True):
         base = base_spans(data)
         points = code_points(data)
-        extra = []
-        for kind, a, b in more:
-            text = data[a:b].tobytes().decode("utf-8", "replace")
-            if plausible(kind, text) and not any(x < b and a < y for _, x, y in base):
-                extra.append((kind, a, b))
+        inside = np.zeros(len(data) + 1, np.int64)
+        for _, a, b in base:
+            inside[a + 1 : b + 1] = 1
+        np.cumsum(inside, out=inside)
+        extra = [(k, a, b) for k, a, b in more if inside[b] == inside[a] and plausible(k, data[a:b].tobytes().decode("utf-8", "replace"))]
         place = lambda spans, points=points: sorted((k, int(points[a]), int(points[b])) for k, a, b in spans)
-        out[i] = (place(base), place(base + extra))
+        out[i] = (place(base), place(base + [s for s in extra if s[0] < SECRET]), place(s for s in extra if s[0] == SECRET))
     return out
 
 
 def told(spans: list[tuple[int, int, int]]) -> str:
-    return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
+    return ",".join(f"{[*KINDS, 'secret'][k]}:{a}:{b}" for k, a, b in spans)
 
 
 def find(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Columns `keep`, n_ of each kind (base spans), `base` and `spans` (kind:start:end, comma-joined).
+    """Columns `keep`, n_ of each kind (base spans), `base`, `spans` and `secrets` (kind:start:end, comma-joined), n_secret, and n_all (spans and secrets).
 
-    A null or empty text has no spans. Repeated rows are read each; an empty table gives an empty
-    table. Overlapping spans of different kinds in the base all stay; the model adds only spans
-    that overlap none.
+    A null or empty text has no spans. Very long texts are read whole, in windows, in time that
+    grows with their length. Repeated rows are read each; an empty table gives an empty table.
+    Overlapping spans of different kinds in the base all stay; the model adds only spans that
+    overlap none, and of its own the heaviest set; of equal weights, that with the later end.
     """
     shared = df.sparkSession.sparkContext.broadcast(trained())
 
@@ -383,19 +432,20 @@ def find(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataF
         model = shared.value
         for batch in batches:
             found = [x for _, _, part in slices(texts_of(batch.column(0))) for x in spans_of(model, part)]
-            counts = [pa.array([sum(s[0] == k for s in base) for base, _ in found], pa.int64()) for k in range(len(KINDS))]
-            columns = [*(batch.column(i) for i in range(1, batch.num_columns)), *counts, pa.array([told(b) for b, _ in found], pa.string()), pa.array([told(s) for _, s in found], pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[1:], *[f"n_{k}" for k in KINDS], "base", "spans"])
+            counts = [pa.array([sum(s[0] == k for s in base) for base, _, _ in found], pa.int64()) for k in range(len(KINDS))]
+            texts = [pa.array([told(f[k]) for f in found], pa.string()) for k in range(3)]
+            sizes = [pa.array([len(s) for _, _, s in found], pa.int64()), pa.array([len(a) + len(s) for _, a, s in found], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(1, batch.num_columns)), *counts, *texts, *sizes], [*batch.schema.names[1:], *[f"n_{k}" for k in KINDS], "base", "spans", "secrets", "n_secret", "n_all"])
 
     rows = df.select(F.col(text).alias("text__"), *[named(c) for c in keep])
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[1:])
-    return rows.mapInArrow(emit, kinds + ", ".join(f"n_{k} long" for k in KINDS) + ", base string, spans string")
+    return rows.mapInArrow(emit, kinds + ", ".join(f"n_{k} long" for k in KINDS) + ", base string, spans string, secrets string, n_secret long, n_all long")
 
 
 def op1_pii(documents: DataFrame) -> DataFrame:
-    """Personal data of every document."""
+    """Personal data of every document, and secrets in columns of their own."""
     out = find(documents, keep=("doc_id",))
-    return out.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2("base", 256).alias("base_sha256"), "spans")
+    return out.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2("base", 256).alias("base_sha256"), "spans", "secrets", "n_secret", "n_all")
 
 
 def digest(base: str) -> str:

@@ -1,7 +1,11 @@
 import hashlib
 import re
+import time
 
 import numpy as np
+import pyarrow as pa
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from tallyloom.llm import pii
 
@@ -34,6 +38,26 @@ def test_base_spans(spark):
         assert set(filter(None, told.split(","))) <= set(r.spans.split(","))
 
 
+def at_code_points(text):
+    data = np.frombuffer(text.encode(), np.uint8)
+    points = pii.code_points(data)
+    return sorted((k, int(points[a]), int(points[b])) for k, a, b in pii.base_spans(data))
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text("a1 .-+@()95é%", max_size=60))
+def test_base_spans_in_one_pass(text):
+    assert at_code_points(text) == brute(text)
+
+
+def test_megabytes_of_signs_take_linear_time():
+    n = 1_000_000
+    for text, want in [("1." + "5" * n, 0), ("@" + "a" * n, 0), ("a" * n + "@b.c", 1), ("5" * n, 0), ("a@" * (n // 2), 0), ("1.2.3." + "5" * n, 0), ("1.2.3.4 " * (n // 8), n // 8), ("+1 " * (n // 3), 0), ("+" + "1-" * (n // 2), 0)]:
+        start = time.perf_counter()
+        assert len(pii.base_spans(np.frombuffer(text.encode(), np.uint8))) == want
+        assert time.perf_counter() - start < 20
+
+
 def test_whole_fixture(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
@@ -54,12 +78,35 @@ def test_model_on_held_out_texts():
 
 def test_model_adds_what_patterns_miss_and_leaves_clean_text():
     model = pii.trained()
-    kinds = lambda t: [pii.KINDS[k] for s in pii.model_spans(model, [np.frombuffer(t.encode(), np.uint8)]) for k, a, b in s if pii.plausible(k, t[a:b])]
+    kinds = lambda t: [[*pii.KINDS, "secret"][k] for s in pii.model_spans(model, [np.frombuffer(t.encode(), np.uint8)]) for k, a, b in s if pii.plausible(k, t[a:b])]
     assert kinds("reach us on (499) 555-6503 today") == ["phone"]
     assert kinds("paid with 4111.1111.1111.1111 there") == ["card"]
+    assert kinds('the token = "ce0cc631f6559e745b37cb8be6fc63ae2d235c5f" and') == kinds("set password=b7db7aa4a5fcc78305 there") == ["secret"]
+    assert kinds("tracking 1Z 999 9999 9999 came") == kinds("the ISBN 978-3-161-48410-0 of it") == []
     assert kinds("in 2024-01-02 we sold 1,299.00 units of v1.2.3, page 12") == []
 
 
+def test_spans_longer_than_a_window(data):
+    model = pii.trained()
+    for n in (90, 200, 700):
+        text = "see the token = \"" + ("0a1b2c3d4e5f6789" * 50)[:n] + "\" and more of the text"
+        spans = pii.model_spans(model, [np.frombuffer(text.encode(), np.uint8)])[0]
+        assert any(k == pii.SECRET and b - a >= n - 2 for k, a, b in spans), (n, spans)
+
+
+def test_precision_and_recall_on_planted_spans(spark, data):
+    """Documents with one planted span, in a form that the patterns miss, and documents with none."""
+    rng = np.random.default_rng(9)
+    digits = lambda k: "".join(map(str, rng.integers(0, 10, k)))
+    clean = [r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect() if r.text and not re.search("[0-9@]", r.text)][:60]
+    planted = [f"({digits(3)}) {digits(3)}-{digits(4)}" for _ in clean]
+    texts = [t[:200] + " call " + p + " now " + t[200:] for t, p in zip(clean, planted, strict=True)]
+    out = pii.spans_of(pii.trained(), pii.texts_of(pa.array(texts + clean)))
+    hits = sum(any(k == 3 and t[a:b] == p for k, a, b in spans) for (_, spans, _), t, p in zip(out, texts, planted, strict=False))
+    found = sum(len(s) + len(x) for _, s, x in out)
+    assert hits / len(planted) > 0.9 and hits / max(found, 1) > 0.9
+
+
 def test_gradient():
     rng = np.random.default_rng(0)
     scores, moves, tags = rng.standard_normal((5, 2, 3)), rng.standard_normal((3, 3)), rng.integers(0, 3, (5, 2))
