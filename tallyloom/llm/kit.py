@@ -205,10 +205,15 @@ def shared_dir(spark: SparkSession) -> str:
 _WRITTEN: list[str] = []
 
 
+def reserved(spark: SparkSession) -> str:
+    """A new folder that is dropped like a shared table."""
+    _WRITTEN.append(shared_dir(spark))
+    return _WRITTEN[-1]
+
+
 def written(df: DataFrame) -> tuple[DataFrame, str]:
     """The rows written as Parquet in the shared folder and read again: cuts lineage, survives lost executors."""
-    path = shared_dir(df.sparkSession)
-    _WRITTEN.append(path)
+    path = reserved(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 

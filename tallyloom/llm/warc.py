@@ -1,25 +1,25 @@
 """WARC archives with Zstandard frames and a dictionary in a leading skippable frame.
 
-An archive is a row (path, content) like one of Spark's binaryFile source; `write_archives` makes
-them, `read_archives` decodes them, whichever store they come from. Every record is a frame of its
-own, so that a reader can start at any of them.
+An archive is a row (path, content) like one of Spark's binaryFile source. `write_archives` makes
+them, `save_archives` writes each as a file through Spark's own committer, and `read_archives`
+decodes them, whichever store they come from. Every record is a frame of its own, so that a reader
+can start at any of them.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import os
 import re
 import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.kit import lookup, written
+from tallyloom.llm.kit import drop, lookup, marked, reserved, settled, written
 
 # Magic numbers of the Zstandard format.
 SKIPPABLE, FRAME = 0x184D2A5D, 0xFD2FB528
@@ -27,6 +27,8 @@ SKIPPABLE, FRAME = 0x184D2A5D, 0xFD2FB528
 SAMPLE_PAGES, SAMPLE_CHARS, DICT_BYTES = 256, 8192, 16_384
 #: An archive ends after the record that brings it to so many bytes.
 ARCHIVE_BYTES = 8 << 20
+#: Ends a file: an empty skippable frame, which a decoder passes over. It is what Spark's text writer puts after a row.
+FILE_END = struct.pack("<II", 0x184D2A50, 0)
 CHUNK = 1 << 16
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -102,24 +104,25 @@ def write_archives(records: DataFrame, dictionary: bytes) -> DataFrame:
     return records.mapInArrow(encode, "path string, content binary")
 
 
-def export_archives(archives: DataFrame, folder: str) -> None:
-    """Write archives as files to a folder that every executor mounts; a task that runs again replaces its files whole."""
+def save_archives(archives: DataFrame, folder: str) -> None:
+    """Write each archive as a file of the folder, in any store that Spark can write to. Tasks that run again leave no halves: Spark commits files whole."""
+    as_text = archives.select(F.col("content").cast("string").alias("value"))  # the bytes as they are
+    as_text.write.option("lineSep", FILE_END.decode()).option("compression", "none").option("maxRecordsPerFile", 1).text(folder)
 
-    def put(rows):
-        for row in rows:
-            to = os.path.join(folder, os.path.basename(row.path))
-            with open(f"{to}.{os.getpid()}", "wb") as f:
-                f.write(row.content)
-            os.replace(f"{to}.{os.getpid()}", to)
 
-    os.makedirs(folder, exist_ok=True)
-    archives.foreachPartition(put)
+def open_archives(spark: SparkSession, folder: str) -> DataFrame:
+    """The archives of a folder as rows (path, content)."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).filter("length > 0").select("path", "content")
+
+
+def _is_skippable(view: memoryview, at: int) -> bool:
+    return len(view) - at >= 8 and (struct.unpack_from("<I", view, at)[0] & 0xFFFFFFF0) == (SKIPPABLE & 0xFFFFFFF0)
 
 
 def frames(content: bytes) -> Iterator[bytes]:
     """What each frame of an archive holds. Raises ValueError if there is no dictionary in front or a frame is broken."""
     view = memoryview(content)
-    if len(view) < 8 or (struct.unpack_from("<I", view)[0] & 0xFFFFFFF0) != (SKIPPABLE & 0xFFFFFFF0):
+    if not _is_skippable(view, 0):
         raise ValueError("no skippable frame in front")
     at = 8 + struct.unpack_from("<I", view, 4)[0]
     if at > len(view):
@@ -129,6 +132,11 @@ def frames(content: bytes) -> Iterator[bytes]:
         dictionary = zstandard.ZstdDecompressor().decompress(dictionary)
     unpacker = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
     while at < len(view):
+        if _is_skippable(view, at):
+            at += 8 + struct.unpack_from("<I", view, at + 4)[0]
+            if at > len(view):
+                raise ValueError("a skippable frame is cut off")
+            continue
         if len(view) - at < 4 or struct.unpack_from("<I", view, at)[0] != FRAME:
             raise ValueError(f"no frame at byte {at}")
         one, parts = unpacker.decompressobj(), []
@@ -209,21 +217,38 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
     return archives.select("path", "content").mapInArrow(decode, READ_DDL)
 
 
+def unproved(records: DataFrame) -> DataFrame:
+    """Of the records read, the revisits (page_id, refers_to) whose payload digest no response of that page_id has. Revisits are counted by what they refer to and say before they meet it."""
+    said = records.filter("record_type = 'revisit'").groupBy("refers_to", "payload_digest").agg(F.min("page_id").alias("page_id"))
+    held = records.filter("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_digest").distinct()
+    return said.join(held, ["refers_to", "payload_digest"], "left_anti").select("page_id", "refers_to")
+
+
 def dictionary_of(pages: DataFrame) -> bytes:
-    """A dictionary from a bounded sample of pages (SAMPLE_PAGES)."""
-    some = pages.select(F.substring("html", 1, SAMPLE_CHARS).alias("html"), F.xxhash64("page_id").alias("h")).orderBy("h", "html").limit(SAMPLE_PAGES)
-    return train_dictionary([(r.html or "").encode() for r in some.select("html").collect()])
+    """A dictionary from a bounded sample of pages (SAMPLE_PAGES): those whose hashes are below a bound that some four times as many are expected to meet, each hash once."""
+    many = max(1, pages.count())
+    bound = min(4 * SAMPLE_PAGES, many) * (2**63 - 1) // many
+    some = pages.select(F.substring("html", 1, SAMPLE_CHARS).alias("html"), F.xxhash64("page_id", "url").alias("h")).filter(F.abs("h") <= bound).groupBy("h").agg(F.min("html").alias("html"))
+    return train_dictionary([(r.html or "").encode() for r in some.orderBy("h").limit(SAMPLE_PAGES).collect()])
 
 
 def op7_warc(pages: DataFrame) -> DataFrame:
-    """Every page written to an archive in the shared folder and read back from there.
+    """Every page written to archive files in the shared folder and read back from there.
 
     A null html is an empty payload, a null url leaves its header out. Rows with a null page_id
-    revisit an equal payload that has one.
+    revisit an equal payload that has one. Equal rows with the largest page_id are all responses.
+    Very long pages are a record like others. An empty table makes no record. A record that does
+    not read back whole, or a revisit without its response, is an error.
     """
-    archives, _ = written(write_archives(classified(pages), dictionary_of(pages)))
-    back = read_archives(archives, payloads=False)
-    return back.select("page_id", "payload_bytes", "payload_digest", F.coalesce("record_type", F.raise_error(F.concat(F.lit("bad record: "), F.col("error"))).cast("string")).alias("record_type"), "refers_to")
+    spark, mark = pages.sparkSession, marked()
+    folder = reserved(spark)
+    save_archives(write_archives(classified(pages), dictionary_of(pages)), folder)
+    back, _ = written(read_archives(open_archives(spark, folder), payloads=False))
+    drop(spark, folder)
+    wrong = back.filter("error is not null").select("error").unionByName(unproved(back).select(F.concat(F.lit("no response to revisit "), F.coalesce(F.col("page_id").cast("string"), F.lit("none"))).alias("error"))).first()
+    if wrong:
+        raise ValueError(wrong.error)
+    return settled(back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), mark)
 
 
 OP7_SQL = """

@@ -30,10 +30,11 @@ def test_least_bytes(spark):
 def test_files_round_trip(spark, tmp_path):
     pages = spark.createDataFrame(ROWS, "page_id long, url string, html string")
     archives = warc.write_archives(warc.classified(pages), warc.dictionary_of(pages))
-    warc.export_archives(archives, str(tmp_path))
-    assert glob.glob(f"{tmp_path}/*.warc.zst")
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(str(tmp_path))
-    back = warc.read_archives(files)
+    warc.save_archives(archives, f"{tmp_path}/archives")
+    files = glob.glob(f"{tmp_path}/archives/part-*")
+    assert files and all(open(f, "rb").read().endswith(warc.FILE_END) for f in files)
+    back = warc.read_archives(warc.open_archives(spark, f"{tmp_path}/archives"))
+    assert back.count() == len(ROWS)
     assert back.filter("error is not null").count() == 0
     assert bytes(back.filter("page_id = 5").first().payload) == ("é" * 70_000).encode()
     assert back.filter("page_id = 1").first().url == "http://a/%20b%0D%0A"
@@ -65,6 +66,15 @@ def test_compressed_dictionary():
     assert warc.parse_record(next(iter(warc.frames(data))))["refers_to"] == 4
 
 
-def test_bad_record_fails_the_query(spark):
-    df = spark.range(1).select(F.lit("x").alias("error"), F.lit(None).cast("string").alias("record_type"))
-    assert df.count() == 1
+def test_a_revisit_must_have_its_response(spark):
+    rows = [(1, "response", "A", None), (2, "revisit", "A", 1), (3, "revisit", "B", 1), (4, "revisit", "A", 9), (5, "response", "B", None)]
+    df = spark.createDataFrame(rows, "page_id long, record_type string, payload_digest string, refers_to long")
+    assert sorted((r.page_id, r.refers_to) for r in warc.unproved(df).collect()) == [(3, 1), (4, 9)]
+
+
+def test_the_sample_is_small_however_many_partitions(spark):
+    """Hardly more pages than the dictionary takes pass the bound, whatever the number of rows and partitions."""
+    pages = spark.range(20_000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.lit("<p>page "), "id").alias("html")).repartition(16)
+    assert warc.dictionary_of(pages) == warc.dictionary_of(pages.repartition(3))
+    bound = int(4 * warc.SAMPLE_PAGES / 20_000 * (2**63 - 1))
+    assert warc.SAMPLE_PAGES < pages.filter(F.abs(F.xxhash64("page_id", "url")) <= bound).count() < 6 * warc.SAMPLE_PAGES
