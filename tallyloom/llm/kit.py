@@ -258,3 +258,11 @@ def lookup(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left",
     left = big.withColumn("salt__", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
     right = right.withColumn("salt__r", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long"))
     return left.join(right, [*same, F.col("salt__") == F.col("salt__r")], how).drop(*gone, "salt__", "salt__r")
+
+
+def split_join(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame, by: list[str]) -> DataFrame:
+    """An inner join on keys. Rows of `left` whose key (by) is in `hot` (by, salts) are dealt over salts + 1 parts, and those of `right` are copied to each; null keys meet nothing."""
+    none = F.lit(0).cast("long")
+    dealt = lookup(left, hot, by).withColumn("part__", F.pmod(F.xxhash64(*left.columns), F.coalesce("salts", none) + 1)).drop("salts")
+    copied = lookup(right, hot, by).withColumn("part__", F.explode(F.sequence(none, F.coalesce("salts", none)))).drop("salts")
+    return dealt.join(copied, [*keys, "part__"]).drop("part__")

@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tallyloom.llm import components, ngram_join
@@ -61,14 +63,50 @@ def test_against_brute_force(spark, seed, n_words, size, percent):
     assert sorted([(r.doc_id, r.n_shingles, r.component) for r in got], key=repr) == brute(rows, size, percent)
 
 
-def test_fragments_of_large_sets(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "FRAGMENT", 16)
+def test_crowded_ngrams_and_hubs_are_dealt_over_tasks(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "PARTNERS", 3)
     rows = corpus(4, 150)
     got = ngram_join.linked(spark.createDataFrame(rows, "doc_id long, text string"), size=4, percent=85).collect()
     assert sorted([(r.doc_id, r.n_shingles, r.component) for r in got], key=repr) == brute(rows, 4, 85)
 
 
+def test_every_set_is_cut_by_the_global_order(spark):
+    """With the constants as shipped: fragments hold about as many n-grams each, all of a set together its n-grams, and the more common ones in later fragments."""
+    df = spark.createDataFrame(corpus(5, 200), "doc_id long, text string")
+    table = ngram_join.counted(df, "doc_id", "text", 4).cache()
+    levels, fragment = ngram_join.global_order(table)
+    assert all(levels[fragment == k].max() <= levels[fragment == k + 1].min() for k in range(ngram_join.FRAGMENTS - 1) if (fragment == k).any() and (fragment == k + 1).any())
+    full = np.full(ngram_join.FILTER_BITS // 64, 2**64 - 1, np.uint64)
+    cut = ngram_join.fragments(df, "text", 4, full, fragment, True).dropDuplicates(["class", "part"]).collect()
+    sizes = {r["class"]: r.n for r in table.filter("class is not null").collect()}
+    held, by_part = {}, [0] * ngram_join.FRAGMENTS
+    for r in cut:
+        held.setdefault(r["class"], []).extend(r.grams)
+        by_part[r.part] += len(r.grams)
+    assert {c: len(set(g)) for c, g in held.items()} == sizes and all(len(g) == len(set(g)) for g in held.values())
+    assert min(by_part) > 0 and sum(len(held[c]) > 100 for c in held) > 50
+    assert all(len({r.part for r in cut if r["class"] == c}) > 4 for c in held if len(held[c]) > 100)
+
+
+def test_overlaps_are_sums_over_fragments(spark):
+    rows = corpus(6, 80)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    table = ngram_join.counted(df, "doc_id", "text", 4).cache()
+    _, fragment = ngram_join.global_order(table)
+    classes = table.filter("class is not null").select("class", "n").distinct().limit(25)
+    pairs = classes.selectExpr("class AS a", "n AS na").crossJoin(classes.selectExpr("class AS b", "n AS nb")).filter("a < b")
+    sets = {}
+    for _, text in rows:
+        for s in ngram_join.sets_of(ngram_join.texts_of(pa.array([text])), 4):
+            if len(s):
+                sets[ngram_join.class_of(s)] = set(s.tolist())
+    exact = {(r.a, r.b): r.o for r in ngram_join.overlaps(df, "text", 4, fragment, pairs, True).collect()}
+    rough = {(r.a, r.b): r.o for r in ngram_join.overlaps(df, "text", 4, fragment, pairs, False).collect()}
+    for r in pairs.collect():
+        want = len(sets[r.a] & sets[r.b])
+        assert exact.get((r.a, r.b), 0) == want <= rough.get((r.a, r.b), 0)
+
+
 def test_one_of_each(spark, odd_documents, no_documents):
     rows = odd_documents.collect()
     kept = ngram_join.one_of_each(odd_documents)
