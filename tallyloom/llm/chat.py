@@ -58,6 +58,34 @@ LAYOUTS = [
 ]
 
 
+def field_paths(record: Column) -> Column:
+    """Sorted nested field paths of a JSON object: `a`, `a.b`, `a[].b`; of arrays, those that any element has."""
+    none = F.array().cast("array<string>")
+    at = lambda k: F.call_function("get_json_object", record, F.concat(F.lit("$['"), k, F.lit("']")))
+    keys = lambda x: F.coalesce(F.json_object_keys(x), none)
+    nested = lambda k: F.coalesce(F.flatten(F.transform(F.from_json(at(k), "array<string>"), keys)), none)
+    below = lambda k: F.concat(F.transform(nested(k), lambda x: F.concat(k, F.lit("[]."), x)), F.transform(keys(at(k)), lambda x: F.concat(k, F.lit("."), x)))
+    of = lambda k: F.when(F.size(below(k)) > 0, below(k)).otherwise(F.array(k))
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(F.json_object_keys(record), of))))
+
+
+def fingerprint(self) -> str:
+        return hashlib.sha256("\n".join(sorted(self.paths)).encode()).hexdigest()
+
+
+LAYOUTS = [
+    Layout("turns", ("turns[].role", "turns[].text"), turns=("turns", "role", "text")),
+    Layout("messages", ("messages[].role", "messages[].content"), turns=("messages", "role", "content")),
+    Layout("sharegpt", ("conversations[].from", "conversations[].value"), turns=("conversations", "from", "value")),
+    Layout("instruction_input", ("instruction", "input", "output"), fields=(("user", ("instruction", "input")), ("assistant", ("output",)))),
+    Layout("instruction", ("instruction", "output"), fields=(("user", ("instruction",)), ("assistant", ("output",)))),
+    Layout("system_prompt", ("system", "prompt", "response"), fields=(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",)))),
+    Layout("prompt_completion", ("prompt", "completion"), fields=(("user", ("prompt",)), ("assistant", ("completion",)))),
+    Layout("prompt_response", ("prompt", "response"), fields=(("user", ("prompt",)), ("assistant", ("response",)))),
+    Layout("question_answer", ("question", "answer"), fields=(("user", ("question",)), ("assistant", ("answer",)))),
+]
+
+
 def field_paths(record: Column) -> Column:
     """Sorted nested field paths of a JSON object: `a`, `a.b`, `a[].b`; of arrays, those of the first element."""
     nested = lambda k: F.coalesce(F.json_object_keys(F.call_function("get_json_object", record, F.concat(F.lit("$['"), k, F.lit("'][0]")))), F.array().cast("array<string>"))
@@ -168,6 +196,40 @@ def op8_chat_format(conversations: DataFrame) -> DataFrame:
     return back.select("conv_id", F.size("turns_read").cast("long").alias("n_turns"), F.sha2(F.array_join(line, ""), 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def layouts_to_turns(conversations: DataFrame) -> DataFrame:
+    """A question and an answer of each conversation, cast into one of all layouts by its id, then read by fingerprint: layout, turns and their digest."""
+    said = lambda role: F.coalesce(F.max(F.when(F.col("role") == role, F.col("text"))), F.lit(""))
+    rows = conversations.groupBy("conv_id").agg(said("user").alias("q"), said("assistant").alias("a"))
+    turns = lambda role, text, user, bot: F.array(F.struct(F.lit(user).alias(role), F.col("q").alias(text)), F.struct(F.lit(bot).alias(role), F.col("a").alias(text)))
+    q, a = F.col("q"), F.col("a")
+    forms = {
+        "turns": F.struct(turns("role", "text", "user", "assistant").alias("turns")),
+        "messages": F.struct(turns("role", "content", "user", "assistant").alias("messages")),
+        "sharegpt": F.struct(turns("from", "value", "human", "gpt").alias("conversations")),
+        "instruction_input": F.struct(q.alias("instruction"), F.lit("as told").alias("input"), a.alias("output")),
+        "instruction": F.struct(q.alias("instruction"), a.alias("output")),
+        "system_prompt": F.struct(F.lit("be brief").alias("system"), q.alias("prompt"), a.alias("response")),
+        "prompt_completion": F.struct(q.alias("prompt"), a.alias("completion")),
+        "prompt_response": F.struct(q.alias("prompt"), a.alias("response")),
+        "question_answer": F.struct(q.alias("question"), a.alias("answer")),
+    }
+    record = F.lit(None).cast("string")
+    for k, x in enumerate(LAYOUTS):
+        record = F.when(F.pmod("conv_id", F.lit(len(LAYOUTS))) == k, F.to_json(forms[x.name])).otherwise(record)
+    read = canonical_turns(rows.select("conv_id", record.alias("record")))
+    line = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return read.select("conv_id", "layout", F.size("turns").cast("long").alias("n_turns"), F.sha2(F.array_join(line, ""), 256).alias("turns_sha256"))
+
+
+LAYOUTS_SQL = f"""
+WITH c AS (SELECT conv_id, conv_id % {len(LAYOUTS)} AS k, coalesce(max(text) FILTER (role = 'user'), '') AS q, coalesce(max(text) FILTER (role = 'assistant'), '') AS a FROM conversations GROUP BY conv_id)
+SELECT conv_id, [{", ".join(f"'{x.name}'" for x in LAYOUTS)}][k + 1] AS layout, CASE WHEN k = 5 THEN 3 ELSE 2 END::BIGINT AS n_turns,
+  sha256(CASE WHEN k = 5 THEN 'system' || chr(10) || 'be brief' || chr(10) ELSE '' END || 'user' || chr(10) || q
+    || CASE WHEN k <> 3 THEN '' WHEN q = '' THEN 'as told' ELSE chr(10) || chr(10) || 'as told' END || chr(10) || 'assistant' || chr(10) || a || chr(10)) AS turns_sha256
+FROM c
+"""
+
+
 OP8_SQL = f"""
 WITH rows_ AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.kit import LOWER, Texts, lookup, mix, record, shingle_hashes, signed, slices, texts_of, word_bounds, word_hashes, written
+from tallyloom.llm.kit import LOWER, Texts, lookup, marked, mix, named, packed, record, settled, shingle_hashes, signed, slices, texts_of, unpacked, word_bounds, word_hashes, written
 
 #: Tokens in a window (an item of fewer is one window), and literal ones that a template needs; a window with fewer is taken as it stands.
 WINDOW, LITERALS = 8, 4
@@ -113,7 +113,7 @@ def _slots(literal: np.ndarray, kind: np.ndarray, at: np.ndarray, size: int, hol
 
 
 def item_windows(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
-    """(item_id, hash, size, pos, slots, windows): every window of every item."""
+    """(item_id, item_key, hash, size, pos, slots, windows): every window of every item. The key tells texts that share an id apart; equal ones are one item."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,10 +125,11 @@ def item_windows(benchmark: DataFrame, item: str = "item_id", text: str = "text"
                     mine = np.minimum(counts[owner], WINDOW) == size
                     hashes, owner, at, holed = hashes[mine], owner[mine], at[mine], holed[mine]
                     if len(owner):
-                        yield record(item_id=batch.column(0).slice(i, j - i).take(pa.array(owner)), hash=signed(hashes), size=np.full(len(owner), size), pos=at - first[owner], slots=_slots(literal, kind, at, size, holed), windows=counts[owner] - size + 1)
+                        yield record(item_id=batch.column(0).slice(i, j - i).take(pa.array(owner)), item_key=batch.column(2).slice(i, j - i).take(pa.array(owner)), hash=signed(hashes), size=np.full(len(owner), size), pos=at - first[owner], slots=_slots(literal, kind, at, size, holed), windows=counts[owner] - size + 1)
 
     kind = benchmark.schema[item].dataType.simpleString()
-    return benchmark.select(item, text).mapInArrow(emit, f"item_id {kind}, hash long, size long, pos long, slots array<long>, windows long")
+    once = benchmark.select(named(item).alias("item"), named(text).alias("text"), F.xxhash64(named(text)).alias("key")).distinct()
+    return once.mapInArrow(emit, f"item_id {kind}, item_key long, hash long, size long, pos long, slots array<long>, windows long")
 
 
 def _filter_of(windows: DataFrame) -> tuple[np.ndarray, list[int]]:
@@ -144,7 +145,9 @@ def matches(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     """(key, item_id, matched, coverage, reparameterised) of every text that holds an item; key is xxhash64 of the text.
 
     A null or empty text or item matches nothing. Equal texts are one key. Items without tokens
-    cannot be found. An empty table on either side gives an empty table.
+    cannot be found. Items that share an id (or have none) with other texts are found each by
+    itself; of one id the one with the largest coverage is told. Very long texts are read whole.
+    An empty table on either side gives an empty table. Columns may have any other names.
     """
     items, _ = written(item_windows(benchmark, item, item_text))
     words, sizes = _filter_of(items)
@@ -165,28 +168,33 @@ def matches(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
                         hashes, owner, at, holed = hashes[some], owner[some], at[some], holed[some]
                         yield record(key=batch.column(1).slice(i, j - i).take(pa.array(owner)), hash=signed(hashes), at=at - first[owner], found=_slots(literal, kind, at, size, holed))
 
-    rows = df.select(F.col(text), F.xxhash64(text).alias("key")).mapInArrow(hits, "key long, hash long, at long, found array<long>").distinct()
+    rows = df.select(named(text), F.xxhash64(named(text)).alias("key")).mapInArrow(hits, "key long, hash long, at long, found array<long>").distinct()
     met = lookup(rows, items, ["hash"], "inner").filter(F.size("slots") == F.size("found"))
     met = met.withColumn("line", F.col("at") - F.col("pos"))
     # The slots of an alignment agree if each of the item's values stands for one value of the text. Windows without slots, taken word for word, count whether they agree or not.
     pairs = F.transform(F.arrays_zip("slots", "found"), lambda z: F.struct(z["slots"].alias("s"), z["found"].alias("f")))
     at = lambda some: F.collect_set(F.when(some, F.col("pos")))
-    lines = met.groupBy("key", "item_id", "line").agg(F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"), at(F.size("slots") == 0).alias("plain"), at(F.size("slots") > 0).alias("holed"), F.max("windows").alias("windows"))
+    lines = met.groupBy("key", "item_id", "item_key", "line").agg(F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"), at(F.size("slots") == 0).alias("plain"), at(F.size("slots") > 0).alias("holed"), F.max("windows").alias("windows"))
     agree = F.size(F.array_distinct(F.transform("pairs", lambda p: p["s"]))) == F.size("pairs")
     lines = lines.withColumn("at", F.when(agree, F.array_union("plain", "holed")).otherwise(F.col("plain"))).withColumn("other", agree & F.exists("pairs", lambda p: p["s"] != p["f"]))
     good = lines.filter(F.size("at") > 0)
-    found = good.groupBy("key", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("matched"), F.max("windows").alias("windows"), F.min("other").alias("reparameterised"))
-    return found.withColumn("coverage", F.col("matched") / F.col("windows")).filter(F.col("coverage") >= COVERAGE).select("key", "item_id", "matched", "coverage", "reparameterised")
+    found = good.groupBy("key", "item_id", "item_key").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("matched"), F.max("windows").alias("windows"), F.min("other").alias("reparameterised"))
+    found = found.withColumn("coverage", F.col("matched") / F.col("windows")).filter(F.col("coverage") >= COVERAGE)
+    best = found.groupBy("key", "item_id").agg(F.max(F.struct("coverage", "matched", "reparameterised")).alias("best"))
+    return best.select("key", "item_id", "best.matched", "best.coverage", "best.reparameterised")
 
 
 def clean(df: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The rows whose text holds no item, with their columns; a null text holds none."""
-    bad, _ = written(matches(df, benchmark, text).select(F.col("key").alias("key__")).distinct().withColumn("bad__", F.lit(True)))
-    return lookup(df.withColumn("key__", F.xxhash64(text)), bad, ["key__"]).filter(F.col("bad__").isNull()).drop("key__", "bad__")
+    """The rows whose text holds no item, with their columns, whatever their names; a null text holds none."""
+    mark = marked()
+    bad = settled(matches(df, benchmark, text).select("key").distinct().withColumn("bad", F.lit(True)), mark)
+    rows = packed(df).withColumn("key", F.xxhash64(F.col("row").getField(text)))
+    return unpacked(lookup(rows, bad, ["key"]).filter(F.col("bad").isNull()), df)
 
 
 def op5_decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """A row for every document and benchmark item that it holds."""
-    found, _ = written(matches(documents, benchmark))
+    """A row for every document and benchmark item that it holds. See `matches`; repeated documents have their rows each."""
+    mark = marked()
+    found = settled(matches(documents, benchmark), mark)
     keyed = documents.select("doc_id", F.xxhash64("text").alias("key"))
     return lookup(keyed, found, ["key"], "inner").select("doc_id", "item_id", "matched", "coverage", "reparameterised")

@@ -1,8 +1,6 @@
 import hashlib
 import json
 
-from pyspark.sql import functions as F
-
 from tallyloom.llm import chat
 
 
@@ -27,6 +25,16 @@ def test_layouts(spark):
     assert got[0][1][0].text == "do\n\nthis" and all(g == (None, None) for g in got[1:])
 
 
+def test_paths_of_all_elements(spark):
+    """A first message with fewer fields than the later ones, and elements that are no objects."""
+    rows = [json.dumps({"messages": [{"role": "user"}, {"role": "assistant", "content": "b"}]}), json.dumps({"messages": [1, {"role": "a", "content": "b", "x": 0}], "n": {"y": 1}, "z": [1, 2]})]
+    df = spark.createDataFrame([(r,) for r in rows], "record string")
+    got = [r.p for r in df.select(chat.field_paths(df.record).alias("p")).collect()]
+    assert got == [["messages[].content", "messages[].role"], ["messages[].content", "messages[].role", "messages[].x", "n.y", "z"]]
+    out = chat.canonical_turns(df).collect()
+    assert [r.layout for r in out] == ["messages", "messages"] and [(t.role, t.text) for t in out[0].turns] == [("user", ""), ("assistant", "b")]
+
+
 def test_round_trip(spark, data):
     texts = ["</s>[INST] ok [/INST]", "%25 %3C %5B <|turn_end|>\n", "<|turn_start|>user\nx", "", None, "a\nb<", "<<SYS>> <</SYS>> %", "%%25%3C|"]
     rows = [(1, i, "assistant" if i % 2 else "us\ner<|", t) for i, t in enumerate(texts)] + [(2, 0, None, "x"), (2, None, "assistant", "tie"), (2, 0, None, "x"), (None, 0, "user", "y")]
@@ -56,4 +64,3 @@ def test_marks_and_mask(spark):
 def test_no_python_on_the_main_path(spark, data):
     plan = chat.op8_chat_format(spark.read.parquet(f"{data}/conversations.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
-    assert F is not None
