@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tallyloom.catalog import DATASETS, Dataset, Registry
 from tallyloom.functions.hashing import order_key
 from tallyloom.operators import records
+from tallyloom.operators.sampling import take
 from tallyloom.sources.readers import read_any
 
 CONVERTERS = Registry("converter")
@@ -114,6 +115,6 @@ def registered(name: str, path: str, splits: tuple[str, ...] = ("train",), endin
 
     def build(spark: SparkSession, split: str, cap: int | None) -> DataFrame:
         made = convert(read_any(spark, f"{path}/{split}", ending)).withColumn("split", F.lit(split))
-        return made.orderBy(order_key(f"{name}:{split}", F.col("id")), "id").limit(cap) if cap else made
+        return take(made, cap, f"{name}:{split}", F.col("id")) if cap else made
 
     return DATASETS.register(name, Dataset(name, build, splits, area=AREAS[name], **more))

@@ -200,3 +200,27 @@ def clipped(start: Column, end: Column, low: Column, high: Column) -> Column:
     """The part of an interval inside a window, as (start, end), or null."""
     a, b = F.greatest(start, low), F.least(end, high)
     return F.when(a < b, F.struct(a.alias("start"), b.alias("end")))
+
+
+def cloze(x: Column, mark: str, answers: Column, at: Column, gap: str = "____") -> Column:
+    """A text whose marks (a pattern) are filled with answers in order, but for number `at` (from 0), which becomes a gap; null if marks and answers differ in number."""
+    pieces = F.split(x, mark)
+    fill = lambda i: F.when(i == at, gap).otherwise(F.get(answers, i))
+    parts = F.transform(pieces, lambda p, i: F.when(i < F.size(pieces) - 1, F.concat(p, fill(i))).otherwise(p))
+    return F.when(F.size(pieces) - 1 == F.size(answers), F.array_join(parts, ""))
+
+
+def constraint_text(name: Column, arguments: Column) -> Column:
+    """A constraint `group:some_rule` in words, with its arguments (a JSON object) by name; null, empty and [] are left out, text is quoted."""
+    items = F.map_entries(F.from_json(arguments, "map<string, string>"))
+    kept = F.filter(items, lambda e: e["value"].isNotNull() & ~e["value"].isin("", "[]", "null"))
+    shown = lambda v: F.when(v.try_cast("double").isNotNull() | v.startswith("[") | v.isin("true", "false"), v).otherwise(F.concat(F.lit("'"), v, F.lit("'")))
+    told = F.transform(F.array_sort(kept), lambda e: F.concat(e["key"], F.lit("="), shown(e["value"])))
+    words = F.replace(F.replace(name, F.lit(":"), F.lit(" / ")), F.lit("_"), F.lit(" "))
+    return F.when(F.size(told) > 0, F.concat(words, F.lit(" ("), F.array_join(told, ", "), F.lit(")"))).otherwise(words)
+
+
+def media_order(x: Column, kind: str, media: Column) -> Column:
+    """The media items that `<kind:N>` tags of a text name, in order of appearance; a number outside the items is an error."""
+    wrong = lambda n: F.raise_error(F.concat(F.lit(f"no item for <{kind}:"), n.cast("string"), F.lit(">"))).cast("int")
+    return F.transform(media_tags(x, kind), lambda n: F.element_at(media, F.when((n >= 1) & (n <= F.size(media)), n).otherwise(wrong(n))))

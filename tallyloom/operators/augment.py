@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.hashing import order_key, uniform
 from tallyloom.functions.text import without_tags
 from tallyloom.operators.records import OPTION
-from tallyloom.operators.sampling import hash_rank
+from tallyloom.operators.sampling import PART_DIGITS, hash_rank
 
 # The option that says that no other fits.
 NONE_KEY, NONE_TEXT = "none_of_the_above", "None of the other options fits."
@@ -47,19 +49,43 @@ def fitted(opts: Column, label: Column, most: int, seed: int, *key: Column) -> C
 def packed(records: DataFrame, size: int, seed: int) -> DataFrame:
     """Records without images and media packed `size` at a time into one: states as item_1 …, questions as item_1_name …
 
-    Packs follow hash order inside 256 parts, so that no task sees all records; the last pack of a
-    part may be smaller.
+    Packs follow hash order; the last one may be smaller.
     """
     plain = records.filter((F.size("images") == 0) & (F.size("media") == 0))
-    rows = plain.withColumn("h", order_key(seed, F.col("id"))).withColumn("p", F.substring("h", 1, 2))
-    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy("h", "id")) - 1)
-    rows = rows.withColumn("pack", F.floor(F.col("r") / size)).withColumn("item", F.col("r") % size + 1)
+    rows = hash_rank(plain, [], order_key(seed, F.col("id")), F.col("id"), "r").withColumn("pack", F.floor((F.col("r") - 1) / size))
+    return _joined(rows.withColumn("item", (F.col("r") - 1) % size + 1))
+
+
+def packed_by_coin(records: DataFrame, p_pack: float, most: int, seed: int) -> DataFrame:
+    """Of the records without images and media, in hash order, a share packed two to `most` at a time; the others, and those with images or media, stay as they are.
+
+    Runs of lcm(2 … most) records, by their number, take a coin and a size; so runs with a coin
+    are cut into packs of one size without a rest, but for the last run.
+    """
+    run = math.lcm(*range(2, most + 1))
+    plain = (F.size("images") == 0) & (F.size("media") == 0)
+    rows = hash_rank(records.filter(plain), [], order_key(seed, F.col("id")), F.col("id"), "r").withColumn("run__", F.floor((F.col("r") - 1) / run))
+    rows = rows.withColumn("coin__", uniform(f"{seed}:coin", F.col("run__")) < p_pack).withColumn("size__", 2 + F.floor(uniform(f"{seed}:size", F.col("run__")) * (most - 1)))
+    inside = (F.col("r") - 1) % run
+    packs = rows.filter("coin__").withColumn("pack", F.col("run__") * run + F.floor(inside / F.col("size__"))).withColumn("item", inside % F.col("size__") + 1)
+    made = _joined(packs.drop("run__", "coin__", "size__"))
+    alone = rows.filter("not coin__").select(*made.columns).unionByName(records.filter(~plain).select(*made.columns))
+    return made.unionByName(alone)
+
+
+def batch_seed(seed: int, ids: Column) -> Column:
+    """A seed of a batch (an array of record ids in order), so that a batch made again is augmented alike."""
+    return F.conv(F.substring(F.sha1(F.concat_ws("|", F.lit(str(seed)), ids)), 1, 15), 16, 10).cast("long")
+
+
+def _joined(rows: DataFrame) -> DataFrame:
+    """One record of the rows of each pack, in order of item."""
     name = lambda n: F.concat(F.lit("item_"), F.col("item").cast("string"), F.lit("_"), n)
     about = lambda t: F.concat(F.lit("About item_"), F.col("item").cast("string"), F.lit(": "), t)
     rows = rows.withColumn("questions", F.transform("questions", lambda q: F.struct(name(q["name"]).alias("name"), q["type"].alias("type"), about(q["instructions"]).alias("instructions"), q["options"].alias("options"))))
     rows = rows.withColumn("targets", F.transform("targets", lambda t: F.struct(name(t["name"]).alias("name"), t["label"].alias("label"), t["probs"].alias("probs"))))
-    items = F.array_sort(F.collect_list(F.struct("item", "id", "state", "questions", "targets", "meta")), lambda a, b: a["item"] - b["item"])
-    grouped = rows.groupBy("p", "pack").agg(items.alias("items"), F.first("source").alias("source"))
+    items = F.array_sort(F.collect_list(F.struct("item", "id", "state", "questions", "targets", "meta")), lambda a, b: (a["item"] - b["item"]).cast("int"))
+    grouped = rows.groupBy("pack").agg(items.alias("items"), F.first("source").alias("source"))
     state = F.to_json(F.map_from_entries(F.transform("items", lambda x: F.struct(F.concat(F.lit("item_"), x["item"].cast("string")).alias("key"), x["state"].alias("value")))))
     return grouped.select(
         F.array_join(F.transform("items", lambda x: x["id"]), "+").alias("id"),
@@ -91,13 +117,13 @@ def blacked(media: Column) -> Column:
     return F.transform(media, lambda m: F.when(m["type"] == "video", m.withField("black", F.lit(True))).otherwise(m))
 
 
-def next_different(df: DataFrame, value: str, seed: int, key: Column, name: str = "other", part: int = 4096) -> DataFrame:
+def next_different(df: DataFrame, value: str, seed: int, key: Column, name: str = "other", digits: int = PART_DIGITS) -> DataFrame:
     """The rows with another row's value: the next different one in hash order, from the last row on to the first; null if all are equal.
 
-    Rows are ranked in parts of `part`. Inside a part the next run of equal values tells; its last
-    run looks at a table of the parts' first and last values.
+    The hash space is cut into 16**digits parts. Inside a part the next run of equal values tells;
+    its last run looks at a table with a row for each part.
     """
-    ranked = hash_rank(df, [], order_key(seed, key), key, "r__").withColumn("part__", F.floor((F.col("r__") - 1) / part))
+    ranked = df.withColumn("r__", F.struct(order_key(seed, key).alias("h"), key.alias("k"))).withColumn("part__", F.substring(F.col("r__.h"), 1, digits))
     inside = Window.partitionBy("part__").orderBy("r__")
     before = F.lag(value).over(inside)
     rows = ranked.withColumn("head__", F.when(before.isNull() | ~before.eqNullSafe(F.col(value)), 1).otherwise(0)).withColumn("run__", F.sum("head__").over(inside))

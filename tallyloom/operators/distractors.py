@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions.hashing import order_key
 from tallyloom.functions.text import jaccard, word_set
 from tallyloom.operators import sampling
+from tallyloom.operators.intervals import plausible_box
 
 
 def from_pool(pool: Column, gold: Column, n: int, seed: int, *key: Column) -> Column:
@@ -76,6 +77,31 @@ def numeric_options(gold: Column, decimals: int, n: int, seed: int, *key: Column
     return F.when(F.size(texts) >= n, F.slice(texts, 1, n))
 
 
+def spread_boxes(gold: Column, others: Column, most: int, width: Column, height: Column, seed: int, *key: Column) -> Column:
+    """Gold and up to `most` other boxes (x, y, w, h, text) in hash order that are plausible marks beside it: taken one after the other, each with a text of its own and less than 30 % of the smaller box covered by one taken before."""
+    area = lambda b: b["w"] * b["h"]
+    side = lambda a, b, at, by: F.greatest(F.least(a[at] + a[by], b[at] + b[by]) - F.greatest(a[at], b[at]), F.lit(0))
+    covered = lambda a, b: side(a, b, "x", "w") * side(a, b, "y", "h") / F.greatest(F.least(area(a), area(b)), F.lit(1))
+    pool = F.filter(others, lambda b: plausible_box(b["w"], b["h"], width, height) & (F.coalesce(b["text"], F.lit("")) != ""))
+    ranked = F.transform(F.array_sort(F.transform(pool, lambda b: F.struct(order_key(seed, *key, b["text"], b["x"], b["y"]).alias("h"), b.alias("b")))), lambda s: s["b"])
+    beside = lambda taken, b: (F.size(taken) <= most) & ~F.exists(taken, lambda t: (t["text"] == b["text"]) | (covered(t, b) >= 0.3))
+    return F.aggregate(ranked, F.array(gold), lambda taken, b: F.when(beside(taken, b), F.concat(taken, F.array(b))).otherwise(taken))
+
+
+def by_distance(options: Column, gold: Column) -> Column:
+    """Other texts by how near they are to gold: the difference in words, and two more if only one of both holds a digit; ties by text."""
+    words = lambda x: F.size(F.split(F.trim(x), r"\s+"))
+    digit = lambda x: x.rlike("[0-9]")
+    far = lambda x: F.abs(words(x) - words(gold)) + F.when(digit(x) != digit(gold), 2).otherwise(0)
+    return F.transform(F.array_sort(F.transform(F.filter(options, lambda x: x != gold), lambda x: F.struct(far(x).alias("far"), x.alias("x")))), lambda s: s["x"])
+
+
+def same_type(pool: Column, gold: Column) -> Column:
+    """The values of a pool that look like gold: numbers if it is one, capitalised if it is, with as many words."""
+    kind = lambda x: F.struct(x.rlike(r"^[-+$]?[0-9][0-9.,%]*$").alias("number"), x.rlike(r"^\p{Lu}").alias("name"), F.size(F.split(F.trim(x), r"\s+")).alias("words"))
+    return F.filter(pool, lambda x: (x != gold) & (kind(x) == kind(gold)))
+
+
 def integer_options(gold: Column, n: int = 4) -> Column:
     """n distinct sorted integers around gold."""
     near = F.array_distinct(F.array(gold, gold + 1, gold - 1, gold + 2, gold - 2, gold * 2, gold + 10))

@@ -25,14 +25,23 @@ def overlapping(a: DataFrame, b: DataFrame, keys: list[str], width: float) -> Da
     return met.filter(F.col("bin__") == F.floor(F.greatest("start", "start_b") / width)).drop("bin__")
 
 
-def busy_seconds(df: DataFrame, group: str, member: str, step: float, least: int = 2) -> DataFrame:
-    """(group, members, busy): distinct members, and the time in which at least `least` of them are active, in bins of `step`."""
+def busy_seconds(df: DataFrame, group: str, member: str, step: float, least: int = 2, shortest: float = 0.0) -> DataFrame:
+    """(group, members, busy): distinct members, and the time in which at least `least` of them are active, in bins of `step`. Members who are active for less than `shortest` in all do not count."""
+    if shortest:
+        active = df.groupBy(group, member).agg(F.sum(F.col("end") - F.col("start")).alias("a__")).filter(F.col("a__") >= shortest).select(group, member)
+        df = df.join(active, [group, member], "left_semi")
     ticks = df.withColumn("tick", F.explode(F.sequence(F.floor(F.col("start") / step), F.floor(F.col("end") / step))))
     each = ticks.groupBy(group, "tick").agg(F.countDistinct(member).alias("active"))
     busy = each.groupBy(group).agg((F.sum(F.when(F.col("active") >= least, 1).otherwise(0)) * step).alias("busy"))
     return df.groupBy(group).agg(F.countDistinct(member).alias("members")).join(busy, group)
 
 
+def longest(df: DataFrame, group: str, start: str, end: str) -> DataFrame:
+    """The longest interval of each group, of equals the first."""
+    best = F.max_by(F.struct(*df.columns), F.struct((F.col(end) - F.col(start)).alias("length"), (-F.col(start)).alias("first")))
+    return df.groupBy(F.col(group).alias("g__")).agg(best.alias("row")).select("row.*")
+
+
 def containing_box(df: DataFrame, boxes: str, x: Column, y: Column) -> Column:
     """Of an array of boxes (x, y, w, h), the smallest that holds a point, or null."""
     inside = F.filter(boxes, lambda b: (b["x"] <= x) & (x <= b["x"] + b["w"]) & (b["y"] <= y) & (y <= b["y"] + b["h"]))

@@ -71,7 +71,11 @@ def breakdown(df: DataFrame, keys: list[str], most: int = 10) -> DataFrame:
     """(key, value, n, accuracy) by meta key; keys with one value go, and keys that repeat an earlier key's table."""
     rows = scored(df).filter(F.col("target").isNotNull())
     pairs = F.array(*[F.struct(F.lit(i).alias("at"), F.lit(k).alias("key"), F.try_element_at("meta", F.lit(k)).alias("value")) for i, k in enumerate(keys[:most])])
-    each = rows.select("hit", F.explode(pairs).alias("m")).filter("m.value is not null")
+    each = rows.select("hit", F.explode(pairs).alias("p")).filter("p.value is not null")
+    # A decision counts for each value of a list (a JSON array), once for each distinct one.
+    listed = F.when(F.ltrim(F.col("p.value")).startswith("["), F.from_json("p.value", "array<string>"))
+    values = F.array_distinct(F.coalesce(listed, F.array("p.value")))
+    each = each.select("hit", "p.at", "p.key", F.explode(values).alias("value")).select("hit", F.struct("at", "key", "value").alias("m")).filter("m.value is not null")
     table = each.groupBy("m.at", "m.key", "m.value").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("hit").cast("double")).alias("accuracy"), F.sum(F.col("hit").cast("int")).alias("right"))
     # Two keys tell the same if the counts and hits of their values do.
     told = table.groupBy("at", "key").agg(F.count(F.lit(1)).alias("values"), F.array_sort(F.collect_list(F.struct("value", "n", "right"))).alias("told"))
@@ -95,18 +99,17 @@ def grid() -> list[float]:
 def fitted_temperature(df: DataFrame, groups: list[str] | None = None) -> DataFrame:
     """The grid's temperature of the least mean NLL (the first of equals): (groups, step, temperature, nll, n).
 
-    Each decision is a row once: all grid sums are columns of one aggregation.
+    Each decision is a row once: all means are columns of one aggregation.
     """
-    z, t = F.col("logits"), F.col("target")
-    top = F.array_max(z)
-    logsum = lambda at: F.log(F.aggregate(z, F.lit(0.0), lambda a, x: a + F.exp((x - top) / at)))
-    nlls = F.transform(F.array(*[F.lit(x) for x in grid()]), lambda at: logsum(at) - (F.element_at(z, t + 1) - top) / at)
-    rows = df.filter(t.isNotNull() & (t < F.size(z))).select(*(groups or []), nlls.alias("nlls"))
-    each = rows.select(*(groups or []), F.posexplode("nlls").alias("step", "nll"))
-    means = each.groupBy(*(groups or []), "step").agg(F.avg("nll").alias("nll"), F.count(F.lit(1)).alias("n"))
-    best = means.groupBy(*(groups or [])).agg(F.min(F.struct("nll", "step", "n")).alias("b"))
-    values = F.array(*[F.lit(x) for x in grid()])
-    return best.select(*(groups or []), F.col("b.step").alias("step"), F.element_at(values, F.col("b.step") + 1).alias("temperature"), F.col("b.nll").alias("nll"), F.col("b.n").alias("n"))
+    by, t, values = groups or [], F.col("target"), grid()
+    rows = df.filter(t.isNotNull() & (t < F.size("logits"))).select(*by, t.alias("t"), "logits", F.array_max("logits").alias("top"))
+    rows = rows.select(*by, F.transform("logits", lambda x: x - F.col("top")).alias("z"), "t").withColumn("gold", F.element_at("z", F.col("t") + 1))
+    logsum = lambda at: F.log(F.aggregate("z", F.lit(0.0), lambda a, x: a + F.exp(x / at)))
+    rows = rows.select(*by, F.transform(F.array(*map(F.lit, values)), lambda at: logsum(at) - F.col("gold") / at).alias("nlls"))
+    means = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.col("nlls")[i]).alias(f"m{i}") for i in range(len(values))])
+    steps = F.array(*[F.struct(F.col(f"m{i}").alias("nll"), F.lit(i).alias("step"), F.lit(x).alias("temperature")) for i, x in enumerate(values)])
+    best = means.filter("n > 0").select(*by, "n", F.array_min(steps).alias("b"))
+    return best.select(*by, "b.step", "b.temperature", "b.nll", "n")
 
 
 def temperatures_by_type(df: DataFrame, kind: str = "type") -> dict[str, float]:

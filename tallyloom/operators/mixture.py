@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import difflib
+from dataclasses import dataclass, fields
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions.hashing import order_key
 from tallyloom.functions.text import fingerprint
-from tallyloom.operators.sampling import hash_rank
+from tallyloom.operators.sampling import hash_rank, take
 
 #: Fixed value: characters from which a text field is a key of its own.
 LONG_FIELD = 40
+#: Fixed value: what stands before a clip id in the id of a source.
+CLIP = "yt:"
 #: Fixed value: how often a small group is repeated at most.
 MOST_REPEATS = 3
 
@@ -30,23 +33,41 @@ def source_keys(ids: Column) -> Column:
     return F.transform(F.coalesce(ids, F.array().cast("array<string>")), lambda s: F.sha1(F.concat(F.lit("source|"), s)))
 
 
-def media_source_id(path: Column) -> Column:
-    """The 11-character clip id of a media path, with or without a time range; for frames and tracks, of their folder."""
+def media_source_id(item: Column) -> Column:
+    """The source id of a media item whose file (of frames, and of files called a or i, whose folder) is named by a clip id of 11 characters, with or without a time range."""
+    first = F.try_element_at(item["frames"], F.lit(1))
+    path = F.coalesce(item["path"], first, item["audio"])
     stem = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[A-Za-z0-9]+$", "")
     parent = F.try_element_at(F.split(path, "/"), F.lit(-2))
-    name = F.when(stem.isin("a", "i") | stem.rlike(r"^(frame_?)?\d+$"), parent).otherwise(stem)
-    return F.when(~name.startswith("video_"), F.nullif(F.regexp_extract(name, r"^([A-Za-z0-9_-]{11})(?:_\d+(?:\.\d+)?){0,2}$", 1), F.lit("")))
+    name = F.when(first.isNotNull() | stem.isin("a", "i"), parent).otherwise(stem)
+    clip = F.nullif(F.regexp_extract(name, r"^([A-Za-z0-9_-]{11})(?:_\d+){0,2}$", 1), F.lit(""))
+    return F.when(~name.startswith("video_"), F.concat(F.lit(CLIP), clip))
 
 
-def record_keys(records: DataFrame) -> DataFrame:
-    """(id, key) of every key of every record."""
+def file_digests(spark: SparkSession, *paths: str) -> DataFrame:
+    """(path, digest) of files: the SHA-1 of their content, so that a copy under another name is the same. Paths are as records tell them, without a scheme for local files."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths))
+    return files.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), F.sha1("content").alias("digest"))
+
+
+def with_digests(records: DataFrame, digests: DataFrame) -> DataFrame:
+    """The records with images by digest where there is one (path, digest), else by path."""
+    each = records.select("id", F.posexplode("images").alias("at", "path")).join(digests, "path", "left").select("id", "at", F.coalesce("digest", "path").alias("ref"))
+    told = each.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "ref"))), lambda x: x["ref"]).alias("told__"))
+    return records.join(told, "id", "left").withColumn("images", F.coalesce("told__", "images")).drop("told__")
+
+
+def record_keys(records: DataFrame, digests: DataFrame | None = None) -> DataFrame:
+    """(id, key) of every key of every record. A record with images or media is another one over another file: images count by content where `digests` tells it, media by path."""
+    if digests is not None:
+        records = with_digests(records, digests)
     texts = F.when(F.col("state_kind") == "object", F.map_values(F.from_json("state", "map<string, string>")))
     media = F.array_join(F.transform("media", lambda m: F.coalesce(m["path"], F.try_element_at(m["frames"], F.lit(1)), F.lit(""))), "|")
     images = F.array_join("images", "|")
     content = F.when(F.size("images") > 0, content_keys(F.concat_ws("|", "state", images))).when(F.size("media") > 0, content_keys(F.concat_ws("|", "state", media))).otherwise(content_keys(F.col("state"), F.coalesce(texts, F.array().cast("array<string>"))))
     given = F.try_element_at("meta", F.lit("source_id"))
-    told = F.when(F.ltrim(given).startswith("["), F.from_json(given, "array<string>")).when(given.isNotNull(), F.array(given))
-    found = F.filter(F.transform("media", lambda m: media_source_id(m["path"])), lambda s: s.isNotNull())
+    told = F.when(F.ltrim(given).startswith("["), F.from_json(given, "array<string>")).when(F.trim(given) != "", F.array(given))
+    found = F.filter(F.transform("media", media_source_id), lambda s: s.isNotNull())
     return records.select("id", F.explode(F.array_union(content, source_keys(F.coalesce(told, found)))).alias("key"))
 
 
@@ -55,9 +76,9 @@ def overlapping(keys: DataFrame, banned: DataFrame) -> DataFrame:
     return keys.join(banned.select("key").distinct(), "key", "left_semi").select("id").distinct()
 
 
-def without_leaks(records: DataFrame, evaluation: DataFrame) -> DataFrame:
+def without_leaks(records: DataFrame, evaluation: DataFrame, digests: DataFrame | None = None) -> DataFrame:
     """The records that share no key with the evaluation records."""
-    return records.join(overlapping(record_keys(records), record_keys(evaluation)), "id", "left_anti")
+    return records.join(overlapping(record_keys(records, digests), record_keys(evaluation, digests)), "id", "left_anti")
 
 
 def repeated_to(df: DataFrame, groups: list[str], n: int, key: Column, most: int | None = MOST_REPEATS) -> DataFrame:
@@ -111,32 +132,74 @@ def parsed_sources(text: str) -> list[Source]:
     return out
 
 
-def build_mixture(sources: list[tuple[Source, DataFrame]], evaluation: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def sources_of(config: str | list) -> list[Source]:
+    """Sources from `name, name:split` text, a list of names or dicts, or YAML text with a list `sources` (one field to a line, as `mixture_config` writes it). An unknown field is an error that tells the nearest."""
+    if isinstance(config, str) and "sources:" not in config:
+        return parsed_sources(config)
+    items: list = [] if isinstance(config, str) else list(config)
+    if isinstance(config, str):
+        for line in config.splitlines():
+            text = line.split(" #")[0].strip()
+            if not text or text.startswith("#") or text == "sources:":
+                continue
+            if text.startswith("- "):
+                items.append({})
+                text = text[2:].strip()
+            name, colon, value = text.partition(":")
+            if not items or not colon:
+                raise ValueError(f"not a field: {line!r}")
+            items[-1][name.strip()] = value.strip().strip("\"'")
+    out = []
+    for item in items:
+        if isinstance(item, str):
+            out += parsed_sources(item)
+            continue
+        known = {f.name: f for f in fields(Source)}
+        for name in item:
+            if name not in known:
+                near = difflib.get_close_matches(name, known, 1)
+                raise ValueError(f"unknown field {name!r} of a source" + (f"; did you mean {near[0]!r}?" if near else ""))
+        kinds = {"max_samples": int, "per_group": int, "repeat_to": int, "weight": float}
+        out.append(Source(**{k: kinds.get(k, str)(v) if v not in (None, "null", "") else known[k].default for k, v in item.items()}))
+    return out
+
+
+def build_mixture(sources: list[tuple[Source, DataFrame]], evaluation: DataFrame | None = None, digests: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The mixture of record sources, and its report (source, loaded, overlap_removed, used).
 
     In order: leaks go, groups are balanced, samples are capped, small sources repeated, weights
     applied. With groups, the cap comes after balancing. Rows are in no order: sort by `order_key`
-    for a shuffle.
+    for a shuffle. Leaks are told once, for all sources together; the report counts what is flagged.
     """
-    parts, reports = [], []
-    for s, records in sources:
-        clean = without_leaks(records, evaluation) if evaluation is not None else records
+    every = None
+    for i, (_, records) in enumerate(sources):
+        part = records.withColumn("part__", F.lit(i))
+        every = part if every is None else every.unionByName(part)
+    if evaluation is None:
+        every = every.withColumn("bad__", F.lit(False))
+    else:
+        bad = overlapping(record_keys(every, digests), record_keys(evaluation, digests)).withColumn("bad__", F.lit(True))
+        every = every.join(bad, "id", "left").withColumn("bad__", F.coalesce("bad__", F.lit(False)))
+    parts = []
+    for i, (s, _) in enumerate(sources):
+        clean = every.filter((F.col("part__") == i) & ~F.col("bad__")).drop("bad__")
         key = F.col("id")
-        rows = clean if s.group_by or not s.max_samples else clean.orderBy(order_key(0, key), key).limit(s.max_samples)
+        rows = clean if s.group_by or not s.max_samples else take(clean, s.max_samples, 0, key)
         if s.group_by:
             rows = balanced(rows.withColumn("group__", F.try_element_at("meta", F.lit(s.group_by))), "group__", key, s.per_group, s.repeat_to).drop("group__")
             if s.max_samples:
-                rows = rows.orderBy(order_key(0, key, F.col("copy")), key, "copy").limit(s.max_samples)
+                rows = take(rows, s.max_samples, 0, key, F.col("copy"))
         elif s.repeat_to:
             rows = repeated_to(rows, [], s.repeat_to, key)
         if s.weight != 1.0:
             rows = weighted(rows.drop("copy"), s.weight, key)
-        rows = rows.drop("copy")
-        parts.append(rows)
-        one = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-        told = one(records, "loaded").crossJoin(one(clean, "clean")).crossJoin(one(rows, "used"))  # three rows in all
-        reports.append(told.select(F.lit(s.name).alias("source"), "loaded", (F.col("loaded") - F.col("clean")).alias("overlap_removed"), "used"))
-    mixture, report = parts[0], reports[0]
-    for p, r in zip(parts[1:], reports[1:], strict=True):
-        mixture, report = mixture.unionByName(p), report.unionByName(r)
-    return mixture, report
+        parts.append(rows.drop("copy"))
+    mixture = parts[0]
+    for p in parts[1:]:
+        mixture = mixture.unionByName(p)
+    loaded = every.groupBy("part__").agg(F.count(F.lit(1)).alias("loaded"), F.count_if("bad__").alias("overlap_removed"))
+    used = mixture.groupBy("part__").agg(F.count(F.lit(1)).alias("used"))
+    names = mixture.sparkSession.createDataFrame([(i, s.name) for i, (s, _) in enumerate(sources)], "part__ int, source string")
+    count = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    report = names.join(loaded, "part__", "left").join(used, "part__", "left").select("source", *map(count, ("loaded", "overlap_removed", "used")))
+    return mixture.drop("part__"), report

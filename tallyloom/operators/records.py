@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.functions.hashing import order_key, stable_id
+from tallyloom.functions.hashing import stable_id
+from tallyloom.operators.sampling import take
 
 OPTION = "struct<key: string, description: string>"
 QUESTION = f"struct<name: string, type: string, instructions: string, options: array<{OPTION}>>"
@@ -114,7 +115,7 @@ def classification(df: DataFrame, *, source: str, state: Column, label: str, ins
     """A choice among the labels that a column holds, of at most `cap` rows in hash order."""
     choices = [(k, "") for k in open_labels(df, label)]
     if cap:
-        df = df.orderBy(order_key(seed, state, F.col(label)), state).limit(cap)
+        df = take(df, cap, seed, state, F.col(label))
     return choice_records(df, source=source, state=state, instructions=instructions, choices=choices, label=F.col(label), **more)
 
 

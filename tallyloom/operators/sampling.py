@@ -28,9 +28,15 @@ def hash_rank(df: DataFrame, groups: list[str], key: Column, tie: Column, name:
     return ranked.withColumn(name, F.col("o__") + F.col("i__")).drop("h__", "p__", "q__", "o__", "i__", *[f"{g}__r" for g in groups])
 
 
-def take(df: DataFrame, n: int, seed: int, *key: Column) -> DataFrame:
-    """Exactly n rows, or all if there are fewer, in hash order."""
-    return df.orderBy(order_key(seed, *key), *key).limit(n)
+#: Rows up to which the first ones are found by a top-n, for which each task sends so many.
+TOP_ROWS = 10_000
+
+
+def take(df: DataFrame, n: int, seed: int | str, *key: Column) -> DataFrame:
+    """Exactly n rows, or all if there are fewer: the first in hash order. Many are found by rank."""
+    if n <= TOP_ROWS:
+        return df.orderBy(order_key(seed, *key), *key).limit(n)
+    return hash_rank(df, [], order_key(seed, *key), F.struct(*key), "r__").filter(F.col("r__") <= n).drop("r__")
 
 
 def capped(df: DataFrame, groups: list[str], n: int, seed: int, key: Column) -> DataFrame:
@@ -65,10 +71,12 @@ def holdout(df: DataFrame, fraction: float, seed: int, key: Column) -> DataFrame
 
 def cluster_sample(df: DataFrame, cluster: str, budget: int, seed: int) -> DataFrame:
     """Whole clusters in hash order until their rows reach a budget (the last may go over it)."""
-    sizes = df.groupBy(cluster).agg(F.count(F.lit(1)).alias("rows")).withColumn("h", order_key(seed, F.col(cluster)))
-    before = F.coalesce(F.sum("rows").over(Window.orderBy("h", cluster).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    chosen = sizes.withColumn("before", before).filter(F.col("before") < budget).select(cluster)
-    return df.join(chosen, cluster, "left_semi")
+    sizes = df.groupBy(F.col(cluster).alias("c__")).agg(F.count(F.lit(1)).alias("rows")).withColumn("h", order_key(seed, F.col("c__"))).withColumn("p", F.substring("h", 1, PART_DIGITS))
+    first = Window.unboundedPreceding
+    parts = sizes.groupBy("p").agg(F.sum("rows").alias("held")).select(F.col("p").alias("q"), F.coalesce(F.sum("held").over(Window.orderBy("p").rowsBetween(first, -1)), F.lit(0)).alias("offset"))
+    inside = F.coalesce(F.sum("rows").over(Window.partitionBy("p").orderBy("h", "c__").rowsBetween(first, -1)), F.lit(0))
+    chosen = sizes.withColumn("inside", inside).join(parts, F.col("p") == F.col("q")).filter(F.col("offset") + F.col("inside") < budget)
+    return df.join(chosen.select("c__"), F.col(cluster).eqNullSafe(F.col("c__")), "left_semi")
 
 
 def entity_holdout(df: DataFrame, stratum: str, entity: str, keep: int = 1) -> DataFrame:

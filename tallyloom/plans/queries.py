@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions import scores as S
 from tallyloom.functions import text as X
 from tallyloom.functions.hashing import hash_bucket, hash_mod, order_key, split_of, stable_id
-from tallyloom.operators import augment, distractors, filters, history, intervals, metrics, mixture, prompts, records, sampling, scorer
+from tallyloom.operators import augment, distractors, filters, history, intervals, metrics, mixture, prompts, records, sampling, scorer, votes
 from tallyloom.streaming.slices import tumbling
 
 QUERIES: dict = {}
@@ -101,7 +101,7 @@ def leak_contains(t):
 
 
 @query("""
-SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY left(text, 2000) ORDER BY source, doc_id) AS r FROM documents) WHERE r = 1""")
+SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY text ORDER BY source, doc_id) AS r FROM documents) WHERE r = 1""")
 def exact_dedupe_state(t):
     """The first row, by source and id, of each whole text."""
     docs = t("documents").select("doc_id", "source", F.sha2("text", 256).alias("k"))
@@ -150,6 +150,30 @@ def mixture_report(t):
     return mixture.build_mixture(sources, items)[1]
 
 
+def _clips(df: DataFrame, id_, clip, forms: list) -> DataFrame:
+    """Records about clips, which tell their source in several ways."""
+    made = records.record(df, source="clips", state=F.concat(F.lit("about "), id_), questions=[], targets=[], id_=id_, meta={"source_id": forms[0](clip)})
+    path, frames = forms[1](clip), forms[2](clip)
+    item = F.struct(F.lit("video").alias("type"), path.alias("path"), frames.alias("frames"), F.lit(1.0).alias("fps"), F.lit(4.0).alias("duration"), F.lit(None).cast("string").alias("audio"), F.lit(0.0).alias("start"), F.lit(False).alias("mute"), F.lit(False).alias("black"))
+    return made.join(df.select(id_.alias("id"), F.array(item).cast(f"array<{records.MEDIA}>").alias("told")), "id").withColumn("media", F.col("told")).drop("told")
+
+
+@query("""
+WITH e AS (SELECT DISTINCT s_suppkey * 7 % 400 AS clip FROM supplier)
+SELECT c_custkey, c_custkey % 4 <> 3 AND c_custkey % 400 IN (SELECT clip FROM e) AS leak FROM customer""")
+def leak_sources(t):
+    """Records about the same clip as an evaluation record: told as an id or a list of ids, by the name of the file, or of the frames' folder."""
+    clip_of = lambda n: F.substring(F.sha1(F.concat(F.lit("clip"), n.cast("string"))), 1, 11)
+    key = F.col("c_custkey")
+    way = key % 4
+    train = _clips(t("customer"), F.concat(F.lit("c"), key.cast("string")), clip_of(key % 400), [lambda c: F.when(way == 0, F.concat(F.lit("yt:"), c)), lambda c: F.when(way == 1, F.concat(F.lit("/train/"), c, F.lit("_10.mp4"))).when(way == 3, F.concat(F.lit("/x/video_"), key.cast("string"), F.lit(".mp4"))).otherwise(F.when(way == 0, F.concat(F.lit("/y/"), key.cast("string")))), lambda c: F.when(way == 2, F.array(F.concat(F.lit("/f/"), c, F.lit("_3_9/0001.jpg"))))])
+    sup = F.col("s_suppkey")
+    held = _clips(t("supplier"), F.concat(F.lit("s"), sup.cast("string")), clip_of(sup * 7 % 400), [lambda c: F.when(sup % 2 == 0, F.concat(F.lit('["yt:other", "yt:'), c, F.lit('"]'))), lambda c: F.concat(F.lit("/eval/"), F.when(sup % 2 == 0, F.lit("z")).otherwise(c), F.lit(".mp4")), lambda c: F.lit(None).cast("array<string>")])
+    bad = mixture.overlapping(mixture.record_keys(train), mixture.record_keys(held)).withColumn("leak", F.lit(True))
+    ids = t("customer").select("c_custkey", F.concat(F.lit("c"), key.cast("string")).alias("id"))
+    return ids.join(bad, "id", "left").select("c_custkey", F.coalesce("leak", F.lit(False)).alias("leak"))
+
+
 # ---- splits and samples -----------------------------------------------------------------------
 
 
@@ -273,9 +297,21 @@ def open_label_set(t):
 
 
 @query("""
-SELECT row_number() OVER () AS case_id, problem FROM (VALUES (NULL), ('number of options'), ('label not among options'), ('repeated label'), ('target without question'), ('no state'), ('unknown type'), ('number of levels')) v(problem)""")
+SELECT p_partkey, CASE WHEN p_partkey % 7 = 6 THEN 'no state' WHEN trim(p_name) = '' OR p_partkey % 11 = 10 THEN 'no instructions' WHEN p_size % 5 < 2 THEN 'number of options'
+  WHEN p_size % 5 = 4 AND p_partkey % 2 = 0 THEN 'repeated label' WHEN p_partkey % 3 >= p_size % 5 THEN 'label not among options' END AS problem FROM part""")
 def validation_report(t):
-    """A record for each rule that it breaks, and a good one."""
+    """Parts as choices of none to four options, some without a state or instructions, some with a label twice or outside."""
+    n, key = F.col("p_size") % 5, F.col("p_partkey")
+    opts = F.transform(F.slice(F.array(*map(F.lit, ("o0", "o1", "o2", "o3"))), 1, n), lambda k, i: F.struct(F.when((n == 4) & (key % 2 == 0) & (i == 3), "o0").otherwise(k).alias("key"), F.lit("").alias("description")))
+    ask = records.question("q", "choice", F.when(key % 11 == 10, "  ").otherwise(F.col("p_name")), opts)
+    made = records.record(t("part"), source="part", state=F.when(key % 7 != 6, F.col("p_name")), questions=[ask], targets=[records.target("q", F.concat(F.lit("o"), (key % 3).cast("string")))], id_=key.cast("string"))
+    return records.problems(made).select(F.col("id").cast("long").alias("p_partkey"), "problem")
+
+
+@query("""
+SELECT row_number() OVER () AS case_id, problem FROM (VALUES (NULL), ('number of options'), ('label not among options'), ('repeated label'), ('target without question'), ('no state'), ('unknown type'), ('number of levels')) v(problem)""")
+def validation_rules(t):
+    """A record for each rule that it breaks, and a good one (constants: a smoke test of the rules' names)."""
     two, one = records.options([("a", "A"), ("b", "B")]), records.options([("a", "A")])
     ask = lambda kind="choice", opts=two, name="q": records.question(name, kind, "Which?", opts)
     cases = [("s", ask(), "q", "a"), ("s", ask(opts=one), "q", "a"), ("s", ask(), "q", "z"), ("s", ask(opts=records.options([("a", "A"), ("a", "B")])), "q", "a"), ("s", ask(), "other", "a"), (None, ask(), "q", "a"), ("s", ask("text"), "q", "a"), ("s", ask("score", one), "q", "0")]
@@ -313,8 +349,8 @@ def mcq_options(t):
 @query("""
 WITH k AS (SELECT p_partkey, p_name, array_to_string(string_split(p_name, ' ')[1:2], ' ') AS k0, string_split(p_name, ' ')[1] AS k1, p_type AS k2 FROM part),
 d AS (SELECT DISTINCT k0 AS key, 0 AS tier, p_name AS v FROM k UNION SELECT DISTINCT k1, 1, p_name FROM k UNION SELECT DISTINCT k2, 2, p_name FROM k),
-c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tier, key ORDER BY v) AS r FROM d) WHERE r <= 64),
-s AS (SELECT p_partkey, tier, count(*) AS n FROM k JOIN c ON (tier = 0 AND key = k0 OR tier = 1 AND key = k1 OR tier = 2 AND key = k2) AND v <> p_name GROUP BY ALL),
+c AS (SELECT tier, key, count(*) AS n FROM d GROUP BY ALL),
+s AS (SELECT p_partkey, tier, n - 1 AS n FROM k JOIN c ON (tier = 0 AND key = k0 OR tier = 1 AND key = k1 OR tier = 2 AND key = k2) WHERE n > 1),
 z AS (SELECT p_partkey, coalesce(min(tier) FILTER (n >= 3), min(tier)) AS tier FROM s GROUP BY p_partkey)
 SELECT k.p_partkey, z.tier, coalesce(s.n, 0) AS n FROM k LEFT JOIN z USING (p_partkey) LEFT JOIN s ON s.p_partkey = k.p_partkey AND s.tier = z.tier""")
 def tiered_distractors(t):
@@ -336,11 +372,11 @@ def jaccard_hard_negatives(t):
 
 @query(f"""
 WITH f AS (SELECT o_orderkey, o_totalprice AS g, unnest([0.9, 1.1, 0.95, 1.05, 0.8, 1.2, 0.5, 2.0]) AS f, unnest(['0.9', '1.1', '0.95', '1.05', '0.8', '1.2', '0.5', '2.0']) AS s FROM orders)
-SELECT o_orderkey, 4 AS n, format('{{:,.2f}}', first(g)) AS gold FROM (SELECT *, {_order(8, "o_orderkey", "s")} AS h FROM f) GROUP BY o_orderkey""")
+SELECT o_orderkey, format('{{:,.2f}}', first(g)) || ';' || array_to_string(list(format('{{:,.2f}}', g * f) ORDER BY h)[1:3], ';') AS options FROM (SELECT *, {_order(8, "o_orderkey", "s")} AS h FROM f) GROUP BY o_orderkey""")
 def numeric_distractors(t):
     """A price and three near ones, as texts with thousands separators."""
     rows = t("orders").select("o_orderkey", distractors.numeric_options(F.col("o_totalprice"), 2, 4, 8, F.col("o_orderkey")).alias("o"))
-    return rows.select("o_orderkey", F.size("o").alias("n"), F.element_at("o", 1).alias("gold"))
+    return rows.select("o_orderkey", F.array_join("o", ";").alias("options"))
 
 
 @query("""SELECT p_partkey, array_to_string(list_sort(list_distinct([p_size, p_size + 1, p_size - 1, p_size + 2])), ';') AS options FROM part""")
@@ -372,14 +408,25 @@ def none_option(t):
 
 
 @query(f"""
-WITH h AS (SELECT doc_id, {_order(3, "doc_id")} AS h FROM documents), r AS (SELECT doc_id, substr(h, 1, 2) AS p, row_number() OVER (PARTITION BY substr(h, 1, 2) ORDER BY h, doc_id::VARCHAR) - 1 AS r FROM h)
-SELECT string_agg(doc_id, '+' ORDER BY r) AS id, count(*)::INT AS questions, count(*)::VARCHAR AS packed FROM r GROUP BY p, r // 3""")
+WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY {_order(3, "doc_id")}, doc_id::VARCHAR) - 1 AS r FROM documents)
+SELECT string_agg(doc_id, '+' ORDER BY r) AS id, count(*)::INT AS questions, count(*)::VARCHAR AS packed FROM r GROUP BY r // 3""")
 def pack_records(t):
     """Three records in one."""
     made = records.choice_records(t("documents"), source="documents", state=F.col("text"), instructions="Which language?", choices=_LANGS, label=F.col("lang"), id_=F.col("doc_id").cast("string"))
     return augment.packed(made, 3, 3).select("id", F.size("questions").alias("questions"), F.col("meta")["packed"].alias("packed"))
 
 
+@query(f"""
+WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY {_order(5, "doc_id")}, doc_id::VARCHAR) - 1 AS r FROM documents),
+c AS (SELECT *, {_HEX8.format(_order("5:coin", "r // 12"))} / 4294967296.0 < 0.5 AS coin, 2 + floor({_HEX8.format(_order("5:size", "r // 12"))} / 4294967296.0 * 3)::INT AS size FROM r),
+p AS (SELECT *, CASE WHEN coin THEN (r // 12) * 12 + (r % 12) // size ELSE 1000000000 + r END AS pack FROM c)
+SELECT string_agg(doc_id, '+' ORDER BY r) AS id, count(*)::INT AS questions FROM p GROUP BY pack""")
+def pack_by_coin(t):
+    """Half of the runs of twelve records packed two to four at a time."""
+    made = records.choice_records(t("documents"), source="documents", state=F.col("text"), instructions="Which language?", choices=_LANGS, label=F.col("lang"), id_=F.col("doc_id").cast("string"))
+    return augment.packed_by_coin(made, 0.5, 4, 5).select("id", F.size("questions").alias("questions"))
+
+
 @query(f"""
 WITH r AS (SELECT doc_id, n_chars, {_order(1, "doc_id")} AS h, row_number() OVER (ORDER BY {_order(1, "doc_id")}, doc_id) AS r FROM documents),
 c AS (SELECT *, (r - 1) // 64 AS chunk FROM r), b AS (SELECT *, (row_number() OVER (PARTITION BY chunk ORDER BY n_chars, h, doc_id) - 1) // 8 AS batch FROM c)
@@ -395,7 +442,7 @@ p AS (SELECT a.doc_id, a.source, min_by(b.source, (b.r - a.r + a.n) % a.n) AS ot
 SELECT doc_id, source, other FROM p""")
 def shuffle_audio_ablation(t):
     """Every document gets the next different source in hash order, around the end."""
-    return augment.next_different(t("documents").select("doc_id", "source"), "source", 6, F.col("doc_id"), part=256).select("doc_id", "source", "other")
+    return augment.next_different(t("documents").select("doc_id", "source"), "source", 6, F.col("doc_id"), digits=2).select("doc_id", "source", "other")
 
 
 # ---- context ----------------------------------------------------------------------------------
@@ -433,10 +480,9 @@ WITH c AS (SELECT user_id, count(*) FILTER (event_type = 'click') AS a, count(*)
 SELECT user_id, a / n AS p_click, b / n AS p_view, (n - a - b) / n AS p_other, CASE WHEN a >= b AND a >= n - a - b THEN 'click' WHEN b >= n - a - b THEN 'view' ELSE 'other' END AS winner FROM c""")
 def vote_soft_targets(t):
     """Votes as soft targets; of equal counts the first option wins."""
-    n, a, b = F.count(F.lit(1)), F.count_if(F.col("event_type") == "click"), F.count_if(F.col("event_type") == "view")
-    rows = t("events").groupBy("user_id").agg(n.alias("n"), a.alias("a"), b.alias("b")).withColumn("c", F.col("n") - F.col("a") - F.col("b"))
-    winner = F.when((F.col("a") >= F.col("b")) & (F.col("a") >= F.col("c")), "click").when(F.col("b") >= F.col("c"), "view").otherwise("other")
-    return rows.select("user_id", *[(F.col(x) / F.col("n")).alias(f"p_{k}") for x, k in (("a", "click"), ("b", "view"), ("c", "other"))], winner.alias("winner"))
+    labels = ["click", "view", "other"]
+    rows = votes.vote_targets(t("events"), "user_id", F.col("event_type"), labels)
+    return rows.select("user_id", *[F.col("probs")[i].alias(f"p_{k}") for i, k in enumerate(labels)], "winner")
 
 
 @query("""
@@ -445,8 +491,7 @@ SELECT l_partkey, coalesce(['fast', 'mid', 'strong'][1 + min(tier) FILTER (score
 def cheapest_success(t):
     """The cheapest tier that reaches 0.8 for each part, strong if none does."""
     rows = t("lineitem").select("l_partkey", "l_suppkey", "l_quantity").join(t("supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
-    best = rows.groupBy("l_partkey").agg(F.min(F.when(F.col("l_quantity") / 50 >= 0.8, F.col("s_nationkey") % 3)).alias("b"))
-    return best.select("l_partkey", F.coalesce(F.element_at(F.array(*map(F.lit, ("fast", "mid", "strong"))), F.col("b") + 1), F.lit("strong")).alias("tier"))
+    return votes.cheapest(rows, "l_partkey", F.col("s_nationkey") % 3, F.col("l_quantity") / 50 >= 0.8, ["fast", "mid", "strong"])
 
 
 @query("""
@@ -454,8 +499,7 @@ WITH f AS (SELECT event_type, count(*) AS n FROM events GROUP BY event_type)
 SELECT user_id, min_by(event_type, (n, event_type)) AS rarest FROM (SELECT DISTINCT user_id, event_type FROM events) JOIN f USING (event_type) GROUP BY user_id""")
 def rarest_label(t):
     """Each user's type that is rarest of all, ties by name."""
-    freq = t("events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
-    return t("events").select("user_id", "event_type").distinct().join(freq, "event_type").groupBy("user_id").agg(F.min(F.struct("n", "event_type")).alias("m")).select("user_id", F.col("m.event_type").alias("rarest"))
+    return votes.rarest(t("events"), "user_id", "event_type")
 
 
 @query("""
@@ -463,14 +507,57 @@ WITH c AS (SELECT user_id, event_type, count(*) AS n, min(event_id) AS f FROM ev
 SELECT user_id, event_type AS mode FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, f) AS r FROM c) WHERE r = 1""")
 def mode_first_wins(t):
     """Each user's most frequent type, of equals the one that came first."""
-    c = t("events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("f"))
-    return c.groupBy("user_id").agg(F.max_by("event_type", F.struct("n", -F.col("f"))).alias("mode"))
+    return votes.modes(t("events"), "user_id", "event_type", "event_id")
 
 
 @query("""SELECT event_type, count(*) AS n FROM events GROUP BY event_type HAVING count(*) >= 20""")
 def vocabulary(t):
     """Types with a least count."""
-    return t("events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).filter("n >= 20")
+    return votes.vocabulary(t("events"), "event_type", 20)
+
+
+@query("""
+WITH s AS (SELECT * FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT * FROM orders WHERE o_orderkey % 3 = 1 UNION ALL SELECT * FROM orders WHERE o_orderkey % 3 = 2)
+SELECT o_custkey, string_agg(DISTINCT o_orderpriority, ';' ORDER BY o_orderpriority) AS answers FROM s WHERE o_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey % 3 = 0) GROUP BY o_custkey""")
+def lookup_over_splits(t):
+    """For the customers of one split, the answers that any of three splits gives."""
+    splits = [t("orders").filter(F.col("o_orderkey") % 3 == k) for k in range(3)]
+    found = votes.answers_over_splits(splits, "o_custkey", "o_orderpriority")
+    return splits[0].select("o_custkey").distinct().join(found, "o_custkey").select("o_custkey", F.array_join("answers", ";").alias("answers"))
+
+
+@query("""
+SELECT user_id, event_type, epoch_us(ts) // 1000000 AS "start", epoch_us(ts) // 1000000 + event_id % 7 * 60 AS "end" FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id % 7 DESC, ts, event_id) AS r FROM events) WHERE r = 1""")
+def longest_interval(t):
+    """Each user's longest interval, of equals the first."""
+    start = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000000)
+    rows = t("events").select("user_id", "event_type", start.alias("start"), (start + F.col("event_id") % 7 * 60).alias("end"))
+    return intervals.longest(rows, "user_id", "start", "end")
+
+
+@query("""
+WITH p AS (SELECT p_partkey, p_type AS gold, unnest(list_distinct([p_name, p_brand, p_type || ' x', 'size ' || p_size, p_brand || ' 12 ' || p_name])) AS x FROM part),
+d AS (SELECT p_partkey, x, abs(len(regexp_split_to_array(trim(x), '\\s+')) - len(regexp_split_to_array(trim(gold), '\\s+'))) + CASE WHEN regexp_matches(x, '[0-9]') <> regexp_matches(gold, '[0-9]') THEN 2 ELSE 0 END AS far FROM p WHERE x <> gold)
+SELECT p_partkey, string_agg(x, ';' ORDER BY far, x) AS options FROM d GROUP BY p_partkey""")
+def nearest_by_length(t):
+    """Texts about a part, those most like its type in length and kind first."""
+    texts = F.array_distinct(F.array("p_name", "p_brand", F.concat("p_type", F.lit(" x")), F.concat(F.lit("size "), F.col("p_size").cast("string")), F.concat("p_brand", F.lit(" 12 "), "p_name")))
+    return t("part").select("p_partkey", F.array_join(distractors.by_distance(texts, F.col("p_type")), ";").alias("options"))
+
+
+@query(f"""
+WITH b AS (SELECT p_partkey, unnest(range(1, 9)) AS i FROM part),
+g AS (SELECT p_partkey, i, (p_partkey * 31 + i * i * 47) % 300 AS x, (p_partkey * 17 + i * 71) % 200 AS y, 4 + (p_partkey + i * 13) % 60 AS w, 5 + (p_partkey * 3 + i * 7) % 40 AS h, 'el' || (i % 6) AS text FROM b),
+m AS (SELECT p_partkey, i, x, y, w, h, text, row_number() OVER (PARTITION BY p_partkey ORDER BY CASE WHEN i = 8 THEN 0 ELSE 1 END, {_order(2, "p_partkey", "text", "x", "y")}) AS r FROM g WHERE i = 8 OR w >= 6 AND h >= 6 AND w * h < 0.3 * 320 * 240),
+l AS (SELECT p_partkey, list({{'x': x, 'y': y, 'w': w, 'h': h, 't': text}} ORDER BY r) AS l FROM m GROUP BY p_partkey)
+SELECT p_partkey, array_to_string(list_transform(list_reduce(list_prepend([l[1]], list_transform(l[2:], lambda b: [b])), lambda a, n: CASE WHEN len(a) <= 3 AND len(list_filter(a, lambda t: t.t = n[1].t
+    OR greatest(least(t.x + t.w, n[1].x + n[1].w) - greatest(t.x, n[1].x), 0) * greatest(least(t.y + t.h, n[1].y + n[1].h) - greatest(t.y, n[1].y), 0) >= 0.3 * greatest(least(t.w * t.h, n[1].w * n[1].h), 1))) = 0 THEN list_concat(a, n) ELSE a END), lambda b: b.t), ';') AS marks FROM l""")
+def spread_boxes(t):
+    """A box and up to three others that lie apart, each with a text of its own."""
+    box = lambda i: F.struct(((F.col("p_partkey") * 31 + i * i * 47) % 300).alias("x"), ((F.col("p_partkey") * 17 + i * 71) % 200).alias("y"), (4 + (F.col("p_partkey") + i * 13) % 60).alias("w"), (5 + (F.col("p_partkey") * 3 + i * 7) % 40).alias("h"), F.lit(f"el{i % 6}").alias("text"))
+    made = distractors.spread_boxes(box(8), F.array(*[box(i) for i in range(1, 8)]), 3, F.lit(320), F.lit(240), 2, F.col("p_partkey"))
+    return t("part").select("p_partkey", F.array_join(F.transform(made, lambda b: b["text"]), ";").alias("marks"))
 
 
 # ---- intervals --------------------------------------------------------------------------------
@@ -682,12 +769,14 @@ def scalar_functions(t):
 
 
 @query("""
-WITH m AS (SELECT unnest(['gpt-4o-mini', 'gpt-4o', 'claude_3_opus', 'mixtral-8x7b', 'mixtral-8x22b', 'llama-3-8b', 'qwen-7b', 'yi-34b', 'llama-70b', 'unknown']) AS name, unnest(['fast', 'strong', 'strong', 'mid', 'strong', 'mid', 'fast', 'mid', 'strong', NULL]) AS tier)
-SELECT * FROM m""")
+WITH m AS (SELECT p_partkey, p_size, p_partkey % 9 + 1 AS k, p_partkey % 6 AS form FROM part),
+n AS (SELECT *, ['llama-' || p_size || 'b-chat', 'Mixtral_' || k || 'x' || p_size || 'B', 'gpt-4-part' || p_partkey, 'GPT-3.5_' || p_size, 'nameless-' || p_size, 'claude-3-haiku-' || p_size || 'b'][form + 1] AS name FROM m)
+SELECT p_partkey, name, CASE form WHEN 0 THEN CASE WHEN p_size < 8 THEN 'fast' WHEN p_size < 40 THEN 'mid' ELSE 'strong' END WHEN 1 THEN CASE WHEN k * p_size < 70 THEN 'mid' ELSE 'strong' END WHEN 2 THEN 'strong' WHEN 4 THEN NULL ELSE 'fast' END AS tier FROM n""")
 def model_tiers(t):
-    """Tiers of model names."""
-    names = ["gpt-4o-mini", "gpt-4o", "claude_3_opus", "mixtral-8x7b", "mixtral-8x22b", "llama-3-8b", "qwen-7b", "yi-34b", "llama-70b", "unknown"]
-    return t("region").limit(1).select(F.explode(F.array(*map(F.lit, names))).alias("name")).select("name", X.model_tier(F.col("name")).alias("tier"))
+    """Tiers of model names: by size, by experts times size, by name, and of none."""
+    size, k = F.col("p_size").cast("string"), (F.col("p_partkey") % 9 + 1).cast("string")
+    forms = F.array(F.concat(F.lit("llama-"), size, F.lit("b-chat")), F.concat(F.lit("Mixtral_"), k, F.lit("x"), size, F.lit("B")), F.concat(F.lit("gpt-4-part"), F.col("p_partkey").cast("string")), F.concat(F.lit("GPT-3.5_"), size), F.concat(F.lit("nameless-"), size), F.concat(F.lit("claude-3-haiku-"), size, F.lit("b")))
+    return t("part").select("p_partkey", F.element_at(forms, (F.col("p_partkey") % 6 + 1).cast("int")).alias("name")).withColumn("tier", X.model_tier(F.col("name")))
 
 
 @query(f"""
@@ -750,7 +839,9 @@ def strict_lookup(t):
     return filters.looked_up(t("orders").select("o_orderkey", "o_custkey"), customers, "o_custkey").select("o_orderkey", "c_mktsegment")
 
 
-@query("""SELECT 'source' AS key, count(DISTINCT source) AS values, count(*) AS rows FROM documents""")
+@query("""WITH k AS (SELECT unnest([0, 1, 2, 3, 4]) AS i, unnest(['one', 'id', 'some', 'source', 'lang']) AS key, unnest(['x', doc_id::VARCHAR, CASE WHEN doc_id % 2 = 0 THEN lang END, source, lang]) AS value FROM documents),
+t AS (SELECT i, key, count(DISTINCT value) AS values, count(value) AS rows, count(*) AS all_ FROM k GROUP BY i, key)
+SELECT key, values, rows FROM t WHERE rows = all_ AND values BETWEEN 2 AND 60 ORDER BY i LIMIT 1""")
 def group_key_choice(t):
     """The first key that all rows have and that has neither too few nor too many values."""
     rows = t("documents").select(F.create_map(F.lit("one"), F.lit("x"), F.lit("id"), F.col("doc_id").cast("string"), F.lit("some"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")), F.lit("source"), F.col("source"), F.lit("lang"), F.col("lang")).alias("meta"))
@@ -781,10 +872,13 @@ def batch_scores(t):
     return out.select("id", "answer", F.round("confidence", 6).alias("confidence"))
 
 
-@query("""SELECT event_id, CASE WHEN value < 10 THEN 'low' WHEN value < 50 THEN 'mid' ELSE 'high' END AS band, 'object' AS kind FROM events""")
+@query("""SELECT event_id, CASE WHEN value < 10 THEN 'low' WHEN value < 50 THEN 'mid' ELSE 'high' END AS band,
+  CASE json_type(j::JSON) WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'text' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'number' END AS kind
+FROM (SELECT *, [props, '[' || event_id || ']', '"' || event_type || '"', event_id::VARCHAR, value::VARCHAR, 'true', 'null'][event_id % 7 + 1] AS j FROM events)""")
 def bands_and_types(t):
-    """Bands of a value, and the type of a JSON text."""
-    return t("events").select("event_id", X.banded(F.col("value"), [10, 50], ["low", "mid", "high"]).alias("band"), X.json_type(F.col("props")).alias("kind"))
+    """Bands of a value, and the type of a JSON text: an object, an array, a text, numbers, a truth value, null."""
+    texts = F.array("props", F.concat(F.lit("["), F.col("event_id").cast("string"), F.lit("]")), F.concat(F.lit('"'), "event_type", F.lit('"')), F.col("event_id").cast("string"), F.col("value").cast("string"), F.lit("true"), F.lit("null"))
+    return t("events").select("event_id", X.banded(F.col("value"), [10, 50], ["low", "mid", "high"]).alias("band"), X.json_type(F.element_at(texts, (F.col("event_id") % 7 + 1).cast("int"))).alias("kind"))
 
 
 @query("""
@@ -799,10 +893,9 @@ def set_operations(t):
 
 
 @query(f"""
-WITH h AS (SELECT user_id, event_id, event_type, {_order(3, "event_id")} AS h FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY h) AS r FROM h),
-p AS (SELECT a.event_id, a.event_type, min_by(b.event_type, b.r) AS other FROM r a JOIN r b ON a.user_id = b.user_id AND b.r > a.r AND b.r <= a.r + 16 AND a.event_type <> b.event_type GROUP BY ALL)
-SELECT event_id, other FROM p""")
+WITH h AS (SELECT user_id, event_id, event_type, {_order(3, "event_id")} AS h FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY h, event_type) AS r, count(*) OVER (PARTITION BY user_id) AS n FROM h)
+SELECT a.event_id, min_by(b.event_type, (b.r - a.r + a.n) % a.n) AS other FROM r a JOIN r b ON a.user_id = b.user_id AND a.event_type <> b.event_type GROUP BY a.event_id""")
 def same_group_pairs(t):
-    """For each event, the next event of the user by another type in hash order."""
+    """For each event, the type of the user's next event of another type in hash order, around the end."""
     rows = history.same_group_pairs(t("events"), "user_id", "event_type", order_key(3, F.col("event_id")))
     return rows.filter("size(others) > 0").select("event_id", F.element_at("others", 1).alias("other"))

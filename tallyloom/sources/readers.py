@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,16 +26,18 @@ def write_records(records: DataFrame, path: str) -> int:
 
 
 def read_any(spark: SparkSession, path: str, ending: str | None = None) -> DataFrame:
-    """A table by the ending of its path: parquet, csv, tsv, json (an array, or the first list of an object), xml, else JSON lines."""
+    """A table by the ending of its path: parquet, csv, tsv, json (an array, or an object around the first of its lists of objects), xml, else JSON lines. CSV is read with `sep` given as part of the ending, as in `csv&`."""
     ending = ending or path.rstrip("/").removesuffix(".gz").rpartition(".")[2].lower()
     if ending == "parquet":
         return spark.read.option("mergeSchema", "true").parquet(path)
-    if ending in ("csv", "tsv"):
-        return spark.read.options(header=True, sep="," if ending == "csv" else "\t", multiLine=True, escape='"', maxCharsPerColumn=-1).csv(path)
+    if ending.startswith("csv") or ending == "tsv":
+        return spark.read.options(header=True, sep="\t" if ending == "tsv" else ending[3:] or ",", multiLine=True, escape='"', maxCharsPerColumn=-1).csv(path)
     if ending == "json":
         found = spark.read.option("multiLine", True).json(path)
         lists = [f.name for f in found.schema if f.dataType.typeName() == "array" and f.dataType.elementType.typeName() == "struct"]
-        return found.select(F.explode(lists[0]).alias("row")).select("row.*") if lists and len(found.columns) <= 2 * len(lists) + 4 else found
+        # A file that is one object is around its rows; in a file that is an array, each element is a row, whatever it holds.
+        whole = spark.read.text(path, wholetext=True).select(F.ltrim("value").startswith("{").alias("object")).first()
+        return found.select(F.explode(lists[0]).alias("row")).select("row.*") if lists and whole and whole.object else found
     if ending == "xml":
         return spark.read.option("rowTag", "row").xml(path)
     return spark.read.json(path)
@@ -52,9 +55,9 @@ def with_address(df: DataFrame) -> DataFrame:
 
 
 def fetched(spark: SparkSession, path: str, chosen: DataFrame, columns: list[str]) -> DataFrame:
-    """Wide columns of only the rows (file, row) that were chosen."""
-    wide = spark.read.parquet(path)
-    wide = wide.select(*columns, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    """Wide columns of only the rows (file, row) that were chosen. Files without a chosen row are not opened; their number, which comes to the driver, is that of files."""
+    files = [r.file for r in chosen.select("file").distinct().collect()]
+    wide = (spark.read.parquet(*files) if files else spark.read.parquet(path).limit(0)).select(*columns, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     return wide.join(chosen.select("file", "row"), ["file", "row"], "left_semi")
 
 
@@ -109,3 +112,34 @@ def mixture_config(sizes: dict[str, int], keys: dict[str, dict | None], per_grou
             lines += [f"    group_by: {keys[name]['key']}", f"    per_group: {per_group}", f"    repeat_to: {min(per_group, max(1, sizes[name] // keys[name]['values']))}"]
         lines.append(f"    # {sizes[name]} records")
     return "\n".join(lines) + "\n"
+
+
+def mapped_rows(df: DataFrame, f: Callable[[dict], dict | None], fields: str, log: str | None = None) -> DataFrame:
+    """Rows of a Python function of each row as a dict (for files that only Python decodes). A row that raises, or gives None, is left out; with `log`, an error is a row with that column set instead. Rows go by Arrow batches."""
+
+    def each(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                try:
+                    made = f(row)
+                except Exception as e:  # any error of a row concerns that row only
+                    made = {log: f"{type(e).__name__}: {e}"} if log else None
+                if made is not None:
+                    out.append(made)
+            yield pa.RecordBatch.from_pylist(out, schema)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    kind = _parse_datatype_string(fields + (f", `{log}` string" if log else ""))
+    schema = to_arrow_schema(kind)
+    return df.mapInArrow(each, kind)
+
+
+def first_rows(spark: SparkSession, path: str, n: int, columns: list[str] | None = None) -> DataFrame:
+    """The first n rows of Parquet files: partitions are read one after the other until there are enough, and row groups beyond are not."""
+    df = spark.read.parquet(path)
+    return (df.select(*columns) if columns else df).limit(n)
