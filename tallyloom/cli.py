@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import importlib
 import json
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -37,8 +38,8 @@ def parser() -> argparse.ArgumentParser:
         one.add_argument("-n", type=int, default=3)
     sub.add_parser("bench").add_subparsers(dest="what", required=True).add_parser("list")
     mix = sub.add_parser("mix", help="build a mixture and its report")
-    mix.add_argument("sources", help="name, name:split or file.jsonl, comma-separated")
-    mix.add_argument("--exclude", default="", help="sources of evaluation records")
+    mix.add_argument("sources", help="name, name:split or file.jsonl, comma-separated, or a YAML file")
+    mix.add_argument("--exclude", default="", help="sources of evaluation records, benchmarks or suites")
     mix.add_argument("--out")
     ev = sub.add_parser("eval", help="metrics of a Parquet table of scored decisions")
     ev.add_argument("table")
@@ -59,12 +60,18 @@ def main(args: list[str] | None = None) -> dict | list:
         found = _records(spark, a.folder, mixture.Source(a.name, a.split))
         out = [{"id": r.id, "prompt": r.prompt} for r in prompts.rendered(found).orderBy("id").limit(a.n).collect()] if a.what == "show" else {"records": found.count()}
     elif a.verb == "mix":
-        catalog.check_trainable([s.name for s in mixture.parsed_sources(a.sources)])
-        sources = [(s, _records(spark, a.folder, s)) for s in mixture.parsed_sources(a.sources)]
+        config = Path(a.sources).read_text() if a.sources.endswith((".yaml", ".yml")) else a.sources
+        wanted = mixture.sources_of(config)
+        catalog.check_trainable([s.name for s in wanted])
+        sources = [(s, _records(spark, a.folder, s)) for s in wanted]
         banned = None
-        for s in mixture.parsed_sources(a.exclude):
-            more = _records(spark, a.folder, s)
-            banned = more if banned is None else banned.unionByName(more)
+        suites = {b.suite for b in catalog.BENCHMARKS.values()}
+        for name in filter(None, (x.strip() for x in a.exclude.split(","))):
+            known = name in catalog.BENCHMARKS or name in suites
+            parts = [mixture.Source(b.dataset, b.split) for b in catalog.expanded([name])] if known else mixture.parsed_sources(name)
+            for s in parts:
+                more = _records(spark, a.folder, s)
+                banned = more if banned is None else banned.unionByName(more)
         mixed, report = mixture.build_mixture(sources, banned)
         out = [r.asDict() for r in report.collect()]
         if a.out:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.convert import CONVERTERS
 from tallyloom.functions import scores as S
 from tallyloom.functions import text as X
 from tallyloom.functions.hashing import hash_bucket, hash_mod, order_key, split_of, stable_id
@@ -899,3 +900,89 @@ def same_group_pairs(t):
     """For each event, the type of the user's next event of another type in hash order, around the end."""
     rows = history.same_group_pairs(t("events"), "user_id", "event_type", order_key(3, F.col("event_id")))
     return rows.filter("size(others) > 0").select("event_id", F.element_at("others", 1).alias("other"))
+
+
+# ---- templates of converters over fixture tables ----------------------------------------------
+
+
+@query("""
+WITH u AS (SELECT user_id, list_sort(list(DISTINCT event_type)) AS tools, min_by(event_type, event_id) AS tool FROM events GROUP BY user_id)
+SELECT 'user ' || user_id AS request, tool AS label, least(len(tools), 8)::INT AS k FROM u WHERE len(tools) >= 2""")
+def template_tools(t):
+    """Which tool does a request need? A user's first event among all kinds of theirs."""
+    rows = t("events").groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("tools"), F.min_by("event_type", "event_id").alias("tool"))
+    made = CONVERTERS.find("toolace")(rows.withColumn("query", F.concat(F.lit("user "), F.col("user_id").cast("string"))))
+    return made.select(F.col("state").alias("request"), F.col("targets")[0]["label"].alias("label"), F.size(F.col("questions")[0]["options"]).alias("k"))
+
+
+@query(f"""
+WITH w AS (SELECT conv_id, turn, role, list(role) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND 12 FOLLOWING) AS later FROM conversations),
+x AS (SELECT conv_id, turn, role, list_filter(later, lambda r, i: r <> role AND list_position(later, r) = i) AS wrong FROM w WHERE later IS NOT NULL),
+o AS (SELECT conv_id, turn, role, unnest(list_prepend(role, wrong[1:3])) AS x FROM x WHERE len(wrong) > 0)
+SELECT substr(sha1('mind2web|' || conv_id || '|' || turn), 1, 16) AS id, string_agg(x, ';' ORDER BY {_order(0, "conv_id", "turn", "x")}) AS options, first(role) AS gold FROM o GROUP BY conv_id, turn""")
+def template_steps(t):
+    """What comes next? Roles of a conversation as the steps of an episode."""
+    made = CONVERTERS.find("mind2web")(t("conversations").select(F.col("conv_id").alias("task"), F.col("turn").alias("step"), F.col("role").alias("action")))
+    opts = F.transform(F.col("questions")[0]["options"], lambda o: o["description"])
+    at = F.substring(F.col("targets")[0]["label"], 5, 3).cast("int")
+    return made.select("id", F.array_join(opts, ";").alias("options"), F.element_at(opts, at).alias("gold"))
+
+
+@query(f"""
+WITH p AS (SELECT p_partkey, floor({_HEX8.format(_order(0, "'part ' || p_partkey || ' is #idiom# of type #idiom#'"))} / 4294967296.0 * 2)::INT AS gap, p_brand, p_type FROM part)
+SELECT 'part ' || p_partkey || ' is ' || CASE gap WHEN 0 THEN '____' ELSE p_brand END || ' of type ' || CASE gap WHEN 1 THEN '____' ELSE p_type END AS state, CASE gap WHEN 0 THEN 'opt_1' ELSE 'opt_2' END AS label FROM p WHERE p_brand <> p_type""")
+def template_gaps(t):
+    """Which candidate fits the gap? The other gap is filled."""
+    rows = t("part").select(F.concat(F.lit("part "), F.col("p_partkey").cast("string"), F.lit(" is #idiom# of type #idiom#")).alias("content"), F.array("p_brand", "p_type").alias("answers"), F.array("p_brand", "p_type", F.lit("neither")).alias("candidates"))
+    return CONVERTERS.find("chid")(rows).select("state", F.col("targets")[0]["label"].alias("label"))
+
+
+@query("""
+WITH s AS (SELECT l_partkey, ['gpt-4o-mini', 'llama-8b', 'gpt-4o', 'nameless'][s_nationkey % 4 + 1] AS model, l_quantity / 50 AS score FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
+b AS (SELECT l_partkey, min(CASE model WHEN 'gpt-4o-mini' THEN 0 WHEN 'llama-8b' THEN 1 ELSE 2 END) FILTER (score >= 0.8) AS b FROM s WHERE model <> 'nameless' GROUP BY l_partkey)
+SELECT 'part ' || l_partkey AS state, ['fast', 'mid', 'strong'][coalesce(b, 2) + 1] AS label FROM b""")
+def template_routing(t):
+    """Which tier of models does a request need? Quantities as scores of models."""
+    model = F.element_at(F.array(*map(F.lit, ("gpt-4o-mini", "llama-8b", "gpt-4o", "nameless"))), (F.col("s_nationkey") % 4 + 1).cast("int"))
+    rows = t("lineitem").select("l_partkey", "l_suppkey", "l_quantity").join(t("supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+    rows = rows.select(F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("prompt"), model.alias("model"), (F.col("l_quantity") / 50).alias("score"))
+    return CONVERTERS.find("router")(rows).select("state", F.col("targets")[0]["label"].alias("label"))
+
+
+@query("""SELECT doc_id, CASE lang WHEN 'de' THEN 'opt_1' WHEN 'en' THEN 'opt_2' ELSE 'opt_3' END AS label FROM documents WHERE length(text) <= 24000""")
+def template_long_documents(t):
+    """A choice about documents within a budget of characters."""
+    rows = t("documents").select(F.col("text").alias("article"), F.col("doc_id").cast("string").alias("question"), F.array(*map(F.lit, ("German", "English", "another"))).alias("options"), F.when(F.col("lang") == "de", 1).when(F.col("lang") == "en", 2).otherwise(3).alias("gold_label"))
+    made = CONVERTERS.find("quality")(rows)
+    return made.select(F.get_json_object("state", "$.question").cast("long").alias("doc_id"), F.col("targets")[0]["label"].alias("label"))
+
+
+@query("""
+SELECT doc_id, unnest(['assignment', 'exclusivity', 'renewal']) AS name, unnest([CASE WHEN quality = 1 THEN 'yes' ELSE 'no' END, CASE WHEN toxic = 1 THEN 'yes' ELSE 'no' END, CASE WHEN doc_id % 2 = 0 THEN 'yes' ELSE 'no' END]) AS label FROM labels""")
+def template_extraction(t):
+    """Several yes/no questions on one state."""
+    rows = t("labels").select(F.col("doc_id").cast("string").alias("clause"), F.col("quality").alias("assignment"), F.col("toxic").alias("exclusivity"), (F.col("doc_id") % 2 == 0).alias("renewal"))
+    made = CONVERTERS.find("contract_terms")(rows)
+    return records.decisions(made.withColumn("id", F.col("state"))).select(F.col("id").cast("long").alias("doc_id"), "name", "label")
+
+
+@query("""
+WITH d AS (SELECT doc_id, text, lang, crc FROM (SELECT doc_id, text, lang, doc_id % 5 AS crc FROM documents))
+SELECT crc AS part, count(*) AS rows, count(DISTINCT lang) AS langs FROM d WHERE text IS NOT NULL GROUP BY crc""")
+def mapped_rows(t):
+    """Rows made by a Python function, by Arrow batches; a row that raises is left out."""
+    from tallyloom.sources.readers import mapped_rows as mapped
+
+    def one(row):
+        return {"part": row["doc_id"] % 5, "lang": row["lang"], "chars": len(row["text"])}
+
+    made = mapped(t("documents").select("doc_id", "text", "lang"), one, "part long, lang string, chars long")
+    return made.groupBy("part").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("lang").alias("langs"))
+
+
+@query("""
+SELECT o_orderkey, replace(replace('rule:max_' || lower(o_orderstatus), ':', ' / '), '_', ' ') || ' (' || CASE WHEN o_orderkey % 2 = 0 THEN 'level=' || left(o_orderpriority, 1) || ', ' ELSE '' END || 'status=' || chr(39) || o_orderstatus || chr(39) || ')' AS text FROM orders""")
+def constraint_texts(t):
+    """Constraints with their arguments in words."""
+    args = F.to_json(F.struct(F.col("o_orderstatus").alias("status"), F.when(F.col("o_orderkey") % 2 == 0, F.substring("o_orderpriority", 1, 1)).otherwise("").alias("level"), F.array().cast("array<int>").alias("none")))
+    return t("orders").select("o_orderkey", X.constraint_text(F.concat(F.lit("rule:max_"), F.lower("o_orderstatus")), args).alias("text"))

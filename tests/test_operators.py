@@ -108,15 +108,24 @@ def test_none_option(spark):
 def test_pack(spark):
     out = augment.packed(made(spark, [(str(i), "x", "a") for i in range(50)]), 2, 0)
     assert out.agg(F.sum(F.size("questions"))).first()[0] == 50
-    assert records.labels_of(F.col("q")) is not None
     assert out.filter("size(questions) = 2").first().meta["packed"] == "2"
 
 
+def test_pack_by_coin(spark):
+    rows = made(spark, [(str(i), "x", "a") for i in range(240)])
+    assert augment.packed_by_coin(rows, 0.0, 4, 0).count() == 240
+    out = augment.packed_by_coin(rows, 1.0, 4, 0)
+    sizes = [r.n for r in out.select(F.size("questions").alias("n")).collect()]
+    assert sum(sizes) == 240 and set(sizes) == {2, 3, 4}
+    seeds = spark.createDataFrame([(["a", "b"],), (["b", "a"],), (["a", "b"],)], "ids array<string>").select(augment.batch_seed(1, F.col("ids")).alias("s")).collect()
+    assert seeds[0].s == seeds[2].s != seeds[1].s
+
+
 def test_next_different(spark):
     values = ["x", "x", "y", "z", "z", "z", "x"] * 9 + ["w"] * 30
     df = spark.createDataFrame(list(enumerate(values)), "i int, v string")
-    for part in (4, 7, 1000):
-        out = augment.next_different(df, "v", 1, F.col("i"), part=part).collect()
+    for digits in (0, 1, 2):
+        out = augment.next_different(df, "v", 1, F.col("i"), digits=digits).collect()
         import hashlib
 
         order = sorted(range(len(values)), key=lambda i: hashlib.sha1(f"1|{i}".encode()).hexdigest())
