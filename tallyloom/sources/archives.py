@@ -1,4 +1,9 @@
-"""Members of zip and tar archives as rows, through a Python data source: one partition for each archive or run of zip members."""
+"""Members of zip and tar archives as rows.
+
+`members` reads archives in any store that Spark can read, whole in a task each; the data source
+`archive` reads those on a disk that all executors mount, one partition for each archive or run of
+zip members.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +11,11 @@ import fnmatch
 import io
 import tarfile
 import zipfile
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Gaps up to which members are read together, and the bytes of such a run.
@@ -24,6 +33,41 @@ def coalesced(ranges: list[tuple[int, int]], gap: int = GAP, most: int = RUN) ->
     return runs
 
 
+def members(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(archive, member, content) of the files of archives; a tar that is cut off gives what it has, anything that is no archive nothing."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, content in zip(batch.column(0), batch.column(1), strict=True):
+                for name, data in _inside(content.as_py(), pattern):
+                    yield pa.RecordBatch.from_pydict({"archive": [at.as_py()], "member": [name], "content": [data]})
+
+    return files.mapInArrow(opened, "archive string, member string, content binary")
+
+
+def _inside(content: bytes, pattern: str) -> Iterator[tuple[str, bytes]]:
+    if zipfile.is_zipfile(io.BytesIO(content)):
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            for x in z.infolist():
+                if not x.is_dir() and fnmatch.fnmatch(x.filename, pattern):
+                    yield x.filename, z.read(x)
+        return
+    try:
+        with tarfile.open(fileobj=io.BytesIO(content), mode="r|*") as t:
+            for x in t:
+                if x.isfile() and fnmatch.fnmatch(x.name, pattern):
+                    yield x.name, t.extractfile(x).read()
+    except (tarfile.ReadError, EOFError, io.UnsupportedOperation):
+        return
+
+
+def tables_inside(spark: SparkSession, path: str, fields: str, pattern: str = "*.csv", sep: str = ",") -> DataFrame:
+    """The rows of CSV files with a header line inside archives, by the DDL of their fields. A field holds no line break."""
+    lines = members(spark, path, pattern).select(F.slice(F.split(F.col("content").cast("string"), "\r?\n"), 2, 1 << 30).alias("lines"))
+    return lines.select(F.explode("lines").alias("line")).filter(F.trim("line") != "").select(F.from_csv("line", fields, {"sep": sep}).alias("row")).select("row.*")
+
+
 class Part(InputPartition):
     def __init__(self, path: str, members: list[str] | None):
         self.path, self.members = path, members

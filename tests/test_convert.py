@@ -1,8 +1,9 @@
+import pytest
 from pyspark.sql import functions as F
 
 from tallyloom import catalog, convert
 from tallyloom.functions import loose
-from tallyloom.operators import records
+from tallyloom.operators import mixture, records
 from tallyloom.sources import readers
 
 ROWS = {
@@ -51,6 +52,35 @@ def test_registered_dataset(spark, tmp_path):
     assert out.count() == 1 and out.first().split == "train" and spec.area == "sentiment"
 
 
+def test_benchmarks_by_rule(spark, tmp_path):
+    """Every held-out split of a registered dataset is a benchmark with a name of its own; suites expand to them."""
+    catalog.DATASETS.clear()
+    catalog.BENCHMARKS.clear()
+    convert.register_folder(str(tmp_path))
+    assert len(catalog.DATASETS) == len(convert.CONVERTERS) > 90 and len(catalog.BENCHMARKS) > 100
+    assert all(b.name == f"{b.dataset}:{b.split}" and b.split != "train" for b in catalog.BENCHMARKS.values())
+    names = [b.name for b in catalog.expanded(["nli", "mnli:test", "nli"])]
+    assert len(names) == len(set(names)) and "mnli:test" in names
+    for split, text in (("test", "held out"), ("validation", "also held out")):
+        spark.createDataFrame([(text, 0)], "text string, label int").write.parquet(f"{tmp_path}/imdb/{split}")
+    found = convert.evaluation_records(spark, ["imdb:test", "imdb:validation"])
+    assert sorted(r.state for r in found.collect()) == ["also held out", "held out"]
+    train = convert.CONVERTERS.find("imdb")(spark.createDataFrame([("Held out!", 1), ("free", 1)], "text string, label int"))
+    _, report = mixture.build_mixture([(mixture.Source("imdb"), train)], found)
+    assert [tuple(r) for r in report.collect()] == [("imdb", 2, 1, 1)]
+    catalog.DATASETS.clear()
+    catalog.BENCHMARKS.clear()
+
+
+def test_sources_of_a_config():
+    text = readers.mixture_config({"b": 300, "a": 9}, {"b": {"key": "task", "values": 3}})
+    got = mixture.sources_of(text)
+    assert [s.name for s in got] == ["a", "b"] and (got[1].group_by, got[1].per_group, got[1].repeat_to) == ("task", 1000, 100)
+    assert mixture.sources_of("x, y:test")[1].split == "test" and mixture.sources_of([{"name": "z", "weight": "0.5"}])[0].weight == 0.5
+    with pytest.raises(ValueError, match="did you mean 'weight'"):
+        mixture.sources_of([{"name": "z", "wieght": 1}])
+
+
 def test_loose_formats(spark):
     df = spark.createDataFrame([("{'a': [1, None, True]}", 'tools: [{"n": 1}] and more', "a &amp; b &eacute;"), ('{"a": 1}', "no mark", None), ("nonsense(", "tools: {broken", "&lt;")], "x string, y string, z string")
     got = df.select(loose.json_or_literal("x").alias("a"), loose.embedded_json("y", F.lit("tools:")).alias("b"), loose.unescaped("z").alias("c")).collect()

@@ -64,3 +64,16 @@ def test_scores(spark):
     assert one(spark, S.ranked_probability(q, q)) == 0
     assert one(spark, S.ranked_probability(F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0)), q)) == 1
     assert [one(spark, S.confidence_bin(F.lit(c))) for c in (0.0, 0.1, 0.1001, 1.0)] == [0, 0, 1, 9]
+
+
+def test_cloze_constraints_and_media_order(spark):
+    from tallyloom.functions import text as X
+
+    df = spark.createDataFrame([("a #x# b #x# c", ["one", "two"], 1), ("#x#", ["one", "two"], 0), ("#x#!", ["$1"], 5)], "t string, a array<string>, k int")
+    assert [r[0] for r in df.select(X.cloze(F.col("t"), "#x#", F.col("a"), F.col("k"))).collect()] == ["a one b ____ c", None, "$1!"]
+    df = spark.createDataFrame([("length:number_words", '{"n": 5, "relation": "at least", "x": null, "y": []}'), ("a:b", "{}"), ("a:b", None)], "n string, j string")
+    assert [r[0] for r in df.select(X.constraint_text(F.col("n"), F.col("j"))).collect()] == ["length / number words (n=5, relation='at least')", "a / b", "a / b"]
+    df = spark.createDataFrame([("see <video:2> and <video:1>", ["p", "q"])], "t string, m array<string>")
+    assert df.select(X.media_order(F.col("t"), "video", F.col("m"))).first()[0] == ["q", "p"]
+    with pytest.raises(Exception, match="no item for <video:2>"):
+        df.select(X.media_order(F.col("t"), "video", F.array(F.lit("p")))).collect()

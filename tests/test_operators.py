@@ -250,3 +250,46 @@ def test_tiered_pool_draws_from_the_whole_tier(spark):
     assert (out[200].tier, out[200].others, len(out[200].pool)) == (1, 150, 3)
     assert (out[201].tier, out[201].others, out[201].pool) == (0, 1, ["p"])
     assert [(out[i].tier, out[i].others) for i in (202, 203)] == [(None, 0)] * 2
+
+
+def test_votes_and_files(spark):
+    from tallyloom.operators import votes
+
+    a, b = spark.createDataFrame([("t", 1), ("t", 2)], "x string, i int"), spark.createDataFrame([("u", 3)], "x string, i int")
+    assert votes.first_filled([a.limit(0), a, b], "x").count() == 1 and votes.first_filled([a.limit(0), a.limit(0)], "x").count() == 0
+    df = spark.createDataFrame([(1, "a"), (1, "z"), (1, "q"), (2, None)], "k int, v string")
+    got = {r.k: (r.probs, r.winner) for r in votes.vote_targets(df, "k", F.col("v"), ["a", "b", "rest"]).collect()}
+    assert got[1][1] == "rest" and abs(got[1][0][0] - 1 / 3) < 1e-9 and got[2] == ([0.0, 0.0, 1.0], "rest")
+
+
+def test_breakdown_counts_each_value_of_a_list(spark):
+    from tallyloom.operators import metrics
+
+    rows = [(1, [2.0, 0.0], 0, {"kind": '["a", "b"]'}), (2, [2.0, 0.0], 1, {"kind": '["b", "b"]'}), (3, [0.0, 1.0], 1, {"kind": "c"})]
+    df = spark.createDataFrame(rows, "id int, logits array<double>, target int, meta map<string, string>")
+    assert sorted((r.value, r.n, r.accuracy) for r in metrics.breakdown(df, ["kind"]).collect()) == [("a", 1, 1.0), ("b", 2, 0.5), ("c", 1, 1.0)]
+
+
+def test_take_by_rank_is_take_by_order(spark, monkeypatch):
+    from tallyloom.operators import sampling
+
+    df = spark.range(500)
+    few = sorted(r.id for r in sampling.take(df, 120, 3, F.col("id")).collect())
+    monkeypatch.setattr(sampling, "TOP_ROWS", 10)
+    assert sorted(r.id for r in sampling.take(df, 120, 3, F.col("id")).collect()) == few and len(few) == 120
+
+
+def test_members_that_are_hardly_active_do_not_count(spark):
+    from tallyloom.operators import intervals
+
+    df = spark.createDataFrame([("g", "a", 0.0, 10.0), ("g", "b", 0.0, 9.0), ("g", "c", 1.0, 1.2)], "g string, m string, start double, end double")
+    got = intervals.busy_seconds(df, "g", "m", 1.0, shortest=1.0).first()
+    assert got.members == 2 and intervals.busy_seconds(df, "g", "m", 1.0).first().members == 3
+
+
+def test_same_type(spark):
+    from tallyloom.operators import distractors
+
+    pool = F.array(*map(F.lit, ["12", "3.5", "Paris", "New York", "red", "Rome"]))
+    got = spark.range(1).select(distractors.same_type(pool, F.lit("7")).alias("n"), distractors.same_type(pool, F.lit("Oslo")).alias("c")).first()
+    assert got.n == ["12", "3.5"] and got.c == ["Paris", "Rome"]

@@ -65,6 +65,11 @@ def test_archives(spark, tmp_path):
     spark.dataSource.register(archives.ArchiveSource)
     rows = spark.read.format("archive").option("members", "*.txt").load(f"{tmp_path}/a.zip,{tmp_path}/b.tar.gz").collect()
     assert sorted((r.member, bytes(r.content)) for r in rows) == sorted([(f"m{i}.txt", str(i).encode()) for i in range(5)] + [(f"n{i}.txt", str(i).encode()) for i in range(3)])
+    again = archives.members(spark, str(tmp_path), "*.txt").collect()
+    assert sorted((r.member, bytes(r.content)) for r in again) == sorted((r.member, bytes(r.content)) for r in rows)
+    with zipfile.ZipFile(tmp_path / "t.zip", "w") as z:
+        z.writestr("t.csv", "a,b\r\n1,x\r\n2,y\n")
+    assert sorted(tuple(r) for r in archives.tables_inside(spark, f"{tmp_path}/t.zip", "a int, b string").collect()) == [(1, "x"), (2, "y")]
     assert archives.coalesced([(0, 10), (12, 20), (5000, 5010)], gap=100, most=1000) == [[0, 1], [2]]
 
 
@@ -103,3 +108,23 @@ def test_streams(spark, data, tmp_path):
 def test_mixture_config():
     text = readers.mixture_config({"b": 100, "a": 5}, {"b": {"key": "task", "values": 4}, "a": None}, per_group=50)
     assert text.splitlines()[:2] == ["sources:", "  - name: a"] and "    group_by: task" in text and "    repeat_to: 25" in text
+
+
+def test_rows_that_raise_are_left_out_or_told(spark):
+    df = spark.createDataFrame([("1",), ("x",), (None,), ("3",)], "v string")
+    f = lambda row: {"n": int(row["v"])}
+    assert sorted(r.n for r in readers.mapped_rows(df, f, "n long").collect()) == [1, 3]
+    told = readers.mapped_rows(df, f, "n long", log="error").collect()
+    assert len(told) == 4 and sum(r.error is not None and r.n is None for r in told) == 2
+
+
+def test_objects_around_rows_whatever_their_columns(spark, tmp_path):
+    wide = {f"c{i}": i for i in range(20)} | {"rows": [{"a": 1}, {"a": 2}]}
+    (tmp_path / "wide.json").write_text(json.dumps(wide))
+    assert readers.read_any(spark, str(tmp_path / "wide.json")).count() == 2
+    (tmp_path / "list.json").write_text(json.dumps([{"a": 1, "list": [{"b": 1}, {"b": 2}]}]))
+    assert readers.read_any(spark, str(tmp_path / "list.json")).columns == ["a", "list"]
+    (tmp_path / "x.csv").write_text("a&b\n1&2\n")
+    assert readers.read_any(spark, str(tmp_path / "x.csv"), "csv&").first().b == "2"
+    spark.range(100).write.parquet(str(tmp_path / "p"))
+    assert readers.first_rows(spark, str(tmp_path / "p"), 7, ["id"]).count() == 7
