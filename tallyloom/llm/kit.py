@@ -197,8 +197,8 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="tallyloom-")
         atexit.register(shutil.rmtree, folder, True)
-        base = "file://" + folder
-        spark.conf.set("spark.checkpoint.dir", base)
+        spark.sparkContext.setCheckpointDir("file://" + folder)
+        base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/tallyloom-{uuid.uuid4().hex}"
 
 
@@ -260,9 +260,10 @@ def lookup(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left",
     return left.join(right, [*same, F.col("salt__") == F.col("salt__r")], how).drop(*gone, "salt__", "salt__r")
 
 
-def split_join(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame, by: list[str]) -> DataFrame:
-    """An inner join on keys. Rows of `left` whose key (by) is in `hot` (by, salts) are dealt over salts + 1 parts, and those of `right` are copied to each; null keys meet nothing."""
+def split_join(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame, by: list[str], once: bool = False) -> DataFrame:
+    """An inner join on keys. Rows of `left` whose key (by) is in `hot` (by, salts) are dealt over salts + 1 parts, and those of `right` are copied to each; null keys meet nothing. With `once`, rows that repeat stay once: they lie in one part, so that this moves nothing."""
     none = F.lit(0).cast("long")
     dealt = lookup(left, hot, by).withColumn("part__", F.pmod(F.xxhash64(*left.columns), F.coalesce("salts", none) + 1)).drop("salts")
     copied = lookup(right, hot, by).withColumn("part__", F.explode(F.sequence(none, F.coalesce("salts", none)))).drop("salts")
-    return dealt.join(copied, [*keys, "part__"]).drop("part__")
+    met = dealt.join(copied, [*keys, "part__"])
+    return (met.distinct() if once else met).drop("part__")

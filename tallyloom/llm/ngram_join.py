@@ -189,7 +189,8 @@ def filter_of(hashes: DataFrame, column: str, bits: int) -> np.ndarray:
 def overlaps(df: DataFrame, text: str, size: int, fragment: np.ndarray, pairs: DataFrame, whole: bool) -> DataFrame:
     """The pairs (a, b, na, nb) with `o`: their overlap, counted fragment by fragment and summed; by codes, at least their overlap. Pairs without a common fragment are left out."""
     both = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class")))
-    cut = fragments(df, text, size, filter_of(both, "class", FILTER_BITS), fragment, whole).dropDuplicates(["class", "part"])
+    # Dealt by class, once for both sides.
+    cut = fragments(df, text, size, filter_of(both, "class", FILTER_BITS), fragment, whole).repartition("class").dropDuplicates(["class", "part"])
     side = lambda x: cut.select(F.col("class").alias(x), "part", F.col("grams").alias(f"g{x}"), F.col("lost").alias(f"l{x}"))
     hot, at = written(pairs.groupBy("b").agg(F.floor(F.count(F.lit(1)) / PARTNERS).alias("salts")).filter("salts > 0"))
     met = split_join(pairs.select("a", "b", "na", "nb").join(side("a"), "a"), side("b"), ["b", "part"], hot, ["b"])
@@ -227,16 +228,18 @@ def pairs_within(apart: DataFrame, grams: DataFrame) -> DataFrame:
 
 def classes_linked(df: DataFrame, text: str, size: int, percent: int, levels: np.ndarray, fragment: np.ndarray) -> DataFrame:
     """(node, root): classes by component, but for components of one class and the roots themselves."""
-    # N-grams that several classes have, with the key of the most central one.
+    # N-grams that several classes have, with the key of the most central one, which stands for the hub.
     many = postings(df, text, size, percent, levels).groupBy("gram").agg(F.max("key").alias("top"), F.min("key").alias("low"), F.count(F.lit(1)).alias("members")).filter("low <> top")
     many, _ = written(many.select("gram", "top", "members"))
     hot, _ = written(_crowded(many))
     rows = postings(df, text, size, percent, levels, filter_of(many, "gram", GRAM_BITS))
-    met, kept = written(split_join(rows, many, ["gram"], hot, ["gram"]).distinct())
-    hubs = met.filter("key = top").groupBy("gram").agg(F.max("class").alias("hub"), F.max("n").alias("hub_n"))
-    met, kept = written(split_join(met.select("gram", "class", "n", "at"), hubs, ["gram"], hot, ["gram"]))
-    stars = met.filter("class <> hub").select(F.col("class").alias("a"), F.col("hub").alias("b"), F.col("n").alias("na"), F.col("hub_n").alias("nb"))
-    stars, _ = written(stars.filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").distinct())
+    met, _ = written(split_join(rows, many.select("gram", "top"), ["gram"], hot, ["gram"], once=True))
+    # What concerns a class and its hub is told for both once, not for each n-gram that they share.
+    both, _ = written(met.select("class", "n", "top", (F.col("key") == F.col("top")).alias("is_hub")).distinct())
+    hubs = both.filter("is_hub").select("top", F.col("class").alias("hub"), F.col("n").alias("hub_n"))
+    both, _ = written(both.join(hubs, "top"))
+    stars = both.filter("class <> hub").select(F.col("class").alias("a"), F.col("hub").alias("b"), F.col("n").alias("na"), F.col("hub_n").alias("nb"))
+    stars, _ = written(stars.filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)"))
     rough, links, _ = verified(df, text, size, percent, fragment, stars)
     roots, _ = written(components(links))
     # Jaccard distances keep the triangle inequality: a class that lies more than twice the allowed
@@ -245,9 +248,9 @@ def classes_linked(df: DataFrame, text: str, size: int, percent: int, levels: np
     told = rough.select(F.col("a").alias("class"), F.col("b").alias("hub"), F.expr(f"CASE WHEN 100 * o < {far} * (na + nb - o) THEN 0 ELSE 1 END").alias("told"))
     sure = links.select(F.col("a").alias("class"), F.col("b").alias("hub"), F.lit(2).alias("sure"))
     kind = F.coalesce("sure", "told", F.expr(f"CASE WHEN class = hub THEN 3 WHEN 100 * least(n, hub_n) < {far} * greatest(n, hub_n) THEN 0 ELSE 1 END"))
-    placed = met.join(told, ["class", "hub"], "left").join(sure, ["class", "hub"], "left").withColumn("kind", kind)
-    placed = placed.join(roots.withColumnRenamed("node", "class"), "class", "left").select("gram", "class", "n", "at", "kind", F.coalesce("root", "class").alias("root"))
-    placed, _ = written(placed)
+    kinds = both.join(told, ["class", "hub"], "left").join(sure, ["class", "hub"], "left").join(roots.withColumnRenamed("node", "class"), "class", "left")
+    kinds, _ = written(kinds.select("class", "top", "n", kind.alias("kind"), F.coalesce("root", "class").alias("root")))
+    placed, _ = written(met.select("gram", "class", "at", "top").join(kinds, ["class", "top"]).drop("top"))
     # What the stars leave apart: n-grams whose classes lie in several components. Hubs have met all of theirs.
     torn, _ = written(placed.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("members")).filter("low <> high").select("gram", "members"))
     apart, _ = written(split_join(placed.filter("kind <> 3"), torn, ["gram"], _crowded(torn), ["gram"]).drop("members"))
