@@ -31,4 +31,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_join": ngram_join.OP2_SQL, "op3_quality_rules": quality.OP3_SQL, "op7_warc": warc.OP7_SQL, "op8_chat_format": chat.OP8_SQL, "layouts_to_turns": chat.LAYOUTS_SQL, **{name: sql for name, (_, sql) in beside.QUERIES.items()}}
+    return {"op2_ngram_join": ngram_join.OP2_SQL, "op3_quality_rules": quality.OP3_SQL, "op6_sharding": sharding.OP6_SQL, "op7_warc": warc.OP7_SQL, "op8_chat_format": chat.OP8_SQL, "layouts_to_turns": chat.LAYOUTS_SQL, **{name: sql for name, (_, sql) in beside.QUERIES.items()}}
