@@ -184,10 +184,29 @@ def banded(x: Column, edges: list[float], names: list[str]) -> Column:
     return F.when(x.isNotNull(), out)
 
 
-def element_text(attributes: Column, keys: tuple[str, ...] = ("aria-label", "title", "alt", "placeholder", "name", "value", "type", "id")) -> Column:
-    """A page element in words: the values of some attributes of a JSON object, in order, each once."""
-    values = F.array(*[F.get_json_object(attributes, f"$['{k}']") for k in keys])
-    return F.array_join(F.array_distinct(F.filter(values, lambda v: F.trim(v) != "")), " | ")
+def element_text(attributes: Column, keys: tuple[str, ...] = ("aria-label", "title", "alt", "placeholder", "name", "value", "type", "id"), tag: Column | None = None, named: bool = False, most: int | None = None) -> Column:
+    """A page element in words: its tag, if given, and the values of some attributes of a JSON object, in order, each once, with `key=` if named; cut to `most` characters."""
+    values = F.array(*[F.struct(F.lit(k).alias("k"), F.get_json_object(attributes, f"$['{k}']").alias("v")) for k in keys])
+    kept = F.transform(F.filter(values, lambda x: F.trim(x["v"]) != ""), lambda x: F.concat(x["k"], F.lit("="), x["v"]) if named else x["v"])
+    out = F.array_join(F.array_distinct(kept), " | ")
+    if tag is not None:
+        out = F.when(out == "", F.concat(F.lit("<"), tag, F.lit(">"))).otherwise(F.concat(F.lit("<"), tag, F.lit("> "), out))
+    return out if most is None else F.when(F.length(out) > most, F.concat(F.left(out, F.lit(most - 1)), F.lit("…"))).otherwise(out)
+
+
+def sentiment_level(x: Column) -> Column:
+    """A sentiment from -1 to 1 as one of five levels, 0 to 4: round halves to even."""
+    return F.greatest(F.lit(0), F.least(F.lit(4), F.bround((x + 1) * 2).cast("int")))
+
+
+def opinion_score(x: Column) -> Column:
+    """A mean opinion score from 0 to 100 as one of five levels, 0 to 4."""
+    return F.greatest(F.lit(0), F.least(F.lit(4), F.floor(x / 20).cast("int")))
+
+
+def sign_band(x: Column, around: float = 0.1) -> Column:
+    """negative, neutral or positive; values within `around` of 0 are neutral."""
+    return F.when(x < -around, "negative").when(x > around, "positive").when(x.isNotNull(), "neutral")
 
 
 def json_type(x: Column) -> Column:

@@ -34,13 +34,13 @@ def source_keys(ids: Column) -> Column:
 
 
 def media_source_id(item: Column) -> Column:
-    """The source id of a media item whose file (of frames, and of files called a or i, whose folder) is named by a clip id of 11 characters, with or without a time range."""
+    """The source id of a media item whose file (of frames, and of files called a, i or by a number, whose folder) is named by a clip id of 11 characters, with or without a time range."""
     first = F.try_element_at(item["frames"], F.lit(1))
     path = F.coalesce(item["path"], first, item["audio"])
     stem = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[A-Za-z0-9]+$", "")
     parent = F.try_element_at(F.split(path, "/"), F.lit(-2))
-    name = F.when(first.isNotNull() | stem.isin("a", "i"), parent).otherwise(stem)
-    clip = F.nullif(F.regexp_extract(name, r"^([A-Za-z0-9_-]{11})(?:_\d+){0,2}$", 1), F.lit(""))
+    name = F.when(first.isNotNull() | stem.isin("a", "i") | stem.rlike(r"^(frame_?)?\d+$"), parent).otherwise(stem)
+    clip = F.nullif(F.regexp_extract(name, r"^([A-Za-z0-9_-]{11})(?:_\d+(?:\.\d+)?){0,2}$", 1), F.lit(""))
     return F.when(~name.startswith("video_"), F.concat(F.lit(CLIP), clip))
 
 

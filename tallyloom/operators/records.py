@@ -125,6 +125,15 @@ def pair_records(df: DataFrame, *, source: str, first: Column, second: Column, n
     return choice_records(df.filter(first != second), source=source, state=state, instructions=instructions, choices=choices, label=label, **more)
 
 
+def typed_records(df: DataFrame, *, source: str, state: Column, kind: Column, instructions: Column, opts: Column, expected: Column, probs: Column | None = None, meta: dict[str, Column] | None = None, id_: Column | None = None) -> DataFrame:
+    """Records of rows that tell the type of their question themselves. Of a scale, `expected` may be an index or a level's text; `probs` (a map by label or level) become the soft target."""
+    levels = F.transform(opts, lambda o: F.coalesce(F.nullif(o["description"], F.lit("")), o["key"]))
+    index = lambda x: F.when((kind == "score") & F.array_contains(levels, x), (F.array_position(levels, x) - 1).cast("string")).otherwise(canonical_label(kind, x))
+    soft = None if probs is None else F.transform_keys(probs, lambda k, v: index(k))
+    q = F.struct(F.lit("decision").alias("name"), kind.alias("type"), instructions.alias("instructions"), opts.alias("options"))
+    return record(df, source=source, state=state, questions=[q], targets=[target("decision", index(expected), soft)], meta=meta, id_=id_)
+
+
 def problems(records: DataFrame) -> DataFrame:
     """The records with `problem`, the first rule that they break, or null."""
     q = F.col("questions")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.operators.records import RECORD, valid
+from tallyloom.operators.sampling import take
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -72,10 +73,15 @@ def listing(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
 
 
 def materialised(spark: SparkSession, folder: str, name: str, split: str, version: int, cap: int | None, build) -> DataFrame:
-    """The valid records of a dataset, from its table of this version and cap if there is one, else built and written. No record is an error."""
-    path = f"{folder}/{name}/split={split}/version={version}/cap={cap or 'all'}"
-    where = spark._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
-    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+    """The valid records of a dataset: from its table of this version and cap if there is one, else the first of one with a larger cap or none in hash order, else built and written. A table of another version is never used. No record is an error."""
+    above = f"{folder}/{name}/split={split}/version={version}"
+    path = f"{above}/cap={cap or 'all'}"
+    caps = _complete_caps(spark, above)
+    larger = [c for c in caps if cap and (c is None or c > cap)]
+    if cap not in caps and larger:
+        reused = min(larger, key=lambda c: c or float("inf"))
+        return take(spark.read.schema(RECORD).parquet(f"{above}/cap={reused or 'all'}"), cap, f"{name}:{split}", F.col("id"))
+    if cap not in caps:
         records = valid(build(spark, split, cap))
         records.withColumn("meta", F.map_concat(F.create_map(F.lit("source"), F.lit(name)), F.map_filter("meta", lambda k, v: k != "source"))).write.mode("overwrite").parquet(path)
     out = spark.read.schema(RECORD).parquet(path)
@@ -84,6 +90,14 @@ def materialised(spark: SparkSession, folder: str, name: str, split: str, versio
     return out
 
 
+def _complete_caps(spark: SparkSession, above: str) -> list[int | None]:
+    """Caps (None: all records) of the tables of a version that were written to their end."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{above}/cap=*/_SUCCESS")
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where) or []
+    names = [s.getPath().getParent().getName().removeprefix("cap=") for s in found]
+    return [None if n == "all" else int(n) for n in names]
+
+
 def flattened_metrics(metrics: dict, prefix: str = "") -> dict[str, float]:
     """Nested metrics as a/b/c -> number; truth values and texts go."""
     out: dict[str, float] = {}

@@ -77,3 +77,11 @@ def test_cloze_constraints_and_media_order(spark):
     assert df.select(X.media_order(F.col("t"), "video", F.col("m"))).first()[0] == ["q", "p"]
     with pytest.raises(Exception, match="no item for <video:2>"):
         df.select(X.media_order(F.col("t"), "video", F.array(F.lit("p")))).collect()
+
+
+def test_bands_and_elements(spark):
+    df = spark.createDataFrame([(-1.0,), (-0.05,), (0.26,), (1.0,)], "x double")
+    assert [tuple(r) for r in df.select(X.sentiment_level(F.col("x")), X.opinion_score((F.col("x") + 1) * 50), X.sign_band(F.col("x"))).collect()] == [(0, 0, "negative"), (2, 2, "neutral"), (3, 3, "positive"), (4, 4, "positive")]
+    df = spark.createDataFrame([('{"title": "Go", "name": "go", "id": "Go"}', "a"), ("{}", "div")], "j string, tag string")
+    told = df.select(X.element_text(F.col("j"), tag=F.col("tag")), X.element_text(F.col("j"), named=True, most=12)).collect()
+    assert [tuple(r) for r in told] == [("<a> Go | go", "title=Go | …"), ("<div>", "")]

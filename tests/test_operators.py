@@ -66,9 +66,10 @@ def test_sources_are_parsed():
 
 
 def test_media_source_id(spark):
-    paths = {"v/abcdefghijk.mp4": "abcdefghijk", "v/abcdefghijk_3.5_7.mp4": "abcdefghijk", "abcdefghijk/0001.jpg": "abcdefghijk", "abcdefghijk/a.flac": "abcdefghijk", "v/video_12345.mp4": None, "v/short.mp4": None}
+    paths = {"v/abcdefghijk.mp4": "yt:abcdefghijk", "v/abcdefghijk_3.5_7.mp4": "yt:abcdefghijk", "abcdefghijk/0001.jpg": "yt:abcdefghijk", "abcdefghijk/a.flac": "yt:abcdefghijk", "v/video_12345.mp4": None, "v/short.mp4": None}
     df = spark.createDataFrame([(p,) for p in paths], "p string")
-    assert {r.p: r.s for r in df.select("p", mixture.media_source_id(F.col("p")).alias("s")).collect()} == paths
+    item = F.struct(F.col("p").alias("path"), F.lit(None).cast("array<string>").alias("frames"), F.lit(None).cast("string").alias("audio"))
+    assert {r.p: r.s for r in df.select("p", mixture.media_source_id(item).alias("s")).collect()} == paths
 
 
 def test_ranks_are_those_of_one_sort(spark):
@@ -293,3 +294,13 @@ def test_same_type(spark):
     pool = F.array(*map(F.lit, ["12", "3.5", "Paris", "New York", "red", "Rome"]))
     got = spark.range(1).select(distractors.same_type(pool, F.lit("7")).alias("n"), distractors.same_type(pool, F.lit("Oslo")).alias("c")).first()
     assert got.n == ["12", "3.5"] and got.c == ["Paris", "Rome"]
+
+
+def test_typed_records(spark):
+    rows = [("score", "good", {"bad": 0.2, "good": 0.8}), ("score", "0", {"0": 1.0}), ("choice", "a", {"a": 1.0}), ("noul", "True", {"true": 0.9, "false": 0.1})]
+    df = spark.createDataFrame(rows, "kind string, expected string, probs map<string, double>")
+    opts = F.when(F.col("kind") == "score", records.options([("0", "bad"), ("1", "good")])).otherwise(records.options([("a", ""), ("b", "")]))
+    made = records.typed_records(df, source="t", state=F.lit("s"), kind=F.col("kind"), instructions=F.lit("?"), opts=opts, expected=F.col("expected"), probs=F.col("probs"))
+    assert records.problems(made).filter("problem is not null").count() == 0
+    got = [(r.label, r.probs) for r in records.decisions(made).collect()]
+    assert got == [("1", {"0": 0.2, "1": 0.8}), ("0", {"0": 1.0}), ("a", {"a": 1.0}), ("yes", {"yes": 0.9, "no": 0.1})]

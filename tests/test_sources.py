@@ -128,3 +128,33 @@ def test_objects_around_rows_whatever_their_columns(spark, tmp_path):
     assert readers.read_any(spark, str(tmp_path / "x.csv"), "csv&").first().b == "2"
     spark.range(100).write.parquet(str(tmp_path / "p"))
     assert readers.first_rows(spark, str(tmp_path / "p"), 7, ["id"]).count() == 7
+
+
+def test_a_larger_cap_is_reused_another_version_is_not(spark, tmp_path):
+    built = []
+
+    def build(spark, split, cap):
+        built.append(cap)
+        rows = spark.createDataFrame([(str(i), f"state {i}", "a") for i in range(50)], "id string, state string, label string")
+        return records.choice_records(rows, source="t", state=F.col("state"), instructions="?", choices=[("a", "A"), ("b", "B")], label=F.col("label"), id_=F.col("id")).limit(cap or 50)
+
+    get = lambda cap, version=1: readers.materialised(spark, str(tmp_path), "t", "train", version, cap, build).count()
+    assert (get(20), get(20), get(5), get(30), get(None), get(40)) == (20, 20, 5, 30, 50, 40)
+    assert built == [20, 30, None]
+    assert get(5, 2) == 5 and built == [20, 30, None, 5]
+
+
+def test_counts_of_a_stream_with_late_events(spark, tmp_path):
+    import datetime as dt
+
+    at = lambda h, m=0: dt.datetime(2024, 1, 1, h, m)
+    batches = [[(at(1, 5), "a", 1.0), (at(1, 50), "a", 2.0)], [(at(5), "a", 1.0)], [(at(1, 10), "a", 100.0), (at(5, 30), "b", 4.0)], [(at(9), "c", 0.0)]]
+    schema = "ts timestamp, event_type string, value double"
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in/*")
+        run = slices.tumbling(stream).writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start(f"{tmp_path}/out")
+        run.awaitTermination()
+    got = sorted((r.start.hour, r.event_type, r.n, r.total) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    # The event of 1:10 comes when the watermark has passed its window.
+    assert got == [(1, "a", 2, 3.0), (5, "a", 1, 1.0), (5, "b", 1, 4.0)]
