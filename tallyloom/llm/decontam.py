@@ -60,7 +60,10 @@ def tokens_of(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inside = _TOKEN[data]
     digit = _DIGIT[data]
     if len(data) > 2:
-        inside[1:-1] |= _POINT[data[1:-1]] & digit[:-2] & digit[2:]
+        inner = np.ones(len(data), bool)  # a sign at the edge of a text has no neighbour beyond it
+        inner[texts.starts[texts.starts < texts.ends]] = False
+        inner[texts.ends[texts.starts < texts.ends] - 1] = False
+        inside[1:-1] |= _POINT[data[1:-1]] & digit[:-2] & digit[2:] & inner[1:-1]
         for at in np.flatnonzero((data[:-2] == 0xE2) & (data[1:-1] == 0x80)):  # general punctuation
             inside[at : at + 3] = False
     starts, ends, first = word_bounds(Texts(inside.view(np.uint8), texts.starts, texts.ends), _SEPARATE)
@@ -79,6 +82,7 @@ def tokens_of(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     name = big & ~opens & (next_ > starts) & ~upper[next_] & ~number if len(starts) else np.zeros(0, bool)
     after_number = np.zeros(len(starts), bool)
     after_number[1:] = number[:-1]
+    after_number[first[:-1][first[:-1] < len(starts)]] = False
     unit = after_number & np.isin(literal, _UNIT_HASHES) & ~number
     return literal, np.where(number, 1, np.where(unit, 3, np.where(name, 2, 0))).astype(np.int8), first
 

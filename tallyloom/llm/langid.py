@@ -39,6 +39,8 @@ SCRIPTS = {
 NAMES = ["none", *SCRIPTS, "other"]
 #: Buckets of hashed trigrams; the model holds as many rows, whatever the corpus.
 BUCKETS = 1 << 15
+#: Languages that a model may have: those with the most training texts, should a column hold more values. A task keeps a table of each language that it meets.
+LANGUAGES = 512
 #: Log units that a change of language costs.
 SWITCH = 6.0
 #: A language is a candidate for a script that at least this share of its words has.
@@ -126,7 +128,16 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     """Count trigrams and scripts of all texts by language (null languages or texts teach nothing).
 
     Each partition sends a row for each language and bucket at most; as many come to the driver.
+    Repeated texts count each; a very long text is read whole. Without any text to learn from the
+    model has no language.
     """
+    lang_ = F.col(lang).cast("string")
+    rows = df.filter(lang_.isNotNull() & F.col(text).isNotNull()).select(F.col(text), lang_.alias("lang"))
+    held = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(LANGUAGES + 1)
+    langs = [r.lang for r in held.collect()]
+    if len(langs) > LANGUAGES:
+        langs = langs[:LANGUAGES]
+        rows = rows.filter(F.col("lang").isin(langs))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -145,15 +156,14 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang") -> Model:
             some = np.flatnonzero(total)
             yield record(lang=pa.array([name] * len(some), pa.string()), id=some, n=total[some])
 
-    rows = df.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text), F.col(lang).cast("string")).mapInArrow(count, "lang string, id long, n long").groupBy("lang", "id").agg(F.sum("n").alias("n")).collect()
-    langs = sorted({r.lang for r in rows})
+    found = rows.mapInArrow(count, "lang string, id long, n long").groupBy("lang", "id").agg(F.sum("n").alias("n")).toArrow()
+    langs = sorted(set(found.column("lang").to_pylist()))
     counts, scripts = np.zeros((BUCKETS, len(langs))), np.zeros((len(NAMES), len(langs)))
-    for r in rows:
-        k = langs.index(r.lang)
-        if r.id < BUCKETS:
-            counts[r.id, k] = r.n
-        else:
-            scripts[r.id - BUCKETS, k] = r.n
+    code = np.searchsorted(np.array(langs, dtype=object), np.array(found.column("lang").to_pylist(), dtype=object)) if langs else np.zeros(0, np.int64)
+    at, n = np.asarray(found.column("id")), np.asarray(found.column("n"))
+    inside = at < BUCKETS
+    counts[at[inside], code[inside]] = n[inside]
+    scripts[at[~inside] - BUCKETS, code[~inside]] = n[~inside]
     scores = np.log((counts + 0.05) / (counts + 0.05).sum(0)) if langs else counts
     allowed = scripts >= LEAST_SHARE * np.maximum(scripts[1:].sum(0), 1)
     allowed[~allowed.any(1)] = True
@@ -219,7 +229,9 @@ def label(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...]
     """Columns `keep`, lang_pred, score (the share of letters in its spans) and, if asked for, spans (start, end in code points, lang).
 
     Null texts and those without a letter are `und` with score 0 and no spans; so is everything
-    if nothing was learned. Ties go to the first language by code.
+    if nothing was learned. Ties go to the first language by code. Very long texts are read whole,
+    repeated rows each; an empty table gives an empty table. Columns `keep` may have any name that
+    no output has.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))

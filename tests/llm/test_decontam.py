@@ -1,6 +1,8 @@
 import random
 import re
 
+import pyarrow as pa
+
 from tallyloom.llm import decontam
 
 ITEM = "Maria Lopez has 12 apples and gives 5 apples to John each day until none are left for lunch. Then Maria buys 12 kg of rice at the market in town."
@@ -113,6 +115,15 @@ def test_templates_and_slots_against_brute_force(spark):
     assert got == want and sum(o for _, o in want.values()) > 5 and len(want) > 20
 
 
+def test_tokens_do_not_depend_on_the_neighbours_of_a_text():
+    texts = ["ends with 14.", "5 in begins", "12", "in the middle", "", "3,", "7 kg", ".5", "x 9", "miles"]
+    whole = decontam.tokens_of(decontam.texts_of(pa.array(texts)))
+    for i, t in enumerate(texts):
+        alone = decontam.tokens_of(decontam.texts_of(pa.array([t])))
+        a, b = whole[2][i], whole[2][i + 1]
+        assert (whole[0][a:b] == alone[0]).all() and (whole[1][a:b] == alone[1]).all(), t
+
+
 def test_items_that_share_an_id(spark):
     docs = spark.createDataFrame([(1, "one two three four"), (2, "five six seven"), (3, "eight")], "doc_id long, text string")
     bench = spark.createDataFrame([(7, "one two three"), (7, "five six seven"), (None, "eight"), (None, "four")], "item_id long, text string")

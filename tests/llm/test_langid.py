@@ -3,6 +3,7 @@ import zlib
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tallyloom.llm import langid
 
@@ -62,3 +63,23 @@ def test_letters_late_in_a_block_of_four_byte_characters_count(spark):
     out = {r.i: (r.lang_pred, r.score) for r in langid.label(df, model, keep=("i",)).collect()}
     assert out[1][0] != "und" and out[1][1] > 0 and out[2][0] != "und"
     assert out[3] == out[4] == ("und", 0.0)
+
+
+def test_every_letter_counts(spark):
+    """str.isalpha as the oracle, one text for each run of 64 code points of which some are letters, and one for those of which none is."""
+    train = spark.createDataFrame([("the cat and the dog went over to the house", "en")] * 5, "text string, lang string")
+    model = langid.fit(train)
+    blocks = [[chr(c) for c in range(low, low + 64) if not 0xD800 <= c < 0xE000] for low in range(0, 0x110000, 64)]
+    letters = [next(c for c in b if c.isalpha()) for b in blocks if any(c.isalpha() for c in b)]
+    others = [" ".join(c for c in b if not c.isalpha()) for b in blocks]
+    rows = [(True, c) for c in letters] + [(False, t) for t in others if t.strip()]
+    df = spark.createDataFrame(rows, "letter boolean, text string")
+    wrong = langid.label(df, model, keep=("letter",)).filter((F.col("lang_pred") == "und") == F.col("letter")).count()
+    assert wrong == 0
+
+
+def test_a_column_of_many_values_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    rows = [("the cat and the dog", "en")] * 3 + [("der hund und die katze", "de")] * 2 + [("un mot", f"x{i}") for i in range(9)]
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string"))
+    assert model.langs == ["de", "en"]
