@@ -101,17 +101,19 @@ def words_of(texts: Texts) -> Words:
     plain = _GAP[data].astype(np.uint32)
     left = np.concatenate([[np.uint32(0x20)], plain[:-1]]).astype(np.uint32) if len(data) else plain
     right = np.append(plain[1:], np.uint32(0x20)).astype(np.uint32) if len(data) else plain
+    some = texts.starts < texts.ends  # a text's first and last byte have no neighbour beyond it
+    left[texts.starts[some]] = right[texts.ends[some] - 1] = 0x20
     three = (left << np.uint32(16) | plain << np.uint32(8) | right) * np.uint32(0x9E3779B1)
     letter = script > 0
     sums = np.zeros(len(data) + 1, np.int64)
     np.cumsum(letter | (data >= 0x80) & (data < 0xC0), out=sums[1:])
-    some = np.zeros(len(data) + 1, np.int64)
-    np.cumsum(letter, out=some[1:])
+    count = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(letter, out=count[1:])
     sure = np.zeros(len(data) + 1, np.int64)
     np.cumsum(letter & (data < 0xE0), out=sure[1:])
     at = np.flatnonzero(letter)
     first_letter = at[np.minimum(np.searchsorted(at, starts), max(len(at) - 1, 0))] if len(at) else starts
-    has = some[ends] > some[starts]
+    has = count[ends] > count[starts]
     return Words(starts, ends, first, np.where(has, script[first_letter], 0) if len(at) else np.zeros(len(starts), np.int8), np.where(has, sums[ends] - sums[starts], 0), (three >> np.uint32(17)).astype(np.int32), sure)
 
 

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -83,3 +84,14 @@ def test_a_column_of_many_values_is_bounded(spark, monkeypatch):
     rows = [("the cat and the dog", "en")] * 3 + [("der hund und die katze", "de")] * 2 + [("un mot", f"x{i}") for i in range(9)]
     model = langid.fit(spark.createDataFrame(rows, "text string, lang string"))
     assert model.langs == ["de", "en"]
+
+
+def test_words_do_not_depend_on_the_neighbours_of_a_text():
+    texts = ["ab", "cd é", "", "ß", "xyz "]
+    whole = langid.words_of(langid.texts_of(pa.array(texts)))
+    at = 0
+    for t in texts:
+        alone = langid.words_of(langid.texts_of(pa.array([t])))
+        n = len(t.encode())
+        assert (whole.buckets[at : at + n] == alone.buckets).all(), t
+        at += n
