@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,17 +102,40 @@ def grid() -> list[float]:
 def fitted_temperature(df: DataFrame, groups: list[str] | None = None) -> DataFrame:
     """The grid's temperature of the least mean NLL (the first of equals): (groups, step, temperature, nll, n).
 
-    Each decision is a row once: all means are columns of one aggregation.
+    Each Arrow batch gives the sums of its decisions for all temperatures by group, and Spark adds
+    them up: (groups, temperatures) rows are shuffled for a batch, no decision is.
     """
-    by, t, values = groups or [], F.col("target"), grid()
-    rows = df.filter(t.isNotNull() & (t < F.size("logits"))).select(*by, t.alias("t"), "logits", F.array_max("logits").alias("top"))
-    rows = rows.select(*by, F.transform("logits", lambda x: x - F.col("top")).alias("z"), "t").withColumn("gold", F.element_at("z", F.col("t") + 1))
-    logsum = lambda at: F.log(F.aggregate("z", F.lit(0.0), lambda a, x: a + F.exp(x / at)))
-    rows = rows.select(*by, F.transform(F.array(*map(F.lit, values)), lambda at: logsum(at) - F.col("gold") / at).alias("nlls"))
-    means = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.col("nlls")[i]).alias(f"m{i}") for i in range(len(values))])
-    steps = F.array(*[F.struct(F.col(f"m{i}").alias("nll"), F.lit(i).alias("step"), F.lit(x).alias("temperature")) for i, x in enumerate(values)])
-    best = means.filter("n > 0").select(*by, "n", F.array_min(steps).alias("b"))
-    return best.select(*by, "b.step", "b.temperature", "b.nll", "n")
+    by, values = groups or [], np.array(grid())
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            z, first = _flat(batch.column("z__"))
+            sizes = np.diff(first)
+            z = z - np.repeat(np.maximum.reduceat(z, first[:-1]), sizes)
+            gold = z[first[:-1] + np.asarray(batch.column("t__"))]
+            nll = np.stack([np.log(np.add.reduceat(np.exp(z / t), first[:-1])) - gold / t for t in values])
+            code = pa.Table.from_batches([batch]).select(by).to_pandas().groupby(by, dropna=False, sort=False).ngroup().to_numpy() if by else np.zeros(batch.num_rows, np.int64)
+            kinds, at, n = np.unique(code, return_index=True, return_counts=True)
+            total = np.stack([np.bincount(code, row, len(kinds)) for row in nll], axis=1)
+            held = [batch.column(c).take(pa.array(np.repeat(at, len(values)))) for c in by]
+            yield pa.RecordBatch.from_arrays([*held, pa.array(np.tile(np.arange(len(values), dtype=np.int32), len(kinds))), pa.array(total.reshape(-1)), pa.array(np.repeat(n, len(values)))], [*by, "step", "total", "n"])
+
+    t = F.col("target")
+    rows = df.filter(t.isNotNull() & (t >= 0) & (t < F.size("logits"))).select(*by, F.col("logits").cast("array<double>").alias("z__"), t.cast("long").alias("t__"))
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[: len(by)])
+    parts = rows.mapInArrow(sums, kinds + "step int, total double, n long")
+    means = parts.groupBy(*by, "step").agg((F.sum("total") / F.sum("n")).alias("nll"), F.sum("n").alias("n"))
+    best = means.groupBy(*by).agg(F.min(F.struct("nll", "step", "n")).alias("b")).filter("b is not null")
+    told = F.element_at(F.array(*[F.lit(float(x)) for x in values]), F.col("b.step") + 1)
+    return best.select(*by, "b.step", told.alias("temperature"), "b.nll", "b.n")
+
+
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of an array column one after the other, and where each row's begin."""
+    bounds = np.asarray(lists.offsets)
+    return np.asarray(lists.values)[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
 def temperatures_by_type(df: DataFrame, kind: str = "type") -> dict[str, float]:
