@@ -85,6 +85,10 @@ def quality_counts(texts: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(table[:, i], pa.int64()) for i in range(len(COUNTS))], COUNTS)
 
 
+#: So that a filter on the counts does not count again.
+quality_counts = quality_counts.asNondeterministic()
+
+
 def _value(counts: Column, name: str) -> Column:
     """The logarithm that sketches hold. Half an event more keeps documents without any apart by their length."""
     part, whole, kind = FEATURES[name]
