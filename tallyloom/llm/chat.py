@@ -69,32 +69,6 @@ def field_paths(record: Column) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.transform(F.json_object_keys(record), of))))
 
 
-def fingerprint(self) -> str:
-        return hashlib.sha256("\n".join(sorted(self.paths)).encode()).hexdigest()
-
-
-LAYOUTS = [
-    Layout("turns", ("turns[].role", "turns[].text"), turns=("turns", "role", "text")),
-    Layout("messages", ("messages[].role", "messages[].content"), turns=("messages", "role", "content")),
-    Layout("sharegpt", ("conversations[].from", "conversations[].value"), turns=("conversations", "from", "value")),
-    Layout("instruction_input", ("instruction", "input", "output"), fields=(("user", ("instruction", "input")), ("assistant", ("output",)))),
-    Layout("instruction", ("instruction", "output"), fields=(("user", ("instruction",)), ("assistant", ("output",)))),
-    Layout("system_prompt", ("system", "prompt", "response"), fields=(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",)))),
-    Layout("prompt_completion", ("prompt", "completion"), fields=(("user", ("prompt",)), ("assistant", ("completion",)))),
-    Layout("prompt_response", ("prompt", "response"), fields=(("user", ("prompt",)), ("assistant", ("response",)))),
-    Layout("question_answer", ("question", "answer"), fields=(("user", ("question",)), ("assistant", ("answer",)))),
-]
-
-
-def field_paths(record: Column) -> Column:
-    """Sorted nested field paths of a JSON object: `a`, `a.b`, `a[].b`; of arrays, those of the first element."""
-    nested = lambda k: F.coalesce(F.json_object_keys(F.call_function("get_json_object", record, F.concat(F.lit("$['"), k, F.lit("'][0]")))), F.array().cast("array<string>"))
-    inner = lambda k: F.coalesce(F.json_object_keys(F.call_function("get_json_object", record, F.concat(F.lit("$['"), k, F.lit("']")))), F.array().cast("array<string>"))
-    below = lambda k: F.concat(F.transform(nested(k), lambda x: F.concat(k, F.lit("[]."), x)), F.transform(inner(k), lambda x: F.concat(k, F.lit("."), x)))
-    of = lambda k: F.when(F.size(below(k)) > 0, below(k)).otherwise(F.array(k))
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(F.json_object_keys(record), of))))
-
-
 def fingerprint(paths: Column) -> Column:
     return F.sha2(F.array_join(paths, "\n"), 256)
 
