@@ -29,21 +29,24 @@ def test_a_copy_with_one_altered_value_is_found_by_its_literal_windows(spark):
     assert (got[0, 0].matched, got[0, 0].reparameterised) == (16, False)
 
 
+LOW = {c: c + 32 for c in [*range(65, 91), *range(0xC0, 0xDF)] if c != 0xD7}
+
+
 def tokens(text):
-    """(literal, kind) of an ASCII text: kinds are 0 literal, 1 number, 2 name, 3 unit."""
+    """(literal, kind) of a text: kinds are 0 literal, 1 number, 2 name, 3 unit. Case is that of ASCII and Latin-1."""
     out, last, number = [], None, False
-    for m in re.finditer(r"(?:[A-Za-z0-9]|(?<=[0-9])[.,](?=[0-9]))+", text):
+    for m in re.finditer("(?:[A-Za-z0-9]|[^\\x00-\\x7f\u2000-\u203f]|(?<=[0-9])[.,](?=[0-9]))+", text or ""):
         w = m[0]
         opens = last is None or bool(re.search(r'[.!?\n:;|"(]', text[last : m.start()]))
         last = m.end()
-        if w[0].isdigit() and not re.search("[A-Za-z]", w):
+        if re.fullmatch("[0-9][0-9.,]*", w):
             kind = 1
-        elif number and w.lower() in decontam.UNITS:
+        elif number and w.translate(LOW) in decontam.UNITS:
             kind = 3
         else:
-            kind = 2 if not opens and len(w) > 1 and w[0].isupper() and not w[1].isupper() else 0
+            kind = 2 if not opens and len(w) > 1 and ord(w[0]) in LOW and not "A" <= w[1] <= "Z" else 0
         number = kind == 1
-        out.append((w.lower(), kind))
+        out.append((w.translate(LOW), kind))
     return out
 
 
