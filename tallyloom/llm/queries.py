@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import beside, chat, decontam, hmm, langid, mixing, ngram_join, pii, quality, sharding, warc
+from tallyloom.llm import audit, beside, chat, decontam, hmm, langid, licences, mixing, ngram_join, pii, quality, resampling, sharding, warc
 from tallyloom.llm.kit import bounded
 
 
@@ -25,10 +25,13 @@ def queries() -> dict:
         "op8_chat_format": lambda spark, d: chat.op8_chat_format(_table(spark, d, "conversations")),
         "op9_mixing": lambda spark, d: mixing.op9_mixing(_table(spark, d, "documents")),
         "op10_lm_score": lambda spark, d: hmm.op10_lm_score(_table(spark, d, "documents")),
+        "op11_filter_audit": lambda spark, d: audit.op11_filter_audit(_table(spark, d, "documents"), _table(spark, d, "labels")),
+        "op12_license_scan": lambda spark, d: licences.op12_license_scan(_table(spark, d, "documents")),
+        "op13_importance_resampling": lambda spark, d: resampling.op13_importance_resampling(_table(spark, d, "documents"), _table(spark, d, "benchmark")),
         "layouts_to_turns": lambda spark, d: chat.layouts_to_turns(_table(spark, d, "conversations")),
         **{name: lambda spark, d, part=part: part(_table(spark, d, "documents")) for name, (part, _) in beside.QUERIES.items()},
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_join": ngram_join.OP2_SQL, "op3_quality_rules": quality.OP3_SQL, "op6_sharding": sharding.OP6_SQL, "op7_warc": warc.OP7_SQL, "op8_chat_format": chat.OP8_SQL, "layouts_to_turns": chat.LAYOUTS_SQL, **{name: sql for name, (_, sql) in beside.QUERIES.items()}}
+    return {"op2_ngram_join": ngram_join.OP2_SQL, "op3_quality_rules": quality.OP3_SQL, "op6_sharding": sharding.OP6_SQL, "op7_warc": warc.OP7_SQL, "op8_chat_format": chat.OP8_SQL, "op11_filter_audit": audit.OP11_SQL, "op12_license_scan": licences.OP12_SQL, "op13_importance_resampling": resampling.OP13_SQL, "layouts_to_turns": chat.LAYOUTS_SQL, **{name: sql for name, (_, sql) in beside.QUERIES.items()}}

@@ -14,5 +14,5 @@ def test_query(name, spark, data, duck):
 
 
 def test_names():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries() if re.match(r"op\d", n)) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries() if re.match(r"op\d", n)) == list(range(1, 14))
     assert {n for n in queries() if not re.match(r"op\d", n)} <= set(oracle_sql())
