@@ -10,39 +10,10 @@ from tallyloom.functions import scores as S
 from tallyloom.functions import text as X
 from tallyloom.functions.hashing import hash_bucket, hash_mod, order_key, split_of, stable_id
 from tallyloom.operators import augment, distractors, filters, history, intervals, metrics, mixture, prompts, records, sampling, scorer, votes
+from tallyloom.plans.registry import HEX8, NORM, PRINT, QUERIES, SQL, mod_sql, order_sql, query
 from tallyloom.streaming.slices import tumbling
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-# SQL of what many queries share.
-_NORM = "trim(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'))"
-_PRINT = f"sha1({_NORM})"
-_HEX8 = "('0x' || substr({0}, 1, 8))::BIGINT"
-
-
-def _order(seed, *parts: str) -> str:
-    return f"sha1(concat_ws('|', '{seed}', {', '.join(f'CAST({p} AS VARCHAR)' for p in parts)}))"
-
-
-def _mod(key: str, m: int) -> str:
-    out = "0"
-    for i in range(5):
-        out = f"(({out}) * {2**32 % m} + ('0x' || substr(sha1({key}), {1 + 8 * i}, 8))::BIGINT % {m}) % {m}"
-    return out
-
-
-def query(sql: str | None = None):
-    """Register a function of a table reader `t`, and its SQL."""
-
-    def put(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return put
-
+__all__ = ["QUERIES", "SQL"]
 
 # ---- leakage and mixtures ---------------------------------------------------------------------
 
@@ -54,9 +25,9 @@ def _fields(text):
 
 @query(f"""
 WITH d AS (SELECT doc_id, source, text FROM documents), f AS (
-  SELECT doc_id, source, {_PRINT.format("text")} AS k FROM d
-  UNION SELECT doc_id, source, {_PRINT.format("l")} FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS l FROM d) WHERE length(l) >= 40),
-b AS (SELECT {_PRINT.format("text")} AS k FROM benchmark UNION SELECT {_PRINT.format("l")} FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM benchmark) WHERE length(l) >= 40),
+  SELECT doc_id, source, {PRINT.format("text")} AS k FROM d
+  UNION SELECT doc_id, source, {PRINT.format("l")} FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS l FROM d) WHERE length(l) >= 40),
+b AS (SELECT {PRINT.format("text")} AS k FROM benchmark UNION SELECT {PRINT.format("l")} FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM benchmark) WHERE length(l) >= 40),
 bad AS (SELECT DISTINCT doc_id FROM f SEMI JOIN b USING (k))
 SELECT source, count(*) AS loaded, count(*) FILTER (doc_id IN (SELECT doc_id FROM bad)) AS overlap_removed, count(*) FILTER (doc_id NOT IN (SELECT doc_id FROM bad)) AS used
 FROM d GROUP BY source""")
@@ -70,8 +41,8 @@ def leak_report(t):
 
 
 @query(f"""
-SELECT doc_id, item_id FROM (SELECT doc_id, {_NORM.format("text")} AS t FROM documents) d
-JOIN (SELECT item_id, {_NORM.format("text")} AS i FROM benchmark) b ON contains(t, i)""")
+SELECT doc_id, item_id FROM (SELECT doc_id, {NORM.format("text")} AS t FROM documents) d
+JOIN (SELECT item_id, {NORM.format("text")} AS i FROM benchmark) b ON contains(t, i)""")
 def leak_contains(t):
     """Documents whose normalised text contains a whole benchmark item, by characters: pairs meet by words inside the item, then the containment is checked.
 
@@ -110,7 +81,7 @@ def exact_dedupe_state(t):
 
 
 @query(f"""
-WITH d AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY {_order(0, "doc_id")}, doc_id) AS r, count(*) OVER (PARTITION BY source) AS c FROM documents),
+WITH d AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY {order_sql(0, "doc_id")}, doc_id) AS r, count(*) OVER (PARTITION BY source) AS c FROM documents),
 g AS (SELECT * FROM d WHERE r <= 40), n AS (SELECT source, count(*) AS c FROM g GROUP BY source)
 SELECT g.source, g.doc_id, j AS copy FROM g JOIN n USING (source), range(0, 3) x(j) WHERE g.r + j * n.c <= least(60, 3 * n.c)""")
 def per_group_cap_repeat(t):
@@ -121,7 +92,7 @@ def per_group_cap_repeat(t):
 
 
 @query(f"""
-WITH n AS (SELECT count(*) AS n FROM documents), d AS (SELECT doc_id, row_number() OVER (ORDER BY {_order(0, "doc_id")}, doc_id) AS r FROM documents)
+WITH n AS (SELECT count(*) AS n FROM documents), d AS (SELECT doc_id, row_number() OVER (ORDER BY {order_sql(0, "doc_id")}, doc_id) AS r FROM documents)
 SELECT doc_id, count(*) AS copies FROM d, n, range(0, 3) x(j) WHERE r + j * n <= round_even(n * 1.25, 0) GROUP BY doc_id""")
 def weighted_source(t):
     """A source with weight 1.25: every document once, and a quarter twice."""
@@ -137,8 +108,8 @@ def _doc_records(t) -> DataFrame:
 
 
 @query(f"""
-WITH d AS (SELECT doc_id, {_PRINT.format("text")} AS k FROM documents), b AS (SELECT {_PRINT.format("text")} AS k FROM benchmark),
-l AS (SELECT substr(sha1('labels|' || doc_id), 1, 16) AS id, {_PRINT.format("text")} AS k FROM labels JOIN documents USING (doc_id)),
+WITH d AS (SELECT doc_id, {PRINT.format("text")} AS k FROM documents), b AS (SELECT {PRINT.format("text")} AS k FROM benchmark),
+l AS (SELECT substr(sha1('labels|' || doc_id), 1, 16) AS id, {PRINT.format("text")} AS k FROM labels JOIN documents USING (doc_id)),
 c AS (SELECT count(*) AS n FROM d), cc AS (SELECT count(*) AS n FROM d ANTI JOIN b USING (k)), lc AS (SELECT count(*) AS n FROM l), lk AS (SELECT count(*) AS n FROM l ANTI JOIN b USING (k))
 SELECT 'documents' AS source, c.n AS loaded, c.n - cc.n AS overlap_removed, least(cc.n, 300)::BIGINT AS used FROM c, cc
 UNION ALL SELECT 'labels', lc.n, lc.n - lk.n, round_even(lk.n * 0.5, 0)::BIGINT FROM lc, lk""")
@@ -178,28 +149,28 @@ def leak_sources(t):
 # ---- splits and samples -----------------------------------------------------------------------
 
 
-@query(f"""SELECT doc_id, {_mod("doc_id::VARCHAR", 100)} AS percent, CASE {_mod("doc_id::VARCHAR", 10)} WHEN 0 THEN 'test' WHEN 1 THEN 'validation' ELSE 'train' END AS split FROM documents""")
+@query(f"""SELECT doc_id, {mod_sql("doc_id::VARCHAR", 100)} AS percent, CASE {mod_sql("doc_id::VARCHAR", 10)} WHEN 0 THEN 'test' WHEN 1 THEN 'validation' ELSE 'train' END AS split FROM documents""")
 def split_80_10_10(t):
     """Splits by the whole SHA-1 of the id."""
     key = F.col("doc_id").cast("string")
     return t("documents").select("doc_id", hash_mod(key, 100).alias("percent"), split_of(key).alias("split"))
 
 
-@query(f"""SELECT c_custkey, {_HEX8.format("sha1('customer|' || c_custkey)")} % 100 AS bucket, {_HEX8.format("sha1('customer|' || c_custkey)")} % 100 < 12 AS held FROM customer""")
+@query(f"""SELECT c_custkey, {HEX8.format("sha1('customer|' || c_custkey)")} % 100 AS bucket, {HEX8.format("sha1('customer|' || c_custkey)")} % 100 < 12 AS held FROM customer""")
 def bucket_split(t):
     """Buckets by the first digits of the SHA-1, 12 % held out."""
     b = hash_bucket(F.lit("customer"), F.col("c_custkey"))
     return t("customer").select("c_custkey", b.alias("bucket"), (b < 12).alias("held"))
 
 
-@query(f"SELECT doc_id, lang FROM documents ORDER BY {_order(7, 'doc_id')}, doc_id LIMIT 100")
+@query(f"SELECT doc_id, lang FROM documents ORDER BY {order_sql(7, 'doc_id')}, doc_id LIMIT 100")
 def take_cap(t):
     """Exactly 100 documents in hash order."""
     return sampling.take(t("documents").select("doc_id", "lang"), 100, 7, F.col("doc_id"))
 
 
 @query(f"""
-SELECT doc_id, lang, r AS rank FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {_order(3, "doc_id")}, doc_id) AS r FROM documents) ORDER BY r, lang LIMIT 90""")
+SELECT doc_id, lang, r AS rank FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {order_sql(3, "doc_id")}, doc_id) AS r FROM documents) ORDER BY r, lang LIMIT 90""")
 def balanced_round_robin(t):
     """90 documents dealt from the languages in turn."""
     return sampling.round_robin(t("documents").select("doc_id", "lang"), "lang", 90, 3, F.col("doc_id"))
@@ -207,7 +178,7 @@ def balanced_round_robin(t):
 
 @query(f"""
 WITH m AS (SELECT min(c) AS m FROM (SELECT count(*) AS c FROM labels GROUP BY quality))
-SELECT doc_id, quality FROM (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY {_order(5, "doc_id")}, doc_id) AS r FROM labels), m WHERE r <= m""")
+SELECT doc_id, quality FROM (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY {order_sql(5, "doc_id")}, doc_id) AS r FROM labels), m WHERE r <= m""")
 def balanced_downsample(t):
     """As many labels of each quality as the rarer has."""
     return sampling.downsampled(t("labels").select("doc_id", "quality"), "quality", 5, F.col("doc_id")).select("doc_id", "quality")
@@ -215,14 +186,14 @@ def balanced_downsample(t):
 
 @query(f"""
 WITH n AS (SELECT count(*) AS n FROM orders)
-SELECT o_orderkey, r <= greatest(1, floor(n * 0.02)) AS held FROM (SELECT o_orderkey, row_number() OVER (ORDER BY {_order(1, "o_orderkey")}, o_orderkey) AS r FROM orders), n""")
+SELECT o_orderkey, r <= greatest(1, floor(n * 0.02)) AS held FROM (SELECT o_orderkey, row_number() OVER (ORDER BY {order_sql(1, "o_orderkey")}, o_orderkey) AS r FROM orders), n""")
 def holdout(t):
     """2 % of the orders held out, exactly."""
     return sampling.holdout(t("orders").select("o_orderkey"), 0.02, 0, F.col("o_orderkey"))
 
 
 @query(f"""
-WITH s AS (SELECT source, count(*) AS n, {_order(2, "source")} AS h FROM documents GROUP BY source),
+WITH s AS (SELECT source, count(*) AS n, {order_sql(2, "source")} AS h FROM documents GROUP BY source),
 c AS (SELECT source, coalesce(sum(n) OVER (ORDER BY h, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s)
 SELECT doc_id, source FROM documents WHERE source IN (SELECT source FROM c WHERE before < 300)""")
 def cluster_sample(t):
@@ -238,13 +209,13 @@ def entity_disjoint_split(t):
     return sampling.entity_holdout(t("customer").select("c_custkey", "c_nationkey", "c_mktsegment"), "c_nationkey", "c_mktsegment").select("c_custkey", "held")
 
 
-@query(f"""SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY {_order(4, "o_orderkey")}, o_orderkey) AS r FROM orders) WHERE r = 1""")
+@query(f"""SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY {order_sql(4, "o_orderkey")}, o_orderkey) AS r FROM orders) WHERE r = 1""")
 def first_per_key(t):
     """One order of each customer."""
     return sampling.first_of(t("orders").select("o_custkey", "o_orderkey"), "o_custkey", 4, F.col("o_orderkey"))
 
 
-@query(f"""SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {_order(6, "doc_id")}, doc_id) AS r FROM documents) WHERE r <= 25""")
+@query(f"""SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {order_sql(6, "doc_id")}, doc_id) AS r FROM documents) WHERE r <= 25""")
 def equal_share(t):
     """A hundred documents, a quarter for each of four languages."""
     return sampling.equal_share(t("documents").select("doc_id", "lang"), "lang", 100, 4, 6, F.col("doc_id")).select("doc_id", "lang")
@@ -337,9 +308,9 @@ def prompt_rendering(t):
 
 @query(f"""
 WITH p AS (SELECT DISTINCT p_brand AS x FROM part),
-o AS (SELECT p_partkey, p_brand, x, row_number() OVER (PARTITION BY p_partkey ORDER BY {_order(9, "p_partkey", "x")}) AS r FROM part, p WHERE x <> p_brand),
+o AS (SELECT p_partkey, p_brand, x, row_number() OVER (PARTITION BY p_partkey ORDER BY {order_sql(9, "p_partkey", "x")}) AS r FROM part, p WHERE x <> p_brand),
 c AS (SELECT p_partkey, p_brand, x FROM o WHERE r <= 3 UNION ALL SELECT p_partkey, p_brand, p_brand FROM part)
-SELECT p_partkey, string_agg(x, ';' ORDER BY {_order(9, "p_partkey", "x")}) AS options, list_position(list(x ORDER BY {_order(9, "p_partkey", "x")}), first(p_brand)) - 1 AS gold FROM c GROUP BY p_partkey""")
+SELECT p_partkey, string_agg(x, ';' ORDER BY {order_sql(9, "p_partkey", "x")}) AS options, list_position(list(x ORDER BY {order_sql(9, "p_partkey", "x")}), first(p_brand)) - 1 AS gold FROM c GROUP BY p_partkey""")
 def mcq_options(t):
     """The brand and three others, in hash order, with the index of gold."""
     pool = records.open_labels(t("part"), "p_brand")
@@ -373,7 +344,7 @@ def jaccard_hard_negatives(t):
 
 @query(f"""
 WITH f AS (SELECT o_orderkey, o_totalprice AS g, unnest([0.9, 1.1, 0.95, 1.05, 0.8, 1.2, 0.5, 2.0]) AS f, unnest(['0.9', '1.1', '0.95', '1.05', '0.8', '1.2', '0.5', '2.0']) AS s FROM orders)
-SELECT o_orderkey, format('{{:,.2f}}', first(g)) || ';' || array_to_string(list(format('{{:,.2f}}', g * f) ORDER BY h)[1:3], ';') AS options FROM (SELECT *, {_order(8, "o_orderkey", "s")} AS h FROM f) GROUP BY o_orderkey""")
+SELECT o_orderkey, format('{{:,.2f}}', first(g)) || ';' || array_to_string(list(format('{{:,.2f}}', g * f) ORDER BY h)[1:3], ';') AS options FROM (SELECT *, {order_sql(8, "o_orderkey", "s")} AS h FROM f) GROUP BY o_orderkey""")
 def numeric_distractors(t):
     """A price and three near ones, as texts with thousands separators."""
     rows = t("orders").select("o_orderkey", distractors.numeric_options(F.col("o_totalprice"), 2, 4, 8, F.col("o_orderkey")).alias("o"))
@@ -388,9 +359,9 @@ def integer_perturbation(t):
 
 @query(f"""
 WITH o AS (SELECT p_partkey, unnest(['size', 'brand', 'type', 'name']) AS key FROM part)
-SELECT p_partkey, string_agg(key, ';' ORDER BY {_order(1, "p_partkey", "key")}) AS shuffled,
+SELECT p_partkey, string_agg(key, ';' ORDER BY {order_sql(1, "p_partkey", "key")}) AS shuffled,
   (SELECT string_agg(k, ';' ORDER BY i) FROM (SELECT unnest(['size', 'brand', 'type', 'name']) AS k, unnest([0, 1, 2, 3]) AS i) x
-    WHERE k = 'type' OR k IN (SELECT key FROM (SELECT key, {_order(2, "o.p_partkey", "key")} AS h FROM (SELECT unnest(['size', 'brand', 'name']) AS key)) ORDER BY h LIMIT 2)) AS fitted
+    WHERE k = 'type' OR k IN (SELECT key FROM (SELECT key, {order_sql(2, "o.p_partkey", "key")} AS h FROM (SELECT unnest(['size', 'brand', 'name']) AS key)) ORDER BY h LIMIT 2)) AS fitted
 FROM o GROUP BY p_partkey""")
 def shuffle_and_fit_options(t):
     """Four options in hash order, and three of them that keep the gold one."""
@@ -400,7 +371,7 @@ def shuffle_and_fit_options(t):
 
 
 @query(f"""
-WITH u AS (SELECT doc_id, lang, {_HEX8.format(_order(4, "doc_id"))} / 4294967296.0 AS u FROM documents)
+WITH u AS (SELECT doc_id, lang, {HEX8.format(order_sql(4, "doc_id"))} / 4294967296.0 AS u FROM documents)
 SELECT doc_id, CASE WHEN u < 0.05 THEN 'none_of_the_above' ELSE lang END AS label, CASE WHEN u < 0.05 THEN 4 WHEN u < 0.15 THEN 5 ELSE 4 END AS k FROM u""")
 def none_option(t):
     """None of the above in place of gold for 5 %, beside it for 10 %."""
@@ -409,7 +380,7 @@ def none_option(t):
 
 
 @query(f"""
-WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY {_order(3, "doc_id")}, doc_id::VARCHAR) - 1 AS r FROM documents)
+WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY {order_sql(3, "doc_id")}, doc_id::VARCHAR) - 1 AS r FROM documents)
 SELECT string_agg(doc_id, '+' ORDER BY r) AS id, count(*)::INT AS questions, count(*)::VARCHAR AS packed FROM r GROUP BY r // 3""")
 def pack_records(t):
     """Three records in one."""
@@ -418,8 +389,8 @@ def pack_records(t):
 
 
 @query(f"""
-WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY {_order(5, "doc_id")}, doc_id::VARCHAR) - 1 AS r FROM documents),
-c AS (SELECT *, {_HEX8.format(_order("5:coin", "r // 12"))} / 4294967296.0 < 0.5 AS coin, 2 + floor({_HEX8.format(_order("5:size", "r // 12"))} / 4294967296.0 * 3)::INT AS size FROM r),
+WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY {order_sql(5, "doc_id")}, doc_id::VARCHAR) - 1 AS r FROM documents),
+c AS (SELECT *, {HEX8.format(order_sql("5:coin", "r // 12"))} / 4294967296.0 < 0.5 AS coin, 2 + floor({HEX8.format(order_sql("5:size", "r // 12"))} / 4294967296.0 * 3)::INT AS size FROM r),
 p AS (SELECT *, CASE WHEN coin THEN (r // 12) * 12 + (r % 12) // size ELSE 1000000000 + r END AS pack FROM c)
 SELECT string_agg(doc_id, '+' ORDER BY r) AS id, count(*)::INT AS questions FROM p GROUP BY pack""")
 def pack_by_coin(t):
@@ -429,7 +400,7 @@ def pack_by_coin(t):
 
 
 @query(f"""
-WITH r AS (SELECT doc_id, n_chars, {_order(1, "doc_id")} AS h, row_number() OVER (ORDER BY {_order(1, "doc_id")}, doc_id) AS r FROM documents),
+WITH r AS (SELECT doc_id, n_chars, {order_sql(1, "doc_id")} AS h, row_number() OVER (ORDER BY {order_sql(1, "doc_id")}, doc_id) AS r FROM documents),
 c AS (SELECT *, (r - 1) // 64 AS chunk FROM r), b AS (SELECT *, (row_number() OVER (PARTITION BY chunk ORDER BY n_chars, h, doc_id) - 1) // 8 AS batch FROM c)
 SELECT doc_id, chunk, batch FROM (SELECT *, count(*) OVER (PARTITION BY chunk, batch) AS n FROM b) WHERE n = 8""")
 def length_batches(t):
@@ -438,7 +409,7 @@ def length_batches(t):
 
 
 @query(f"""
-WITH r AS (SELECT doc_id, source, row_number() OVER (ORDER BY {_order(6, "doc_id")}, doc_id) AS r, count(*) OVER () AS n FROM documents),
+WITH r AS (SELECT doc_id, source, row_number() OVER (ORDER BY {order_sql(6, "doc_id")}, doc_id) AS r, count(*) OVER () AS n FROM documents),
 p AS (SELECT a.doc_id, a.source, min_by(b.source, (b.r - a.r + a.n) % a.n) AS other FROM r a JOIN r b ON a.source <> b.source GROUP BY ALL)
 SELECT doc_id, source, other FROM p""")
 def shuffle_audio_ablation(t):
@@ -467,7 +438,7 @@ def later_steps(t):
 
 @query(f"""
 WITH p AS (SELECT conv_id, max(text) FILTER (turn = 0) AS a, max(text) FILTER (turn = 1) AS b FROM conversations GROUP BY conv_id)
-SELECT conv_id, {_HEX8.format(_order(2, "conv_id"))} % 2 = 1 AS swapped, sha1(CASE WHEN {_HEX8.format(_order(2, "conv_id"))} % 2 = 1 THEN b ELSE a END) AS first_sha1 FROM p WHERE a <> b""")
+SELECT conv_id, {HEX8.format(order_sql(2, "conv_id"))} % 2 = 1 AS swapped, sha1(CASE WHEN {HEX8.format(order_sql(2, "conv_id"))} % 2 = 1 THEN b ELSE a END) AS first_sha1 FROM p WHERE a <> b""")
 def preference_swap(t):
     """Two answers in the order of a coin by hash; equal ones go."""
     first = lambda n: F.max(F.when(F.col("turn") == n, F.col("text")))
@@ -550,7 +521,7 @@ def nearest_by_length(t):
 @query(f"""
 WITH b AS (SELECT p_partkey, unnest(range(1, 9)) AS i FROM part),
 g AS (SELECT p_partkey, i, (p_partkey * 31 + i * i * 47) % 300 AS x, (p_partkey * 17 + i * 71) % 200 AS y, 4 + (p_partkey + i * 13) % 60 AS w, 5 + (p_partkey * 3 + i * 7) % 40 AS h, 'el' || (i % 6) AS text FROM b),
-m AS (SELECT p_partkey, i, x, y, w, h, text, row_number() OVER (PARTITION BY p_partkey ORDER BY CASE WHEN i = 8 THEN 0 ELSE 1 END, {_order(2, "p_partkey", "text", "x", "y")}) AS r FROM g WHERE i = 8 OR w >= 6 AND h >= 6 AND w * h < 0.3 * 320 * 240),
+m AS (SELECT p_partkey, i, x, y, w, h, text, row_number() OVER (PARTITION BY p_partkey ORDER BY CASE WHEN i = 8 THEN 0 ELSE 1 END, {order_sql(2, "p_partkey", "text", "x", "y")}) AS r FROM g WHERE i = 8 OR w >= 6 AND h >= 6 AND w * h < 0.3 * 320 * 240),
 l AS (SELECT p_partkey, list({{'x': x, 'y': y, 'w': w, 'h': h, 't': text}} ORDER BY r) AS l FROM m GROUP BY p_partkey)
 SELECT p_partkey, array_to_string(list_transform(list_reduce(list_prepend([l[1]], list_transform(l[2:], lambda b: [b])), lambda a, n: CASE WHEN len(a) <= 3 AND len(list_filter(a, lambda t: t.t = n[1].t
     OR greatest(least(t.x + t.w, n[1].x + n[1].w) - greatest(t.x, n[1].x), 0) * greatest(least(t.y + t.h, n[1].y + n[1].h) - greatest(t.y, n[1].y), 0) >= 0.3 * greatest(least(t.w * t.h, n[1].w * n[1].h), 1))) = 0 THEN list_concat(a, n) ELSE a END), lambda b: b.t), ';') AS marks FROM l""")
@@ -781,7 +752,7 @@ def model_tiers(t):
 
 
 @query(f"""
-SELECT lang, source, count(*) AS n FROM (SELECT lang, source, {_PRINT.format("text")} AS k FROM documents) GROUP BY lang, source HAVING count(*) > count(DISTINCT k)
+SELECT lang, source, count(*) AS n FROM (SELECT lang, source, {PRINT.format("text")} AS k FROM documents) GROUP BY lang, source HAVING count(*) > count(DISTINCT k)
 UNION ALL SELECT lang, NULL, count(*) FROM documents GROUP BY lang""")
 def repeated_texts(t):
     """Languages and sources with texts that repeat, and all languages."""
@@ -894,7 +865,7 @@ def set_operations(t):
 
 
 @query(f"""
-WITH h AS (SELECT user_id, event_id, event_type, {_order(3, "event_id")} AS h FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY h, event_type) AS r, count(*) OVER (PARTITION BY user_id) AS n FROM h)
+WITH h AS (SELECT user_id, event_id, event_type, {order_sql(3, "event_id")} AS h FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY h, event_type) AS r, count(*) OVER (PARTITION BY user_id) AS n FROM h)
 SELECT a.event_id, min_by(b.event_type, (b.r - a.r + a.n) % a.n) AS other FROM r a JOIN r b ON a.user_id = b.user_id AND a.event_type <> b.event_type GROUP BY a.event_id""")
 def same_group_pairs(t):
     """For each event, the type of the user's next event of another type in hash order, around the end."""
@@ -919,7 +890,7 @@ def template_tools(t):
 WITH w AS (SELECT conv_id, turn, role, list(role) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND 12 FOLLOWING) AS later FROM conversations),
 x AS (SELECT conv_id, turn, role, list_filter(later, lambda r, i: r <> role AND list_position(later, r) = i) AS wrong FROM w WHERE later IS NOT NULL),
 o AS (SELECT conv_id, turn, role, unnest(list_prepend(role, wrong[1:3])) AS x FROM x WHERE len(wrong) > 0)
-SELECT substr(sha1('mind2web|' || conv_id || '|' || turn), 1, 16) AS id, string_agg(x, ';' ORDER BY {_order(0, "conv_id", "turn", "x")}) AS options, first(role) AS gold FROM o GROUP BY conv_id, turn""")
+SELECT substr(sha1('mind2web|' || conv_id || '|' || turn), 1, 16) AS id, string_agg(x, ';' ORDER BY {order_sql(0, "conv_id", "turn", "x")}) AS options, first(role) AS gold FROM o GROUP BY conv_id, turn""")
 def template_steps(t):
     """What comes next? Roles of a conversation as the steps of an episode."""
     made = CONVERTERS.find("mind2web")(t("conversations").select(F.col("conv_id").alias("task"), F.col("turn").alias("step"), F.col("role").alias("action")))
@@ -929,7 +900,7 @@ def template_steps(t):
 
 
 @query(f"""
-WITH p AS (SELECT p_partkey, floor({_HEX8.format(_order(0, "'part ' || p_partkey || ' is #idiom# of type #idiom#'"))} / 4294967296.0 * 2)::INT AS gap, p_brand, p_type FROM part)
+WITH p AS (SELECT p_partkey, floor({HEX8.format(order_sql(0, "'part ' || p_partkey || ' is #idiom# of type #idiom#'"))} / 4294967296.0 * 2)::INT AS gap, p_brand, p_type FROM part)
 SELECT 'part ' || p_partkey || ' is ' || CASE gap WHEN 0 THEN '____' ELSE p_brand END || ' of type ' || CASE gap WHEN 1 THEN '____' ELSE p_type END AS state, CASE gap WHEN 0 THEN 'opt_1' ELSE 'opt_2' END AS label FROM p WHERE p_brand <> p_type""")
 def template_gaps(t):
     """Which candidate fits the gap? The other gap is filled."""
@@ -986,3 +957,6 @@ def constraint_texts(t):
     """Constraints with their arguments in words."""
     args = F.to_json(F.struct(F.col("o_orderstatus").alias("status"), F.when(F.col("o_orderkey") % 2 == 0, F.substring("o_orderpriority", 1, 1)).otherwise("").alias("level"), F.array().cast("array<int>").alias("none")))
     return t("orders").select("o_orderkey", X.constraint_text(F.concat(F.lit("rule:max_"), F.lower("o_orderstatus")), args).alias("text"))
+
+
+from tallyloom.plans import formats  # noqa: E402, F401  registers its queries
