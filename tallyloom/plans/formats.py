@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions.hashing import stable_id
 from tallyloom.operators import records
 from tallyloom.plans.registry import query
-from tallyloom.sources import record_json
+from tallyloom.sources import readers, record_json, row_groups
 
 _LEVELS = ["urgent", "high", "medium", "not specified", "low"]
 
@@ -66,3 +66,14 @@ def canonical_states(t):
     third = F.concat(F.lit(' { "urgency" : "'), p, F.lit('" , "who" : { "tags" : [ "\\u0078" , { "a" : null , "b" : 1 } ] , "id" : '), c, F.lit(" } } "))
     rows = t("orders").select(F.col("o_orderstatus").alias("file"), F.col("o_orderkey").alias("line"), F.when(way == 0, first).when(way == 1, second).otherwise(third).alias("state"))
     return record_json.first_of_states(rows, F.col("state"), "file", "line").select("file", "line", "times")
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_extendedprice, l_shipdate FROM lineitem WHERE l_orderkey % 500 = 3 AND l_returnflag = 'R'""")
+def late_columns(t):
+    """Wide columns of chosen order lines, fetched by file and row: the choice reads two columns, and the rest is read of row groups with a chosen row."""
+    lines = t("lineitem")
+    chosen = readers.with_address(lines.select("l_orderkey", "l_returnflag", "_metadata")).filter("l_orderkey % 500 = 3 and l_returnflag = 'R'")
+    wide = ["l_orderkey", "l_linenumber", "l_extendedprice", "l_shipdate"]
+    path = lines.inputFiles()[0]
+    path = path if path.count(".parquet") == 1 else path[: path.index(".parquet") + len(".parquet")]
+    return row_groups.fetched(lines.sparkSession, path, chosen.select("file", "row"), wide).select(*wide)

@@ -55,13 +55,6 @@ def with_address(df: DataFrame) -> DataFrame:
     return df.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
 
 
-def fetched(spark: SparkSession, path: str, chosen: DataFrame, columns: list[str]) -> DataFrame:
-    """Wide columns of only the rows (file, row) that were chosen. Files without a chosen row are not opened; their number, which comes to the driver, is that of files."""
-    files = [r.file for r in chosen.select("file").distinct().collect()]
-    wide = (spark.read.parquet(*files) if files else spark.read.parquet(path).limit(0)).select(*columns, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    return wide.join(chosen.select("file", "row"), ["file", "row"], "left_semi")
-
-
 def existing(df: DataFrame, path: Column, listing: DataFrame) -> DataFrame:
     """The rows whose file is in a listing (path)."""
     return df.join(listing.select(F.col("path").alias("path__")), path == F.col("path__"), "left_semi")

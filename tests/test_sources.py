@@ -6,7 +6,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from tallyloom.operators import records
-from tallyloom.sources import archives, readers
+from tallyloom.sources import archives, readers, row_groups
 from tallyloom.streaming import slices
 
 
@@ -41,7 +41,7 @@ def test_late_columns_and_listing(spark, tmp_path):
     path = str(tmp_path / "p")
     spark.range(10).withColumn("wide", F.repeat(F.lit("x"), 10)).write.parquet(path)
     chosen = readers.with_address(spark.read.parquet(path)).filter("id in (3, 4)")
-    assert readers.fetched(spark, path, chosen, ["wide"]).count() == 2
+    assert row_groups.fetched(spark, path, chosen, ["wide"]).count() == 2
     assert readers.listing(spark, path, "*.parquet").count() > 0
 
 
