@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tallyloom.catalog import BENCHMARKS, DATASETS, Benchmark, Dataset, Registry, expanded
 from tallyloom.functions import text as X
 from tallyloom.functions.hashing import order_key, stable_id, uniform
+from tallyloom.functions.tiers import tier_of
 from tallyloom.operators import augment, filters, history, records, votes
 from tallyloom.operators.sampling import take
 from tallyloom.sources.readers import read_any
@@ -135,7 +136,7 @@ def routing(name: str, area: str, prompt: str, model: str, score: str, least: fl
 
     def build(df: DataFrame) -> DataFrame:
         tiers = ["fast", "mid", "strong"]
-        tier = F.array_position(F.array(*map(F.lit, tiers)), X.model_tier(F.col(model))) - 1
+        tier = F.array_position(F.array(*map(F.lit, tiers)), tier_of(F.col(model))) - 1
         found = votes.cheapest(df.withColumn("tier__", tier).filter("tier__ >= 0"), prompt, F.col("tier__"), F.col(score) >= least, tiers)
         return records.choice_records(found, source=name, state=F.col(prompt), instructions="Which model does the request need?", choices=[("fast", "A small, cheap one"), ("mid", "One of medium size"), ("strong", "The strongest")], label=F.col("tier"), area=area)
 

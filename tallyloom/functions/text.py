@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -137,34 +139,33 @@ def frame_count(duration: Column, fps: float, most: int) -> Column:
     return F.greatest(F.lit(2), F.least(F.lit(most), F.bround(duration * fps).cast("int")))
 
 
-#: Parts of public model names by price tier; the first list wins.
-CHEAP = ["gpt-4o-mini", "gpt-3.5", "claude-instant", "claude-3-haiku", "gemini-1.5-flash", "gemini-flash"]
-FRONTIER = ["gpt-4o", "gpt-4", "claude-3.5", "claude-3-5", "claude-3-opus", "claude-3-sonnet", "claude-2", "o1-preview", "o1-mini"]
-#: Billions of parameters from which a model, and a mixture in all, is in the next tier.
-MID_FROM, STRONG_FROM, MIXTURE_STRONG_FROM = 8, 40, 70
-
-
-def model_tier(name: Column) -> Column:
-    """fast, mid or strong: by known names, else by billions of parameters (of a mixture, experts times size); null if neither tells."""
-    low = F.replace(F.lower(name), F.lit("_"), F.lit("-"))
-    holds = lambda parts: F.exists(F.array(*map(F.lit, parts)), lambda p: F.contains(low, p))
-    mixture = r"(\d+)\s*x\s*(\d+(?:\.\d+)?)\s*b"
-    experts = F.regexp_extract(low, mixture, 1).try_cast("double") * F.regexp_extract(low, mixture, 2).try_cast("double")
-    size = F.regexp_extract(low, r"(\d+(?:\.\d+)?)\s*b", 1).try_cast("double")
-    by_size = F.when(size < MID_FROM, "fast").when(size < STRONG_FROM, "mid").when(size.isNotNull(), "strong")
-    by_mixture = F.when(experts < MIXTURE_STRONG_FROM, "mid").when(experts.isNotNull(), "strong")
-    return F.when(holds(CHEAP), "fast").when(holds(FRONTIER), "strong").otherwise(F.coalesce(by_mixture, by_size))
-
-
 def kept_share(kept: Column, lines: Column) -> Column:
     """keep from 85 % of the lines, drop up to 5 %, truncate between; null without lines."""
     share = kept / lines
     return F.when(lines > 0, F.when(share >= 0.85, "keep").when(share <= 0.05, "drop").otherwise("truncate"))
 
 
-def json_score(x: Column, paths: tuple[str, ...] = ("$.judge_response.correctness_score", "$.score")) -> Column:
-    """The first number at any of the paths of a JSON text; null if it is none or has none."""
-    return F.coalesce(*[F.get_json_object(x, p).try_cast("double") for p in paths])
+#: Where graders put a score, in order; see `number_at`.
+GRADE_PATHS = ("judge_response.correctness_score", "score")
+
+
+def value_at(x: Column, path: str) -> Column:
+    """What a JSON text holds at a path of names and `[number]` steps, as text. A step also goes into a text that is JSON itself, at any depth. Null where there is nothing."""
+    for step in re.findall(r"\[\d+\]|[^.\[\]]+", path):
+        inner = F.get_json_object(x, f"${step}" if step.startswith("[") else f"$['{step}']")
+        x = F.coalesce(inner, F.get_json_object(F.get_json_object(x, "$"), f"${step}" if step.startswith("[") else f"$['{step}']"))
+    return x
+
+
+def number_at(x: Column, *paths: str) -> Column:
+    """The number at the first of the paths that has one, as a number or as its text; true and false are 1 and 0, and whatever else a path holds is passed over."""
+    read = lambda v: F.when(v == "true", 1.0).when(v == "false", 0.0).otherwise(F.when(v.rlike(r"^\s*[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?\s*$"), v.try_cast("double")))
+    return F.coalesce(*[read(value_at(x, p)) for p in paths])
+
+
+def json_score(x: Column, paths: tuple[str, ...] = GRADE_PATHS) -> Column:
+    """A grader's score; see `number_at`."""
+    return number_at(x, *paths)
 
 
 def media_tags(x: Column, kind: str) -> Column:
@@ -237,9 +238,3 @@ def constraint_text(name: Column, arguments: Column) -> Column:
     told = F.transform(F.array_sort(kept), lambda e: F.concat(e["key"], F.lit("="), shown(e["value"])))
     words = F.replace(F.replace(name, F.lit(":"), F.lit(" / ")), F.lit("_"), F.lit(" "))
     return F.when(F.size(told) > 0, F.concat(words, F.lit(" ("), F.array_join(told, ", "), F.lit(")"))).otherwise(words)
-
-
-def media_order(x: Column, kind: str, media: Column) -> Column:
-    """The media items that `<kind:N>` tags of a text name, in order of appearance; a number outside the items is an error."""
-    wrong = lambda n: F.raise_error(F.concat(F.lit(f"no item for <{kind}:"), n.cast("string"), F.lit(">"))).cast("int")
-    return F.transform(media_tags(x, kind), lambda n: F.element_at(media, F.when((n >= 1) & (n <= F.size(media)), n).otherwise(wrong(n))))

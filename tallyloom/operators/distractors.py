@@ -60,31 +60,18 @@ def lookalikes(labels: DataFrame, label: str, k: int = 6) -> DataFrame:
     return ranked.filter(F.col("rank") <= k)
 
 
-#: Factors of near values, in hash order of the row; then the value at another scale, and negated.
-FACTORS = [0.9, 1.1, 0.95, 1.05, 0.8, 1.2, 0.5, 2.0]
-
-
-def numeric_options(gold: Column, decimals: int, n: int, seed: int, *key: Column) -> Column:
-    """Gold and n - 1 near numbers as texts like it, distinct, in order of candidates, gold first; null if there are too few."""
-    step = 10.0**-decimals
-    near = F.array_sort(F.array(*[F.struct(order_key(seed, *key, F.lit(str(f))).alias("h"), (gold * f).alias("x")) for f in FACTORS]))
-    near = F.transform(near, lambda s: s["x"])
-    small = F.abs(gold) < 50 * step
-    steps = F.array(*[gold + s * step for s in (1, -1, 2, -2)])
-    none = F.array().cast("array<double>")
-    every = F.concat(F.array(gold), F.when(small, F.slice(steps, 1, 1)).otherwise(none), near, F.array(gold * 10, gold / 10, -gold), F.when(small, F.slice(steps, 2, 3)).otherwise(none))
-    texts = F.array_distinct(F.transform(every, lambda x: F.format_number(x, decimals)))
-    return F.when(F.size(texts) >= n, F.slice(texts, 1, n))
+#: Fixed value: the share of the smaller of two boxes from which one covers the other.
+COVERED = 0.3
 
 
 def spread_boxes(gold: Column, others: Column, most: int, width: Column, height: Column, seed: int, *key: Column) -> Column:
-    """Gold and up to `most` other boxes (x, y, w, h, text) in hash order that are plausible marks beside it: taken one after the other, each with a text of its own and less than 30 % of the smaller box covered by one taken before."""
+    """Gold and up to `most` other boxes (x, y, w, h, text) in hash order that are plausible marks beside it: taken one after the other, each with a text of its own and not covered by one taken before."""
     area = lambda b: b["w"] * b["h"]
     side = lambda a, b, at, by: F.greatest(F.least(a[at] + a[by], b[at] + b[by]) - F.greatest(a[at], b[at]), F.lit(0))
     covered = lambda a, b: side(a, b, "x", "w") * side(a, b, "y", "h") / F.greatest(F.least(area(a), area(b)), F.lit(1))
     pool = F.filter(others, lambda b: plausible_box(b["w"], b["h"], width, height) & (F.coalesce(b["text"], F.lit("")) != ""))
     ranked = F.transform(F.array_sort(F.transform(pool, lambda b: F.struct(order_key(seed, *key, b["text"], b["x"], b["y"]).alias("h"), b.alias("b")))), lambda s: s["b"])
-    beside = lambda taken, b: (F.size(taken) <= most) & ~F.exists(taken, lambda t: (t["text"] == b["text"]) | (covered(t, b) >= 0.3))
+    beside = lambda taken, b: (F.size(taken) <= most) & ~F.exists(taken, lambda t: (t["text"] == b["text"]) | (covered(t, b) >= COVERED))
     return F.aggregate(ranked, F.array(gold), lambda taken, b: F.when(beside(taken, b), F.concat(taken, F.array(b))).otherwise(taken))
 
 

@@ -14,10 +14,29 @@ def last_items(df: DataFrame, group: str, order: list[str], item: Column, n: int
     return df.withColumn(name, F.collect_list(item).over(w))
 
 
-def running_transcript(df: DataFrame, group: str, order: list[str], line: Column, most: int = 3500, turns: int = 512, name: str = "transcript") -> DataFrame:
-    """The rows with the lines before them joined, cut to the last `most` characters. Every line has a character and a break at least, so that `turns` of half as many suffice."""
-    w = Window.partitionBy(group).orderBy(*order).rowsBetween(-max(turns, most // 2), -1)
-    return df.withColumn(name, F.right(F.array_join(F.collect_list(line).over(w), "\n"), F.lit(most)))
+def running_transcript(df: DataFrame, group: str, order: list[str], line: Column, most: int = 3500, name: str = "transcript") -> DataFrame:
+    """The rows with the lines before them joined by line breaks, cut to the last `most` characters. A null line is none.
+
+    A running sum of lengths tells where each line begins in its group's transcript. The transcript
+    is kept in parts of `most` characters, each once with the tail of what comes before it, and a
+    row cuts its own piece out of its part: work and traffic grow with rows times `most`, whatever
+    the length of a group.
+    """
+    along = Window.partitionBy(group).orderBy(*order)
+    size = F.coalesce(F.length("line__") + 1, F.lit(0)).cast("long")
+    rows = df.withColumn("line__", line).withColumn("at__", F.coalesce(F.sum(size).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rows = rows.withColumn("part__", F.floor(F.col("at__") / most))
+    lines = F.transform(F.array_sort(F.collect_list(F.when(F.col("line__").isNotNull(), F.struct("at__", "line__")))), lambda x: F.concat(x["line__"], F.lit("\n")))
+    parts = rows.groupBy(F.col(group).alias("g__"), F.col("part__").alias("p__")).agg(F.array_join(lines, "").alias("text__"), F.min("at__").alias("from__"))
+    # A part is one line at least, and two parts in a row are longer than `most`, so that two hold the tail.
+    parts = parts.withColumn("end__", F.right("text__", F.lit(most + 1))).withColumn("text__", F.left("text__", F.lit(most)))
+    before = Window.partitionBy("g__").orderBy("p__")
+    tail = F.right(F.concat(F.coalesce(F.lag("end__", 2).over(before), F.lit("")), F.coalesce(F.lag("end__", 1).over(before), F.lit(""))), F.lit(most + 1))
+    parts = parts.select("g__", "p__", "from__", tail.alias("tail__"), "text__")
+    met = rows.join(parts, F.col(group).eqNullSafe(F.col("g__")) & (F.col("part__") == F.col("p__")), "left")
+    upto = F.concat("tail__", F.left("text__", (F.col("at__") - F.col("from__")).cast("int")))
+    cut = F.left(upto, F.greatest(F.length(upto) - 1, F.lit(0)))  # without the last line's break
+    return met.withColumn(name, F.right(cut, F.lit(most))).drop("line__", "at__", "part__", "g__", "p__", "from__", "tail__", "text__")
 
 
 def later_steps(df: DataFrame, episode: str, step: str, item: str, n: int) -> DataFrame:

@@ -7,13 +7,39 @@ from pyspark.sql import functions as F
 
 
 def islands(df: DataFrame, groups: list[str], start: str, end: str, gap: Column | float) -> DataFrame:
-    """(groups, island, start, end, n): intervals of a group merged where the gap is not above `gap`."""
-    order = Window.partitionBy(*groups).orderBy(start, end)
-    reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    gap = F.lit(gap) if isinstance(gap, int | float) else gap
-    rows = df.withColumn("new__", F.when(reach.isNull() | (F.col(start) > reach + gap), 1).otherwise(0))
-    rows = rows.withColumn("island", F.sum("new__").over(order))
-    return rows.groupBy(*groups, "island").agg(F.min(start).alias("start"), F.max(end).alias("end"), F.count(F.lit(1)).alias("n"))
+    """(groups, island, start, end, n): intervals of a group merged where the gap is not above `gap`; islands are numbered from 1. Null starts come first.
+
+    The range of starts is cut into as many parts as the square root of the number of rows. A part
+    of a group is merged by itself; of it remain its own islands and how far they reach. Reaches
+    are carried from part to part, and islands that they touch are merged again. So a group that
+    holds most rows takes many tasks, and what meets in one is a row for each part.
+    """
+    span = df.agg(F.min(F.col(start).cast("double")).alias("low__"), F.max(F.col(start).cast("double")).alias("high__"), F.ceil(F.sqrt(F.count(F.lit(1)).cast("double"))).alias("parts__"))
+    at = (F.col(start).cast("double") - F.col("low__")) / F.greatest(F.col("high__") - F.col("low__"), F.lit(1e-9)) * F.col("parts__")
+    part = F.coalesce(F.least(F.floor(at), F.col("parts__") - 1), F.lit(-1))
+    rows = df.crossJoin(F.broadcast(span)).withColumn("part__", part)  # one row
+    rows = rows.withColumn("gap__", F.lit(gap) if isinstance(gap, int | float) else gap)
+    by, along = [*groups, "part__"], [F.col(g).alias(f"{g}__r") for g in groups]
+    same = [F.col(c).eqNullSafe(F.col(f"{c}__r")) for c in by]
+    first = Window.unboundedPreceding
+
+    # Inside a part.
+    order = Window.partitionBy(*by).orderBy(start, end)
+    reach = F.max(end).over(order.rowsBetween(first, -1))
+    rows = rows.withColumn("i__", F.sum(F.when(reach.isNull() | (F.col(start) > reach + F.col("gap__")), 1).otherwise(0)).over(order))
+    own = rows.groupBy(*by, "i__").agg(F.min(start).alias("start__"), F.max(end).alias("end__"), F.count(F.lit(1)).alias("n__"), F.min_by("gap__", F.struct(start, end)).alias("gap__"))
+
+    # From part to part: how far the parts before reach, then how many islands begin in them.
+    across = Window.partitionBy(*[f"{g}__r" for g in groups]).orderBy("part____r").rowsBetween(first, -1)
+    keyed = [*along, F.col("part__").alias("part____r")]
+    carried = own.groupBy(*keyed).agg(F.max("end__").alias("reach__")).withColumn("carry__", F.max("reach__").over(across)).drop("reach__")
+    own = own.join(carried, same, "left").drop(*[f"{c}__r" for c in by])
+    before = F.greatest("carry__", F.max("end__").over(Window.partitionBy(*by).orderBy("i__").rowsBetween(first, -1)))
+    own = own.withColumn("new__", F.when(before.isNull() | (F.col("start__") > before + F.col("gap__")), 1).otherwise(0))
+    begun = own.groupBy(*keyed).agg(F.sum("new__").alias("begun__")).withColumn("offset__", F.coalesce(F.sum("begun__").over(across), F.lit(0))).drop("begun__")
+    own = own.join(begun, same, "left").drop(*[f"{c}__r" for c in by])
+    island = F.col("offset__") + F.sum("new__").over(Window.partitionBy(*by).orderBy("i__"))
+    return own.withColumn("island", island).groupBy(*groups, "island").agg(F.min("start__").alias("start"), F.max("end__").alias("end"), F.sum("n__").alias("n"))
 
 
 def overlapping(a: DataFrame, b: DataFrame, keys: list[str], width: float) -> DataFrame:
@@ -49,6 +75,10 @@ def containing_box(df: DataFrame, boxes: str, x: Column, y: Column) -> Column:
     return F.try_element_at(keyed, F.lit(1))["box"]
 
 
+#: The least width and height of a plausible box, and the share of the screen below which it is.
+LEAST_SIDE, SCREEN_SHARE = 6, 0.3
+
+
 def plausible_box(w: Column, h: Column, width: Column, height: Column) -> Column:
-    """At least 6 by 6, and below 30 % of the screen."""
-    return (w >= 6) & (h >= 6) & (w * h < 0.3 * width * height)
+    """Neither too small nor too large a part of the screen."""
+    return (w >= LEAST_SIDE) & (h >= LEAST_SIDE) & (w * h < SCREEN_SHARE * width * height)

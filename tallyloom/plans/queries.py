@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.convert import CONVERTERS
+from tallyloom.functions import numbers
 from tallyloom.functions import scores as S
 from tallyloom.functions import text as X
+from tallyloom.functions import tiers
 from tallyloom.functions.hashing import hash_bucket, hash_mod, order_key, split_of, stable_id
 from tallyloom.operators import augment, distractors, filters, history, intervals, metrics, mixture, prompts, records, sampling, scorer, votes
 from tallyloom.plans.registry import HEX8, NORM, PRINT, QUERIES, SQL, mod_sql, order_sql, query
@@ -347,7 +349,7 @@ WITH f AS (SELECT o_orderkey, o_totalprice AS g, unnest([0.9, 1.1, 0.95, 1.05, 0
 SELECT o_orderkey, format('{{:,.2f}}', first(g)) || ';' || array_to_string(list(format('{{:,.2f}}', g * f) ORDER BY h)[1:3], ';') AS options FROM (SELECT *, {order_sql(8, "o_orderkey", "s")} AS h FROM f) GROUP BY o_orderkey""")
 def numeric_distractors(t):
     """A price and three near ones, as texts with thousands separators."""
-    rows = t("orders").select("o_orderkey", distractors.numeric_options(F.col("o_totalprice"), 2, 4, 8, F.col("o_orderkey")).alias("o"))
+    rows = t("orders").select("o_orderkey", numbers.number_choices(F.col("o_totalprice"), 2, 4, 8, F.col("o_orderkey")).alias("o"))
     return rows.select("o_orderkey", F.array_join("o", ";").alias("options"))
 
 
@@ -748,7 +750,7 @@ def model_tiers(t):
     """Tiers of model names: by size, by experts times size, by name, and of none."""
     size, k = F.col("p_size").cast("string"), (F.col("p_partkey") % 9 + 1).cast("string")
     forms = F.array(F.concat(F.lit("llama-"), size, F.lit("b-chat")), F.concat(F.lit("Mixtral_"), k, F.lit("x"), size, F.lit("B")), F.concat(F.lit("gpt-4-part"), F.col("p_partkey").cast("string")), F.concat(F.lit("GPT-3.5_"), size), F.concat(F.lit("nameless-"), size), F.concat(F.lit("claude-3-haiku-"), size, F.lit("b")))
-    return t("part").select("p_partkey", F.element_at(forms, (F.col("p_partkey") % 6 + 1).cast("int")).alias("name")).withColumn("tier", X.model_tier(F.col("name")))
+    return t("part").select("p_partkey", F.element_at(forms, (F.col("p_partkey") % 6 + 1).cast("int")).alias("name")).withColumn("tier", tiers.tier_of(F.col("name")))
 
 
 @query(f"""

@@ -66,17 +66,13 @@ def test_scores(spark):
     assert [one(spark, S.confidence_bin(F.lit(c))) for c in (0.0, 0.1, 0.1001, 1.0)] == [0, 0, 1, 9]
 
 
-def test_cloze_constraints_and_media_order(spark):
+def test_cloze_and_constraints(spark):
     from tallyloom.functions import text as X
 
     df = spark.createDataFrame([("a #x# b #x# c", ["one", "two"], 1), ("#x#", ["one", "two"], 0), ("#x#!", ["$1"], 5)], "t string, a array<string>, k int")
     assert [r[0] for r in df.select(X.cloze(F.col("t"), "#x#", F.col("a"), F.col("k"))).collect()] == ["a one b ____ c", None, "$1!"]
     df = spark.createDataFrame([("length:number_words", '{"n": 5, "relation": "at least", "x": null, "y": []}'), ("a:b", "{}"), ("a:b", None)], "n string, j string")
     assert [r[0] for r in df.select(X.constraint_text(F.col("n"), F.col("j"))).collect()] == ["length / number words (n=5, relation='at least')", "a / b", "a / b"]
-    df = spark.createDataFrame([("see <video:2> and <video:1>", ["p", "q"])], "t string, m array<string>")
-    assert df.select(X.media_order(F.col("t"), "video", F.col("m"))).first()[0] == ["q", "p"]
-    with pytest.raises(Exception, match="no item for <video:2>"):
-        df.select(X.media_order(F.col("t"), "video", F.array(F.lit("p")))).collect()
 
 
 def test_bands_and_elements(spark):
@@ -85,3 +81,71 @@ def test_bands_and_elements(spark):
     df = spark.createDataFrame([('{"title": "Go", "name": "go", "id": "Go"}', "a"), ("{}", "div")], "j string, tag string")
     told = df.select(X.element_text(F.col("j"), tag=F.col("tag")), X.element_text(F.col("j"), named=True, most=12)).collect()
     assert [tuple(r) for r in told] == [("<a> Go | go", "title=Go | …"), ("<div>", "")]
+
+
+def test_numbers_in_texts(spark):
+    from tallyloom.functions import numbers as N
+
+    text = "Revenue rose 12.5% to $3.2 million (2019: -$1,234.50), 4k users, v1.2.3, 2024-05-06, abc12, 7 of 10, €5bn, 3,45 and 12,345 m2; -8 degrees."
+    got = [(r.value, r.decimals, r.unit) for r in one(spark, N.numbers_in(F.lit(text)))]
+    assert got == [(12.5, 1, "%"), (3.2e6, 1, "$"), (2019.0, 0, ""), (-1234.5, 2, "$"), (4000.0, 0, ""), (7.0, 0, ""), (10.0, 0, ""), (5e9, 0, "€"), (12345.0, 0, ""), (-8.0, 0, "")]
+    assert one(spark, N.numbers_in(F.lit(None).cast("string"))) == []
+    found = N.numbers_in(F.lit("$90 then $200, $100, $0, $110, 95 and $90.00"))
+    assert one(spark, N.related_to(F.lit(100.0), found, "$")) == [110.0, 90.0, 200.0, 0.0]
+    assert one(spark, N.number_choices(F.lit(100.0), 0, 5, 1, related=N.related_to(F.lit(100.0), found, "$"), unit=" $"))[:4] == ["100 $", "110 $", "90 $", "200 $"]
+
+
+def test_near_numbers_differ_and_look_alike(spark):
+    from tallyloom.functions import numbers as N
+
+    df = spark.createDataFrame([(3.0,), (1234.5,), (0.0,), (-7.25,), (1e6,)], "g double")
+    for r in df.select("g", N.number_choices(F.col("g"), 1, 6, 3, F.col("g")).alias("o"), N.number_choices(F.col("g"), 1, 99, 3).alias("none")).collect():
+        assert r.none is None
+        if r.g == 0:
+            assert r.o is None  # only steps of the last digit differ: five texts
+            continue
+        assert len(set(r.o)) == 6 and all(x[-2] == "." for x in r.o)
+    assert one(spark, N.number_choices(F.lit(3.0), 1, 2, 3)) == ["3.0", "3.1"], "a small value's next step comes first"
+
+
+def test_media_plan_and_inlining(spark):
+    from tallyloom.functions import media as M
+
+    counts = {"image": F.col("i"), "video": F.col("v"), "audio": F.col("a")}
+    rows = [("see <video:2> and <image:1>, <video:2> again", 2, 2, 1), ("no tag", 1, 0, 1), ("", 0, 0, 0), (None, 0, 0, 1), ("<audio:1><audio:1>", 0, 0, 1), ("<image:01> <video:x> <sound:1>", 1, None, 0)]
+    df = spark.createDataFrame(rows, "t string, i int, v int, a int")
+    holder = lambda kind, at: F.concat(F.lit("{"), kind, at.cast("string"), F.lit("}"))
+    got = [r.x for r in df.select(M.inlined(F.col("t"), counts, holder).alias("x")).collect()]
+    assert [x.text for x in got] == ["{image1}{video0}{audio0}see {video1} and {image0}, [video 2] again", "{image0}{audio0}no tag", "", "{audio0}", "{audio0}[audio 1]", "{image0} <video:x> <sound:1>"]
+    assert [[(o.kind, o.at) for o in x.order] for x in got][:2] == [[("image", 1), ("video", 0), ("audio", 0), ("video", 1), ("image", 0)], [("image", 0), ("audio", 0)]]
+    for tag in ("<video:3>", "<image:0>"):
+        bad = spark.createDataFrame([(tag, 2, 2, 1)], "t string, i int, v int, a int")
+        with pytest.raises(Exception, match="the text names"):
+            bad.select(M.plan(F.col("t"), counts)).collect()
+
+
+def test_scores_inside_json_texts(spark):
+    import json
+
+    cells = [
+        ({"judge_response": json.dumps({"correctness_score": 0.8}), "score": 1}, 0.8),
+        ({"judge_response": {"correctness_score": "0.25"}}, 0.25),
+        (json.dumps({"judge_response": json.dumps(json.dumps({"correctness_score": 0}))}), 0.0),
+        ({"judge_response": "not json", "score": 0.5}, 0.5),
+        ({"judge_response": {"correctness_score": None}, "score": True}, 1.0),
+        ({"score": {"value": 1}}, None),
+        ([1], None),
+    ]
+    df = spark.createDataFrame([(json.dumps(c),) for c, _ in cells] + [("nope",), (None,)], "x string")
+    assert [r[0] for r in df.select(X.json_score(F.col("x"))).collect()] == [v for _, v in cells] + [None, None]
+    deep = json.dumps({"runs": [{"out": json.dumps({"a.b": [1, {"s": "7e1"}]})}]})
+    assert one(spark, X.number_at(F.lit(deep), "runs[0].out.none", "runs[1].out", "runs[0].out.a.b", "runs[0].out")) is None
+    assert one(spark, X.number_at(F.lit(json.dumps({"runs": [{"out": json.dumps({"b": [1, {"s": "7e1"}]})}]})), "runs[0].out.b", "runs[0].out.b[1].s")) == 70.0
+
+
+def test_tiers_of_names(spark):
+    from tallyloom.functions.tiers import tier_of
+
+    names = {"wxai-llama-3-2-1b-instruct": "fast", "Qwen__Qwen1.5-7B-Chat": "fast", "meta-llama__Llama-2-13b-chat-hf": "mid", "wxai-mixtral-8x7b-instruct-v01": "mid", "x_8 x 22 B": "strong", "wxai-llama-3-405b-instruct": "strong", "openai-gpt-4o-mini": "fast", "openai-gpt-4o": "strong", "aws-claude-3-5-sonnet-v1": "strong", "nameless": None}
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    assert {r.n: r.t for r in df.select("n", tier_of(F.col("n")).alias("t")).collect()} == names

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom import catalog
+from tallyloom.functions import numbers
 from tallyloom.functions.hashing import order_key
 from tallyloom.operators import augment, distractors, history, intervals, metrics, mixture, records, sampling
 
@@ -150,8 +151,8 @@ def test_distractors(spark):
     got = spark.range(20).select(distractors.from_pool(pool, F.lit("c"), 4, 1, F.col("id")).alias("o")).collect()
     assert all(len(set(r.o)) == 4 and "c" in r.o for r in got) and len({tuple(r.o) for r in got}) > 1
     assert spark.range(1).select(distractors.from_pool(F.array(F.lit("c")), F.lit("c"), 4, 1)).first()[0] is None
-    numbers = spark.range(1).select(distractors.numeric_options(F.lit(1234.5), 1, 4, 0)).first()[0]
-    assert numbers[0] == "1,234.5" and len(set(numbers)) == 4
+    near = spark.range(1).select(numbers.number_choices(F.lit(1234.5), 1, 4, 0)).first()[0]
+    assert near[0] == "1,234.5" and len(set(near)) == 4
     windows = spark.range(1).select(distractors.other_windows(F.lit(10.0), F.lit(15.0), F.lit(60.0), 3)).first()[0]
     assert len(windows) == 3 and all(abs(w - 10) >= 2 for w in windows)
     tools = spark.range(1).select(distractors.padded_tools(F.array(F.lit("x")), F.array(F.lit("x"), F.lit("y"), F.lit("z")), 3, 0)).first()[0]
