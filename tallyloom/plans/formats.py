@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyloom.functions import media, numbers
+from tallyloom.functions import text as X
 from tallyloom.functions.hashing import stable_id
 from tallyloom.operators import records
-from tallyloom.plans.registry import query
+from tallyloom.plans.registry import order_sql, query
 from tallyloom.sources import readers, record_json, row_groups
 
 _LEVELS = ["urgent", "high", "medium", "not specified", "low"]
@@ -77,3 +79,60 @@ def late_columns(t):
     path = lines.inputFiles()[0]
     path = path if path.count(".parquet") == 1 else path[: path.index(".parquet") + len(".parquet")]
     return row_groups.fetched(lines.sparkSession, path, chosen.select("file", "row"), wide).select(*wide)
+
+
+# ---- numbers, media and scores inside texts ---------------------------------------------------
+
+
+@query(f"""
+WITH p AS (SELECT DISTINCT o_orderkey, o_totalprice AS gold, round(l_extendedprice, 2) AS v FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE round(l_extendedprice, 2) <> o_totalprice),
+r AS (SELECT o_orderkey, 0 AS class, row_number() OVER (PARTITION BY o_orderkey ORDER BY abs(ln(v / gold)), v) || '' AS h, v FROM p),
+f AS (SELECT o_orderkey, 2 AS class, {order_sql(8, "o_orderkey", "s")} AS h, o_totalprice * f AS v FROM orders, (VALUES (0.9, '0.9'), (1.1, '1.1'), (0.95, '0.95'), (1.05, '1.05'), (0.8, '0.8'), (1.2, '1.2'), (0.5, '0.5'), (2.0, '2.0')) x(f, s) WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)),
+c AS (SELECT o_orderkey, format('{{:,.2f}}', v) AS t, min((class, CASE class WHEN 0 THEN lpad(h, 4, '0') ELSE h END)) AS k FROM (SELECT * FROM r UNION ALL SELECT * FROM f) GROUP BY ALL)
+SELECT o_orderkey, format('{{:,.2f}}', o_totalprice) || ';' || array_to_string((SELECT list(t ORDER BY k) FROM c WHERE c.o_orderkey = o.o_orderkey AND t <> format('{{:,.2f}}', o_totalprice))[1:4], ';') AS options
+FROM orders o WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)""")
+def related_numbers(t):
+    """The price of each order among five amounts: amounts of dollars in the text of its lines first, those nearest by ratio in front, then near values. Quantities, shares and codes in the text are of other units."""
+    line = F.concat(F.lit("line "), F.col("l_linenumber").cast("string"), F.lit(": "), F.col("l_quantity").cast("string"), F.lit(" pieces of code x"), F.col("l_partkey").cast("string"), F.lit("9 for $"), F.format_number("l_extendedprice", 2), F.lit(", "), F.col("l_discount").cast("string"), F.lit("% off."))
+    texts = t("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("text"))
+    rows = t("orders").select("o_orderkey", "o_totalprice").join(texts, "o_orderkey")
+    found = numbers.related_to(F.col("o_totalprice"), numbers.numbers_in(F.col("text")), "$")
+    return rows.select("o_orderkey", F.array_join(numbers.number_choices(F.col("o_totalprice"), 2, 5, 8, F.col("o_orderkey"), related=found), ";").alias("options"))
+
+
+@query("""
+WITH p AS (SELECT p_partkey, (p_partkey % 4)::INT AS images, (p_size % 3)::INT AS videos, (p_partkey % 2)::INT AS audios, p_name FROM part),
+m AS (SELECT *, list_filter([('image', 2), ('video', 1), ('image', 1), ('image', 2), ('audio', 1), ('video', 1)], lambda x: x[2] <= CASE x[1] WHEN 'image' THEN images WHEN 'video' THEN videos ELSE audios END) AS named FROM p),
+a AS (SELECT *, list_filter(list_concat(list_transform(range(1, images + 1), lambda i: ('image', i::INT)), list_transform(range(1, videos + 1), lambda i: ('video', i::INT)), list_transform(range(1, audios + 1), lambda i: ('audio', i::INT))), lambda x: NOT list_contains(named, x)) AS front FROM m)
+SELECT p_partkey, array_to_string(list_transform(front, lambda x: '(' || x[1] || x[2] || ')'), '') || p_name || array_to_string(list_transform(named, lambda x, i: ' ' || CASE WHEN list_position(named, x) = i THEN '(' || x[1] || x[2] || ')' ELSE '[' || x[1] || ' ' || x[2] || ']' END), '') || '.' AS text,
+  array_to_string(list_transform(list_concat(front, list_filter(named, lambda x, i: list_position(named, x) = i)), lambda x: x[1] || x[2]), ',') AS items FROM a""")
+def media_inlining(t):
+    """Parts with up to three images, two videos and a sound, which their texts name in part and more than once: texts with placeholders, and the order of items."""
+    counts = {"image": F.col("p_partkey") % 4, "video": F.col("p_size") % 3, "audio": F.col("p_partkey") % 2}
+    tags = [("image", 2), ("video", 1), ("image", 1), ("image", 2), ("audio", 1), ("video", 1)]
+    text = F.concat(F.col("p_name"), *[F.when(counts[k] >= n, f" <{k}:{n}>").otherwise("") for k, n in tags], F.lit("."))
+    name = lambda kind, at: F.concat(kind, (at + 1).cast("string"))
+    made = media.inlined(text, {k: n.cast("int") for k, n in counts.items()}, lambda kind, at: F.concat(F.lit("("), name(kind, at), F.lit(")")))
+    rows = t("part").select("p_partkey", made.alias("m"))
+    return rows.select("p_partkey", "m.text", F.array_join(F.transform("m.order", lambda o: name(o["kind"], o["at"])), ",").alias("items"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE l_partkey % 5 WHEN 0 THEN l_quantity / 50 WHEN 1 THEN l_quantity / 50 WHEN 2 THEN l_discount WHEN 3 THEN NULL ELSE l_discount END AS score FROM lineitem""")
+def nested_scores(t):
+    """Scores of graders: in an object, in JSON that is a text in JSON, beside a text that is none, in nothing, and two texts deep."""
+    grade, outer = (F.col(c).cast("string") for c in ("l_quantity", "l_discount"))
+    inner = F.concat(F.lit('{"correctness_score": '), (F.col("l_quantity") / 50).cast("string"), F.lit("}"))
+    as_text = lambda x: F.get_json_object(F.to_json(F.struct(F.to_json(F.struct(x.alias("x"))).alias("y"))), "$.y")
+    quoted = lambda x: F.regexp_extract(as_text(x), "^.\"x\":(.*).$", 1)
+    forms = [
+        F.concat(F.lit('{"judge_response": '), inner, F.lit(', "score": 9}')),
+        F.concat(F.lit('{"judge_response": '), quoted(inner), F.lit(', "score": {"of": 1}}')),
+        F.concat(F.lit('{"judge_response": "grade '), grade, F.lit('", "score": "'), outer, F.lit('"}')),
+        F.concat(F.lit('{"judge_response": null, "score": {"value": '), outer, F.lit("}}")),
+        quoted(F.concat(F.lit('{"judge_response": "{}", "score": '), outer, F.lit("}"))),
+    ]
+    way = F.col("l_partkey") % 5
+    cell = F.lit(None).cast("string")
+    for k, form in enumerate(forms):
+        cell = F.when(way == k, form).otherwise(cell)
+    return t("lineitem").select("l_orderkey", "l_linenumber", X.json_score(cell).alias("score"))

@@ -961,4 +961,4 @@ def constraint_texts(t):
     return t("orders").select("o_orderkey", X.constraint_text(F.concat(F.lit("rule:max_"), F.lower("o_orderstatus")), args).alias("text"))
 
 
-from tallyloom.plans import formats  # noqa: E402, F401  registers its queries
+from tallyloom.plans import formats, groups  # noqa: E402, F401  register their queries

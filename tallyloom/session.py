@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -24,3 +29,23 @@ def local_session(cores: int | str = 8, memory: str = "8g", **conf: str) -> Spar
 def read_table(spark: SparkSession, sf_dir: str, name: str):
     """One of the fixture tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir, which all executors share. Where it is unset, a temporary one if everything runs on this machine (tests); else an error, as executors would write to disks of their own."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="tallyloom-")
+        atexit.register(shutil.rmtree, folder, True)
+        spark.sparkContext.setCheckpointDir("file://" + folder)
+        base = spark.sparkContext.getCheckpointDir()
+    return f"{base.rstrip('/')}/tallyloom-{uuid.uuid4().hex}"
+
+
+def dropped(spark: SparkSession, *folders: str) -> None:
+    """Delete folders that are no longer read."""
+    for folder in folders:
+        where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
