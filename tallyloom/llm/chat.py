@@ -1,7 +1,7 @@
 """Chat formatting with DataFrame functions only.
 
-A record is JSON text in any of several layouts. The hash of its nested field paths selects a
-declarative mapping to turns of (role, text). The template marks turns with control strings; the
+A record is JSON text in any of several layouts. The hash of its nested field paths, of any depth
+and with kinds, selects a declarative mapping to turns of (role, text). The template marks turns with control strings; the
 same strings inside roles and texts are escaped so that they can be read back exactly.
 """
 
@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.llm.kit import packed, unpacked
@@ -32,41 +34,112 @@ ESCAPES = [
 ROLES = {"human": "user", "gpt": "assistant", "model": "assistant", "bot": "assistant", "prompter": "user"}
 
 
+@dataclass(frozen=True)
+class Listed:
+    """A list of turns at a path, each with a role and a content field."""
+
+    path: str
+    role: str
+    content: str
+
+    def reads(self) -> tuple[str, ...]:
+        return (f"{self.path}[].{self.role}", f"{self.path}[].{self.content}")
+
+
+@dataclass(frozen=True)
+class Said:
+    """Fields that make one turn of a role; those that are not empty are joined by a blank line."""
+
+    role: str
+    fields: tuple[str, ...]
+
+    def reads(self) -> tuple[str, ...]:
+        return self.fields
+
+
 @dataclass(frozen=True)
 class Layout:
-    """Either a list of turns (path, role field, text field), or fields that each become a turn of a role; fields of one turn are joined by a blank line."""
+    """A name, the nested field paths (with kinds) that a record of this layout has, and the parts that its turns are read from, in order."""
 
     name: str
     paths: tuple[str, ...]
-    turns: tuple[str, str, str] | None = None
-    fields: tuple[tuple[str, tuple[str, ...]], ...] = ()
+    parts: tuple[Listed | Said, ...]
 
     def fingerprint(self) -> str:
         return hashlib.sha256("\n".join(sorted(self.paths)).encode()).hexdigest()
 
 
+def listed(name: str, path: str, role: str, content: str, kind: str = ":text", more: tuple[str, ...] = (), before: tuple = (), after: tuple = ()) -> Layout:
+    """A layout around one list of turns."""
+    of_kind = (f"{path}[].{content}[].text:text", f"{path}[].{content}[].type:text") if kind == "parts" else (f"{path}[].{content}{kind}",)
+    return Layout(name, (f"{path}[].{role}:text", *of_kind, *more), (*before, Listed(path, role, content), *after))
+
+
+def fields(name: str, *parts: Said) -> Layout:
+    """A layout of text fields only."""
+    return Layout(name, tuple(f"{f}:text" for p in parts for f in p.fields), parts)
+
+
+_SYSTEM, _COMPLETION = Said("system", ("system",)), Said("assistant", ("completion",))
 LAYOUTS = [
-    Layout("turns", ("turns[].role", "turns[].text"), turns=("turns", "role", "text")),
-    Layout("messages", ("messages[].role", "messages[].content"), turns=("messages", "role", "content")),
-    Layout("sharegpt", ("conversations[].from", "conversations[].value"), turns=("conversations", "from", "value")),
-    Layout("instruction_input", ("instruction", "input", "output"), fields=(("user", ("instruction", "input")), ("assistant", ("output",)))),
-    Layout("instruction", ("instruction", "output"), fields=(("user", ("instruction",)), ("assistant", ("output",)))),
-    Layout("system_prompt", ("system", "prompt", "response"), fields=(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",)))),
-    Layout("prompt_completion", ("prompt", "completion"), fields=(("user", ("prompt",)), ("assistant", ("completion",)))),
-    Layout("prompt_response", ("prompt", "response"), fields=(("user", ("prompt",)), ("assistant", ("response",)))),
-    Layout("question_answer", ("question", "answer"), fields=(("user", ("question",)), ("assistant", ("answer",)))),
+    listed("turns", "turns", "role", "text"),
+    listed("messages", "messages", "role", "content"),
+    listed("sharegpt", "conversations", "from", "value"),
+    fields("instruction_input", Said("user", ("instruction", "input")), Said("assistant", ("output",))),
+    fields("instruction", Said("user", ("instruction",)), Said("assistant", ("output",))),
+    fields("system_prompt", _SYSTEM, Said("user", ("prompt",)), Said("assistant", ("response",))),
+    fields("prompt_completion", Said("user", ("prompt",)), _COMPLETION),
+    fields("prompt_response", Said("user", ("prompt",)), Said("assistant", ("response",))),
+    fields("question_answer", Said("user", ("question",)), Said("assistant", ("answer",))),
+    listed("message_parts", "messages", "role", "content", "parts"),
+    listed("message_mixed", "messages", "role", "content", ":mixed"),
+    listed("data_messages", "data.messages", "role", "content"),
+    listed("data_message_parts", "data.messages", "role", "content", "parts"),
+    listed("system_messages", "messages", "role", "content", more=("system:text",), before=(_SYSTEM,)),
+    listed("system_message_parts", "messages", "role", "content", "parts", more=("system:text",), before=(_SYSTEM,)),
+    listed("prompt_turns", "prompt", "role", "content", more=("completion:text",), after=(_COMPLETION,)),
+    listed("prompt_turns_completion_turns", "prompt", "role", "content", more=("completion[].role:text", "completion[].content:text"), after=(Listed("completion", "role", "content"),)),
 ]
 
+#: Bytes of a record beyond which its JSON is not taken apart, which is what Spark's variants hold.
+MOST_BYTES = 128 << 20
+_OPTIONS = {"maxStringLen": str(2**31 - 1)}
+_TURN = "struct<role: string, text: string>"
+_TOKENS = "`(?:[^`]|``)*`: |[A-Za-z0-9_]+: |OBJECT<>|OBJECT<|ARRAY<|>|[A-Z]+(?:\\([0-9, ]+\\))?"
+
+
+def parsed(record: Column) -> Column:
+    """A JSON text as a variant; null if it is none. A record beyond MOST_BYTES is an error."""
+    large = F.raise_error(F.concat(F.lit("a record of "), F.octet_length(record).cast("string"), F.lit(" bytes is too large to be taken apart"))).cast("variant")
+    return F.when(F.octet_length(record) > MOST_BYTES, large).otherwise(F.from_json(record, "variant", _OPTIONS))
 
-def field_paths(record: Column) -> Column:
-    """Sorted nested field paths of a JSON object: `a`, `a.b`, `a[].b`; of arrays, those that any element has."""
-    none = F.array().cast("array<string>")
-    at = lambda k: F.call_function("get_json_object", record, F.concat(F.lit("$['"), k, F.lit("']")))
-    keys = lambda x: F.coalesce(F.json_object_keys(x), none)
-    nested = lambda k: F.coalesce(F.flatten(F.transform(F.from_json(at(k), "array<string>"), keys)), none)
-    below = lambda k: F.concat(F.transform(nested(k), lambda x: F.concat(k, F.lit("[]."), x)), F.transform(keys(at(k)), lambda x: F.concat(k, F.lit("."), x)))
-    of = lambda k: F.when(F.size(below(k)) > 0, below(k)).otherwise(F.array(k))
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(F.json_object_keys(record), of))))
+
+def field_paths(value: Column) -> Column:
+    """Sorted nested field paths of a variant, of any depth, with the kind of what is there: `a:text`, `a.b:number`, `a[].b:mixed`.
+
+    Of arrays, those that any element has; kinds are text, number, boolean, null, object (an empty
+    one) and mixed (elements differ). Names of other than letters, digits and underscores are in
+    backquotes. The built-in schema of a variant is walked with a stack of the paths it is inside of.
+    """
+    state = "struct<inside: array<string>, at: string, paths: array<string>>"
+    start = F.struct(F.array().cast("array<string>").alias("inside"), F.lit("").alias("at"), F.array().cast("array<string>").alias("paths")).cast(state)
+    number = lambda t: t.rlike("^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL|DOUBLE|FLOAT)")
+    kind = lambda t: F.when(t == "OBJECT<>", "object").when(t == "VARIANT", "mixed").when(t == "VOID", "null").when(t == "BOOLEAN", "boolean").when(number(t), "number").otherwise("text")
+
+    def step(s: Column, t: Column) -> Column:
+        top = F.element_at(s["inside"], -1)
+        name = F.left(t, F.length(t) - 2)
+        entered = F.struct(F.concat(s["inside"], F.array(s["at"])).alias("inside"), s["at"].alias("at"), s["paths"].alias("paths"))
+        repeated = F.concat(s["at"], F.lit("[]"))
+        each = F.struct(F.concat(s["inside"], F.array(repeated)).alias("inside"), repeated.alias("at"), s["paths"].alias("paths"))
+        left = F.struct(F.slice(s["inside"], 1, F.greatest(F.size(s["inside"]) - 1, F.lit(0))).alias("inside"), s["at"].alias("at"), s["paths"].alias("paths"))
+        named = F.struct(s["inside"].alias("inside"), F.when(top == "", name).otherwise(F.concat(top, F.lit("."), name)).alias("at"), s["paths"].alias("paths"))
+        leaf = F.struct(s["inside"].alias("inside"), s["at"].alias("at"), F.concat(s["paths"], F.array(F.concat(s["at"], F.lit(":"), kind(t)))).alias("paths"))
+        out = F.when(t == ">", left).when(t == "OBJECT<", entered).when(t == "ARRAY<", each).when(t.endswith(": "), named).otherwise(leaf)
+        return out.cast(state)
+
+    tokens = F.regexp_extract_all(F.schema_of_variant(value), F.lit(_TOKENS), 0)
+    return F.array_sort(F.aggregate(tokens, start, step, lambda s: s["paths"]))
 
 
 def fingerprint(paths: Column) -> Column:
@@ -80,35 +153,58 @@ def _role(role: Column) -> Column:
     return out
 
 
-def _turns(record: Column, layout: Layout) -> Column:
-    if layout.turns:
-        path, role, text = layout.turns
-        read = F.from_json(record, f"`{path}` array<struct<`{role}`: string, `{text}`: string>>").getField(path)
-        return F.transform(read, lambda t: F.struct(_role(t[role]).alias("role"), F.coalesce(t[text], F.lit("")).alias("text")))
-    read = F.from_json(record, ", ".join(f"`{p}` string" for p in layout.paths))
-    joined = lambda names: F.concat_ws("\n\n", *[F.when(read[n] != "", read[n]) for n in names])
-    return F.array(*[F.struct(F.lit(role).alias("role"), joined(names).alias("text")) for role, names in layout.fields])
+def _content(value: Column) -> Column:
+    """The text of a turn's content: a text as it is, a list of parts joined by blank lines, nothing of null. A part is a text or has a text; one that has none (an image) is its type in brackets."""
+    get = lambda v, path, t: F.try_variant_get(v, path, t)
+    one = lambda v: F.coalesce(get(v, "$.text", "string"), F.concat(F.lit("["), get(v, "$.type", "string"), F.lit("]")), v.cast("string"))
+    several = get(value, "$", "array<variant>")
+    return F.coalesce(F.when(several.isNotNull(), F.array_join(F.transform(several, one), "\n\n")).otherwise(one(value)), F.lit(""))
 
 
-def canonical_turns(df: DataFrame, record: str = "record", layouts: list[Layout] | None = None) -> DataFrame:
-    """The rows with `layout` (its name) and `turns` (array of role and text).
+def _turns(value: Column, layout: Layout) -> Column:
+    def of(part: Listed | Said) -> Column:
+        if isinstance(part, Listed):
+            each = F.try_variant_get(value, f"$.{part.path}", "array<variant>")
+            made = F.transform(each, lambda t: F.struct(_role(F.try_variant_get(t, f"$.{part.role}", "string")).alias("role"), _content(F.try_variant_get(t, f"$.{part.content}", "variant")).alias("text")))
+            return F.coalesce(made.cast(f"array<{_TURN}>"), F.array().cast(f"array<{_TURN}>"))
+        read = [F.try_variant_get(value, f"$.{f}", "string") for f in part.fields]
+        return F.array(F.struct(F.lit(part.role).alias("role"), F.concat_ws("\n\n", *[F.when(x != "", x) for x in read]).alias("text"))).cast(f"array<{_TURN}>")
 
-    The layout is that of the record's fingerprint, or else the first one all of whose paths the
-    record has (it has further fields). No such layout, no JSON object, or null: layout and turns
-    are null. Input columns named layout or turns are replaced.
+    return F.concat(*map(of, layout.parts))
+
+
+def canonical_turns(df: DataFrame, record: str = "record", layouts: list[Layout] | None = None) -> DataFrame:
+    """The rows with `layout` (its name), `turns` (array of role and text), `unread` (paths that the mapping does not read) and `problem`.
+
+    The layout is that of the record's fingerprint. Without one, it is the layout all of whose
+    paths the record has, where null stands for any kind; of two such layouts the one whose paths
+    include the other's. If two remain, or none, layout and turns are null, and the problem says
+    which; likewise for what is no JSON object. A null record has no problem. What a record has
+    besides its layout's fields is told as unread, and never part of a turn. A turn without a role
+    or content has an empty one. Input columns of the new names are replaced.
     """
     layouts = LAYOUTS if layouts is None else layouts
-    rows = packed(df).withColumn("record", F.col("row").getField(record)).withColumn("paths", field_paths(F.col("record")))
-    rows = rows.withColumn("fingerprint", fingerprint(F.col("paths")))
-    exact, loose = F.lit(None).cast("string"), F.lit(None).cast("string")
+    rows = packed(df).withColumn("record", F.col("row").getField(record)).withColumn("value", parsed(F.col("record"))).withColumn("paths", field_paths(F.col("value")))
+    exact = F.lit(None).cast("string")
     for x in reversed(layouts):
-        exact = F.when(F.col("fingerprint") == x.fingerprint(), x.name).otherwise(exact)
-        loose = F.when(F.size(F.array_except(F.array(*map(F.lit, x.paths)), F.col("paths"))) == 0, x.name).otherwise(loose)
-    rows = rows.withColumn("layout", F.coalesce(exact, loose))
-    turns = F.lit(None).cast("array<struct<role: string, text: string>>")
+        exact = F.when(F.col("print") == x.fingerprint(), x.name).otherwise(exact)
+    has = lambda p: F.array_contains("paths", p) | F.array_contains("paths", p.rpartition(":")[0] + ":null")
+    candidates = F.filter(F.array(*[F.when(reduce(and_, map(has, x.paths)), x.name) for x in layouts]), lambda n: n.isNotNull())
+    wider = {x.name: [y.name for y in layouts if set(x.paths) < set(y.paths)] for x in layouts}
+    names = F.array(*[F.struct(F.lit(k).alias("name"), F.array(*map(F.lit, v)).cast("array<string>").alias("wider")) for k, v in wider.items()])
+    widest = F.filter("candidates", lambda n: F.size(F.array_intersect(F.filter(names, lambda w: w["name"] == n)[0]["wider"], F.col("candidates"))) == 0)
+    rows = rows.withColumn("print", fingerprint(F.col("paths"))).withColumn("exact", exact).withColumn("candidates", candidates).withColumn("widest", widest)
+    rows = rows.withColumn("layout", F.coalesce("exact", F.when(F.size("widest") == 1, F.get("widest", 0))))
+    is_object = F.try_variant_get("value", "$", "map<string, variant>").isNotNull()
+    why = F.when(F.col("record").isNull() | F.col("layout").isNotNull(), F.lit(None).cast("string")).when(~F.coalesce(is_object, F.lit(False)), "no JSON object").when(F.size("widest") > 1, F.concat(F.lit("ambiguous: "), F.array_join("widest", ", "))).otherwise("no layout")
+    turns, reads = F.lit(None).cast(f"array<{_TURN}>"), F.lit(None).cast("array<string>")
     for x in layouts:
-        turns = F.when(F.col("layout") == x.name, _turns(F.col("record"), x)).otherwise(turns)
-    return unpacked(rows.withColumn("turns", turns), df, F.col("layout"), F.col("turns"), names=("layout", "turns"))
+        turns = F.when(F.col("layout") == x.name, _turns(F.col("value"), x)).otherwise(turns)
+        reads = F.when(F.col("layout") == x.name, F.array(*[F.lit(r) for p in x.parts for r in p.reads()])).otherwise(reads)
+    rows = rows.withColumn("turns", turns).withColumn("reads", reads).withColumn("problem", why)
+    read = lambda p: F.exists("reads", lambda r: p.startswith(F.concat(r, F.lit(":"))) | p.startswith(F.concat(r, F.lit("[]"))) | p.startswith(F.concat(r, F.lit("."))))
+    rows = rows.withColumn("unread", F.filter("paths", lambda p: ~read(p)))
+    return unpacked(rows, df, F.col("layout"), F.col("turns"), F.when(F.col("layout").isNotNull(), F.col("unread")).alias("unread"), F.col("problem"), names=("layout", "turns", "unread", "problem"))
 
 
 def escaped(text: Column) -> Column:
@@ -170,37 +266,75 @@ def op8_chat_format(conversations: DataFrame) -> DataFrame:
     return back.select("conv_id", F.size("turns_read").cast("long").alias("n_turns"), F.sha2(F.array_join(line, ""), 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
-def layouts_to_turns(conversations: DataFrame) -> DataFrame:
-    """A question and an answer of each conversation, cast into one of all layouts by its id, then read by fingerprint: layout, turns and their digest."""
-    said = lambda role: F.coalesce(F.max(F.when(F.col("role") == role, F.col("text"))), F.lit(""))
-    rows = conversations.groupBy("conv_id").agg(said("user").alias("q"), said("assistant").alias("a"))
-    turns = lambda role, text, user, bot: F.array(F.struct(F.lit(user).alias(role), F.col("q").alias(text)), F.struct(F.lit(bot).alias(role), F.col("a").alias(text)))
-    q, a = F.col("q"), F.col("a")
+_LISTS = [x.name for x in LAYOUTS if any(isinstance(p, Listed) for p in x.parts)]
+_FIELDS = [x.name for x in LAYOUTS if x.name not in _LISTS]
+
+
+def _records(conversations: DataFrame) -> DataFrame:
+    """Conversations as records of all layouts, which the ids choose: (conv_id, turn, record). Layouts of lists get all turns (turn -1), layouts of fields each turn and the next one."""
+    text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    rows = conversations.select("conv_id", "turn", text("role"), text("text"))
+    whole = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    each = lambda role, content, of=lambda t, i: t["text"]: F.transform("t", lambda t, i: F.struct(t["role"].alias(role), of(t, i).alias(content)))
+    parts = lambda t, i: F.array(F.struct(F.lit("text").alias("type"), t["text"].alias("text")))
+    quoted = lambda x: F.substring(F.to_json(F.array(x)), F.lit(2), F.length(F.to_json(F.array(x))) - 2)
+    mixed = lambda t, i: F.concat(F.lit('{"role":'), quoted(t["role"]), F.lit(',"content":'), F.when(i % 2 == 0, F.to_json(parts(t, i))).otherwise(quoted(t["text"])), F.lit("}"))
+    named = lambda x: F.when(x == "user", "human").when(x == "assistant", "gpt").otherwise(x)
+    brief, done = F.lit("be brief").alias("system"), F.lit("done")
     forms = {
-        "turns": F.struct(turns("role", "text", "user", "assistant").alias("turns")),
-        "messages": F.struct(turns("role", "content", "user", "assistant").alias("messages")),
-        "sharegpt": F.struct(turns("from", "value", "human", "gpt").alias("conversations")),
-        "instruction_input": F.struct(q.alias("instruction"), F.lit("as told").alias("input"), a.alias("output")),
-        "instruction": F.struct(q.alias("instruction"), a.alias("output")),
-        "system_prompt": F.struct(F.lit("be brief").alias("system"), q.alias("prompt"), a.alias("response")),
-        "prompt_completion": F.struct(q.alias("prompt"), a.alias("completion")),
-        "prompt_response": F.struct(q.alias("prompt"), a.alias("response")),
-        "question_answer": F.struct(q.alias("question"), a.alias("answer")),
+        "turns": F.struct(each("role", "text").alias("turns")),
+        "messages": F.struct(each("role", "content").alias("messages")),
+        "sharegpt": F.struct(F.transform("t", lambda t: F.struct(named(t["role"]).alias("from"), t["text"].alias("value"))).alias("conversations")),
+        "message_parts": F.struct(each("role", "content", parts).alias("messages")),
+        "message_mixed": F.concat(F.lit('{"messages":['), F.array_join(F.transform("t", mixed), ","), F.lit("]}")),
+        "data_messages": F.struct(F.struct(each("role", "content").alias("messages")).alias("data")),
+        "data_message_parts": F.struct(F.struct(each("role", "content", parts).alias("messages")).alias("data")),
+        "system_messages": F.struct(brief, each("role", "content").alias("messages")),
+        "system_message_parts": F.struct(brief, each("role", "content", parts).alias("messages")),
+        "prompt_turns": F.struct(each("role", "content").alias("prompt"), done.alias("completion")),
+        "prompt_turns_completion_turns": F.struct(each("role", "content").alias("prompt"), F.array(F.struct(F.lit("assistant").alias("role"), done.alias("content"))).alias("completion")),
+        "instruction_input": F.struct(F.col("q").alias("instruction"), F.lit("as told").alias("input"), F.col("a").alias("output")),
+        "instruction": F.struct(F.col("q").alias("instruction"), F.col("a").alias("output")),
+        "system_prompt": F.struct(brief, F.col("q").alias("prompt"), F.col("a").alias("response")),
+        "prompt_completion": F.struct(F.col("q").alias("prompt"), F.col("a").alias("completion")),
+        "prompt_response": F.struct(F.col("q").alias("prompt"), F.col("a").alias("response")),
+        "question_answer": F.struct(F.col("q").alias("question"), F.col("a").alias("answer")),
     }
-    record = F.lit(None).cast("string")
-    for k, x in enumerate(LAYOUTS):
-        record = F.when(F.pmod("conv_id", F.lit(len(LAYOUTS))) == k, F.to_json(forms[x.name])).otherwise(record)
-    read = canonical_turns(rows.select("conv_id", record.alias("record")))
+
+    def chosen(names: list[str], by: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for k, x in enumerate(names):
+            told = forms[x] if x == "message_mixed" else F.to_json(forms[x])
+            out = F.when(F.pmod(by, F.lit(len(names))) == k, told).otherwise(out)
+        return F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit('{"id":'), F.col("conv_id").cast("string"), F.lit(","), F.substring(out, 2, 2**31 - 1))).otherwise(out)
+
+    lists = whole.select("conv_id", F.lit(-1).cast("long").alias("turn"), chosen(_LISTS, F.col("conv_id")).alias("record"))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    pairs = rows.select("conv_id", "turn", F.row_number().over(order).alias("r"), F.col("text").alias("q"), F.lead("text").over(order).alias("a")).filter("a is not null")
+    return lists.unionByName(pairs.select("conv_id", F.col("r").cast("long").alias("turn"), chosen(_FIELDS, F.col("conv_id") + F.col("r")).alias("record")))
+
+
+def layouts_to_turns(conversations: DataFrame) -> DataFrame:
+    """All turns of all conversations, cast into records of all layouts and read by fingerprint: layout, turns and their digest, and how many fields were not read."""
+    read = canonical_turns(_records(conversations))
     line = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
-    return read.select("conv_id", "layout", F.size("turns").cast("long").alias("n_turns"), F.sha2(F.array_join(line, ""), 256).alias("turns_sha256"))
+    return read.select("conv_id", "turn", "layout", F.size("turns").cast("long").alias("n_turns"), F.sha2(F.array_join(line, ""), 256).alias("turns_sha256"), F.size("unread").cast("long").alias("n_unread"))
 
 
+_DONE = "('prompt_turns', 'prompt_turns_completion_turns')"
 LAYOUTS_SQL = f"""
-WITH c AS (SELECT conv_id, conv_id % {len(LAYOUTS)} AS k, coalesce(max(text) FILTER (role = 'user'), '') AS q, coalesce(max(text) FILTER (role = 'assistant'), '') AS a FROM conversations GROUP BY conv_id)
-SELECT conv_id, [{", ".join(f"'{x.name}'" for x in LAYOUTS)}][k + 1] AS layout, CASE WHEN k = 5 THEN 3 ELSE 2 END::BIGINT AS n_turns,
-  sha256(CASE WHEN k = 5 THEN 'system' || chr(10) || 'be brief' || chr(10) ELSE '' END || 'user' || chr(10) || q
-    || CASE WHEN k <> 3 THEN '' WHEN q = '' THEN 'as told' ELSE chr(10) || chr(10) || 'as told' END || chr(10) || 'assistant' || chr(10) || a || chr(10)) AS turns_sha256
-FROM c
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+w AS (SELECT conv_id, [{", ".join(f"'{x}'" for x in _LISTS)}][conv_id % {len(_LISTS)} + 1] AS made, count(*) AS n, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS told FROM t GROUP BY conv_id),
+p AS (SELECT conv_id, row_number() OVER o AS r, text AS q, lead(text) OVER o AS a FROM t WINDOW o AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+f AS (SELECT *, [{", ".join(f"'{x}'" for x in _FIELDS)}][(conv_id + r) % {len(_FIELDS)} + 1] AS layout FROM p WHERE a IS NOT NULL)
+SELECT conv_id, -1::BIGINT AS turn, CASE WHEN made = 'message_mixed' AND n = 1 THEN 'message_parts' ELSE made END AS layout,
+  n + CASE WHEN made LIKE 'system%' OR made IN {_DONE} THEN 1 ELSE 0 END AS n_turns,
+  sha256(CASE WHEN made LIKE 'system%' THEN 'system' || chr(10) || 'be brief' || chr(10) ELSE '' END || told || CASE WHEN made IN {_DONE} THEN 'assistant' || chr(10) || 'done' || chr(10) ELSE '' END) AS turns_sha256,
+  CASE WHEN conv_id % 2 = 0 THEN 1 ELSE 0 END::BIGINT AS n_unread FROM w
+UNION ALL SELECT conv_id, r, layout, CASE layout WHEN 'system_prompt' THEN 3 ELSE 2 END,
+  sha256(CASE layout WHEN 'system_prompt' THEN 'system' || chr(10) || 'be brief' || chr(10) ELSE '' END || 'user' || chr(10) || q
+    || CASE WHEN layout <> 'instruction_input' THEN '' WHEN q = '' THEN 'as told' ELSE chr(10) || chr(10) || 'as told' END || chr(10) || 'assistant' || chr(10) || a || chr(10)),
+  CASE WHEN conv_id % 2 = 0 THEN 1 ELSE 0 END FROM f
 """
 
 
