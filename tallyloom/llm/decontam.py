@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.kit import LOWER, Texts, lookup, marked, mix, named, packed, record, settled, shingle_hashes, signed, slices, texts_of, unpacked, word_bounds, word_hashes, written
+from tallyloom.llm.kit import identity, LOWER, Texts, lookup, marked, mix, named, packed, record, settled, shingle_hashes, signed, slices, texts_of, unpacked, word_bounds, word_hashes, written
 
 #: Tokens in a window (an item of fewer is one window), and literal ones that a template needs; a window with fewer is taken as it stands.
 WINDOW, LITERALS = 8, 4
@@ -132,8 +132,8 @@ def item_windows(benchmark: DataFrame, item: str = "item_id", text: str = "text"
                         yield record(item_id=batch.column(0).slice(i, j - i).take(pa.array(owner)), item_key=batch.column(2).slice(i, j - i).take(pa.array(owner)), hash=signed(hashes), size=np.full(len(owner), size), pos=at - first[owner], slots=_slots(literal, kind, at, size, holed), windows=counts[owner] - size + 1)
 
     kind = benchmark.schema[item].dataType.simpleString()
-    once = benchmark.select(named(item).alias("item"), named(text).alias("text"), F.xxhash64(named(text)).alias("key")).distinct()
-    return once.mapInArrow(emit, f"item_id {kind}, item_key long, hash long, size long, pos long, slots array<long>, windows long")
+    once = benchmark.select(named(item).alias("item"), named(text).alias("text"), identity(named(text)).alias("key")).distinct()
+    return once.mapInArrow(emit, f"item_id {kind}, item_key binary, hash long, size long, pos long, slots array<long>, windows long")
 
 
 def _filter_of(windows: DataFrame) -> tuple[np.ndarray, list[int]]:
@@ -146,7 +146,7 @@ def _filter_of(windows: DataFrame) -> tuple[np.ndarray, list[int]]:
 
 
 def matches(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(key, item_id, matched, coverage, reparameterised) of every text that holds an item; key is xxhash64 of the text.
+    """(key, item_id, matched, coverage, reparameterised) of every text that holds an item; key tells the text (see `kit.identity`).
 
     A null or empty text or item matches nothing. Equal texts are one key. Items without tokens
     cannot be found. Items that share an id (or have none) with other texts are found each by
@@ -172,7 +172,7 @@ def matches(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
                         hashes, owner, at, holed = hashes[some], owner[some], at[some], holed[some]
                         yield record(key=batch.column(1).slice(i, j - i).take(pa.array(owner)), hash=signed(hashes), at=at - first[owner], found=_slots(literal, kind, at, size, holed))
 
-    rows = df.select(named(text), F.xxhash64(named(text)).alias("key")).mapInArrow(hits, "key long, hash long, at long, found array<long>").distinct()
+    rows = df.filter(named(text).isNotNull()).select(named(text), identity(named(text)).alias("key")).mapInArrow(hits, "key binary, hash long, at long, found array<long>").distinct()
     met = lookup(rows, items, ["hash"], "inner").filter(F.size("slots") == F.size("found"))
     met = met.withColumn("line", F.col("at") - F.col("pos"))
     # The slots of an alignment agree if each of the item's values stands for one value of the text. Windows without slots, taken word for word, count whether they agree or not.
@@ -192,7 +192,7 @@ def clean(df: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows whose text holds no item, with their columns, whatever their names; a null text holds none."""
     mark = marked()
     bad = settled(matches(df, benchmark, text).select("key").distinct().withColumn("bad", F.lit(True)), mark)
-    rows = packed(df).withColumn("key", F.xxhash64(F.col("row").getField(text)))
+    rows = packed(df).withColumn("key", identity(F.col("row").getField(text)))
     return unpacked(lookup(rows, bad, ["key"]).filter(F.col("bad").isNull()), df)
 
 
@@ -200,5 +200,5 @@ def op5_decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row for every document and benchmark item that it holds. See `matches`; repeated documents have their rows each."""
     mark = marked()
     found = settled(matches(documents, benchmark), mark)
-    keyed = documents.select("doc_id", F.xxhash64("text").alias("key"))
+    keyed = documents.select("doc_id", identity(F.col("text")).alias("key"))
     return lookup(keyed, found, ["key"], "inner").select("doc_id", "item_id", "matched", "coverage", "reparameterised")

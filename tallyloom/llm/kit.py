@@ -172,6 +172,11 @@ def named(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def identity(text: Column) -> Column:
+    """128 bits of a text's SHA-256, by which texts of a whole corpus are told apart; null stays null."""
+    return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
+
+
 def packed(df: DataFrame, name: str = "row") -> DataFrame:
     """One struct column with the whole input row, so that its names clash with nothing."""
     return df.select(F.struct(*[named(c) for c in df.columns]).alias(name))
@@ -244,19 +249,26 @@ def drop(spark: SparkSession, *paths: str) -> None:
             _WRITTEN.remove(path)
 
 
-#: Rows up to which a lookup table is broadcast.
-BROADCAST_ROWS = 100_000
+#: Rows, and bytes of their values, up to which a lookup table is broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32 << 20
+
+
+def _bytes(df: DataFrame) -> Column:
+    """About the bytes of a row's values."""
+    one = lambda f: F.coalesce(F.octet_length(named(f.name)), F.lit(0)) if f.dataType.typeName() in ("string", "binary") else F.octet_length(F.to_json(F.struct(named(f.name)))) if hasattr(f.dataType, "elementType") or hasattr(f.dataType, "fields") or hasattr(f.dataType, "keyType") else F.lit(8)
+    return sum((one(f) + 8 for f in df.schema.fields), F.lit(0))
 
 
 def lookup(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left", most: int = BROADCAST_ROWS, salts: int = 16) -> DataFrame:
-    """Join a table of unique keys. It is broadcast if counted at most `most` rows; else both sides are salted, as a key may be hot."""
+    """Join a table by its keys; one that repeats a key repeats rows. It is broadcast if counted at most `most` rows and BROADCAST_BYTES; else both sides are salted, as a key may be hot. A row's salt is that of the task it comes from, which a task that runs again has as well."""
     right = small.select(*[F.col(k).alias(f"{k}__r") for k in keys], *[c for c in small.columns if c not in keys])
     same = [F.col(k).eqNullSafe(F.col(f"{k}__r")) for k in keys]
     gone = [f"{k}__r" for k in keys]
-    if small.limit(most + 1).count() <= most:
+    held = small.limit(most + 1).agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(_bytes(small)), F.lit(0)).alias("bytes")).first()
+    if held.rows <= most and held.bytes <= BROADCAST_BYTES:
         return big.join(F.broadcast(right), same, how).drop(*gone)
-    left = big.withColumn("salt__", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
-    right = right.withColumn("salt__r", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long"))
+    left = big.withColumn("salt__", F.pmod(F.spark_partition_id(), F.lit(salts)).cast("long"))
+    right = right.withColumn("salt__r", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     return left.join(right, [*same, F.col("salt__") == F.col("salt__r")], how).drop(*gone, "salt__", "salt__r")
 
 

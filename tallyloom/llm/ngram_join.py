@@ -27,8 +27,8 @@ from tallyloom.llm.kit import Texts, lookup, marked, mix, named, packed, record,
 
 #: Counters of how common n-grams are. Unlike n-grams may share one: that only makes the order less good, not the join less exact.
 COUNTERS = 1 << 18
-#: Bits of the filters of classes whose sets are needed and of n-grams that several classes have. They have no false negatives; when full, they only save nothing.
-FILTER_BITS, GRAM_BITS = 1 << 23, 1 << 25
+#: Bits for each hash in the filters of classes whose sets are needed and of n-grams that several classes have, and all of a filter's at most. Filters have no false negatives; when full, they only save nothing.
+BITS_EACH, MOST_BITS = 32, 1 << 27
 #: Pieces of the global order, each of which holds as many n-grams.
 FRAGMENTS = 8
 #: Partners of a class that meet its set in one task, and classes of one n-gram that meet in one.
@@ -128,16 +128,16 @@ def postings(df: DataFrame, text: str, size: int, percent: int, levels: np.ndarr
                     at = np.arange(upto[-1]) - np.repeat(upto - places, places)
                     gram, each = np.concatenate(grams), np.array(classes, np.int64)
                     key = np.array(central, np.int64) << 53 | (each.view(np.uint64) >> np.uint64(11)).view(np.int64)
-                    some = slice(None) if wanted is None else np.flatnonzero(_has(wanted, gram, GRAM_BITS))
+                    some = slice(None) if wanted is None else np.flatnonzero(_has(wanted, gram))
                     of = np.repeat(np.arange(len(each)), places)[some]
                     yield record(gram=signed(gram[some]), key=key[of], **{"class": each[of]}, n=np.array(sizes, np.int64)[of], at=at[some].astype(np.int32))
 
     return df.select(text).mapInArrow(emit, "gram long, key long, class long, n long, at int")
 
 
-def _has(words: np.ndarray, x: np.ndarray, bits: int) -> np.ndarray:
+def _has(words: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Whether the filter lets each hash through."""
-    at = x & np.uint64(bits - 1)
+    at = x & np.uint64(64 * len(words) - 1)
     return (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)) > 0
 
 
@@ -157,7 +157,7 @@ def fragments(df: DataFrame, text: str, size: int, wanted: np.ndarray, fragment:
                 classes, parts, grams, lost = [], [], [], []
                 for s in sets_of(part, size):
                     c = class_of(s) if len(s) else None
-                    if c is None or c in seen or not _has(wanted, np.array([c]).view(np.uint64), FILTER_BITS)[0]:
+                    if c is None or c in seen or not _has(wanted, np.array([c]).view(np.uint64))[0]:
                         continue
                     seen.add(c)
                     at = fragment[(s >> np.uint64(46)).astype(np.int64)]
@@ -178,8 +178,9 @@ def fragments(df: DataFrame, text: str, size: int, wanted: np.ndarray, fragment:
     return df.select(text).mapInArrow(emit, f"class long, part byte, grams array<{'long' if whole else 'short'}>, lost int")
 
 
-def filter_of(hashes: DataFrame, column: str, bits: int) -> np.ndarray:
-    """A bit for each hash; bits / 64 rows at most come to the driver."""
+def filter_of(hashes: DataFrame, column: str, count: int) -> np.ndarray:
+    """A filter of some hashes: a bit for each, of BITS_EACH times their number in all, rounded up to a power of two. A 64th as many rows come to the driver, MOST_BITS / 64 at most: a corpus that outgrows that has a fuller filter, which lets more through and changes no result."""
+    bits = 1 << min(max((BITS_EACH * count - 1).bit_length(), 6), MOST_BITS.bit_length() - 1)
     found = hashes.select(F.expr(f"{column} & {bits - 1}").alias("b")).groupBy(F.expr("b div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("m")).toArrow()
     words = np.zeros(bits // 64, np.int64)
     words[np.asarray(found.column("w"))] = np.asarray(found.column("m"))
@@ -190,10 +191,14 @@ def overlaps(df: DataFrame, text: str, size: int, fragment: np.ndarray, pairs: D
     """The pairs (a, b, na, nb) with `o`: their overlap, counted fragment by fragment and summed; by codes, at least their overlap. Pairs without a common fragment are left out."""
     both = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class")))
     # Dealt by class, once for both sides.
-    cut = fragments(df, text, size, filter_of(both, "class", FILTER_BITS), fragment, whole).repartition("class").dropDuplicates(["class", "part"])
+    cut = fragments(df, text, size, filter_of(both, "class", 2 * pairs.count()), fragment, whole).repartition("class").dropDuplicates(["class", "part"])
     side = lambda x: cut.select(F.col("class").alias(x), "part", F.col("grams").alias(f"g{x}"), F.col("lost").alias(f"l{x}"))
-    hot, at = written(pairs.groupBy("b").agg(F.floor(F.count(F.lit(1)) / PARTNERS).alias("salts")).filter("salts > 0"))
-    met = split_join(pairs.select("a", "b", "na", "nb").join(side("a"), "a"), side("b"), ["b", "part"], hot, ["b"])
+    # Either class of a pair may be in very many.
+    hot = {k: written(pairs.groupBy(k).agg(F.floor(F.count(F.lit(1)) / PARTNERS).alias("salts")).filter("salts > 0"))[0] for k in "ab"}
+    rows = pairs.select("a", "b", "na", "nb")
+    # Without a hot class the sets stay where they were dealt.
+    met = rows.join(side("a"), "a") if hot["a"].isEmpty() else split_join(rows, side("a"), ["a"], hot["a"], ["a"])
+    met = split_join(met, side("b"), ["b", "part"], hot["b"], ["b"])
     # N-grams of the overlap have codes in common; those that share a code with another may hide behind it.
     one = F.size(F.array_intersect("ga", "gb")) + F.least("la", "lb")
     return met.select("a", "b", "na", "nb", one.alias("o")).groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
@@ -232,7 +237,7 @@ def classes_linked(df: DataFrame, text: str, size: int, percent: int, levels: np
     many = postings(df, text, size, percent, levels).groupBy("gram").agg(F.max("key").alias("top"), F.min("key").alias("low"), F.count(F.lit(1)).alias("members")).filter("low <> top")
     many, _ = written(many.select("gram", "top", "members"))
     hot, _ = written(_crowded(many))
-    rows = postings(df, text, size, percent, levels, filter_of(many, "gram", GRAM_BITS))
+    rows = postings(df, text, size, percent, levels, filter_of(many, "gram", many.count()))
     met, _ = written(split_join(rows, many.select("gram", "top"), ["gram"], hot, ["gram"], once=True))
     # What concerns a class and its hub is told for both once, not for each n-gram that they share.
     both, _ = written(met.select("class", "n", "top", (F.col("key") == F.col("top")).alias("is_hub")).distinct())
@@ -280,7 +285,7 @@ def linked(df: DataFrame, id_: str = "doc_id", text: str = "text", size: int = 5
     classes = rows.filter("class is not null").groupBy("class").agg(F.min(F.struct(F.col("id").isNull(), "id")).alias("first"), F.count(F.lit(1)).alias("held"))
     placed = classes.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     whole = placed.groupBy("root").agg(F.min(F.struct("first", "class")).alias("first"), F.sum("held").alias("held")).filter("held > 1")
-    groups, _ = written(placed.select("class", "root").join(whole, "root").select("class", F.col("first.first.id").alias("component"), F.col("first.class").alias("component_class")))
+    groups, _ = written(lookup(placed.select("class", "root"), whole, ["root"], "inner").select("class", F.col("first.first.id").alias("component"), F.col("first.class").alias("component_class")))
     joined = lookup(rows, groups, ["class"])
     alone = F.col("component_class").isNull()
     return settled(joined.select(F.col("id").alias(id_), F.col("n").alias("n_shingles"), "class", F.when(alone, F.col("id")).otherwise(F.col("component")).alias("component"), F.coalesce("component_class", "class").alias("component_class")), mark)

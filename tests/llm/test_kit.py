@@ -40,3 +40,16 @@ def test_split_join_is_an_inner_join(spark):
     hot = spark.sql("SELECT 1L AS k, 3L AS salts")
     out = kit.split_join(left, right, ["k"], hot, ["k"])
     assert sorted(map(tuple, out.select("k", "id", "v").collect())) == sorted((i % 5, i, i % 5 * 10) for i in range(200) if i % 5 < 4)
+
+
+@pytest.mark.parametrize("most, size", [(1000, 1 << 30), (2, 1 << 30), (1000, 100)])
+def test_lookup_broadcasts_by_rows_and_bytes(spark, monkeypatch, most, size):
+    """The same rows whether the table is small, has too many rows, or rows that are too wide; keys may be null, repeat and be nested beside other columns."""
+    monkeypatch.setattr(kit, "BROADCAST_BYTES", size)
+    big = spark.range(300).select(F.when(F.col("id") % 4 > 0, F.col("id") % 4).alias("k"), "id").repartition(5)
+    small = spark.createDataFrame([(1, "a", [1, 2], None), (None, "n", None, b"x"), (2, "b", [], b""), (2, "c", [3], b"y")], "k long, v string, w array<int>, x binary")
+    out = kit.lookup(big, small, ["k"], most=most)
+    want = {None: "n", 1: "a", 2: "bc", 3: None}
+    assert sorted((repr(r.k), r.id, repr(r.v)) for r in out.collect()) == sorted((repr(k), i, repr(v)) for i in range(300) for k in [i % 4 or None] for v in (want[k] or [None]))
+    assert ("BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()) == (most == 1000 and size > 100) or spark.conf.get("spark.sql.autoBroadcastJoinThreshold") != "-1"
+    assert out.unionByName(out).count() == 2 * out.count()

@@ -76,7 +76,7 @@ def test_every_set_is_cut_by_the_global_order(spark):
     table = ngram_join.counted(df, "doc_id", "text", 4).cache()
     levels, fragment = ngram_join.global_order(table)
     assert all(levels[fragment == k].max() <= levels[fragment == k + 1].min() for k in range(ngram_join.FRAGMENTS - 1) if (fragment == k).any() and (fragment == k + 1).any())
-    full = np.full(ngram_join.FILTER_BITS // 64, 2**64 - 1, np.uint64)
+    full = np.full(1, 2**64 - 1, np.uint64)
     cut = ngram_join.fragments(df, "text", 4, full, fragment, True).dropDuplicates(["class", "part"]).collect()
     sizes = {r["class"]: r.n for r in table.filter("class is not null").collect()}
     held, by_part = {}, [0] * ngram_join.FRAGMENTS
@@ -124,3 +124,13 @@ def test_components(spark):
     got = {r.node: r.root for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(1, 41)} | {101: 100} | {300 + i: 200 for i in range(50)}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_full_filters_and_classes_of_many_pairs_change_nothing(spark, monkeypatch):
+    """Filters of 64 bits, which let all through, and pairs that are split from two on."""
+    rows = corpus(9, 120)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(ngram_join, "BITS_EACH", 0)
+    monkeypatch.setattr(ngram_join, "PARTNERS", 2)
+    got = ngram_join.linked(df, size=4, percent=85).collect()
+    assert sorted([(r.doc_id, r.n_shingles, r.component) for r in got], key=repr) == brute(rows, 4, 85)
