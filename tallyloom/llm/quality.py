@@ -1,10 +1,15 @@
 """Quality rules with thresholds from mergeable quantile sketches per language and source.
 
 A sketch counts documents by logarithmic bucket of a feature, which merges by addition and gives
-every quantile within about 1 %. A limit lies REACH spreads from the group's median, where the
-spread is that of the other side of the median: what a limit is to reject can't move it far, so
-that a source full of junk does not lift its own limits. Medians and spreads of a group are drawn
-to those of its language, and these to everyone's, as if the parent gave PRIOR documents more.
+every quantile within about 1 %. A ratio (characters a word) has limits REACH spreads from the
+group's median, where the spread is that of the other side of the median: what a limit is to reject
+can't move it far. Of events (symbols, lines and words that repeat) a sketch holds the rates of
+the documents that have any, beside the number of those that have none, so that no limit depends
+on how long texts are. The limit lies at FACTOR times the usual rate, which is the lower quartile of
+documents with events, their clean end, within what is usual anywhere (USUAL), or the median of all
+documents where most have events. So a source full of junk does not lift its own limits, and one
+without events has the lowest. Values of a group are drawn to those of its language, and these to
+everyone's, as if the parent gave PRIOR documents more.
 """
 
 from __future__ import annotations
@@ -19,12 +24,18 @@ from tallyloom.llm.kit import Texts, lookup, marked, mix, named, packed, settled
 
 #: Buckets of a sketch for each e-fold.
 RESOLUTION = 50
-#: Spreads (from the median to the tenth or ninetieth percentile) between the median and a limit.
+#: Spreads (from the median to the tenth or ninetieth percentile) between the median of a ratio and a limit.
 REACH = 3.5
+#: Times the usual rate (of shares, their odds) that a text may have.
+FACTOR = 16.0
 #: Documents that a group's parent counts for.
 PRIOR = 50
 #: Features: what is counted, out of what, and how. A ratio has a low and a high limit; a rate is events for each unit; a share is part of the whole and compared by its odds.
 FEATURES = {"chars_per_word": ("word_chars", "n_words", "ratio"), "symbols_per_word": ("n_symbols", "n_words", "rate"), "dup_line_share": ("n_dup_lines", "n_lines", "share"), "repeat_word_share": ("n_repeat_words", "n_words", "share")}
+#: Least and most usual rates or odds among texts that have events at all.
+USUAL = {"symbols_per_word": (0.001, 0.01), "dup_line_share": (0.02, 0.2), "repeat_word_share": (0.005, 0.05)}
+#: The bucket of documents without events, below all others.
+NONE = -(2**30)
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
 
 _AS_IS = np.arange(256, dtype=np.uint8)
@@ -89,13 +100,12 @@ def quality_counts(texts: pa.Array) -> pa.Array:
 quality_counts = quality_counts.asNondeterministic()
 
 
-def _value(counts: Column, name: str) -> Column:
-    """The logarithm that sketches hold. Half an event more keeps documents without any apart by their length."""
+def _bucket(counts: Column, name: str) -> Column:
+    """The bucket of a feature's logarithm; NONE without events. A share of the whole counts as if half a unit were not in it."""
     part, whole, kind = FEATURES[name]
     a, b = counts[part].cast("double"), counts[whole].cast("double")
-    if kind == "ratio":
-        return F.log(a / b)
-    return F.log((a + 0.5) / (b + 1.0)) if kind == "rate" else F.log((a + 0.5) / (b - a + 0.5))
+    x = F.log(a / F.greatest(b - a, F.lit(0.5))) if kind == "share" else F.log(a / b)
+    return F.when(a > 0, F.floor(x * RESOLUTION).cast("int")).otherwise(F.lit(NONE))
 
 
 def _base_failed(counts: Column) -> Column:
@@ -105,35 +115,49 @@ def _base_failed(counts: Column) -> Column:
 def sketches(counted: DataFrame) -> DataFrame:
     """Documents by (level, lang, source, feature, bucket) of those that pass the base rules: level 2 is a language and source, 1 a language, 0 everything."""
     c = F.col("counts")
-    values = F.array(*[F.struct(F.lit(k).alias("feature"), _value(c, k).alias("x")) for k in FEATURES])
+    values = F.array(*[F.struct(F.lit(k).alias("feature"), _bucket(c, k).alias("bucket")) for k in FEATURES])
     each = counted.filter(~_base_failed(c)).select("lang", "source", F.explode(values).alias("v"))
-    fine = each.groupBy("lang", "source", F.col("v.feature").alias("feature"), F.floor(F.col("v.x") * RESOLUTION).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("docs"))
+    fine = each.groupBy("lang", "source", "v.feature", "v.bucket").agg(F.count(F.lit(1)).alias("docs"))
     levels = F.array(F.struct(F.lit(2).alias("level"), F.col("lang"), F.col("source")), F.struct(F.lit(1).alias("level"), F.col("lang"), F.lit(None).cast("string").alias("source")), F.struct(F.lit(0).alias("level"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source")))
     wide = fine.select(F.explode(levels).alias("g"), "feature", "bucket", "docs")
     return wide.groupBy("g.level", "g.lang", "g.source", "feature", "bucket").agg(F.sum("docs").alias("docs"))
 
 
-def quartiles(sketch: DataFrame) -> DataFrame:
-    """For each (level, lang, source, feature): documents held, median, and how far the tenth percentile lies below and the ninetieth above it, a bucket at least."""
+def measures_of(sketch: DataFrame) -> DataFrame:
+    """For each (level, lang, source, feature): documents held and with events (all, of a ratio); median of all (null if that has no events); how far the tenth percentile lies below it and the ninetieth above it, a bucket at least; and the lower quartile of those with events within the usual (null without any)."""
     group = Window.partitionBy("level", "lang", "source", "feature")
-    rows = sketch.withColumn("upto", F.sum("docs").over(group.orderBy("bucket"))).withColumn("all", F.sum("docs").over(group))
+    some = F.when(F.col("bucket") > NONE, F.col("docs")).otherwise(0)
+    rows = sketch.withColumn("upto", F.sum("docs").over(group.orderBy("bucket"))).withColumn("all", F.sum("docs").over(group)).withColumn("upto_some", F.sum(some).over(group.orderBy("bucket"))).withColumn("some", F.sum(some).over(group))
     quantile = lambda q: F.min(F.when(F.col("upto") >= F.col("all") * q, F.col("bucket")))
-    rows = rows.groupBy("level", "lang", "source", "feature").agg(F.max("all").alias("held"), quantile(0.1).alias("b1"), quantile(0.5).alias("b5"), quantile(0.9).alias("b9"))
+    early = F.min(F.when((F.col("bucket") > NONE) & (F.col("upto_some") >= F.col("some") * 0.25), F.col("bucket")))
+    rows = rows.groupBy("level", "lang", "source", "feature").agg(F.max("all").alias("held"), F.max("some").alias("some"), quantile(0.1).alias("b1"), quantile(0.5).alias("b5"), quantile(0.9).alias("b9"), early.alias("e"))
+    at = lambda b: (F.col(b) + 0.5) / F.lit(float(RESOLUTION))
     step = lambda a, b: F.greatest(F.col(a) - F.col(b), F.lit(1)) / F.lit(float(RESOLUTION))
-    return rows.select("level", "lang", "source", "feature", F.col("held").cast("double").alias("held"), ((F.col("b5") + 0.5) / F.lit(float(RESOLUTION))).alias("mid"), step("b5", "b1").alias("below"), step("b9", "b5").alias("above"))
+    usual = F.lit(None).cast("double")
+    for k, (least, most) in USUAL.items():
+        usual = F.when(F.col("feature") == k, F.least(F.greatest(at("e"), F.log(F.lit(least))), F.log(F.lit(most)))).otherwise(usual)
+    mid = F.when(F.col("b5") > NONE, at("b5"))
+    return rows.select("level", "lang", "source", "feature", F.col("held").cast("double").alias("held"), F.col("some").cast("double").alias("some"), mid.alias("mid"), step("b5", "b1").alias("below"), step("b9", "b5").alias("above"), F.when(F.col("some") > 0, usual).alias("usual"))
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """For each (lang, source) and feature: the documents it holds, and the lowest and highest logarithm that passes."""
-    rows = quartiles(sketch)
-    measures = ["mid", "below", "above"]
-    level = lambda k, mark: rows.filter(F.col("level") == k).select(F.col("lang").alias(f"lang{mark}"), F.col("source").alias(f"source{mark}"), F.col("feature").alias(f"feature{mark}"), F.col("held").alias(f"held{mark}"), *[F.col(m).alias(f"{m}{mark}") for m in measures])
+    """For each (lang, source) and feature: the documents it holds, and the lowest and highest logarithm that passes; of events there is no lowest."""
+    rows = measures_of(sketch)
+    measures = ["mid", "below", "above", "usual"]
+    level = lambda k, mark: rows.filter(F.col("level") == k).select(*[F.col(c).alias(f"{c}{mark}") for c in ("lang", "source", "feature", "held", "some", *measures)])
     drawn = lambda m, own, parent: (F.col(f"held{own}") * F.col(f"{m}{own}") + PRIOR * F.col(parent)) / (F.col(f"held{own}") + PRIOR)
-    langs = level(1, "1").join(F.broadcast(level(0, "0")), F.col("feature1") == F.col("feature0"))  # four rows
-    langs = langs.select("lang1", "feature1", *[drawn(m, "1", f"{m}0").alias(f"{m}1") for m in measures])
+    told = lambda own, parent: (F.col(f"some{own}") * F.coalesce(f"usual{own}", F.lit(0.0)) + PRIOR * parent) / (F.col(f"some{own}") + PRIOR)
+    first = F.lit(0.0)
+    for k, (least, _) in USUAL.items():
+        first = F.when(F.col("feature0") == k, F.log(F.lit(least))).otherwise(first)
+    every = level(0, "0").withColumn("usual0", told("0", first))
+    langs = level(1, "1").join(F.broadcast(every), F.col("feature1") == F.col("feature0"))  # four rows
+    langs = langs.select("lang1", "feature1", *[drawn(m, "1", f"{m}0").alias(f"{m}1") for m in measures[:3]], told("1", F.col("usual0")).alias("usual1"))
     own = level(2, "").join(langs, F.col("lang").eqNullSafe(F.col("lang1")) & (F.col("feature") == F.col("feature1")))
-    own = own.select("lang", "source", "feature", "held", *[drawn(m, "", f"{m}1").alias(m) for m in measures])
-    return own.select("lang", "source", "feature", "held", (F.col("mid") - REACH * F.col("above")).alias("low"), (F.col("mid") + REACH * F.col("below")).alias("high"))
+    ratio = F.col("feature") == "chars_per_word"
+    center, below, above = (drawn(m, "", f"{m}1") for m in measures[:3])
+    high = F.when(ratio, center + REACH * below).otherwise(F.log(F.lit(FACTOR)) + F.greatest(told("", F.col("usual1")), F.col("mid")))
+    return own.select("lang", "source", "feature", "held", F.when(ratio, center - REACH * above).alias("low"), high.alias("high"))
 
 
 def limits_of(counted: DataFrame) -> DataFrame:
@@ -201,22 +225,27 @@ c AS (SELECT d.id, doc_id, lang, source, len(w) AS n_words, coalesce(list_sum(li
   FROM d LEFT JOIN cov USING (id) LEFT JOIN dup USING (id)),
 k AS (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS failed FROM c),
 f AS (SELECT lang, source, unnest(['chars_per_word', 'symbols_per_word', 'dup_line_share', 'repeat_word_share']) AS feature,
-    unnest([ln(word_chars::DOUBLE / n_words), ln((n_symbols + 0.5::DOUBLE) / (n_words + 1)), ln((n_dup_lines + 0.5::DOUBLE) / (n_lines - n_dup_lines + 0.5::DOUBLE)),
-      ln((n_repeat_words + 0.5::DOUBLE) / (n_words - n_repeat_words + 0.5::DOUBLE))]) AS x FROM k WHERE NOT failed),
-b AS (SELECT *, floor(x * {RESOLUTION})::INT AS bucket FROM f),
+    unnest([ln(word_chars::DOUBLE / n_words), CASE WHEN n_symbols > 0 THEN ln(n_symbols::DOUBLE / n_words) END, CASE WHEN n_dup_lines > 0 THEN ln(n_dup_lines / greatest(n_lines - n_dup_lines, 0.5::DOUBLE)) END,
+      CASE WHEN n_repeat_words > 0 THEN ln(n_repeat_words / greatest(n_words - n_repeat_words, 0.5::DOUBLE)) END]) AS x FROM k WHERE NOT failed),
+b AS (SELECT *, coalesce(floor(x * {RESOLUTION})::BIGINT, {NONE}) AS bucket FROM f),
 g AS (SELECT 2 AS level, lang, source, feature, bucket, count(*) AS docs FROM b GROUP BY ALL
   UNION ALL SELECT 1, lang, NULL, feature, bucket, count(*) FROM b GROUP BY ALL
   UNION ALL SELECT 0, NULL, NULL, feature, bucket, count(*) FROM b GROUP BY ALL),
-u AS (SELECT *, sum(docs) OVER (PARTITION BY level, lang, source, feature ORDER BY bucket) AS upto, sum(docs) OVER (PARTITION BY level, lang, source, feature) AS held FROM g),
-q AS (SELECT level, lang, source, feature, max(held)::DOUBLE AS held, min(bucket) FILTER (upto >= held * 0.1::DOUBLE) AS b1, min(bucket) FILTER (upto >= held * 0.5::DOUBLE) AS b5, min(bucket) FILTER (upto >= held * 0.9::DOUBLE) AS b9 FROM u GROUP BY ALL),
-v AS (SELECT level, lang, source, feature, held, (b5 + 0.5::DOUBLE) / {RESOLUTION} AS mid, greatest(b5 - b1, 1)::DOUBLE / {RESOLUTION} AS below, greatest(b9 - b5, 1)::DOUBLE / {RESOLUTION} AS above FROM q),
+u AS (SELECT *, sum(docs) OVER w AS upto, sum(docs) OVER p AS held, sum(CASE WHEN bucket > {NONE} THEN docs ELSE 0 END) OVER w AS upto_some, sum(CASE WHEN bucket > {NONE} THEN docs ELSE 0 END) OVER p AS eventful FROM g
+  WINDOW p AS (PARTITION BY level, lang, source, feature), w AS (PARTITION BY level, lang, source, feature ORDER BY bucket)),
+q AS (SELECT level, lang, source, feature, max(held)::DOUBLE AS held, max(eventful)::DOUBLE AS eventful, min(bucket) FILTER (upto >= held * 0.1::DOUBLE) AS b1, min(bucket) FILTER (upto >= held * 0.5::DOUBLE) AS b5, min(bucket) FILTER (upto >= held * 0.9::DOUBLE) AS b9,
+    min(bucket) FILTER (bucket > {NONE} AND upto_some >= eventful * 0.25::DOUBLE) AS e FROM u GROUP BY ALL),
+r(feature, least, most) AS (VALUES {", ".join(f"('{k}', ln({a}::DOUBLE), ln({b}::DOUBLE))" for k, (a, b) in USUAL.items())}),
+v AS (SELECT level, lang, source, feature, held, eventful, CASE WHEN b5 > {NONE} THEN (b5 + 0.5::DOUBLE) / {RESOLUTION} END AS mid, greatest(b5 - b1, 1)::DOUBLE / {RESOLUTION} AS below, greatest(b9 - b5, 1)::DOUBLE / {RESOLUTION} AS above,
+    coalesce(least(greatest((e + 0.5::DOUBLE) / {RESOLUTION}, least), most), 0) AS usual, least FROM q LEFT JOIN r USING (feature)),
 l AS (SELECT o.lang, o.feature, (o.held * o.mid + {PRIOR} * p.mid) / (o.held + {PRIOR}) AS mid, (o.held * o.below + {PRIOR} * p.below) / (o.held + {PRIOR}) AS below,
-    (o.held * o.above + {PRIOR} * p.above) / (o.held + {PRIOR}) AS above FROM v o JOIN v p ON o.level = 1 AND p.level = 0 AND o.feature = p.feature),
+    (o.held * o.above + {PRIOR} * p.above) / (o.held + {PRIOR}) AS above, (o.eventful * o.usual + {PRIOR} * ((p.eventful * p.usual + {PRIOR} * p.least) / (p.eventful + {PRIOR}))) / (o.eventful + {PRIOR}) AS usual FROM v o JOIN v p ON o.level = 1 AND p.level = 0 AND o.feature = p.feature),
 m AS (SELECT o.lang, o.source, o.feature, (o.held * o.mid + {PRIOR} * p.mid) / (o.held + {PRIOR}) AS mid, (o.held * o.below + {PRIOR} * p.below) / (o.held + {PRIOR}) AS below,
-    (o.held * o.above + {PRIOR} * p.above) / (o.held + {PRIOR}) AS above FROM v o JOIN l p ON o.level = 2 AND o.feature = p.feature AND o.lang IS NOT DISTINCT FROM p.lang),
+    (o.held * o.above + {PRIOR} * p.above) / (o.held + {PRIOR}) AS above, ln({FACTOR}::DOUBLE) + greatest((o.eventful * o.usual + {PRIOR} * p.usual) / (o.eventful + {PRIOR}), coalesce(o.mid, -1e9::DOUBLE)) AS high
+  FROM v o JOIN l p ON o.level = 2 AND o.feature = p.feature AND o.lang IS NOT DISTINCT FROM p.lang),
 t AS (SELECT lang, source, max(exp(mid + {REACH}::DOUBLE * below)) FILTER (feature = 'chars_per_word') AS chars_high, max(exp(mid - {REACH}::DOUBLE * above)) FILTER (feature = 'chars_per_word') AS chars_low,
-    max(exp(mid + {REACH}::DOUBLE * below)) FILTER (feature = 'symbols_per_word') AS symbols, max(exp(mid + {REACH}::DOUBLE * below)) FILTER (feature = 'dup_line_share') AS lines,
-    max(exp(mid + {REACH}::DOUBLE * below)) FILTER (feature = 'repeat_word_share') AS words FROM m GROUP BY ALL)
+    max(exp(high)) FILTER (feature = 'symbols_per_word') AS symbols, max(exp(high)) FILTER (feature = 'dup_line_share') AS lines,
+    max(exp(high)) FILTER (feature = 'repeat_word_share') AS words FROM m GROUP BY ALL)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed AS base_failed,
   NOT failed AND word_chars <= chars_high * n_words AND word_chars >= chars_low * n_words AND n_symbols - sqrt(n_symbols) <= symbols * n_words
   AND n_dup_lines - sqrt(n_dup_lines) <= lines * (n_lines - (n_dup_lines - sqrt(n_dup_lines)))

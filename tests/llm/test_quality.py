@@ -44,27 +44,77 @@ def test_odd_rows(odd_documents, no_documents):
     assert quality.good(odd_documents).columns == odd_documents.columns
 
 
-def test_limits_differ_where_medians_are_zero_and_junk_lifts_none(spark):
-    """No clean text has a symbol, yet sources of short and of long texts get limits of their own; a third of junk in a source changes them little."""
-    rng = random.Random(3)
-    words = lambda n, junk=0: " ".join(f"w{rng.randrange(900)}" + ("#" if k < junk else "") for k in range(n))
-    size = {"short": (60, 120), "long": (600, 2400), "dirty": (600, 2400)}
-    rows = [(i, words(rng.randrange(*size[s])), "en", s) for i, s in enumerate([*["short"] * 200, *["long"] * 200, *["dirty"] * 200])]
-    rows += [(1000 + i, words(800, 300), "en", "dirty") for i in range(90)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+def corpus(rng, docs, size, *makers):
+    """Documents of one source: words, and what each maker puts into some of them."""
+    out = []
+    for _ in range(docs):
+        words = [f"w{rng.randrange(900)}" for _ in range(rng.randrange(*size))]
+        for share, make in makers:
+            if rng.random() < share:
+                words = make(rng, words)
+        out.append(words)
+    return out
+
+
+def symbols(rate):
+    return lambda rng, words: [w + ("#" if rng.random() < rate else "") for w in words]
+
+
+def repeats(times):
+    """A sentence of twelve words, several times, spread over the text."""
+
+    def make(rng, words):
+        own = [f"s{rng.randrange(10**6)}" for _ in range(12)]
+        for _ in range(times):
+            at = rng.randrange(len(words))
+            words = words[:at] + own + words[at:]
+        return words
+
+    return make
+
+
+def lines(words, of=10):
+    return "\n".join(" ".join(words[i : i + of]) for i in range(0, len(words), of))
+
+
+def limits(spark, sources):
+    rows = [(lines(w), "en", s) for s, ws in sources.items() for w in ws]
+    df = spark.createDataFrame(rows, "text string, lang string, source string")
     counted = df.select("lang", "source", quality.quality_counts("text").alias("counts"))
-    high = {r.source: math.exp(r.limits.symbols_per_word.high) for r in quality.limits_of(counted).collect()}
-    assert high["short"] > 2 * high["long"] and high["dirty"] < 3 * high["long"]
-    kept = {r.doc_id: r.kept for r in quality.op3_quality_rules(df).collect()}
-    assert not any(kept[i] for i in kept if i >= 1000)
-    assert sum(kept[i] for i in range(600)) > 570
+    return {r.source: {k: math.exp(r.limits[k].high) for k in list(quality.FEATURES)[1:]} for r in quality.limits_of(counted).collect()}
 
 
-def test_a_small_group_lies_close_to_its_language(spark):
-    text = lambda i, sign: " ".join(f"w{i}x{j}{sign if j % 10 == 0 else ''}" for j in range(80))
-    rows = [(i, text(i, ""), "en", "a") for i in range(400)] + [(1000 + i, text(i, "#"), "en", "few") for i in range(3)]
+def test_limits_come_from_events_and_not_from_lengths(spark):
+    """Texts cut in half have the same limits within a quarter, as rates of shorter texts scatter more; texts without events have lower ones."""
+    rng = random.Random(5)
+    whole = corpus(rng, 800, (600, 2000), (0.6, symbols(0.02)), (0.4, repeats(3)))
+    half = [w[: len(w) // 2] for w in whole] + [w[len(w) // 2 :] for w in whole]
+    clean = corpus(rng, 800, (600, 2000))
+    short = corpus(rng, 800, (60, 120))
+    got = {k: limits(spark, {k: ws})[k] for k, ws in {"whole": whole, "half": half, "clean": clean, "short": short}.items()}
+    assert abs(math.log(got["half"]["symbols_per_word"] / got["whole"]["symbols_per_word"])) < 0.25
+    assert got["whole"]["symbols_per_word"] > 4 * got["clean"]["symbols_per_word"]
+    assert got["whole"]["repeat_word_share"] > 1.5 * got["clean"]["repeat_word_share"]
+    assert all(abs(got["clean"][k] / got["short"][k] - 1) < 1e-9 for k in quality.USUAL)
+
+
+def test_junk_lifts_no_limit_and_each_rule_rejects_its_own(spark):
+    """A third of a source is junk of one kind; clean texts, some with a few events, stay in all sources."""
+    rng = random.Random(3)
+    few = ((0.1, symbols(0.01)), (0.15, repeats(2)))
+    junk = {
+        "symbols": [lines(w) for w in corpus(rng, 90, (200, 900), (1, symbols(0.4)))],
+        "lines": ["\n".join(lines(w[:50]).split("\n") + ["same words in a line again"] * (len(w) // 5)) for w in corpus(rng, 90, (200, 400))],
+        "words": [lines(w, 13) for w in corpus(rng, 90, (200, 400), (1, repeats(12)))],
+        "long": [lines(["x" * 60 for _ in w]) for w in corpus(rng, 90, (200, 400))],
+    }
+    rows, kinds = [], {}
+    for s in [*junk, "clean"]:
+        for text in [*[lines(w) for w in corpus(rng, 200, (150, 1200), *few)], *junk.get(s, [])]:
+            kinds[len(rows)] = s if len([1 for r in rows if r[3] == s]) >= 200 else "clean"
+            rows.append((len(rows), text, "en", s))
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    counted = df.select("lang", "source", quality.quality_counts("text").alias("counts"))
-    high = {r.source: r.limits.symbols_per_word.high for r in quality.limits_of(counted).collect()}
-    own = math.log(8.5 / 81)
-    assert high["a"] < high["few"] < high["a"] + 0.2 * (own - high["a"])
+    out = quality.op3_quality_rules(df).collect()
+    kept = {k: [r.kept for r in out if kinds[r.doc_id] == k] for k in {*junk, "clean"}}
+    assert sum(kept["clean"]) / len(kept["clean"]) > 0.99
+    assert {k: sum(v) for k, v in kept.items() if k != "clean"} == dict.fromkeys(junk, 0)
