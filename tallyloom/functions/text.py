@@ -105,6 +105,17 @@ def word_set(x: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(x), "[^a-z0-9]+"), lambda w: w != ""))
 
 
+#: Words of labels that tell nothing, the endings that a longer word loses, and the letters beyond which it is long.
+LABEL_STOP_WORDS = ["a", "an", "and", "by", "from", "in", "of", "on", "playing", "the", "to", "with"]
+ENDINGS, LONG_WORD = ["ing", "s"], 4
+
+
+def stem_set(x: Column) -> Column:
+    """The distinct words of letters of a label without their endings, but for stop words: `dogs barking` and `dog barks` are one."""
+    kept = F.filter(F.split(F.lower(x), "[^a-z]+"), lambda w: (w != "") & ~w.isin(LABEL_STOP_WORDS))
+    return F.array_distinct(F.transform(kept, lambda w: F.when(F.length(w) > LONG_WORD, F.regexp_replace(w, f"({'|'.join(ENDINGS)})$", "")).otherwise(w)))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """The similarity of two arrays as sets, 0 for two empty ones."""
     union = F.size(F.array_union(a, b))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,9 +52,9 @@ def tiered_pool(df: DataFrame, value: str, tiers: list[Column], n: int, seed: in
     return out.withColumn("pool", F.slice(F.filter("draw__", lambda v: v != F.col(value)), 1, n - 1)).drop("k__", "start__", "t__", "key__", "at__", "draw__")
 
 
-def lookalikes(labels: DataFrame, label: str, k: int = 6) -> DataFrame:
-    """(label, other, similarity, rank): the k most similar other labels by shared words, ties by name. Labels without a shared word are no pair."""
-    words = labels.select(F.col(label).alias("label")).distinct().withColumn("words", word_set(F.col("label")))
+def lookalikes(labels: DataFrame, label: str, k: int = 6, words: Callable[[Column], Column] = word_set) -> DataFrame:
+    """(label, other, similarity, rank): the k most similar other labels by shared words (`word_set`, or `stem_set` for stems without stop words), ties by name. Labels without a shared word are no pair."""
+    words = labels.select(F.col(label).alias("label")).distinct().withColumn("words", words(F.col("label")))
     each = words.select("label", "words", F.explode("words").alias("w"))
     other = each.select(F.col("label").alias("other"), F.col("words").alias("words_"), "w")
     pairs = each.join(other, "w").filter("label <> other").select("label", "other", jaccard(F.col("words"), F.col("words_")).alias("similarity")).distinct()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.hashing import order_key
 from tallyloom.functions.text import fingerprint
-from tallyloom.operators.sampling import hash_rank, take
+from tallyloom.operators.sampling import hash_rank
 
 #: Fixed value: characters from which a text field is a key of its own.
 LONG_FIELD = 40
@@ -164,12 +164,59 @@ def sources_of(config: str | list) -> list[Source]:
     return out
 
 
+def _by_source(sources: list[Source], value, otherwise=None) -> Column:
+    """A number of each row's source (part__); null where it has none."""
+    out = F.lit(otherwise)
+    for i, s in enumerate(sources):
+        if value(s) is not None:
+            out = F.when(F.col("part__") == i, F.lit(value(s))).otherwise(out)
+    return out
+
+
+def mixed(rows: DataFrame, sources: list[Source]) -> DataFrame:
+    """Rows of all sources (part__, id and others) as often as the mixture takes them.
+
+    Every step is made for all sources at once, by ranks within sources and groups, and left out
+    where no source asks for it: groups are cut (of a source without groups, its rows), small ones
+    repeated, grouped sources cut, and weights applied, in hash order of the ids.
+    """
+    key, long = F.col("id"), lambda c: c.cast("long")
+    chosen = {s.group_by for s in sources if s.group_by}
+    group = F.lit(None).cast("string")
+    for g in chosen:
+        of_this = F.col("part__").isin([i for i, s in enumerate(sources) if s.group_by == g])
+        group = F.when(of_this, F.coalesce(F.try_element_at("meta", F.lit(g)), F.lit("None"))).otherwise(group)
+    rows, by = rows.withColumn("group__", group), ["part__", "group__"]
+    most = long(_by_source(sources, lambda s: s.per_group if s.group_by else s.max_samples))
+    goal = long(_by_source(sources, lambda s: s.repeat_to and (min(s.repeat_to, s.per_group or s.repeat_to) if s.group_by else s.repeat_to)))
+    if any((s.per_group if s.group_by else s.max_samples) or s.repeat_to for s in sources):
+        sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n__")).select(*[F.col(c).alias(f"{c}r") for c in by], F.least("n__", most).alias("n__"))
+        ranked = hash_rank(rows, by, order_key(0, key), key, "r__").filter(most.isNull() | (F.col("r__") <= most))
+        same = [F.col(c).eqNullSafe(F.col(f"{c}r")) for c in by]
+        whole = F.when(goal.isNull(), F.col("n__")).otherwise(F.greatest("n__", F.least(goal, F.col("n__") * MOST_REPEATS)))
+        copies = F.floor((whole - F.col("r__")) / F.col("n__"))
+        rows = ranked.join(sizes, same).withColumn("copy__", F.explode(F.sequence(F.lit(0).cast("long"), copies))).drop("r__", "n__", *[f"{c}r" for c in by])
+    else:
+        rows = rows.withColumn("copy__", F.lit(0).cast("long"))
+    if any(s.group_by and s.max_samples for s in sources):
+        limit = long(_by_source(sources, lambda s: s.max_samples if s.group_by else None))
+        rows = hash_rank(rows, ["part__"], order_key(0, key, F.col("copy__")), F.struct(key, "copy__"), "r__").filter(limit.isNull() | (F.col("r__") <= limit)).drop("r__")
+    if any(s.weight != 1.0 for s in sources):
+        sizes = rows.groupBy(F.col("part__").alias("part__r")).agg(F.count(F.lit(1)).alias("n__"))
+        ranked = hash_rank(rows, ["part__"], order_key(0, key), F.struct(key, "copy__"), "r__").join(F.broadcast(sizes), F.col("part__") == F.col("part__r"))  # a row for each source
+        whole = long(F.bround(F.col("n__") * _by_source(sources, lambda s: float(s.weight))))
+        ranked = ranked.withColumn("goal__", whole).filter(F.col("r__") <= F.col("goal__"))
+        rows = ranked.withColumn("again__", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("goal__") - F.col("r__")) / F.col("n__"))))).drop("again__", "goal__", "r__", "n__", "part__r")
+    return rows.drop("group__", "copy__")
+
+
 def build_mixture(sources: list[tuple[Source, DataFrame]], evaluation: DataFrame | None = None, digests: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The mixture of record sources, and its report (source, loaded, overlap_removed, used).
 
     In order: leaks go, groups are balanced, samples are capped, small sources repeated, weights
-    applied. With groups, the cap comes after balancing. Rows are in no order: sort by `order_key`
-    for a shuffle. Leaks are told once, for all sources together; the report counts what is flagged.
+    applied; see `mixed`. With groups, the cap comes after balancing. Rows are in no order: sort by
+    `order_key` for a shuffle. Leaks are told once, for all sources together and by source and id,
+    so that sources may use the same ids; what is flagged is kept for the mixture and its report.
     """
     every = None
     for i, (_, records) in enumerate(sources):
@@ -178,25 +225,11 @@ def build_mixture(sources: list[tuple[Source, DataFrame]], evaluation: DataFrame
     if evaluation is None:
         every = every.withColumn("bad__", F.lit(False))
     else:
-        bad = overlapping(record_keys(every, digests), record_keys(evaluation, digests)).withColumn("bad__", F.lit(True))
-        every = every.join(bad, "id", "left").withColumn("bad__", F.coalesce("bad__", F.lit(False)))
-    parts = []
-    for i, (s, _) in enumerate(sources):
-        clean = every.filter((F.col("part__") == i) & ~F.col("bad__")).drop("bad__")
-        key = F.col("id")
-        rows = clean if s.group_by or not s.max_samples else take(clean, s.max_samples, 0, key)
-        if s.group_by:
-            rows = balanced(rows.withColumn("group__", F.try_element_at("meta", F.lit(s.group_by))), "group__", key, s.per_group, s.repeat_to).drop("group__")
-            if s.max_samples:
-                rows = take(rows, s.max_samples, 0, key, F.col("copy"))
-        elif s.repeat_to:
-            rows = repeated_to(rows, [], s.repeat_to, key)
-        if s.weight != 1.0:
-            rows = weighted(rows.drop("copy"), s.weight, key)
-        parts.append(rows.drop("copy"))
-    mixture = parts[0]
-    for p in parts[1:]:
-        mixture = mixture.unionByName(p)
+        own = F.concat(F.col("part__").cast("string"), F.lit("|"), F.col("id"))
+        keys = record_keys(every.withColumn("id", own), digests)
+        bad = overlapping(keys, record_keys(evaluation, digests)).select(F.col("id").alias("own__"), F.lit(True).alias("bad__")).persist()
+        every = every.withColumn("own__", own).join(bad, "own__", "left").drop("own__").withColumn("bad__", F.coalesce("bad__", F.lit(False)))
+    mixture = mixed(every.filter(~F.col("bad__")).drop("bad__"), [s for s, _ in sources])
     loaded = every.groupBy("part__").agg(F.count(F.lit(1)).alias("loaded"), F.count_if("bad__").alias("overlap_removed"))
     used = mixture.groupBy("part__").agg(F.count(F.lit(1)).alias("used"))
     names = mixture.sparkSession.createDataFrame([(i, s.name) for i, (s, _) in enumerate(sources)], "part__ int, source string")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from tallyloom.functions import media, numbers
 from tallyloom.functions import text as X
 from tallyloom.functions.hashing import stable_id
-from tallyloom.operators import records
-from tallyloom.plans.registry import order_sql, query
+from tallyloom.operators import distractors, mixture, records
+from tallyloom.plans.registry import PRINT, order_sql, query
 from tallyloom.sources import readers, record_json, row_groups
 
 _LEVELS = ["urgent", "high", "medium", "not specified", "low"]
@@ -136,3 +136,40 @@ def nested_scores(t):
     for k, form in enumerate(forms):
         cell = F.when(way == k, form).otherwise(cell)
     return t("lineitem").select("l_orderkey", "l_linenumber", X.json_score(cell).alias("score"))
+
+
+@query("""
+WITH l AS (SELECT DISTINCT lower(CASE p_size % 3 WHEN 0 THEN p_type || 's of the Part' WHEN 1 THEN 'Playing ' || p_type || 'ing' ELSE p_type END) AS label FROM part),
+w AS (SELECT label, list_distinct(list_transform(list_filter(regexp_split_to_array(label, '[^a-z]+'), lambda x: x <> '' AND NOT list_contains(['a', 'an', 'and', 'by', 'from', 'in', 'of', 'on', 'playing', 'the', 'to', 'with'], x)),
+    lambda x: CASE WHEN length(x) > 4 THEN regexp_replace(x, '(ing|s)$', '') ELSE x END)) AS w FROM l),
+p AS (SELECT a.label, b.label AS other, len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(list_concat(a.w, b.w))) AS s FROM w a JOIN w b ON a.label <> b.label WHERE len(list_intersect(a.w, b.w)) > 0)
+SELECT label, other, round(s, 6) AS similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY s DESC, other)::INT AS rank FROM p) WHERE rank <= 6""")
+def stemmed_lookalikes(t):
+    """The six labels most like each one by stems: plurals and forms in -ing are their word."""
+    kind = F.col("p_type")
+    label = F.when(F.col("p_size") % 3 == 0, F.concat(kind, F.lit("s of the Part"))).when(F.col("p_size") % 3 == 1, F.concat(F.lit("Playing "), kind, F.lit("ing"))).otherwise(kind)
+    return distractors.lookalikes(t("part").select(F.lower(label).alias("label")), "label", words=X.stem_set).withColumn("similarity", F.round("similarity", 6))
+
+
+@query(f"""
+WITH b AS (SELECT {{NORM}} AS k FROM benchmark),
+d AS (SELECT doc_id, source, {{NORM}} IN (SELECT k FROM b) AS bad FROM documents),
+c AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY {order_sql(0, "substr(sha1('documents|' || doc_id), 1, 16)")}) AS r, count(*) OVER (PARTITION BY source) AS n FROM d WHERE NOT bad),
+g AS (SELECT source, least(max(n), 30) AS n FROM c GROUP BY source),
+l AS (SELECT {{NORM}} IN (SELECT k FROM b) AS bad FROM labels JOIN documents USING (doc_id)),
+t AS (SELECT count(*) AS n FROM l WHERE NOT bad)
+SELECT 'documents' AS source, (SELECT count(*) FROM d) AS loaded, (SELECT count(*) FROM d WHERE bad) AS overlap_removed, least((SELECT sum(greatest(n, least(50, 3 * n))) FROM g), 700)::BIGINT AS used
+UNION ALL SELECT 'labels', (SELECT count(*) FROM l), (SELECT count(*) FROM l WHERE bad), round_even(least(n, 200) * 1.5, 0)::BIGINT FROM t
+UNION ALL SELECT 'again', (SELECT count(*) FROM l), (SELECT count(*) FROM l WHERE bad), greatest(n, least(2000, 3 * n))::BIGINT FROM t""".replace("{NORM}", PRINT.format("text")))
+def mixture_of_all_kinds(t):
+    """A mixture whose sources ask for different things: groups cut at 30, repeated to 50 and cut at 700; 200 records one and a half times; and the same ids again, repeated to 2,000."""
+    labelled = t("labels").join(t("documents"), "doc_id")
+    toxic = lambda name: records.noul_records(labelled, source=name, state=F.col("text"), instructions="Is the text toxic?", label=F.col("toxic"), id_=stable_id(F.lit("labels"), F.col("doc_id")))
+    docs = records.noul_records(t("documents"), source="documents", state=F.col("text"), instructions="?", label=F.lit("yes"), id_=stable_id(F.lit("documents"), F.col("doc_id")), meta={"task": F.col("source")})
+    items = records.noul_records(t("benchmark"), source="benchmark", state=F.col("text"), instructions="-", label=F.lit("yes"), id_=stable_id(F.lit("benchmark"), F.col("item_id")))
+    sources = [
+        (mixture.Source("documents", max_samples=700, group_by="task", per_group=30, repeat_to=50), docs),
+        (mixture.Source("labels", max_samples=200, weight=1.5), toxic("labels")),
+        (mixture.Source("again", repeat_to=2000), toxic("again")),
+    ]
+    return mixture.build_mixture(sources, items)[1]

@@ -8,12 +8,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.functions.text import json_type
 from tallyloom.operators.records import RECORD, valid
 from tallyloom.operators.sampling import take
+from tallyloom.sources import record_json
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Records from JSON lines; blank lines are skipped, a broken one is an error."""
+    """Records from JSON lines, whose questions and targets are objects by name (see `record_json`) or arrays, as the first line has it; blank lines are skipped, a broken one is an error."""
+    first = spark.read.text(path).filter(F.trim("value") != "").select(json_type(F.get_json_object("value", "$.questions")).alias("kind")).first()
+    if first and first.kind == "object":
+        return record_json.read_lines(spark, path)
     return spark.read.schema(RECORD).option("mode", "FAILFAST").json(path)
 
 

@@ -14,6 +14,8 @@ from tallyloom.operators.records import MEDIA, OPTION, QUESTION, RECORD, TARGET,
 
 _ASKED = "struct<type: string, instructions: string, criteria: string>"
 _LINE = f"id string, state string, questions map<string, {_ASKED}>, targets map<string, string>, images array<string>, media array<{MEDIA}>, meta map<string, string>, category string, family string, split string, `group` string"
+#: JSON parsers stop at texts of 20 million characters unless told.
+_ANY_LENGTH = {"maxStringLen": str(2**31 - 1)}
 _SAID = "label string, probs map<string, double>, probabilities map<string, double>"
 #: Fields beside meta that are meta of a record which lacks them there.
 BESIDE = ("category", "family", "split", "group")
@@ -26,10 +28,10 @@ NAMED = {"no": "false", "yes": "true"}
 
 def _options(asked: Column) -> Column:
     """The options of one question (type, instructions, criteria) in order."""
-    by_name = F.from_json(asked["criteria"], "map<string, string>")
+    by_name = F.from_json(asked["criteria"], "map<string, string>", _ANY_LENGTH)
     text = lambda x: F.coalesce(x, F.lit(""))
     choice = F.transform(F.map_entries(by_name), lambda e: F.struct(e["key"].alias("key"), text(e["value"]).alias("description")))
-    levels = F.transform(F.from_json(asked["criteria"], "array<string>"), lambda d, i: F.struct(i.cast("string").alias("key"), text(d).alias("description")))
+    levels = F.transform(F.from_json(asked["criteria"], "array<string>", _ANY_LENGTH), lambda d, i: F.struct(i.cast("string").alias("key"), text(d).alias("description")))
     meant = lambda k: F.coalesce(F.nullif(F.element_at(by_name, NAMED[k]), F.lit("")), F.lit(PLAIN[k]))
     answers = F.array(*[F.struct(F.lit(k).alias("key"), meant(k).alias("description")) for k in PLAIN])
     made = F.when(asked["type"] == "choice", choice).when(asked["type"] == "score", levels).when(asked["type"] == "noul", answers)
@@ -53,7 +55,7 @@ def records_of(lines: DataFrame, line: str = "value") -> DataFrame:
     texts, but for source, split and area, which are columns.
     """
     full = lines.filter(F.trim(line) != "").select(F.col(line).alias("line"))
-    rows = full.withColumn("r", F.from_json("line", _LINE, {"mode": "FAILFAST"})).withColumn("v", F.from_json("line", "state variant")["state"])
+    rows = full.withColumn("r", F.from_json("line", _LINE, _ANY_LENGTH | {"mode": "FAILFAST"})).withColumn("v", F.from_json("line", "state variant", _ANY_LENGTH)["state"])
     kind = json_type(F.to_json("v"))
     begins = F.substring(F.ltrim("r.state"), 1, 1)
     guess = F.when(begins == "{", "object").when(begins == "[", "array").otherwise("text")  # beyond what a variant holds
