@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 from collections.abc import Callable
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,12 +15,27 @@ class Registry(dict):
 
     def __init__(self, kind: str):
         super().__init__()
-        self.kind = kind
+        self.kind, self.weak, self.by_default = kind, set(), False
+
+    @contextmanager
+    def defaults(self):
+        """What is registered meanwhile gives way to what is registered later under its name, and to what is there."""
+        self.by_default = True
+        try:
+            yield self
+        finally:
+            self.by_default = False
 
     def register(self, name: str, value=None):
         def put(x):
-            if name in self:
+            if self.by_default:
+                if name not in self:
+                    self.weak.add(name)
+                    self[name] = x
+                return x
+            if name in self and name not in self.weak:
                 raise KeyError(f"{self.kind} {name!r} is registered already")
+            self.weak.discard(name)
             self[name] = x
             return x
 

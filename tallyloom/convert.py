@@ -265,12 +265,12 @@ preference("reward_bench", "preference", "prompt", "chosen", "rejected")
 HELD_OUT = ("validation", "test")
 
 
-def registered(name: str, path: str, splits: tuple[str, ...] = ("train",), ending: str = "parquet", **more) -> Dataset:
+def registered(name: str, path: str | None, splits: tuple[str, ...] = ("train",), ending: str = "parquet", **more) -> Dataset:
     """Make a converter a dataset whose splits are files or folders `path/split`. Each held-out split is a benchmark `name:split` in the suite of its area."""
     convert = CONVERTERS.find(name)
 
     def build(spark: SparkSession, split: str, cap: int | None) -> DataFrame:
-        made = convert(read_any(spark, f"{path}/{split}", ending)).withColumn("split", F.lit(split))
+        made = convert(read_any(spark, f"{path or f'{data_root(spark)}/{name}'}/{split}", ending)).withColumn("split", F.lit(split))
         return take(made, cap, f"{name}:{split}", F.col("id")) if cap else made
 
     made = DATASETS.register(name, Dataset(name, build, splits, area=AREAS[name], **more))
@@ -285,6 +285,25 @@ def register_folder(root: str, splits: tuple[str, ...] = ("train", *HELD_OUT), *
     return [registered(name, f"{root}/{name}", splits, **more) for name in CONVERTERS]
 
 
+#: The session's setting that tells where the tables of datasets are that are registered without a folder.
+DATA_SETTING = "spark.tallyloom.data"
+
+
+def data_root(spark: SparkSession) -> str:
+    """Where the session says that tables are; an error if it says nothing."""
+    root = spark.conf.get(DATA_SETTING, None)
+    if not root:
+        raise ValueError(f"set {DATA_SETTING} to the folder that holds the datasets' tables, or register them with a folder")
+    return root.rstrip("/")
+
+
+def register_defaults() -> None:
+    """All converters as datasets, and their held-out splits as benchmarks, of the folder that the session names. A dataset that is registered with a folder of its own takes the place of the default."""
+    with DATASETS.defaults(), BENCHMARKS.defaults():
+        for name in CONVERTERS:
+            registered(name, None, ("train", *HELD_OUT))
+
+
 def evaluation_records(spark: SparkSession, names: list[str], cap: int | None = None) -> DataFrame:
     """The records of benchmarks or suites, to evaluate on and to keep out of a mixture."""
     parts = [DATASETS.find(b.dataset).build(spark, b.split, cap or b.max_samples) for b in expanded(names)]
@@ -292,3 +311,8 @@ def evaluation_records(spark: SparkSession, names: list[str], cap: int | None =
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+from tallyloom import convert_more  # noqa: E402, F401  registers its converters
+
+register_defaults()
