@@ -158,17 +158,17 @@ c AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY {or
 g AS (SELECT source, least(max(n), 30) AS n FROM c GROUP BY source),
 l AS (SELECT {{NORM}} IN (SELECT k FROM b) AS bad FROM labels JOIN documents USING (doc_id)),
 t AS (SELECT count(*) AS n FROM l WHERE NOT bad)
-SELECT 'documents' AS source, (SELECT count(*) FROM d) AS loaded, (SELECT count(*) FROM d WHERE bad) AS overlap_removed, least((SELECT sum(greatest(n, least(50, 3 * n))) FROM g), 700)::BIGINT AS used
+SELECT 'documents' AS source, (SELECT count(*) FROM d) AS loaded, (SELECT count(*) FROM d WHERE bad) AS overlap_removed, least((SELECT sum(greatest(n, least(25, 3 * n))) FROM g), 700)::BIGINT AS used
 UNION ALL SELECT 'labels', (SELECT count(*) FROM l), (SELECT count(*) FROM l WHERE bad), round_even(least(n, 200) * 1.5, 0)::BIGINT FROM t
 UNION ALL SELECT 'again', (SELECT count(*) FROM l), (SELECT count(*) FROM l WHERE bad), greatest(n, least(2000, 3 * n))::BIGINT FROM t""".replace("{NORM}", PRINT.format("text")))
 def mixture_of_all_kinds(t):
-    """A mixture whose sources ask for different things: groups cut at 30, repeated to 50 and cut at 700; 200 records one and a half times; and the same ids again, repeated to 2,000."""
+    """A mixture whose sources ask for different things: groups cut at 30, repeated to 25 and cut at 700 in all; 200 records one and a half times; and the same ids again, repeated to 2,000."""
     labelled = t("labels").join(t("documents"), "doc_id")
     toxic = lambda name: records.noul_records(labelled, source=name, state=F.col("text"), instructions="Is the text toxic?", label=F.col("toxic"), id_=stable_id(F.lit("labels"), F.col("doc_id")))
     docs = records.noul_records(t("documents"), source="documents", state=F.col("text"), instructions="?", label=F.lit("yes"), id_=stable_id(F.lit("documents"), F.col("doc_id")), meta={"task": F.col("source")})
     items = records.noul_records(t("benchmark"), source="benchmark", state=F.col("text"), instructions="-", label=F.lit("yes"), id_=stable_id(F.lit("benchmark"), F.col("item_id")))
     sources = [
-        (mixture.Source("documents", max_samples=700, group_by="task", per_group=30, repeat_to=50), docs),
+        (mixture.Source("documents", max_samples=700, group_by="task", per_group=30, repeat_to=25), docs),
         (mixture.Source("labels", max_samples=200, weight=1.5), toxic("labels")),
         (mixture.Source("again", repeat_to=2000), toxic("again")),
     ]
