@@ -196,9 +196,14 @@ def banded(x: Column, edges: list[float], names: list[str]) -> Column:
     return F.when(x.isNotNull(), out)
 
 
-def element_text(attributes: Column, keys: tuple[str, ...] = ("aria-label", "title", "alt", "placeholder", "name", "value", "type", "id"), tag: Column | None = None, named: bool = False, most: int | None = None) -> Column:
-    """A page element in words: its tag, if given, and the values of some attributes of a JSON object, in order, each once, with `key=` if named; cut to `most` characters."""
-    values = F.array(*[F.struct(F.lit(k).alias("k"), F.get_json_object(attributes, f"$['{k}']").alias("v")) for k in keys])
+#: Attributes that tell what a page element is, in order, and the characters that one may take.
+ELEMENT_KEYS = ("aria_label", "aria-label", "title", "alt", "placeholder", "name", "value", "type", "role", "id", "class")
+ATTRIBUTE_CHARS = 40
+
+
+def element_text(attributes: Column, keys: tuple[str, ...] = ELEMENT_KEYS, tag: Column | None = None, named: bool = False, most: int | None = None, each: int = ATTRIBUTE_CHARS) -> Column:
+    """A page element in words: its tag, if given, and the values of some attributes of a JSON object, in order, each once and cut to `each` characters, with `key=` if named; cut to `most` characters."""
+    values = F.array(*[F.struct(F.lit(k).alias("k"), F.left(F.get_json_object(attributes, f"$['{k}']"), F.lit(each)).alias("v")) for k in keys])
     kept = F.transform(F.filter(values, lambda x: F.trim(x["v"]) != ""), lambda x: F.concat(x["k"], F.lit("="), x["v"]) if named else x["v"])
     out = F.array_join(F.array_distinct(kept), " | ")
     if tag is not None:

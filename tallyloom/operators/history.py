@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from tallyloom.operators.sampling import hash_rank
 
@@ -45,30 +47,49 @@ def later_steps(df: DataFrame, episode: str, step: str, item: str, n: int) -> Da
     return df.withColumn("later", F.collect_list(item).over(w))
 
 
-def same_group_pairs(df: DataFrame, group: str, entity: str, seed_key: Column, n: int = 1, part: int = 128) -> DataFrame:
+def same_group_pairs(df: DataFrame, group: str, entity: str, seed_key: Column, n: int = 1, part: int = 128, block: int = 1024) -> DataFrame:
     """The rows with `others`: up to n other entities of the same group, as they follow in the order of a hexadecimal hash key, from the last row on to the first.
 
-    Rows are ranked in parts of `part`, which a row looks through; a table of each part's first
-    n + 1 entities tells what comes after the part. A null entity is no other's and has none.
+    Rows are ranked in parts of `part`, which a row looks through. Of each part the first n + 1
+    entities are kept; runs of `block` parts are gone through by a task each, and what is gone
+    through for a whole group is a row for each block. A null entity is no other's and has none.
     """
     ranked = hash_rank(df, [group], seed_key, F.col(entity), "r__").withColumn("part__", F.floor((F.col("r__") - 1) / part))
     heads = ranked.filter(F.col(entity).isNotNull()).groupBy(F.col(group).alias("g__"), F.col("part__").alias("p__"), F.col(entity).alias("e__")).agg(F.min("r__").alias("at__"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("at__", "e__"))), lambda s: s["e__"])
     heads = heads.groupBy("g__", "p__").agg(F.slice(ordered, 1, n + 1).alias("after__"))
-    heads = heads.withColumn("parts__", F.count(F.lit(1)).over(Window.partitionBy("g__")))
+    heads = heads.withColumn("b__", F.floor(F.col("p__") / block))
 
-    def around(table):
+    def first(entities):
+        return list(dict.fromkeys(entities))[: n + 1]
+
+    def inside_block(table):
+        """What follows each part in its block; the block's own first entities stand at part -1."""
         table = table.sort_values("p__", ignore_index=True)
         state, after = [], [None] * len(table)
+        for i in reversed(range(len(table))):
+            after[i] = state
+            state = first([*table["after__"][i], *state])
+        whole = table.iloc[[0]].assign(p__=-1, after__=[state])
+        return pd.concat([table.assign(after__=after), whole])
+
+    def around(table):
+        """What follows each block, from the last one on to the first, the block itself included."""
+        table = table.sort_values("b__", ignore_index=True)
+        state, after = [], [None] * len(table)
         for i in [*range(len(table))[::-1]] * 2:
             after[i] = state
-            state = list(dict.fromkeys([*table["after__"][i], *state]))[: n + 1]
-        return table.assign(after__=after)[["g__", "p__", "after__"]]
+            state = first([*table["after__"][i], *state])
+        return table.assign(beyond__=after)[["g__", "b__", "beyond__"]]
 
-    alone, several = (heads.filter(c).select("g__", "p__", "after__") for c in ("parts__ = 1", "parts__ > 1"))
-    after = alone.unionByName(several.groupBy("g__").applyInPandas(around, several.schema))
+    kind = heads.schema["after__"].dataType
+    parts = heads.groupBy("g__", "b__").applyInPandas(inside_block, heads.schema)
+    beyond = StructType([heads.schema["g__"], heads.schema["b__"], StructField("beyond__", kind)])
+    blocks = parts.filter("p__ = -1").groupBy("g__").applyInPandas(around, beyond).withColumnsRenamed({"g__": "h__", "b__": "c__"})
+    met = parts.filter("p__ >= 0").join(blocks, F.col("g__").eqNullSafe(F.col("h__")) & (F.col("b__") == F.col("c__")))
+    after = met.select("g__", "p__", F.slice(F.array_distinct(F.concat("after__", "beyond__")), 1, n + 1).alias("after__"))
     rows = ranked.join(after, F.col(group).eqNullSafe(F.col("g__")) & (F.col("part__") == F.col("p__")), "left")
     inside = F.collect_list(entity).over(Window.partitionBy(group, "part__").orderBy("r__").rowsBetween(1, Window.unboundedFollowing))
-    reach = F.concat(inside, F.coalesce("after__", F.array().cast(heads.schema["after__"].dataType)))
+    reach = F.concat(inside, F.coalesce("after__", F.array().cast(kind)))
     others = F.array_distinct(F.filter(reach, lambda e: e != F.col(entity)))
     return rows.withColumn("others", F.slice(others, 1, n)).drop("r__", "part__", "g__", "p__", "after__")

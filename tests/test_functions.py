@@ -80,6 +80,8 @@ def test_bands_and_elements(spark):
     assert [tuple(r) for r in df.select(X.sentiment_level(F.col("x")), X.opinion_score((F.col("x") + 1) * 50), X.sign_band(F.col("x"))).collect()] == [(0, 0, "negative"), (2, 2, "neutral"), (3, 3, "positive"), (4, 4, "positive")]
     df = spark.createDataFrame([('{"title": "Go", "name": "go", "id": "Go"}', "a"), ("{}", "div")], "j string, tag string")
     told = df.select(X.element_text(F.col("j"), tag=F.col("tag")), X.element_text(F.col("j"), named=True, most=12)).collect()
+    long = spark.createDataFrame([(f'{{"role": "button", "class": "{"c" * 60}", "aria_label": "Close"}}',)], "j string")
+    assert long.select(X.element_text(F.col("j"))).first()[0] == "Close | button | " + "c" * 40
     assert [tuple(r) for r in told] == [("<a> Go | go", "title=Go | …"), ("<div>", "")]
 
 

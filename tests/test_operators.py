@@ -230,13 +230,13 @@ def test_same_group_pairs_look_at_the_whole_group(spark):
     rows = [(i, "g", "b" if i in (90, 150) else "c" if i == 40 else "a") for i in range(200)] + [(300, "h", "a"), (301, "h", "a"), (302, None, "a"), (303, None, "b"), (304, "g", None)]
     df = spark.createDataFrame(rows, "i int, g string, e string")
     key = {i: hashlib.sha1(f"1|{i}".encode()).hexdigest() for i, _, _ in rows}
-    for n, part in ((1, 128), (2, 7), (2, 1000)):
+    for n, part, block in ((1, 128, 1024), (2, 7, 1024), (2, 7, 3), (3, 2, 1), (2, 1000, 1)):
         want = {}
         for i, g, e in rows:
             order = sorted((key[j], x) for j, h, x in rows if h == g)
             at = order.index((key[i], e))
             want[i] = list(dict.fromkeys(x for _, x in order[at + 1 :] + order[:at] if x != e and x and e))[:n]
-        out = history.same_group_pairs(df, "g", "e", order_key(1, F.col("i")), n, part)
+        out = history.same_group_pairs(df, "g", "e", order_key(1, F.col("i")), n, part, block)
         assert out.columns == ["i", "g", "e", "others"]
         assert {r.i: r.others for r in out.collect()} == want
 
