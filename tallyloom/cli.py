@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tallyloom import catalog
 from tallyloom.operators import metrics, mixture, prompts
 from tallyloom.session import local_session
-from tallyloom.sources import readers
+from tallyloom.sources import readers, record_json
 
 
 def _records(spark, folder: str, source: mixture.Source):
@@ -41,6 +41,7 @@ def parser() -> argparse.ArgumentParser:
     mix.add_argument("sources", help="name, name:split or file.jsonl, comma-separated, or a YAML file")
     mix.add_argument("--exclude", default="", help="sources of evaluation records, benchmarks or suites")
     mix.add_argument("--out")
+    mix.add_argument("--objects", action="store_true", help="write questions and targets as objects by name instead of arrays")
     ev = sub.add_parser("eval", help="metrics of a Parquet table of scored decisions")
     ev.add_argument("table")
     ev.add_argument("--temperature", type=float)
@@ -75,7 +76,7 @@ def main(args: list[str] | None = None) -> dict | list:
         mixed, report = mixture.build_mixture(sources, banned)
         out = [r.asDict() for r in report.collect()]
         if a.out:
-            readers.write_records(mixed, a.out)
+            (record_json.write_lines if a.objects else readers.write_records)(mixed, a.out)
     else:
         table = spark.read.parquet(a.table)
         t = a.temperature or metrics.fitted_temperature(table).first().temperature

@@ -16,6 +16,9 @@ from tallyloom.operators.sampling import hash_rank
 LONG_FIELD = 40
 #: Fixed value: what stands before a clip id in the id of a source.
 CLIP = "yt:"
+#: The form of a name that is a clip id of 11 characters, with or without a time range, and names of files that name no clip.
+CLIP_NAME = r"^([A-Za-z0-9_-]{11})(?:_\d+(?:\.\d+)?){0,2}$"
+PLAIN_NAMES, FRAME_NAME = ("a", "i"), r"^(frame_?)?\d+$"
 #: Fixed value: how often a small group is repeated at most.
 MOST_REPEATS = 3
 
@@ -39,8 +42,8 @@ def media_source_id(item: Column) -> Column:
     path = F.coalesce(item["path"], first, item["audio"])
     stem = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[A-Za-z0-9]+$", "")
     parent = F.try_element_at(F.split(path, "/"), F.lit(-2))
-    name = F.when(first.isNotNull() | stem.isin("a", "i") | stem.rlike(r"^(frame_?)?\d+$"), parent).otherwise(stem)
-    clip = F.nullif(F.regexp_extract(name, r"^([A-Za-z0-9_-]{11})(?:_\d+(?:\.\d+)?){0,2}$", 1), F.lit(""))
+    name = F.when(first.isNotNull() | stem.isin(*PLAIN_NAMES) | stem.rlike(FRAME_NAME), parent).otherwise(stem)
+    clip = F.nullif(F.regexp_extract(name, CLIP_NAME, 1), F.lit(""))
     return F.when(~name.startswith("video_"), F.concat(F.lit(CLIP), clip))
 
 

@@ -22,6 +22,9 @@ def test_verbs(spark, tmp_path):
     out = cli.main([*folder, "mix", "tiny", "--exclude", held, "--out", str(tmp_path / "mix")])
     assert out == [{"source": "tiny", "loaded": 10, "overlap_removed": 3, "used": 7}]
     assert readers.read_records(spark, str(tmp_path / "mix")).count() == 7
+    cli.main([*folder, "mix", "tiny", "--exclude", held, "--out", str(tmp_path / "objects"), "--objects"])
+    key = lambda where: sorted((r.id, r.state, r.targets[0].label, [o.key for o in r.questions[0].options]) for r in readers.read_records(spark, str(tmp_path / where)).collect())
+    assert key("objects") == key("mix") and '"questions":{' in spark.read.text(str(tmp_path / "objects")).first().value
 
 
 def test_eval(spark, tmp_path):
