@@ -29,18 +29,18 @@ def numbers_in(text: Column) -> Column:
     """(value, decimals, unit, raw) of the numbers of a text in order: `$3.2 million`, `-1,234.50`, `12%`, `4k`. The unit is `%`, a currency or empty; parts of words, dates and versions are no numbers."""
     raw = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_NUMBER), 0)
 
-    def read(x: Column) -> Column:
-        part = lambda k: F.regexp_extract(x, "^" + _NUMBER.replace("(?<![\\w.,/])(?<!\\d-)", "") + "$", k)
-        plain = F.concat(F.replace(part(2), F.lit(","), F.lit("")), part(3)).cast("double")
-        sign = F.when(F.contains(part(1), F.lit("-")), -1.0).otherwise(1.0)
-        behind = F.lower(part(4))
-        times = F.lit(1.0)
-        for word, factor in MAGNITUDES.items():
-            times = F.when(behind == word, factor).otherwise(times)
-        unit = F.when(behind == "%", "%").otherwise(F.replace(part(1), F.lit("-"), F.lit("")))
-        return F.struct((sign * plain * times).alias("value"), F.greatest(F.length(part(3)) - 1, F.lit(0)).alias("decimals"), unit.alias("unit"), x.alias("raw"))
+    part = lambda x, k: F.regexp_extract(x, "^" + _NUMBER.replace("(?<![\\w.,/])(?<!\\d-)", "") + "$", k)
+    # Each part is taken out once, and then only looked at.
+    parts = F.transform(raw, lambda x: F.struct(x.alias("raw"), part(x, 1).alias("sign"), F.replace(part(x, 2), F.lit(","), F.lit("")).alias("whole"), part(x, 3).alias("rest"), F.lower(part(x, 4)).alias("behind")))
+    times = F.create_map(*[F.lit(v) for pair in MAGNITUDES.items() for v in pair])
 
-    return F.transform(raw, read)
+    def read(p: Column) -> Column:
+        plain = F.concat(p["whole"], p["rest"]).cast("double")
+        sign = F.when(F.contains(p["sign"], F.lit("-")), -1.0).otherwise(1.0)
+        unit = F.when(p["behind"] == "%", "%").otherwise(F.replace(p["sign"], F.lit("-"), F.lit("")))
+        return F.struct((sign * plain * F.coalesce(F.try_element_at(times, p["behind"]), F.lit(1.0))).alias("value"), F.greatest(F.length(p["rest"]) - 1, F.lit(0)).alias("decimals"), unit.alias("unit"), p["raw"].alias("raw"))
+
+    return F.transform(parts, read)
 
 
 def related_to(gold: Column, numbers: Column, unit: Column | str = "") -> Column:
@@ -65,4 +65,4 @@ def number_choices(gold: Column, decimals: int, n: int, seed: int, *key: Column,
     none = F.array().cast("array<double>")
     every = F.concat(F.array(gold), none if related is None else F.coalesce(related, none), near_values(gold, decimals, seed, *key))
     shown = F.array_distinct(F.transform(every, lambda v: F.concat(F.format_number(v, decimals), F.lit(unit))))
-    return F.when(F.size(shown) >= n, F.slice(shown, 1, n))
+    return F.get(F.filter(F.array(F.slice(shown, 1, n)), lambda few: F.size(few) == n), 0)
