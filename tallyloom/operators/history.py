@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
-
-from tallyloom.operators.sampling import hash_rank
 
 
 def last_items(df: DataFrame, group: str, order: list[str], item: Column, n: int, name: str = "history") -> DataFrame:
@@ -47,49 +43,50 @@ def later_steps(df: DataFrame, episode: str, step: str, item: str, n: int) -> Da
     return df.withColumn("later", F.collect_list(item).over(w))
 
 
-def same_group_pairs(df: DataFrame, group: str, entity: str, seed_key: Column, n: int = 1, part: int = 128, block: int = 1024) -> DataFrame:
-    """The rows with `others`: up to n other entities of the same group, as they follow in the order of a hexadecimal hash key, from the last row on to the first.
+def _first_entities(rows: DataFrame, groups: list[str], order: list[str], entity: str, n: int, name: str) -> DataFrame:
+    """The rows with an array of the first n different entities from each row on, its own first, inside the groups.
 
-    Rows are ranked in parts of `part`, which a row looks through. Of each part the first n + 1
-    entities are kept; runs of `block` parts are gone through by a task each, and what is gone
-    through for a whole group is a row for each block. A null entity is no other's and has none.
+    One more is found at a time: the entity after the first k of a row is the last of the next
+    row's k, if the row's own entity is none of them, and else the same as the next row's. So each
+    is a running value along the reversed order, and a row carries n entities at most.
     """
-    ranked = hash_rank(df, [group], seed_key, F.col(entity), "r__").withColumn("part__", F.floor((F.col("r__") - 1) / part))
-    heads = ranked.filter(F.col(entity).isNotNull()).groupBy(F.col(group).alias("g__"), F.col("part__").alias("p__"), F.col(entity).alias("e__")).agg(F.min("r__").alias("at__"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("at__", "e__"))), lambda s: s["e__"])
-    heads = heads.groupBy("g__", "p__").agg(F.slice(ordered, 1, n + 1).alias("after__"))
-    heads = heads.withColumn("b__", F.floor(F.col("p__") / block))
-
-    def first(entities):
-        return list(dict.fromkeys(entities))[: n + 1]
+    back = Window.partitionBy(*groups).orderBy(*[F.desc(c) for c in order])
+    out = rows.withColumn(name, F.array(entity))
+    for k in range(1, n):
+        after = out.withColumn("next__", F.lag(name).over(back))
+        one = F.when((F.size("next__") == k) & ~F.array_contains("next__", F.col(entity)), F.element_at("next__", k))
+        after = after.withColumn("one__", F.last(one, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0)))
+        out = after.withColumn(name, F.when(F.col("one__").isNotNull(), F.concat(name, F.array("one__"))).otherwise(F.col(name))).drop("next__", "one__")
+    return out
 
-    def inside_block(table):
-        """What follows each part in its block; the block's own first entities stand at part -1."""
-        table = table.sort_values("p__", ignore_index=True)
-        state, after = [], [None] * len(table)
-        for i in reversed(range(len(table))):
-            after[i] = state
-            state = first([*table["after__"][i], *state])
-        whole = table.iloc[[0]].assign(p__=-1, after__=[state])
-        return pd.concat([table.assign(after__=after), whole])
 
-    def around(table):
-        """What follows each block, from the last one on to the first, the block itself included."""
-        table = table.sort_values("b__", ignore_index=True)
-        state, after = [], [None] * len(table)
-        for i in [*range(len(table))[::-1]] * 2:
-            after[i] = state
-            state = first([*table["after__"][i], *state])
-        return table.assign(beyond__=after)[["g__", "b__", "beyond__"]]
+def same_group_pairs(df: DataFrame, group: str, entity: str, seed_key: Column, n: int = 1, part: int = 128, block: int = 1024) -> DataFrame:
+    """The rows with `others`: up to n other entities of the same group, as they follow in the order of a hexadecimal hash key, from the last row on to the first.
 
-    kind = heads.schema["after__"].dataType
-    parts = heads.groupBy("g__", "b__").applyInPandas(inside_block, heads.schema)
-    beyond = StructType([heads.schema["g__"], heads.schema["b__"], StructField("beyond__", kind)])
-    blocks = parts.filter("p__ = -1").groupBy("g__").applyInPandas(around, beyond).withColumnsRenamed({"g__": "h__", "b__": "c__"})
-    met = parts.filter("p__ >= 0").join(blocks, F.col("g__").eqNullSafe(F.col("h__")) & (F.col("b__") == F.col("c__")))
-    after = met.select("g__", "p__", F.slice(F.array_distinct(F.concat("after__", "beyond__")), 1, n + 1).alias("after__"))
-    rows = ranked.join(after, F.col(group).eqNullSafe(F.col("g__")) & (F.col("part__") == F.col("p__")), "left")
-    inside = F.collect_list(entity).over(Window.partitionBy(group, "part__").orderBy("r__").rowsBetween(1, Window.unboundedFollowing))
-    reach = F.concat(inside, F.coalesce("after__", F.array().cast(kind)))
-    others = F.array_distinct(F.filter(reach, lambda e: e != F.col(entity)))
-    return rows.withColumn("others", F.slice(others, 1, n)).drop("r__", "part__", "g__", "p__", "after__")
+    A group of more than `part * block` rows is cut along its order into parts of about so many,
+    each a task's; what follows a part, around the end, is found from the first n + 1 entities of
+    each part. Both tables that are broadcast have a row for as many rows at most: one for a large
+    group, and one for its part. A null entity is no other's and has none.
+    """
+    most = part * block
+    large = df.groupBy(F.col(group).alias("g__")).agg(F.count(F.lit(1)).alias("rows__")).filter(F.col("rows__") > most)
+    large = large.select("g__", F.ceil(F.col("rows__") / most).alias("parts__"))
+    rows = df.withColumn("h__", seed_key).withColumn("none__", F.col(entity).isNull())
+    rows = rows.join(F.broadcast(large), F.col(group).eqNullSafe(F.col("g__")), "left").drop("g__")
+    at = F.shiftright(F.conv(F.substring("h__", 1, 8), 16, 10).cast("long") * F.col("parts__"), 32)
+    rows = rows.withColumn("part__", F.when(F.col("parts__").isNull(), 0).otherwise(at))
+    own = [group, "none__", "parts__", "part__"]
+    rows = _first_entities(rows, own, ["h__", entity], entity, n + 1, "after__")
+    whole = Window.partitionBy(*own).orderBy(F.desc("h__"), F.desc(entity)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumn("head__", F.last("after__").over(whole))
+    # The first entities of all parts in order, twice around.
+    heads = rows.filter(F.col("parts__").isNotNull()).groupBy(*own).agg(F.first("head__").alias("head__"))
+    heads = heads.select(F.col(group).alias("g__"), F.col("none__").alias("z__"), F.col("part__").alias("p__"), F.explode(F.array(F.lit(0), F.lit(1))).alias("lap__"), "head__")
+    heads = heads.select("g__", "z__", "p__", "lap__", F.posexplode("head__").alias("j__", "e__"))
+    heads = _first_entities(heads, ["g__", "z__"], ["lap__", "p__", "j__"], "e__", n + 1, "beyond__").filter("j__ = 0")
+    back = Window.partitionBy("g__", "z__").orderBy(F.desc("lap__"), F.desc("p__"))
+    beyond = heads.withColumn("beyond__", F.lag("beyond__").over(back)).filter("lap__ = 0").select("g__", "z__", "p__", "beyond__")
+    met = rows.join(F.broadcast(beyond), F.col(group).eqNullSafe(F.col("g__")) & (F.col("none__") == F.col("z__")) & (F.col("part__") == F.col("p__")), "left")
+    reach = F.array_distinct(F.concat("after__", F.coalesce("beyond__", "head__")))
+    others = F.slice(F.filter(reach, lambda e: e != F.col(entity)), 1, n)
+    return met.select(*df.columns, others.alias("others"))

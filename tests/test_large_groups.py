@@ -83,3 +83,15 @@ def test_a_conversation_of_a_million_turns(spark):
     assert out.agg(F.sum(F.length("transcript"))).first()[0] > 59 * n
     for r in told:
         assert r.transcript == "\n".join(f"turn {i}" for i in range(max(0, r.id - 20), r.id))[-most:]
+
+
+def test_same_group_pairs_run_without_a_call_for_each_group(spark):
+    """Groups are windows, whatever their number; a large one is cut into parts that see around its end."""
+    rows = [(i, "hot" if i % 3 else f"g{i % 40}", "abcdefg"[(i * i) % 7]) for i in range(600)] + [(1000 + i, "one", "a") for i in range(40)]
+    df = spark.createDataFrame(rows, "i int, g string, e string")
+    key = F.sha1(F.col("i").cast("string"))
+    cut = history.same_group_pairs(df, "g", "e", key, 2, 4, 5)
+    assert "InPandas" not in cut._jdf.queryExecution().toString()
+    whole = {r.i: r.others for r in history.same_group_pairs(df, "g", "e", key, 2).collect()}
+    assert {r.i: r.others for r in cut.collect()} == whole and len(whole) == len(rows)
+    assert whole[1000] == [] and len(whole[1]) == 2
