@@ -9,6 +9,7 @@ from tallyloom.functions import text as X
 from tallyloom.functions.hashing import stable_id
 from tallyloom.operators import distractors, mixture, records
 from tallyloom.plans.registry import PRINT, order_sql, query
+from tallyloom.session import spread
 from tallyloom.sources import readers, record_json, row_groups
 
 _LEVELS = ["urgent", "high", "medium", "not specified", "low"]
@@ -113,7 +114,7 @@ def media_inlining(t):
     text = F.concat(F.col("p_name"), *[F.when(counts[k] >= n, f" <{k}:{n}>").otherwise("") for k, n in tags], F.lit("."))
     name = lambda kind, at: F.concat(kind, (at + 1).cast("string"))
     made = media.inlined(text, {k: n.cast("int") for k, n in counts.items()}, lambda kind, at: F.concat(F.lit("("), name(kind, at), F.lit(")")))
-    rows = t("part").select("p_partkey", made.alias("m"))
+    rows = spread(t("part").select("p_partkey", "p_name", "p_size")).select("p_partkey", made.alias("m"))
     return rows.select("p_partkey", "m.text", F.array_join(F.transform("m.order", lambda o: name(o["kind"], o["at"])), ",").alias("items"))
 
 

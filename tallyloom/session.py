@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = 8, memory: str = "8g", **conf: str) -> SparkSession:
@@ -31,6 +31,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of a table as it is read, dealt over four tasks a core, unless they come in as many: a row group of a file is read by one task, however much work its rows make."""
+    least = 4 * df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= least else df.repartition(least)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, which all executors share. Where it is unset, a temporary one if everything runs on this machine (tests); else an error, as executors would write to disks of their own."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -151,3 +151,27 @@ def test_tiers_of_names(spark):
     names = {"wxai-llama-3-2-1b-instruct": "fast", "Qwen__Qwen1.5-7B-Chat": "fast", "meta-llama__Llama-2-13b-chat-hf": "mid", "wxai-mixtral-8x7b-instruct-v01": "mid", "x_8 x 22 B": "strong", "wxai-llama-3-405b-instruct": "strong", "openai-gpt-4o-mini": "fast", "openai-gpt-4o": "strong", "aws-claude-3-5-sonnet-v1": "strong", "nameless": None}
     df = spark.createDataFrame([(n,) for n in names], "n string")
     assert {r.n: r.t for r in df.select("n", tier_of(F.col("n")).alias("t")).collect()} == names
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tags_of_a_text_are_looked_for_once(spark):
+    from tallyloom.functions import media
+
+    rows = spark.createDataFrame([("see <video:1> and <image:2>, <image:2>.", 2, 1), ("none", 1, 0), (None, 0, 0)], "t string, i int, v int")
+    made = media.inlined(F.lower("t"), {"image": F.col("i"), "video": F.col("v")}, lambda kind, at: F.concat(F.lit("("), kind, at.cast("string"), F.lit(")")))
+    out = rows.select(made.alias("m")).select("m.text", "m.order")
+    assert _plan(out).count("regexp_extract_all(") == 1
+    assert [r.text for r in out.collect()] == ["(image0)see (video0) and (image1), [image 2].", "(image0)none", ""]
+    assert [[(o.kind, o.at) for o in r.order] for r in out.collect()] == [[("image", 0), ("video", 0), ("image", 1)], [("image", 0)], []]
+
+
+def test_rows_of_a_small_file_are_dealt_over_tasks(spark, tmp_path):
+    from tallyloom.session import spread
+
+    spark.range(1000).coalesce(1).write.parquet(f"{tmp_path}/t")
+    got = spread(spark.read.parquet(f"{tmp_path}/t"))
+    assert got.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism and got.count() == 1000
+    assert spread(got).rdd.getNumPartitions() == got.rdd.getNumPartitions()
