@@ -48,3 +48,14 @@ def test_exact_dedupe_looks_at_whole_texts(spark, tmp_path):
     rows = [(1, "b", head + "one"), (2, "a", head + "two"), (3, "a", head + "one"), (4, "a", "x"), (5, "a", "x"), (6, "a", None)]
     spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert sorted(r.doc_id for r in QUERIES["exact_dedupe_state"](spark, str(tmp_path)).collect()) == [2, 3, 4, 6]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sets_meet_without_a_join(spark, tmp_path):
+    """Otherwise all rows of a frequent key are joined by one task."""
+    orders = [(3, 5.0, "a"), (4, 2e5, "b"), (6, 2e5, "c"), (9, None, None), (1, 2e5, None), (None, None, "d"), (7, 1.0, "e"), (12, 1.0, "a")]
+    out = held_against_sql(spark, "set_operations", {"orders": spark.createDataFrame(orders, "o_orderkey long, o_totalprice double, o_orderpriority string")}, tmp_path)
+    assert out.count() == 7 and "Join" not in _plan(out)
