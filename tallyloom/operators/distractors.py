@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.functions.binding import bound
 from tallyloom.functions.hashing import order_key
 from tallyloom.functions.text import jaccard, word_set
 from tallyloom.operators import sampling
@@ -15,9 +16,13 @@ from tallyloom.operators.intervals import plausible_box
 
 def from_pool(pool: Column, gold: Column, n: int, seed: int, *key: Column) -> Column:
     """Gold and n - 1 others of a pool, in hash order; null if the pool has too few."""
-    others = F.array_sort(F.transform(F.filter(pool, lambda x: x != gold), lambda x: F.struct(order_key(seed, *key, x).alias("h"), x.alias("x"))))
-    few = F.concat(F.slice(others, 1, n - 1), F.array(F.struct(order_key(seed, *key, gold).alias("h"), gold.alias("x"))))
-    return F.when(F.size(others) >= n - 1, F.transform(F.array_sort(few), lambda s: s["x"]))
+    keyed = lambda x: F.struct(order_key(seed, *key, x).alias("h"), x.alias("x"))
+
+    def few(others: Column) -> Column:
+        chosen = F.sort_array(F.concat(F.slice(others, 1, n - 1), F.array(keyed(gold))))
+        return F.when(F.size(others) >= n - 1, F.transform(chosen, lambda s: s["x"]))
+
+    return bound(F.sort_array(F.transform(F.filter(pool, lambda x: x != gold), keyed)), few)
 
 
 def tiered_pool(df: DataFrame, value: str, tiers: list[Column], n: int, seed: int = 0, *key: Column) -> DataFrame:

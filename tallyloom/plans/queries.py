@@ -13,6 +13,7 @@ from tallyloom.functions import tiers
 from tallyloom.functions.hashing import hash_bucket, hash_mod, order_key, split_of, stable_id
 from tallyloom.operators import augment, distractors, filters, history, intervals, metrics, mixture, prompts, records, sampling, scorer, votes
 from tallyloom.plans.registry import HEX8, NORM, PRINT, QUERIES, SQL, mod_sql, order_sql, query
+from tallyloom.session import spread
 from tallyloom.streaming.slices import tumbling
 
 __all__ = ["QUERIES", "SQL"]
@@ -316,7 +317,7 @@ SELECT p_partkey, string_agg(x, ';' ORDER BY {order_sql(9, "p_partkey", "x")}) A
 def mcq_options(t):
     """The brand and three others, in hash order, with the index of gold."""
     pool = records.open_labels(t("part"), "p_brand")
-    rows = t("part").withColumn("o", distractors.from_pool(F.array(*map(F.lit, pool)), F.col("p_brand"), 4, 9, F.col("p_partkey")))
+    rows = spread(t("part").select("p_partkey", "p_brand")).withColumn("o", distractors.from_pool(F.array(*map(F.lit, pool)), F.col("p_brand"), 4, 9, F.col("p_partkey")))
     return rows.select("p_partkey", F.array_join("o", ";").alias("options"), (F.array_position("o", F.col("p_brand")).cast("int") - 1).alias("gold"))
 
 

@@ -59,3 +59,7 @@ def test_sets_meet_without_a_join(spark, tmp_path):
     orders = [(3, 5.0, "a"), (4, 2e5, "b"), (6, 2e5, "c"), (9, None, None), (1, 2e5, None), (None, None, "d"), (7, 1.0, "e"), (12, 1.0, "a")]
     out = held_against_sql(spark, "set_operations", {"orders": spark.createDataFrame(orders, "o_orderkey long, o_totalprice double, o_orderpriority string")}, tmp_path)
     assert out.count() == 7 and "Join" not in _plan(out)
+
+
+def test_options_are_hashed_once(spark, data):
+    assert _plan(QUERIES["mcq_options"](spark, data)).count("sha1(") == 2  # of the pool and of gold
