@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallyloom.functions.binding import bound
 from tallyloom.functions.hashing import order_key
 
 #: Words and letters behind a number that multiply it; `%` and currencies are its unit.
 MAGNITUDES = {"thousand": 1e3, "k": 1e3, "million": 1e6, "m": 1e6, "billion": 1e9, "bn": 1e9, "b": 1e9, "trillion": 1e12, "tn": 1e12}
 CURRENCIES = "$€£¥"
 
-# Not inside a word, a longer number or a date; a minus sign belongs to it unless something stands before.
-_NUMBER = rf"(?i)(?<![\w.,/])(?<!\d-)(-?[{CURRENCIES}]?-?)(\d{{1,3}}(?:,\d{{3}})+(?![\d])|\d+)(\.\d+)?(?!\d|[.,/-]\d)(?:\s?(%|(?:{'|'.join(MAGNITUDES)})(?!\w)))?(?![^\W\d_])"
+def _pattern(currency: str) -> str:
+    """A number, with `currency` behind its sign. It is not inside a word, a longer number or a date; a minus sign belongs to it unless something stands before."""
+    words = "|".join(MAGNITUDES)
+    return rf"(?i)(?=[-{CURRENCIES}\d])(?<![\w.,/])(?<!\d-)-?{currency}-?(?:\d{{1,3}}(?:,\d{{3}})+(?![\d])|\d+)(?:\.\d+)?(?!\d|[.,/-]\d)(?:\s?(?:%|(?:{words})(?!\w)))?(?![^\W\d_])"
+
 
 #: Values near another one, as (class, factor, steps of its last digit, only for small values). Lower classes come first; in a class, hash order.
 NEAR = [
@@ -25,22 +31,32 @@ NEAR = [
 SMALL = 50
 
 
-def numbers_in(text: Column) -> Column:
-    """(value, decimals, unit, raw) of the numbers of a text in order: `$3.2 million`, `-1,234.50`, `12%`, `4k`. The unit is `%`, a currency or empty; parts of words, dates and versions are no numbers."""
-    raw = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_NUMBER), 0)
+def numbers_in(text: Column, currency: str | None = None) -> Column:
+    """(value, decimals, unit, raw) of the numbers of a text in order: `$3.2 million`, `-1,234.50`, `12%`, `4k`. The unit is `%`, a currency or empty; parts of words, dates and versions are no numbers. With a currency only the numbers of that unit, for which no others are read."""
+    if currency is not None and (len(currency) != 1 or currency not in CURRENCIES):
+        raise ValueError(f"not a currency: {currency}")
+    raw = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_pattern(f"[{currency or CURRENCIES}]" + "?" * (not currency))), 0)
+    if currency:
+        raw = F.filter(raw, lambda x: ~F.endswith(x, F.lit("%")))
+    return F.transform(raw, _read)
+
 
-    part = lambda x, k: F.regexp_extract(x, "^" + _NUMBER.replace("(?<![\\w.,/])(?<!\\d-)", "") + "$", k)
-    # Each part is taken out once, and then only looked at.
-    parts = F.transform(raw, lambda x: F.struct(x.alias("raw"), part(x, 1).alias("sign"), F.replace(part(x, 2), F.lit(","), F.lit("")).alias("whole"), part(x, 3).alias("rest"), F.lower(part(x, 4)).alias("behind")))
-    times = F.create_map(*[F.lit(v) for pair in MAGNITUDES.items() for v in pair])
+_BLANKS = " \t\n\x0b\f\r"
 
-    def read(p: Column) -> Column:
-        plain = F.concat(p["whole"], p["rest"]).cast("double")
-        sign = F.when(F.contains(p["sign"], F.lit("-")), -1.0).otherwise(1.0)
-        unit = F.when(p["behind"] == "%", "%").otherwise(F.replace(p["sign"], F.lit("-"), F.lit("")))
-        return F.struct((sign * plain * F.coalesce(F.try_element_at(times, p["behind"]), F.lit(1.0))).alias("value"), F.greatest(F.length(p["rest"]) - 1, F.lit(0)).alias("decimals"), unit.alias("unit"), p["raw"].alias("raw"))
 
-    return F.transform(parts, read)
+def _read(raw: Column) -> Column:
+    """(value, decimals, unit, raw) of a text that is one number: sign and currency, digits with commas and decimals, a magnitude or `%`."""
+    digits = F.rtrim(raw, F.lit(_BLANKS + string.ascii_letters + "%"))
+    behind = F.lower(F.ltrim(F.substring(raw, F.length(digits) + 1, F.length(raw)), F.lit(_BLANKS)))
+    plain = F.ltrim(F.replace(digits, F.lit(","), F.lit("")), F.lit("-" + CURRENCIES))
+    point = F.instr(plain, ".")
+    times = F.when(behind == "", 1.0)
+    for word, by in MAGNITUDES.items():
+        times = times.when(behind == word, by)
+    value = F.when(F.contains(raw, F.lit("-")), -1.0).otherwise(1.0) * plain.cast("double") * times.otherwise(1.0)
+    first = F.left(F.ltrim(digits, F.lit("-")), F.lit(1))
+    unit = F.when(behind == "%", "%").when(first.isin(*CURRENCIES), first).otherwise("")
+    return F.struct(value.alias("value"), F.when(point > 0, F.length(plain) - point).otherwise(0).alias("decimals"), unit.alias("unit"), raw.alias("raw"))
 
 
 def related_to(gold: Column, numbers: Column, unit: Column | str = "") -> Column:
@@ -48,7 +64,7 @@ def related_to(gold: Column, numbers: Column, unit: Column | str = "") -> Column
     unit = F.lit(unit) if isinstance(unit, str) else unit
     own = F.array_distinct(F.transform(F.filter(numbers, lambda x: (x["unit"] == unit) & (x["value"] != gold)), lambda x: x["value"]))
     far = lambda v: F.when((v == 0) | (gold == 0), F.lit(float("inf"))).otherwise(F.abs(F.log(F.abs(v) / F.abs(gold))))
-    return F.transform(F.array_sort(F.transform(own, lambda v: F.struct(far(v).alias("far"), v.alias("v")))), lambda s: s["v"])
+    return F.transform(F.sort_array(F.transform(own, lambda v: F.struct(far(v).alias("far"), v.alias("v")))), lambda s: s["v"])
 
 
 def near_values(gold: Column, decimals: int, seed: int, *key: Column) -> Column:
@@ -57,12 +73,14 @@ def near_values(gold: Column, decimals: int, seed: int, *key: Column) -> Column:
     small = F.abs(gold) < SMALL * step
     name = lambda f, s: str(f) if f != 1.0 else f"{s:+d}"
     rules = [F.when(small | F.lit(not only), F.struct(F.lit(c).alias("class"), order_key(seed, *key, F.lit(name(f, s))).alias("h"), (gold * f + s * step).alias("v"))) for c, f, s, only in NEAR]
-    return F.transform(F.array_sort(F.filter(F.array(*rules), lambda r: r.isNotNull())), lambda r: r["v"])
+    return F.transform(F.sort_array(F.filter(F.array(*rules), lambda r: r.isNotNull())), lambda r: r["v"])
 
 
 def number_choices(gold: Column, decimals: int, n: int, seed: int, *key: Column, related: Column | None = None, unit: str = "") -> Column:
     """Gold first, then n - 1 other numbers as texts like it: related ones in their order, then near ones. All texts differ; null if there are too few."""
-    none = F.array().cast("array<double>")
-    every = F.concat(F.array(gold), none if related is None else F.coalesce(related, none), near_values(gold, decimals, seed, *key))
-    shown = F.array_distinct(F.transform(every, lambda v: F.concat(F.format_number(v, decimals), F.lit(unit))))
-    return F.get(F.filter(F.array(F.slice(shown, 1, n)), lambda few: F.size(few) == n), 0)
+    shown = lambda vs: F.transform(vs, lambda v: F.concat(F.format_number(v, decimals), F.lit(unit)))
+    own = F.array(gold) if related is None else F.concat(F.array(gold), F.coalesce(related, F.array().cast("array<double>")))
+    # Near values are made only where related ones are too few.
+    more = lambda own: F.array_distinct(F.concat(own, shown(near_values(gold, decimals, seed, *key))))
+    every = bound(F.array_distinct(shown(own)), lambda own: F.slice(F.when(F.size(own) >= n, own).otherwise(more(own)), 1, n))
+    return F.get(F.filter(F.array(every), lambda few: F.size(few) == n), 0)

@@ -95,9 +95,9 @@ FROM orders o WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)""")
 def related_numbers(t):
     """The price of each order among five amounts: amounts of dollars in the text of its lines first, those nearest by ratio in front, then near values. Quantities, shares and codes in the text are of other units."""
     line = F.concat(F.lit("line "), F.col("l_linenumber").cast("string"), F.lit(": "), F.col("l_quantity").cast("string"), F.lit(" pieces of code x"), F.col("l_partkey").cast("string"), F.lit("9 for $"), F.format_number("l_extendedprice", 2), F.lit(", "), F.col("l_discount").cast("string"), F.lit("% off."))
-    texts = t("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("text"))
+    texts = t("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("text"))
     rows = t("orders").select("o_orderkey", "o_totalprice").join(texts, "o_orderkey")
-    found = numbers.related_to(F.col("o_totalprice"), numbers.numbers_in(F.col("text")), "$")
+    found = numbers.related_to(F.col("o_totalprice"), numbers.numbers_in(F.col("text"), "$"), "$")
     return rows.select("o_orderkey", F.array_join(numbers.number_choices(F.col("o_totalprice"), 2, 5, 8, F.col("o_orderkey"), related=found), ";").alias("options"))
 
 

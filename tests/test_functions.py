@@ -175,3 +175,19 @@ def test_rows_of_a_small_file_are_dealt_over_tasks(spark, tmp_path):
     got = spread(spark.read.parquet(f"{tmp_path}/t"))
     assert got.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism and got.count() == 1000
     assert spread(got).rdd.getNumPartitions() == got.rdd.getNumPartitions()
+
+
+def test_numbers_are_matched_once_and_by_currency(spark):
+    from tallyloom.functions import numbers
+
+    texts = ["$3.2 million, -$1,234.50 and $-7k or 12%", "£5 $6% -€7.25bn x$8 9-$4 $$2 $1,23", "--$5, $5-$3.", "", None]
+    df = spark.createDataFrame([(x,) for x in texts], "t string")
+    out = df.select(numbers.numbers_in(F.col("t")).alias("n"))
+    assert _plan(out).count("regexp_extract") == 1
+    rows = [[tuple(x) for x in r.n] for r in out.collect()]
+    assert rows[0] == [(3.2e6, 1, "$", "$3.2 million"), (-1234.5, 2, "$", "-$1,234.50"), (-7000.0, 0, "$", "$-7k"), (12.0, 0, "%", "12%")]
+    for c in numbers.CURRENCIES:
+        only = df.select(numbers.numbers_in(F.col("t"), c).alias("n")).collect()
+        assert [[tuple(x) for x in r.n] for r in only] == [[x for x in each if x[2] == c] for each in rows]
+    with pytest.raises(ValueError, match="not a currency"):
+        numbers.numbers_in(F.col("t"), "%")
