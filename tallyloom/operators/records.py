@@ -157,11 +157,12 @@ def valid(records: DataFrame) -> DataFrame:
     return problems(records).filter(F.col("problem").isNull()).drop("problem")
 
 
-def decisions(records: DataFrame) -> DataFrame:
-    """A row for each record and question: id, source, name, type, k, label, probs, index (of the label, null if soft)."""
-    each = records.select("id", "source", "meta", F.explode("questions").alias("q"), "targets")
-    t = F.element_at(F.filter("targets", lambda t: t["name"] == F.col("q")["name"]), 1)
-    rows = each.withColumn("t", F.when(F.exists("targets", lambda x: x["name"] == F.col("q")["name"]), t)).withColumn("labels", labels_of(F.col("q")))
+def decisions(records: DataFrame, *keep: str) -> DataFrame:
+    """A row for each record and question: id, source, name, type, k, label, probs, index (of the label, null if soft), and the columns `keep` of the record."""
+    # Of an inner explode Spark infers a filter on the array, which it moves below whatever makes it, so that records are made twice.
+    each = records.select("id", "source", "meta", *keep, F.posexplode_outer("questions").alias("at__", "q"), "targets").filter("at__ is not null")
+    t = F.get(F.filter("targets", lambda t: t["name"] == F.col("q")["name"]), 0)
+    rows = each.withColumn("t", t).withColumn("labels", labels_of(F.col("q")))
     label = canonical_label(F.col("q.type"), F.col("t.label"))
     at = F.array_position("labels", label)
-    return rows.select("id", "source", "meta", F.col("q.name").alias("name"), F.col("q.type").alias("type"), F.size("labels").alias("k"), "labels", label.alias("label"), F.col("t.probs").alias("probs"), F.when(at > 0, (at - 1).cast("int")).alias("index"))
+    return rows.select("id", "source", "meta", *keep, F.col("q.name").alias("name"), F.col("q.type").alias("type"), F.size("labels").alias("k"), "labels", label.alias("label"), F.col("t.probs").alias("probs"), F.when(at > 0, (at - 1).cast("int")).alias("index"))

@@ -46,17 +46,17 @@ SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN '{"b":[' || o_orderkey
   unnest(['P,F,O', '0,1,2,3,4', 'no,yes']) AS labels, unnest([NULL, CASE WHEN o_orderkey % 2 = 1 THEN 0.75::DOUBLE END, NULL]) AS p4 FROM o""")
 def record_lines_read(t):
     """Lines of the record format, with targets as objects, as bare values and as probabilities, read and flattened."""
-    o = t("orders").withColumn("key", F.col("o_orderkey").cast("string")).withColumn("level", F.substring("o_orderpriority", 1, 1).cast("int") - 1)
+    o = spread(t("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"))
+    o = o.withColumn("key", F.col("o_orderkey").cast("string")).withColumn("level", F.substring("o_orderpriority", 1, 1).cast("int") - 1)
     way = F.col("o_orderkey") % 3
     state = F.when(way == 0, F.concat(F.lit('"state": {"b": ['), F.col("key"), F.lit(', {"y": null, "x": "\\u00e9"}], "a": true}, '))).when(way == 1, '"state": "{\\"looks\\": \\"like\\"} JSON", ').otherwise("")
     asked = '"questions": {"status": {"type": "choice", "instructions": "Which?", "criteria": {"P": "pending", "F": null, "O": 3}}, "urgency": {"type": "score", "instructions": null, "criteria": ["a", "b", "c", "d", "e"]}, "dear": {"type": "noul", "instructions": "Dear?"}}, '
     urgency = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit('{"label": '), F.col("level").cast("string"), F.lit("}"))).otherwise('{"label": null, "probabilities": {"0": 0.25, "4": 0.75}}')
     dear = F.when(F.col("o_totalprice") > 100000, "true").otherwise('{"label": false}')
     line = F.concat(F.lit('{"id": '), F.col("key"), F.lit(", "), state, F.lit(asked), F.lit('"targets": {"status": "'), F.col("o_orderstatus"), F.lit('", "urgency": '), urgency, F.lit(', "dear": '), dear, F.lit('}, "family": "trade", "meta": {"customer": '), F.col("o_custkey").cast("string"), F.lit("}}"))
-    read = record_json.records_of(o.select(line.alias("value")))
-    flat = records.decisions(read).select("id", "name", "type", "k", "label", "index", F.array_join("labels", ",").alias("labels"), F.col("probs")["4"].alias("p4"))
-    whole = read.select("id", "state", "state_kind", F.col("meta")["customer"].alias("customer"), F.col("meta")["family"].alias("family"))
-    return flat.join(whole, "id").withColumn("id", F.col("id").cast("long"))
+    rows = records.decisions(record_json.records_of(o.select(line.alias("value"))), "state", "state_kind")
+    meta = lambda k: F.col("meta")[k].alias(k)
+    return rows.select(F.col("id").cast("long").alias("id"), "name", "type", "k", "label", "index", F.array_join("labels", ",").alias("labels"), F.col("probs")["4"].alias("p4"), "state", "state_kind", meta("customer"), meta("family"))
 
 
 @query("""

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyloom.functions.binding import bound
 from tallyloom.functions.text import json_type
 from tallyloom.operators.records import MEDIA, OPTION, QUESTION, RECORD, TARGET, canonical_label, labels_of
 
@@ -28,23 +29,25 @@ NAMED = {"no": "false", "yes": "true"}
 
 def _options(asked: Column) -> Column:
     """The options of one question (type, instructions, criteria) in order."""
-    by_name = F.from_json(asked["criteria"], "map<string, string>", _ANY_LENGTH)
+    named = F.from_json(asked["criteria"], "map<string, string>", _ANY_LENGTH)
     text = lambda x: F.coalesce(x, F.lit(""))
-    choice = F.transform(F.map_entries(by_name), lambda e: F.struct(e["key"].alias("key"), text(e["value"]).alias("description")))
+    choice = F.transform(F.map_entries(named), lambda e: F.struct(e["key"].alias("key"), text(e["value"]).alias("description")))
     levels = F.transform(F.from_json(asked["criteria"], "array<string>", _ANY_LENGTH), lambda d, i: F.struct(i.cast("string").alias("key"), text(d).alias("description")))
-    meant = lambda k: F.coalesce(F.nullif(F.element_at(by_name, NAMED[k]), F.lit("")), F.lit(PLAIN[k]))
-    answers = F.array(*[F.struct(F.lit(k).alias("key"), meant(k).alias("description")) for k in PLAIN])
+    meant = lambda told, k: F.when(told[NAMED[k]] != "", told[NAMED[k]]).otherwise(PLAIN[k])
+    answers = bound(F.when(asked["criteria"].isNotNull(), named), lambda told: F.array(*[F.struct(F.lit(k).alias("key"), meant(told, k).alias("description")) for k in PLAIN]))
     made = F.when(asked["type"] == "choice", choice).when(asked["type"] == "score", levels).when(asked["type"] == "noul", answers)
     return F.coalesce(made, F.array().cast(f"array<{OPTION}>"))
 
 
 def _target(name: Column, raw: Column, q: Column) -> Column:
     """A target from its JSON: an object with a label and probabilities, or the label alone. A text that is one of the question's labels is a label, whatever it looks like."""
-    said = F.from_json(raw, _SAID)
-    whole = raw.startswith("{") & ~F.coalesce(F.array_contains(labels_of(q), raw), F.lit(False))
     some = lambda m: F.when(F.size(m) > 0, m)
-    probs = F.coalesce(some(said["probs"]), some(said["probabilities"]))
-    return F.struct(name.alias("name"), canonical_label(q["type"], F.when(whole, said["label"]).otherwise(raw)).alias("label"), F.when(whole, F.transform_keys(probs, lambda k, _: canonical_label(q["type"], k))).alias("probs"))
+    pair = lambda label, probs: F.struct(label.alias("label"), probs.cast("map<string, double>").alias("probs"))
+    own = lambda k: canonical_label(q["type"], k)
+    told = lambda said: pair(said["label"], F.transform_keys(F.coalesce(some(said["probs"]), some(said["probabilities"])), lambda k, _: own(k)))
+    whole = raw.startswith("{") & ~F.coalesce(F.array_contains(labels_of(q), raw), F.lit(False))
+    either = F.when(whole, bound(F.from_json(raw, _SAID), told)).otherwise(pair(raw, F.lit(None)))
+    return bound(either, lambda x: F.struct(name.alias("name"), own(x["label"]).alias("label"), x["probs"].alias("probs")))
 
 
 def records_of(lines: DataFrame, line: str = "value") -> DataFrame:
@@ -66,7 +69,7 @@ def records_of(lines: DataFrame, line: str = "value") -> DataFrame:
     asked = F.transform(F.map_entries("r.questions"), lambda e: F.struct(e["key"].alias("name"), e["value"]["type"].alias("type"), F.coalesce(e["value"]["instructions"], F.lit("")).alias("instructions"), _options(e["value"]).alias("options")))
     rows = rows.withColumn("questions", F.coalesce(asked, F.array().cast(f"array<{QUESTION}>")))
     of = lambda name: F.get(F.filter("questions", lambda q: q["name"] == name), 0)
-    targets = F.transform(F.map_entries("r.targets"), lambda e: _target(e["key"], e["value"], of(e["key"])))
+    targets = F.transform(F.map_entries("r.targets"), lambda e: bound(of(e["key"]), lambda q: _target(e["key"], e["value"], q)))
     none = lambda x, t: F.coalesce(x, F.array().cast(f"array<{t}>"))
     return rows.select(
         F.coalesce("r.id", lacking).alias("id"),

@@ -63,3 +63,11 @@ def test_sets_meet_without_a_join(spark, tmp_path):
 
 def test_options_are_hashed_once(spark, data):
     assert _plan(QUERIES["mcq_options"](spark, data)).count("sha1(") == 2  # of the pool and of gold
+
+
+def test_record_lines_are_read_once_and_by_row(spark, tmp_path):
+    orders = [(1, 7, "P", 5.0, "1-URGENT"), (1, 8, "F", 200000.0, "3-MEDIUM"), (2, 9, "O", 100000.5, "5-LOW"), (3, 9, "O", 1.0, "2-HIGH")]
+    df = spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string")
+    out = held_against_sql(spark, "record_lines_read", {"orders": df}, tmp_path)
+    assert out.count() == 3 * len(orders)
+    assert not [x for x in _plan(out).split("\n") if "from_json" in x and x.strip(" :+-").startswith(("Filter", "Join"))]
