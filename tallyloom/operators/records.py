@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.functions.binding import bound
 from tallyloom.functions.hashing import stable_id
 from tallyloom.operators.sampling import take
 
@@ -45,11 +46,13 @@ def target(name: str, label: Column | None = None, probs: Column | None = None)
 
 def canonical_label(kind: Column, label: Column) -> Column:
     """yes or no for the aliases of a yes/no question, any case; other labels as they are."""
-    low = F.lower(label)
-    known = low
-    for old, new in ALIASES.items():
-        known = F.when(low == old, new).otherwise(known)
-    return F.when(kind == "noul", known).otherwise(label)
+    def known(low: Column) -> Column:
+        out = low
+        for old, new in ALIASES.items():
+            out = F.when(low == old, new).otherwise(out)
+        return out
+
+    return F.when(kind == "noul", bound(F.lower(label), known)).otherwise(label)
 
 
 def labels_of(q: Column) -> Column:
