@@ -434,13 +434,25 @@ def fit(codes: DataFrame, v: Vocabulary, steps: int = BAUM_WELCH_STEPS) -> Model
     return model
 
 
-def score(codes: DataFrame, counted: DataFrame, v: Vocabulary, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Columns `keep` of the rows of `encoded`, n_tokens, n_known, base_score and score.
+def based(codes: DataFrame, rows: DataFrame, counted: DataFrame, v: Vocabulary, keep: tuple[str, ...]) -> DataFrame:
+    """`rows` (of the rows of `codes`, with key__, n_tokens, known and plain) with columns `keep`, n_tokens, n_known, base_score, and `gain`, what the counts of words outside the head add.
 
     The words of a row outside the head are looked up by a shuffle join on the word. None of them
     is frequent in training, as the head holds those; one that is frequent elsewhere makes a
     skewed partition, which adaptive execution splits.
     """
+    width = float(np.log10(v.tokens + v.words + 1))
+    rare = codes.select("key__", F.explode("rare").alias("hash"))
+    met = rare.join(counted.select("hash", "n"), "hash").groupBy("key__").agg(F.count(F.lit(1)).alias("more"), F.sum(F.log10(F.col("n") + 1.0)).alias("gain"))
+    gain = F.coalesce(F.col("gain"), F.lit(0.0))
+    known = F.col("known") + F.coalesce(F.col("more"), F.lit(0))
+    base = F.col("plain") + gain - F.col("n_tokens") * F.lit(width)
+    rest = [c for c in rows.columns if c not in (*keep, "key__", "n_tokens", "known", "plain")]
+    return rows.join(met, "key__", "left").select(*[named(c) for c in keep], "n_tokens", known.alias("n_known"), base.alias("base_score"), gain.alias("gain"), *rest)
+
+
+def score(codes: DataFrame, counted: DataFrame, v: Vocabulary, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Columns `keep` of the rows of `encoded`, n_tokens, n_known, base_score (see `based`) and score."""
     shared = codes.sparkSession.sparkContext.broadcast(model)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -454,15 +466,18 @@ def score(codes: DataFrame, counted: DataFrame, v: Vocabulary, model: Model, kee
                     logs[i:j] = likelihoods(model, symbols[first[i] : first[j]], first[i : j + 1] - first[i])
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(logs / np.log(10))], [*batch.schema.names[1:], "chain"])
 
-    width = float(np.log10(v.tokens + v.words + 1))
-    names = [*keep, "n_tokens", "known", "plain", "inner", "key__"]
-    rare = codes.select("key__", F.explode("rare").alias("hash"))
-    met = rare.join(counted.select("hash", "n"), "hash").groupBy("key__").agg(F.count(F.lit(1)).alias("more"), F.sum(F.log10(F.col("n") + 1.0)).alias("gain"))
-    rows = codes.select("symbols", *[named(c) for c in names])
+    rows = codes.select("symbols", *[named(c) for c in (*keep, "n_tokens", "known", "plain", "inner", "key__")])
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    scored = rows.mapInArrow(local, f"{kinds}, chain double").join(met, "key__", "left")
-    gain = F.coalesce(F.col("gain"), F.lit(0.0))
-    return scored.select(*[named(c) for c in keep], "n_tokens", (F.col("known") + F.coalesce(F.col("more"), F.lit(0))).alias("n_known"), (F.col("plain") + gain - F.col("n_tokens") * F.lit(width)).alias("base_score"), (F.col("chain") + F.col("inner") + gain).alias("score"))
+    out = based(codes, rows.mapInArrow(local, f"{kinds}, chain double"), counted, v, keep)
+    return out.select(*[named(c) for c in keep], "n_tokens", "n_known", "base_score", (F.col("chain") + F.col("inner") + F.col("gain")).alias("score"))
+
+
+def _counted(df: DataFrame, train: Column, text: str, keep: tuple[str, ...]) -> tuple[DataFrame, Vocabulary, DataFrame]:
+    """Written counts of training words, the vocabulary, and the rows of `encoded` with key__."""
+    rows = df.withColumn("train__", F.coalesce(train, F.lit(False)))
+    counted, _ = written(count_words(rows.filter("train__"), text))
+    v = vocabulary_of(counted)
+    return counted, v, encoded(rows, v, text, (*keep, "train__")).withColumn("key__", F.monotonically_increasing_id())
 
 
 def scored(df: DataFrame, train: Column, text: str = "text", keep: tuple[str, ...] = ()) -> tuple[DataFrame, Vocabulary]:
@@ -473,14 +488,19 @@ def scored(df: DataFrame, train: Column, text: str = "text", keep: tuple[str, ..
     all in the head or none. An empty table, or none to train on, gives defined results: no rows,
     or the unigram floor. Columns `keep` may have any name that no output has.
     """
-    rows = df.withColumn("train__", F.coalesce(train, F.lit(False)))
-    counted, _ = written(count_words(rows.filter("train__"), text))
-    v = vocabulary_of(counted)
-    codes, _ = written(encoded(rows, v, text, (*keep, "train__")).withColumn("key__", F.monotonically_increasing_id()))
+    counted, v, codes = _counted(df, train, text, keep)
+    codes, _ = written(codes)
     model = fit(codes.filter("train__"), v)
     return score(codes, counted, v, model, keep), v
 
 
+def base_scored(df: DataFrame, train: Column, text: str = "text", keep: tuple[str, ...] = ()) -> tuple[DataFrame, Vocabulary]:
+    """`scored` without the score: all that needs counts of words only, for which no model is trained and no symbols are written."""
+    counted, v, codes = _counted(df, train, text, keep)
+    codes, _ = written(codes.drop("symbols", "inner"))
+    return based(codes, codes.drop("rare", "train__"), counted, v, keep).drop("gain"), v
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
@@ -491,3 +511,11 @@ def op10_lm_score(documents: DataFrame) -> DataFrame:
     documents = documents.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
     out, v = scored(documents, ~F.col("held_out"), keep=("doc_id", "held_out"))
     return settled(out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(v.tokens).cast("long").alias("train_tokens"), "base_score", "score"), mark)
+
+
+def base_scores(documents: DataFrame) -> DataFrame:
+    """The columns of `op10_lm_score` but for the score, by the same steps; see `base_scored`."""
+    mark = marked()
+    documents = documents.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
+    out, v = base_scored(documents, ~F.col("held_out"), keep=("doc_id", "held_out"))
+    return settled(out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(v.tokens).cast("long").alias("train_tokens"), "base_score"), mark)

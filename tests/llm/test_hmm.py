@@ -159,3 +159,12 @@ def test_every_step_reads_all_texts_and_gains(spark, monkeypatch):
     hmm.fit(hmm.encoded(docs, v), v)
     assert 2 <= len(seen) <= 5 and all(n == v.tokens for _, n in seen)
     assert all(b[0] > a[0] for a, b in zip(seen, seen[1:], strict=False))
+
+
+def test_base_scores_need_no_model(spark, odd_documents, monkeypatch):
+    from tallyloom.llm.beside import lm_base_scores
+
+    columns = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 3).alias("base_score")]
+    want = sorted(map(repr, hmm.op10_lm_score(odd_documents).select(*columns).collect()))
+    monkeypatch.setattr(hmm, "fit", None)
+    assert sorted(map(repr, lm_base_scores(odd_documents).collect())) == want and want
